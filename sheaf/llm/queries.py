@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sheaf.llm.bpe import op9_byte_bpe
 from sheaf.llm.line_dedup import op2_line_dedup
 from sheaf.llm.quality_rules import op1_quality_rules
 from sheaf.llm.sql import ORACLES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
