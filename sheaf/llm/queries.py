@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sheaf.llm.bpe import op9_byte_bpe
 from sheaf.llm.line_dedup import op2_line_dedup
+from sheaf.llm.quality_classifier import op8_quality_classifier
 from sheaf.llm.quality_rules import op1_quality_rules
 from sheaf.llm.sql import ORACLES
+from sheaf.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op7_toxicity, op8_quality_classifier, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
