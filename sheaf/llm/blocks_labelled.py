@@ -38,6 +38,26 @@ TABLE = """
 1 1 5 0.0 0 0.0 30 0.0
 1 1 9 0.0 60 0.0 0 0.0
 1 1 15 0.0 22 0.0 13 0.1
+1 1 1 0.0 1 0.0 1 0.0
+1 1 2 0.0 0 0.0 2 0.0
+1 1 3 0.0 9 0.0 1 1.0
+1 1 4 0.0 4 0.0 0 0.0
+1 1 7 0.0 7 0.0 1 0.0
+1 1 10 0.0 3 0.0 2 0.0
+1 1 13 0.0 25 0.0 10 0.0
+1 1 17 0.0 2 1.0 17 0.0
+1 1 21 0.0 11 0.0 9 0.0
+1 1 25 0.4 18 0.0 5 0.0
+1 1 33 0.0 33 0.0 2 0.0
+1 1 38 0.0 5 0.0 0 0.0
+1 1 52 0.0 4 0.0 7 0.0
+1 1 64 0.0 80 0.0 1 0.0
+1 1 88 0.1 12 0.0 3 1.0
+1 1 110 0.0 50 0.0 14 0.0
+1 1 180 0.0 6 0.0 6 0.0
+1 1 250 0.0 9 0.0 0 0.0
+1 1 4 0.45 16 0.0 22 0.0
+1 1 11 0.25 2 0.0 1 1.0
 # link lists inside it
 0 1 3 1.0 60 0.0 4 1.0
 0 1 4 1.0 3 1.0 5 1.0
