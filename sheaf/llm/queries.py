@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sheaf.llm.bpe import op9_byte_bpe
+from sheaf.llm.decontaminate import op3_decontamination
 from sheaf.llm.html_main import op6_html_extraction
 from sheaf.llm.line_dedup import op2_line_dedup
 from sheaf.llm.quality_classifier import op8_quality_classifier
@@ -16,7 +17,7 @@ from sheaf.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op6_html_extraction, op7_toxicity, op8_quality_classifier, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_decontamination, op6_html_extraction, op7_toxicity, op8_quality_classifier, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
