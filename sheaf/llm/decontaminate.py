@@ -68,8 +68,9 @@ def _scan(documents: DataFrame, grams: DataFrame, lengths: list[int], first: boo
     # place 0 stands for the document itself; the windows of each length follow one another
     places = F.concat(F.array(F.lit(None).cast("long")), *runs)
     # the array is a column of its own: with an attribute to explode, generator and join are compiled into one loop, in which
-    # the words are a reference and are never copied for each window
-    wide = cut.select("_key", "_words", "_n", places.alias("_places")).select("_key", "_words", "_n", F.posexplode("_places").alias("_place", "_hash"))
+    # the words are a reference and are never copied for each window; the outer form keeps Spark from inferring a filter on the
+    # array's size, which would be pushed into the scan and compute every array twice
+    wide = cut.select("_key", "_words", "_n", places.alias("_places")).select("_key", "_words", "_n", F.posexplode_outer("_places").alias("_place", "_hash"))
     before, offsets = F.lit(0), []
     for n in lengths:
         offsets.append(before)
