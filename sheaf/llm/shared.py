@@ -107,3 +107,13 @@ def load(address: str, most: int = 256) -> dict[str, np.ndarray]:
     while len(_OPEN) > most:
         _OPEN.popitem(last=False)
     return arrays
+
+
+def exists(address: str) -> bool:
+    path = _local(address)
+    if path is not None:
+        return os.path.exists(path)
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(address)
+    return store.get_file_info(path).type == fs.FileType.File
