@@ -4,9 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import shared
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from sheaf.llm import shared, toxicity
+from sheaf.llm.bpe import digest_tokens
+from sheaf.llm.decontaminate import decontaminate
+from sheaf.llm.jaccard_join import keep_one
+from sheaf.llm.line_dedup import dedup_lines
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier finds clean; it is fitted on the labels of sf_dir."""
+    scored = toxicity.with_toxicity(docs, toxicity.train(spark, sf_dir, docs), "_toxicity")
+    return scored.filter(F.col("_toxicity") < 0.5).select(*docs.columns)
+
+
+def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many of them share."""
+    return dedup_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of the benchmark of sf_dir."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the documents that are left."""
+    return digest_tokens(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_shared_lines),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("byte_bpe", encode),
+]
 #: Two stages rest on trained or hashed models that SQL can't express; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 

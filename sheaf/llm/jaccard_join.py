@@ -28,11 +28,10 @@ from pyspark.sql import functions as F
 
 from sheaf.llm import shared
 from sheaf.llm.components import components
+from sheaf.llm.counted import Counts, count_hashes
 from sheaf.llm.words import Rolling, slices, words_of
 
 SHINGLE, PERCENT = 5, 80
-#: Shingles that a task sorts before it ships them.
-RUN = 3_000_000
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE):
@@ -50,84 +49,7 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE):
             yield h[:0]
 
 
-def _ship(ranges: int):
-    """Runs of the 32-bit hash ends of all shingles: (range, those that occur once, those that occur more often, how often)."""
-
-    def flush(parts: list[np.ndarray]):
-        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-        bounds = np.searchsorted(keys, (np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges))
-        rows = []
-        for r in range(ranges):
-            k, c = keys[bounds[r] : bounds[r + 1]], counts[bounds[r] : bounds[r + 1]]
-            if len(k):
-                rows.append((r, k[c == 1].tobytes(), k[c > 1].tobytes(), c[c > 1].astype(np.uint32).tobytes()))
-        cols = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], ["range", "once", "more", "counts"])
-
-    def run(batches):
-        parts, held = [], 0
-        for batch in batches:
-            for piece in slices(batch):
-                for s in shingle_sets(piece.column("text")):
-                    parts.append((s >> np.uint64(32)).astype(np.uint32))
-                    held += len(s)
-                if held >= RUN:
-                    yield from flush(parts)
-                    parts, held = [], 0
-        if held:
-            yield from flush(parts)
-
-    return run
-
-
-def _count(folder: str):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        r = key[0].as_py()
-        read = lambda name: [np.frombuffer(x, np.uint32) for x in table[name].to_pylist()]
-        once = np.sort(np.concatenate(read("once")))
-        first = np.flatnonzero(np.concatenate([[True], once[1:] != once[:-1]])) if len(once) else np.zeros(0, np.int64)
-        times = np.diff(np.append(first, len(once)))
-        again = first[times > 1]
-        keys, counts = once[again], times[times > 1]
-        more = np.concatenate(read("more"))
-        if len(more):
-            # a shingle that is repeated in one run may occur once in others
-            at = np.searchsorted(once, more)
-            single = np.searchsorted(once, more, "right") - at
-            is_new = single < 2
-            extra = np.concatenate(read("counts")).astype(np.int64)
-            names, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
-            total = np.bincount(where[: len(keys)], counts, len(names)) + np.bincount(where[len(keys) :], extra, len(names))
-            lone = np.zeros(len(names))
-            lone[where[len(keys) :][is_new]] = single[is_new]
-            keys, counts = names, (total + lone).astype(np.int64)
-        return pa.table({"range": pa.array([r], pa.int32()), "path": [shared.save(folder, f"counts-{r:06d}", {"keys": keys, "counts": np.minimum(counts, 2**32 - 1).astype(np.uint32)})]})
-
-    return run
-
-
-class Counts:
-    """Document counts of shingles by their upper 32 bits; one where nothing is stored."""
-
-    def __init__(self, paths: list[str | None]):
-        self.paths = paths
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """For ascending keys."""
-        out = np.ones(len(keys), np.int64)
-        n = len(self.paths)
-        bounds = np.searchsorted(keys, (np.arange(n + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(n))
-        for r in np.flatnonzero(np.diff(bounds)):
-            if self.paths[r] is None:
-                continue
-            arrays, part = shared.load(self.paths[r], 1024), keys[bounds[r] : bounds[r + 1]]
-            if len(arrays["keys"]):
-                at = np.minimum(np.searchsorted(arrays["keys"], part), len(arrays["keys"]) - 1)
-                out[bounds[r] : bounds[r + 1]] = np.where(arrays["keys"][at] == part, arrays["counts"][at], 1)
-        return out
-
-
-DOCS = "doc_id long, n int, high long, low long, sign long, prefix array<long>, tokens binary"
+DOCS = "doc_id long, text_hash long, n int, high long, low long, sign long, prefix array<long>, tokens binary"
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -166,7 +88,7 @@ def _prefixes(counts: Counts):
                     rows["prefix"].append(s[first][rank[first] > 1].view(np.int64))
                     rows["tokens"].append(s.tobytes())
                 kinds = {"n": pa.int32(), "high": pa.int64(), "low": pa.int64(), "sign": pa.int64(), "prefix": pa.list_(pa.int64()), "tokens": pa.binary()}
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id")] + [pa.array(rows[k], t) for k, t in kinds.items()], ["doc_id", *kinds])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_hash")] + [pa.array(rows[k], t) for k, t in kinds.items()], ["doc_id", "text_hash", *kinds])
 
     return run
 
@@ -215,20 +137,12 @@ def _verify(folder: str, percent: int):
     return run
 
 
-def _by_file(paths: list, count: int) -> list[str | None]:
-    out: list[str | None] = [None] * count
-    for r in paths:
-        out[r["range"]] = r["path"]
-    return out
-
-
 def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of (doc_id, text)."""
+    """(doc_id, text_hash, n_shingles, component_id) for each row of (doc_id, text); the hash is Spark's xxhash64."""
     spark, folder = documents.sparkSession, shared.folder(documents.sparkSession, "jaccard")
-    texts = documents.select("doc_id", "text")
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     shards = max(64, 4 * texts.rdd.getNumPartitions())
-    runs = texts.mapInArrow(_ship(shards), "range int, once binary, more binary, counts binary")
-    counts = Counts(_by_file(runs.groupBy("range").applyInArrow(_count(folder), "range int, path string").collect(), shards))
+    counts = count_hashes(texts, lambda piece: [(s >> np.uint64(32)).astype(np.uint32) for s in shingle_sets(piece.column("text"))], folder, shards)
     docs = shared.table(texts.mapInArrow(_prefixes(counts), DOCS), folder, "documents")
 
     maybe = docs.filter(F.col("sign").isNotNull())
@@ -267,10 +181,29 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFram
     named = shared.table(named, folder, "named")
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_set = named.join(roots, "root").select("high", "low", "component_id")
-    linked = maybe.select("doc_id", "n", "high", "low").join(by_set, ["high", "low"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    alone = docs.filter(F.col("sign").isNull()).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    linked = maybe.select("doc_id", "text_hash", "n", "high", "low").join(by_set, ["high", "low"], "left").select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    alone = docs.filter(F.col("sign").isNull()).select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
 
+def keep_one(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The documents, all columns, with one of each component: the one with the least doc_id.
+
+    Of rows that share both doc_id and text one stays.  Documents with an empty set stay.
+    """
+    spark = documents.sparkSession
+    found = shared.table(jaccard_components(documents, percent), shared.folder(spark, "keep-one"), "components")
+    same = lambda c: F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash")).eqNullSafe(F.col(c))
+    key = F.struct("doc_id", "text_hash").alias("_key")
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
+    again = found.filter("n_shingles > 0").groupBy("doc_id", "text_hash").count().filter("count > 1").select(key)
+    again = shared.table(again, shared.folder(spark, "keep-one"), "repeated")
+    left = documents.join(gone, same("_key"), "left_anti")
+    if again.isEmpty():
+        return left
+    single = left.join(again, same("_key"), "left_anti")
+    return single.unionByName(left.join(again, same("_key"), "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")

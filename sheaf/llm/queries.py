@@ -15,11 +15,12 @@ from sheaf.llm.line_dedup import op2_line_dedup
 from sheaf.llm.quality_classifier import op8_quality_classifier
 from sheaf.llm.quality_rules import op1_quality_rules
 from sheaf.llm.sql import ORACLES
+from sheaf.llm.substring_dedup import op5_substring_dedup
 from sheaf.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_decontamination, op4_lm_scoring, op6_html_extraction, op7_toxicity, op8_quality_classifier, op9_byte_bpe, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_decontamination, op4_lm_scoring, op5_substring_dedup, op6_html_extraction, op7_toxicity, op8_quality_classifier, op9_byte_bpe, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
