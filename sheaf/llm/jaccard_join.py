@@ -8,9 +8,11 @@
 3. Classes.  Documents with equal sets are one class.  Its set goes into a file of sorted arrays.
 4. Groups.  Classes with the same size and the same prefix are one group.  Only groups are listed under the shingles of
    their prefixes; pairs of groups are filtered by size, and only then expanded into members and verified.
-5. Links.  First each group of a list meets the list's first class only.  What links joins components.  Then all pairs
-   in lists whose members are still in more than one component are verified too, unless both already are in the same
-   one: so no link between components is missed, and a large group of near copies never becomes all its pairs.
+5. Links.  First each group of a list meets the list's first class only.  What links joins components.  In short lists
+   all pairs in different components are verified then.  In a long one, as large groups of near copies make, nearly all
+   sets share nearly all shingles; there each member is replaced by its difference from the list's typical set,
+   and a second prefix join over these differences finds the pairs to verify (see ``_differences``).  So no
+   link between components is missed, and a large group of near copies never becomes all its pairs.
 
 Shingles are 64-bit hashes (the counts use 32 bits of them, which can only change the order, never a result).  A document
 is a row: a repeated row or copy is in the class of its text.  A null or empty text, or one without words, has an empty
@@ -32,6 +34,10 @@ from sheaf.llm.counted import Counts, count_hashes
 from sheaf.llm.words import Rolling, slices, words_of
 
 SHINGLE, PERCENT = 5, 80
+#: Lists of at most so many entries become their pairs.
+SHORT = 24
+#: Members of a long list whose majority makes its typical set.
+JURY = 15
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE):
@@ -108,14 +114,20 @@ def _store(folder: str):
     return run
 
 
-def _verify(folder: str, percent: int):
-    """Of pairs of classes (u, v), those that link."""
-
+def _loader(folder: str):
     def load(c: int) -> np.ndarray:
         arrays = shared.load(f"{folder}/sets-{c >> 32:06d}", 1024)
         at = c & (2**32 - 1)
         return arrays["tokens"][arrays["ends"][at] : arrays["ends"][at + 1]]
 
+    return load
+
+
+def _verify(folder: str, percent: int):
+    """Of pairs of classes (u, v), those that link."""
+
+    load = _loader(folder)
+
     def run(batches):
         for batch in batches:
             u, v = (batch.column(k).to_numpy() for k in ("u", "v"))
@@ -165,18 +177,40 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFram
     links = shared.table(pairs.repartition("u", "v").mapInArrow(_verify(folder, percent), "u long, v long"), folder, "links-0")
     found = components(links, folder, "first")
 
+    edges = found.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    members_of = lists.select("group", "token").join(members, "group").select("token", "class", "n")
     # whatever shares a list and isn't joined yet
-    label = lambda f: members.join(f.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    labelled = shared.table(label(found), folder, "labelled")
-    entries = lists.select("group", "token").join(labelled, "group").select("token", "class", "n", "root")
-    mixed = entries.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("token")
-    open_ = shared.table(entries.join(mixed, "token"), folder, "open")
-    left, right = (open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "root")]) for s in "ab")
-    rest = left.join(right, "token").filter((F.col("class_a") < F.col("class_b")) & (F.col("root_a") != F.col("root_b")) & near(F.col("n_a"), F.col("n_b")))
-    rest = rest.select(F.col("class_a").alias("u"), F.col("class_b").alias("v")).distinct()
-    more = shared.table(rest.mapInArrow(_verify(folder, percent), "u long, v long"), folder, "links-1")
-    final = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), folder, "last")
-
+    entries = members_of.join(edges.select(F.col("u").alias("class"), F.col("v").alias("root")), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    entries = shared.table(entries, folder, "entries")
+    parts = entries.groupBy("token", "root").agg(F.count("*").alias("size"), F.min_by("class", F.xxhash64("class")).alias("member"))
+    whole = parts.groupBy("token").agg(F.sum("size").alias("size"), F.count("*").alias("roots"), F.max_by("member", F.struct("size", "root")).alias("pivot"))
+    open_ = shared.table(entries.join(whole.filter("roots > 1").drop("roots"), "token"), folder, "open")
+    apart = (F.col("class_a") != F.col("class_b")) & (F.col("root_a") != F.col("root_b")) & near(F.col("n_a"), F.col("n_b"))
+    side = lambda df, keys, s: df.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "root")])
+    pair = (F.least("class_a", "class_b").alias("u"), F.greatest("class_a", "class_b").alias("v"))
+
+    short = open_.filter(F.col("size") <= SHORT)
+    direct = side(short, ["token"], "a").join(side(short, ["token"], "b"), "token").filter(apart & (F.col("class_a") < F.col("class_b"))).select(*pair)
+
+    # long lists: what a member and the list's typical set don't have in common takes the place of its set
+    asked = open_.filter(F.col("size") > SHORT).select("pivot", "class", "root").distinct()
+    asked = shared.table(asked, folder, "asked")
+    jury = asked.groupBy("pivot").agg(F.array(*[F.min_by("class", F.xxhash64("class", F.lit(k))) for k in range(JURY)]).alias("jury"))
+    asked = asked.join(jury, "pivot").repartition("pivot", "class").sortWithinPartitions("pivot")
+    differ = shared.table(asked.mapInArrow(_differences(folder, counts, percent), DIFFERENCES), folder, "differences")
+    nearest = differ.groupBy("pivot").agg(F.min(F.struct("far", "class")).alias("z")).select("pivot", F.col("z.far").alias("z_far"), F.col("z.class").alias("z"))
+    differ = differ.join(nearest, "pivot")
+    to_z = differ.filter("class <> z").select(F.col("z").alias("u"), F.col("class").alias("v")).distinct().repartition("u", "v")
+    to_z = shared.table(to_z.mapInArrow(_verify(folder, percent), "u long, v long"), folder, "links-1")
+    apart_z = differ.filter("class <> z").join(to_z.select(F.col("u").alias("z"), F.col("v").alias("class")), ["z", "class"], "left_anti")
+    shares = F.floor((F.col("far") - F.col("z_far")) / (2 * (100 + percent))) + 1
+    listed = lambda df, upto: df.select("pivot", "class", "n", "root", F.explode(F.slice("tokens", 1, F.greatest(F.lit(0), upto.cast("int")))).alias("token"))
+    keys = ["pivot", "token"]
+    shifted = side(listed(apart_z, F.col("reach")), keys, "a").join(side(listed(differ, F.col("size") - shares + 1 - F.col("alone")), keys, "b"), keys).filter(apart).select(*pair)
+    rest = direct.unionByName(shifted).distinct()
+    more = shared.table(rest.repartition("u", "v").mapInArrow(_verify(folder, percent), "u long, v long"), folder, "links-2")
+    edges = components(edges.unionByName(more).unionByName(to_z), folder, "last").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    final = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     named = stored.select("high", "low", "least", "class").join(final.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     named = shared.table(named, folder, "named")
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -186,6 +220,50 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFram
     return linked.unionByName(alone)
 
 
+DIFFERENCES = "pivot long, class long, n int, root long, tokens array<long>, far long, size int, alone int, reach int"
+
+
+def _differences(folder: str, counts: Counts, percent: int):
+    """For members of long lists: the shingles that the member or the list's typical set has, but not both.
+
+    The typical set p holds what most of some members have; any set would do, this one makes the differences small.  With
+    D(x) and D(y) the differences of x and y from p, x and y differ by |D(x)| + |D(y)| - 2 |D(x) & D(y)|, and they link
+    if that is at most c (|x| + |y|), c = (100 - percent) / (100 + percent).  Let z be the member with the least
+    |D(z)| - c |z|, which all others are compared with.  If x doesn't link with z, |D(x)| + |D(z)| > c (|x| + |z|), so if it
+    links with y, D(x) and D(y) share more than (|D(y)| - c |y| - (|D(z)| - c |z|)) / 2 >= 0 shingles, and at least
+    |D(x)| - c (|x| + |y|).  As for sets, partners then share one of the first |D| - (that number) + 1 of each, in an order
+    in which those that few differences hold tend to come first; a shingle that only this member has is left out.
+
+    far is (100 + percent) |D| - (100 - percent) n, reach how many of tokens come first for a member that doesn't link with z.
+    """
+
+    def run(batches):
+        load = _loader(folder)
+        current, p = None, None
+        for batch in batches:
+            rows = []
+            for pivot, jury, member, root in zip(*(batch.column(c).to_pylist() for c in ("pivot", "jury", "class", "root")), strict=True):
+                if pivot != current:
+                    votes, times = np.unique(np.concatenate([load(j) for j in set(jury)]), return_counts=True)
+                    current, p = pivot, votes[2 * times > len(set(jury))]
+                x = load(member)
+                d = np.setxor1d(p, x, assume_unique=True)
+                total, rest = 100 + percent, 100 - percent
+                widest = len(x) + 100 * len(x) // percent  # both sizes, at most
+                least = max(1, -(-(total * len(d) - rest * widest) // total))
+                df = counts.find((d >> np.uint64(32)).astype(np.uint32))  # d is ascending
+                lost = np.isin(d, p, assume_unique=True)
+                # what the member has besides, rarest first, then what it lacks, what others seldom lack first
+                order = np.lexsort((np.where(lost, -df, df), lost))
+                alone = int(np.sum(~lost & (df == 1)))
+                rows.append((pivot, member, len(x), root, d[order[alone:]].view(np.int64), total * len(d) - rest * len(x), len(d), alone, max(0, len(d) - least + 1 - alone)))
+            cols = list(zip(*rows, strict=True)) or [()] * 9
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in DIFFERENCES.split(", ")])
+
+    return run
+
+
 def keep_one(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents, all columns, with one of each component: the one with the least doc_id.
 
