@@ -48,23 +48,24 @@ class Strict:
         asked = asked.withColumn("own", own).withColumn("query", Q.add_aliases(F.when(past != "", F.concat(past, F.lit("\n"), F.col("question"))).otherwise(F.col("question"))))
         asked = asked.withColumn("plan", Q.plan(F.col("question")))
         named = Q.facets(F.col("own"))
-        named = F.when(F.col("plan.teaching"), F.array(F.lit("unknown"))).when(
-            F.col("plan.comparison"), F.array_distinct(F.concat(F.array(F.lit("program")), F.array_except(named, F.array(F.lit("unknown"))), F.when(F.col("plan.recommendation"), F.array(F.lit("recommendation"))).otherwise(F.array().cast("array<string>"))))
-        ).otherwise(named)
+        vague = F.col("plan.comparison") & (named == F.array(F.lit("unknown")))
+        named = F.when(F.col("plan.teaching"), F.array(F.lit("unknown"))).when(vague, F.array(F.lit("program"), F.lit("credits"), F.lit("duration"))).otherwise(named)
+        named = F.when(F.col("plan.recommendation") & ~F.col("plan.teaching"), F.array_append(named, F.lit("recommendation"))).otherwise(named)
         return asked.withColumn("facets", named)
 
     def search(self, asked: DataFrame) -> DataFrame:
         """All chunks that share a term with the question, routed to the documents it is about."""
         index = R.strict_index(self.chunks, "chunk_id")
-        low = T.normalize(F.col("query"))
         hits = R.bm25_strict(index, asked.select("query_id", "query"), 2**31 - 1)
-        routed = asked.select("query_id", "facets", F.col("plan.documents").alias("planned"), Q.preferred_document(low).alias("preferred"))
+        documents = F.when(F.size("plan.documents") > 0, F.col("plan.documents")).otherwise(F.array_compact(F.array(Q.preferred_document(T.normalize(F.col("own"))))))
+        named = F.regexp_extract(F.lower("own"), r"หลักสูตร\s+([a-z][a-z0-9_-]*)", 1)
+        routed = asked.select("query_id", "facets", documents.alias("wanted"), named.alias("named"))
         wide = hits.join(routed, "query_id").join(index.chunks.withColumnRenamed("id", "chunk_id").select("chunk_id", "document", "page", "text", "normalized"), F.col("id") == F.col("chunk_id"))
         known = [F.lit(d) for d in rules.PROGRAMS]
-        wanted = F.when(F.size("planned") > 0, F.array_contains("planned", F.col("document"))).when(
-            F.col("preferred").isNotNull(), (F.col("document") == F.col("preferred")) | (~F.col("document").isin(*known) & Q.preferred_document(F.col("normalized")).eqNullSafe(F.col("preferred")))
-        )
-        return wide.filter(F.coalesce(wanted, F.lit(True)))
+        routes = F.array_contains("wanted", F.col("document")) | (~F.col("document").isin(*known) & F.array_contains("wanted", Q.preferred_document(F.col("normalized"))))
+        stem = F.lower(F.regexp_replace("document", r"\.[^.]*$", ""))
+        about = F.rlike(F.lower("text"), F.concat(F.lit("หลักสูตร\\s+"), F.col("named"))) | (stem == F.col("named"))
+        return wide.filter(F.when(F.size("wanted") > 0, F.coalesce(routes, F.lit(False))).when(F.col("named") != "", about).otherwise(True))
 
     def evidence(self, asked: DataFrame, strict: bool = False) -> DataFrame:
         hits = C.strict_gate(self.search(asked), self.config.threshold, strict)
