@@ -31,4 +31,59 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op3_decontamination": OP3}
+#: Shares of characters inside repeats of an earlier window, by window length: the same bounds as in quality_rules.
+_RULES = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+#: words with their places; a window is the string of a word and those after it
+_U = f"""d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+u AS MATERIALIZED (SELECT r, unnest(regexp_extract_all(text, '{_WORD}')) AS x, generate_subscripts(regexp_extract_all(text, '{_WORD}'), 1) AS p FROM d)"""
+
+
+def _windows(n: int) -> str:
+    frame = f"OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)"
+    return f"(SELECT r, p, g FROM (SELECT r, p, string_agg(x, ' ') {frame} AS g, count(*) {frame} AS c FROM u) WHERE c = {n})"
+
+
+def _covered(flagged: str, n: int) -> str:
+    return f"(SELECT DISTINCT r, unnest(range(p, p + {n})) AS p FROM {flagged})"
+
+
+_SHARES = ",\n".join(
+    f"c{n} AS (SELECT r, sum(length(x)) AS dup FROM {_covered(f'(SELECT r, p, row_number() OVER (PARTITION BY r, g ORDER BY p) AS k FROM {_windows(n)} QUALIFY k > 1)', n)} JOIN u USING (r, p) GROUP BY r)" for n in _RULES
+)
+OP1 = f"""
+WITH {_U},
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+m AS (SELECT r, row_number() OVER (PARTITION BY r, line ORDER BY i) > 1 AS late, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars FROM l WHERE regexp_matches(line, '{_WORD}')),
+n AS (SELECT r, count(*) AS n_lines, count_if(late) AS n_dup_lines, coalesce(sum(chars) FILTER (WHERE late), 0) AS dup_line_chars FROM m GROUP BY r),
+w AS (SELECT r, count(*) AS n_words, sum(length(x)) AS word_chars FROM u GROUP BY r),
+h AS (SELECT r, count(*) AS n_repeat_words FROM {_covered(f"(SELECT r, p, count(*) OVER (PARTITION BY r, g) AS k FROM {_windows(8)} QUALIFY k > 1)", 8)} GROUP BY r),
+{_SHARES},
+b AS (SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(dup_line_chars, 0)::BIGINT AS dup_line_chars,
+  {", ".join(f"coalesce(c{n}.dup, 0)::BIGINT AS dup_{n}gram_chars" for n in _RULES)}
+  FROM d LEFT JOIN n USING (r) LEFT JOIN w USING (r) LEFT JOIN h USING (r) {" ".join(f"LEFT JOIN c{n} USING (r)" for n in _RULES)}),
+s AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+SELECT *, NOT base_failed AND 100 * n_dup_lines <= 30 * n_lines AND 100 * dup_line_chars <= 20 * word_chars AND {" AND ".join(f"100 * dup_{n}gram_chars <= {most} * word_chars" for n, most in _RULES.items())} AS kept FROM s
+"""
+
+OP5 = f"""
+WITH {_U},
+t AS (SELECT r, p, count(*) OVER (PARTITION BY g) AS k FROM {_windows(35)} QUALIFY k > 1),
+c AS (SELECT r, p, true AS gone FROM {_covered("t", 35)}),
+k AS (SELECT r, count(*) AS n_words, count_if(gone) AS n_removed, string_agg(x, ' ' ORDER BY p) FILTER (WHERE gone IS NULL) AS kept FROM u LEFT JOIN c USING (r, p) GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
+
+OP10 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{_UP}', '{_LOW}') AS text FROM documents),
+u AS MATERIALIZED (SELECT r, unnest(regexp_extract_all(text, '{_WORD}')) AS x, generate_subscripts(regexp_extract_all(text, '{_WORD}'), 1) AS p FROM d),
+s AS MATERIALIZED (SELECT DISTINCT r, g FROM {_windows(5)} UNION SELECT r, string_agg(x, ' ' ORDER BY p) FROM u GROUP BY r HAVING count(*) < 5),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * common >= 80 * (a.n + b.n - common)),
+reach(r, o) AS (SELECT r, r FROM d UNION SELECT reach.r, e.y FROM reach JOIN e ON e.x = reach.o),
+c AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.o GROUP BY reach.r)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (r) JOIN c USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op2_line_dedup": OP2, "op3_decontamination": OP3, "op5_substring_dedup": OP5, "op10_ngram_jaccard": OP10}
