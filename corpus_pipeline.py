@@ -15,8 +15,7 @@ from sheaf.llm.line_dedup import dedup_lines
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier finds clean; it is fitted on the labels of sf_dir."""
-    scored = toxicity.with_toxicity(docs, toxicity.train(spark, sf_dir, docs), "_toxicity")
-    return scored.filter(F.col("_toxicity") < 0.5).select(*docs.columns)
+    return toxicity.keep_clean(docs, toxicity.train(spark, sf_dir, docs))
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

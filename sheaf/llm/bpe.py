@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sheaf.llm.words import map_texts
 
 #: Chunks in a generation of what a worker keeps encoded.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 80_000
 #: Byte positions of the trees that are worked on at once.
 TREE_CELLS = 1 << 15
 _NONE = np.int64(2**62)

@@ -27,7 +27,7 @@ from sheaf.llm.words import map_texts, mix, words_of
 
 BUCKETS, DIMS, PASSAGE = 1 << 18, 6, 8
 GRAMS = (3, 4, 5, 6)
-PER_CLASS, ROUNDS, STEPS, RATE = 1000, 5, 12, 0.02
+PER_CLASS, ROUNDS, STEPS, RATE = 800, 5, 12, 0.02
 
 
 @dataclass
@@ -200,10 +200,13 @@ def _fit(texts: list[str], labels: list[int], seed: int) -> tuple[np.ndarray, fl
     return value, float(bias[1] - bias[0])
 
 
+def _probabilities(texts: pa.Array, value: np.ndarray, bias: float) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(text_logits(bags(texts), value, bias), -60, 60)))
+
+
 def _scores(value: np.ndarray, bias: float):
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        score = 1 / (1 + np.exp(-np.clip(text_logits(bags(piece.column("text")), value, bias), -60, 60)))
-        return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(score)], ["doc_id", "score"])
+        return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(_probabilities(piece.column("text"), value, bias))], ["doc_id", "score"])
 
     return run
 
@@ -219,21 +222,13 @@ def score_toxicity(documents: DataFrame, model: tuple[np.ndarray, float]) -> Dat
     return map_texts(documents.select("doc_id", "text"), _scores(*model), "doc_id long, score double")
 
 
-def with_toxicity(documents: DataFrame, model: tuple[np.ndarray, float], into: str = "toxicity") -> DataFrame:
-    """The documents, all columns, with their score in a new column."""
-    value, bias = model
-
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
+def keep_clean(documents: DataFrame, model: tuple[np.ndarray, float], below: float = 0.5) -> DataFrame:
+    """The documents, all columns, that score less than ``below``."""
 
-        from sheaf.llm.words import slices
-
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string(), from_pandas=True)], ["text"])
-        parts = [text_logits(bags(piece.column(0)), value, bias) for piece in slices(batch)]
-        return pd.Series(1 / (1 + np.exp(-np.clip(np.concatenate(parts), -60, 60)))) if parts else pd.Series([], dtype=float)
+    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        return piece.filter(pa.array(_probabilities(piece.column("text"), *model) < below))
 
-    return documents.withColumn(into, score("text"))
+    return map_texts(documents, run, documents.schema)
 
 
 def held_out(doc_id: str, modulus: int, rest: int) -> Column:
