@@ -1,13 +1,16 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by the scorers.
+"""LM scoring: an interpolated modified Kneser-Ney model of order two or three, counted in Spark and memory-mapped by the scorers.
 
 1. Words.  Tasks count the lower-cased words of training texts by hash and ship sorted runs, dealt by hash range; a task
    for each range stores the sorted hashes and their counts.  A word's id is its place among all of them.
-2. Bigrams.  Training texts are read again as ids, with a start before the first word and an end after the last.  Tasks
-   ship sorted runs of pairs, dealt by the first word (by both words where the first is so frequent that one shard would
-   hold much of the corpus).  A task for each shard stores its pairs and counts, and passes on, by ranges of ids, how
-   many pairs follow and precede each word.
-3. Words' context counts are stored as arrays over ids, discounts come from the counts of counts.
-4. Scoring.  Every text is read; its distinct words and pairs are looked up in the sorted arrays.
+2. Trigrams (order three).  Training texts are read again as ids, with two starts before the first word and an end after
+   the last.  Tasks ship sorted runs of trigrams, dealt by the middle word (by the first two where the middle one is so
+   frequent that one shard would hold much of the corpus).  A task for each shard stores its trigrams and what follows
+   each pair, and passes on how many words precede each pair, which is what order three counts pairs by.
+3. Bigrams.  In order two tasks ship sorted runs of pairs and their numbers instead, with one start.  Either way pairs are
+   dealt by the first word (by both where the first is frequent).  A task for each shard stores its pairs and counts, and
+   passes on, by ranges of ids, how many pairs follow and precede each word.
+4. Words' context counts are stored as arrays over ids, discounts come from the counts of counts.
+5. Scoring.  Every text is read; its distinct words, pairs and trigrams are looked up in the sorted arrays.
 
 All arrays lie in the shared folder in files of bounded size; only their addresses and a few totals reach the driver, so
 memory follows neither the corpus nor the vocabulary.  Words are known by 64-bit hashes and pairs by two 32-bit ids, so
@@ -39,13 +42,89 @@ def is_held_out(doc_id: int | None, modulus: int = 7, rest: int = 2) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % modulus == rest
 
 
-def pack(ascending: np.ndarray) -> bytes:
-    """Differences of neighbours: shuffles compress these well."""
-    return np.diff(ascending, prepend=ascending.dtype.type(0)).tobytes()
+def squeeze(values: np.ndarray) -> bytes:
+    """The bytes of a 32- or 64-bit array, first bytes first, compressed; its length comes before."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T) if len(values) else b""
+    return len(values).to_bytes(8, "little") + pa.compress(pa.py_buffer(planes), "zstd", asbytes=True)
+
+
+def loosen(data: bytes, kind) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(pa.py_buffer(data)[8:], n * width, "zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Differences of neighbours, which are small in ascending runs; those that fall wrap around."""
+    return squeeze(np.diff(values, prepend=values.dtype.type(0)))
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, kind), dtype=kind)
+    return np.cumsum(loosen(data, kind), dtype=kind)
+
+
+def joined(column: pa.ChunkedArray, read, kind) -> np.ndarray:
+    return np.concatenate([read(x, kind) for x in column.to_pylist()])
+
+
+def level(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of an ascending array, and where each begins, then the length."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.append(first, len(keys)).astype(np.uint32)
+
+
+def bytewise(name: str, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts by one byte each; those of 255 or more stand apart."""
+    large = np.flatnonzero(counts >= 255)
+    return {name: np.minimum(counts, 255).astype(np.uint8), f"{name}_at": large.astype(np.uint32), f"{name}_of": counts[large].astype(np.uint64)}
+
+
+def counts_at(arrays: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    out = arrays[name][at].astype(np.int64)
+    large = np.flatnonzero(out == 255)
+    out[large] = arrays[f"{name}_of"][np.searchsorted(arrays[f"{name}_at"], at[large])]
+    return out
+
+
+def halves(name: str, ascending: np.ndarray) -> dict[str, np.ndarray]:
+    """Ascending 32-bit numbers by their lower halves, and where the upper half reaches 1, 2 and so on."""
+    upper = ascending >> np.uint32(16)
+    steps = np.searchsorted(upper, np.arange(1, int(upper[-1]) + 1, dtype=np.uint32))
+    return {name: (ascending & np.uint32(0xFFFF)).astype(np.uint16), f"{name}_at": steps.astype(np.uint32)}
+
+
+def whole(arrays: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    upper = np.searchsorted(arrays[f"{name}_at"], at.astype(np.uint32), "right").astype(np.int64)
+    return (upper << 16) | arrays[name][at].astype(np.int64)
+
+
+def within(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the wanted values among the ascending values[low:high] of each; -1 where there is none."""
+    at, end = low.astype(np.int64), high.astype(np.int64)
+    stop, last = end.copy(), max(len(values) - 1, 0)
+    while (more := at < end).any():
+        middle = (at + end) >> 1
+        less = more & (values[np.minimum(middle, last)] < wanted)
+        at, end = np.where(less, middle + 1, at), np.where(more & ~less, middle, end)
+    inside = at < stop
+    inside[inside] = values[at[inside]] == wanted[inside]
+    return np.where(inside, at, -1)
+
+
+def below(bounds: np.ndarray, values: np.ndarray, at: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the wanted values among those that belong to the keys at the given places; -1 where there is none."""
+    ok = np.flatnonzero(at >= 0)
+    out = np.full(len(at), -1, np.int64)
+    out[ok] = within(values, bounds[at[ok]], bounds[at[ok] + 1], wanted[ok].astype(values.dtype))
+    return out
+
+
+def place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the wanted values among ascending keys; -1 where there is none."""
+    at = np.minimum(np.searchsorted(keys, wanted.astype(keys.dtype)), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
 
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -85,8 +164,8 @@ def _ship_words(parts: int, held):
         keys, counts = np.unique(np.concatenate(gathered) if gathered else np.zeros(0, np.uint64), return_counts=True)
         part = _range(keys, parts)
         bounds = np.searchsorted(part, np.arange(parts + 1))
-        rows = [(int(p), pack(keys[bounds[p] : bounds[p + 1]]), smallest(counts[bounds[p] : bounds[p + 1]]).astype(np.uint32).tobytes(), 0, 0) for p in np.unique(part)]
-        yield _batch([*rows, (0, b"", b"", tokens, texts)], WORD_RUN)
+        rows = [(int(p), pack(keys[bounds[p] : bounds[p + 1]]), squeeze(counts[bounds[p] : bounds[p + 1]].astype(np.uint32)), 0, 0) for p in np.unique(part)]
+        yield _batch([*rows, (0, squeeze(keys[:0]), squeeze(keys[:0]), tokens, texts)], WORD_RUN)
 
     def run(batches):
         gathered, size, texts = [], 0, 0
@@ -106,9 +185,7 @@ def _ship_words(parts: int, held):
 def _store_words(folder: str):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         part = key[0].as_py()
-        keys = np.concatenate([unpack(x, np.uint64) for x in table["keys"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()])
-        keys, counts = summed(keys, counts)
+        keys, counts = summed(joined(table["keys"], unpack, np.uint64), joined(table["counts"], loosen, np.uint32))
         shared.save(folder, f"words-{part:06d}", {"keys": keys, "counts": smallest(counts)})
         return pa.table({"part": pa.array([part], pa.int32()), "size": pa.array([len(keys)], pa.int64()), "tokens": [sum(table["tokens"].to_pylist())], "texts": [sum(table["texts"].to_pylist())]})
 
@@ -150,7 +227,7 @@ class Vocabulary:
         part = _range(h, self.parts)
         bounds = np.searchsorted(part, np.arange(self.parts + 1))
         for p in np.flatnonzero((np.diff(bounds) > 0) & self.stored):
-            arrays, own = shared.load(f"{self.folder}/words-{p:06d}", 1024), h[bounds[p] : bounds[p + 1]]
+            arrays, own = shared.load(f"{self.folder}/words-{p:06d}", 4096), h[bounds[p] : bounds[p + 1]]
             if len(arrays["keys"]):
                 at = np.minimum(np.searchsorted(arrays["keys"], own), len(arrays["keys"]) - 1)
                 same = np.flatnonzero(arrays["keys"][at] == own)
@@ -159,7 +236,7 @@ class Vocabulary:
         return ids, counts
 
     def read(self, words):
-        """For a slice: the ids and counts of its tokens, ends included, the ids before them, and where each text starts."""
+        """For a slice: the ids and counts of its tokens, ends included, those before them, the ids two before, and where each text starts."""
         distinct, where = np.unique(words.hashes(), return_inverse=True)
         ids, counts = self.find(distinct)
         texts = len(words.counts)
@@ -169,7 +246,9 @@ class Vocabulary:
         first = words.first + np.arange(texts + 1)
         before, count_before = np.roll(token, 1), np.roll(count, 1)
         before[first[:-1]], count_before[first[:-1]] = self.start, self.texts
-        return token, count, before, count_before, first
+        earlier = np.roll(before, 1)
+        earlier[first[:-1]] = self.start
+        return token, count, before, count_before, earlier, first
 
 
 def shard_of(before: np.ndarray, token: np.ndarray, frequent: np.ndarray, shards: int) -> np.ndarray:
@@ -194,13 +273,13 @@ def _ship_pairs(vocabulary: Vocabulary, shards: int, held):
         rows = []
         for p in np.flatnonzero(np.diff(bounds)):
             at = order[bounds[p] : bounds[p + 1]]
-            rows.append((int(p), pack(before[at].astype(np.uint32)), token[at].astype(np.uint32).tobytes(), counts[at].astype(np.uint32).tobytes()))
+            rows.append((int(p), pack(before[at].astype(np.uint32)), pack(token[at].astype(np.uint32)), squeeze(counts[at].astype(np.uint32))))
         yield _batch(rows, PAIR_RUN)
 
     def run(batches):
         gathered, size = [], 0
         for words in _training(batches, held):
-            token, _, before, count_before, _ = vocabulary.read(words)
+            token, _, before, count_before, _, _ = vocabulary.read(words)
             gathered.append(((before.astype(np.uint64) << np.uint64(32)) | token.astype(np.uint64), np.unique(before[count_before > limit]).astype(np.uint64)))
             size += len(token)
             if size >= RUN:
@@ -212,6 +291,76 @@ def _ship_pairs(vocabulary: Vocabulary, shards: int, held):
     return run
 
 
+TRIPLE_RUN = {"part": pa.int32(), "middle": pa.binary(), "first": pa.binary(), "follow": pa.binary(), "token": pa.binary(), "counts": pa.binary(), "hot": pa.binary()}
+LOW = np.uint64(2**32 - 1)
+
+
+def _ship_triples(vocabulary: Vocabulary, shards: int, held):
+    limit = max(1, vocabulary.tokens // (8 * shards))
+
+    def flush(gathered):
+        contexts, which = np.unique(np.concatenate([c for c, _, _ in gathered]), return_inverse=True)
+        keys, counts = np.unique((which.astype(np.uint64) << np.uint64(32)) | np.concatenate([t for _, t, _ in gathered]), return_counts=True)
+        hot = np.unique(np.concatenate([h for _, _, h in gathered]))
+        middle, first = contexts >> np.uint64(32), contexts & LOW
+        shard = shard_of(middle, first, np.isin(middle, hot), shards)[(keys >> np.uint64(32)).astype(np.int64)]
+        order = np.argsort(shard, kind="stable")
+        bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+        rows = []
+        for p in np.flatnonzero(np.diff(bounds)):
+            at = order[bounds[p] : bounds[p + 1]]
+            own, starts = level((keys[at] >> np.uint64(32)).astype(np.int64))
+            m = middle[own]
+            rows.append((int(p), pack(m.astype(np.uint32)), pack(first[own].astype(np.uint32)), squeeze(np.diff(starts)), squeeze((keys[at] & LOW).astype(np.uint32)), squeeze(counts[at].astype(np.uint32)), squeeze(np.intersect1d(m, hot))))
+        yield _batch(rows, TRIPLE_RUN)
+
+    def run(batches):
+        gathered, size = [], 0
+        for words in _training(batches, held):
+            token, _, before, count_before, earlier, _ = vocabulary.read(words)
+            gathered.append(((before.astype(np.uint64) << np.uint64(32)) | earlier.astype(np.uint64), token.astype(np.uint32), np.unique(before[count_before > limit]).astype(np.uint64)))
+            size += len(token)
+            if size >= RUN:
+                yield from flush(gathered)
+                gathered, size = [], 0
+        if size:
+            yield from flush(gathered)
+
+    return run
+
+
+def _store_triples(folder: str, shards: int):
+    """Stores a shard of trigrams and what follows their pairs; passes on, as runs of pairs, how many words precede each pair."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        follow = joined(table["follow"], loosen, np.uint32)
+        contexts = (joined(table["middle"], unpack, np.uint32).astype(np.uint64) << np.uint64(32)) | joined(table["first"], unpack, np.uint32)
+        contexts, which = np.unique(contexts, return_inverse=True)
+        keys = (np.repeat(which.astype(np.uint64), follow) << np.uint64(32)) | joined(table["token"], loosen, np.uint32)
+        keys, counts = summed(keys, joined(table["counts"], loosen, np.uint32))
+        which, token = (keys >> np.uint64(32)).astype(np.int64), keys & LOW
+        _, inner = level(which)
+        middles, outer = level((contexts >> np.uint64(32)).astype(np.uint32))
+        total = lambda x: np.add.reduceat(x.astype(np.int64), inner[:-1])
+        arrays = {"keys": middles, "outer": outer, "firsts": (contexts & LOW).astype(np.uint32), "tokens": token.astype(np.uint32)} | halves("inner", inner)
+        arrays |= bytewise("counts", counts) | bytewise("all", total(counts)) | bytewise("one", total(counts == 1)) | bytewise("two", total(counts == 2))
+        part = key[0].as_py()
+        shared.save(folder, f"triples-{part:06d}", arrays)
+        shared.save(folder, f"triples-{part:06d}-of-counts", {"n": counts_of_counts(counts)})
+        pairs, kinds = np.unique((contexts >> np.uint64(32) << np.uint64(32))[which] | token, return_counts=True)
+        before, token = pairs >> np.uint64(32), pairs & LOW
+        shard = shard_of(before, token, np.isin(before, joined(table["hot"], loosen, np.uint64)), shards)
+        order = np.argsort(shard, kind="stable")
+        bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+        rows = []
+        for p in np.flatnonzero(np.diff(bounds)):
+            at = order[bounds[p] : bounds[p + 1]]
+            rows.append((int(p), pack(before[at].astype(np.uint32)), pack(token[at].astype(np.uint32)), squeeze(kinds[at].astype(np.uint32))))
+        return pa.Table.from_batches([_batch(rows, PAIR_RUN)])
+
+    return run
+
+
 CONTEXT = {"part": pa.int32(), "kind": pa.string(), "ids": pa.binary(), "values": pa.binary()}
 
 
@@ -227,16 +376,15 @@ def _store_pairs(folder: str, parts: int, total: int):
         bounds = np.searchsorted(part, np.arange(parts + 1))
         for p in np.unique(part):
             a, b = bounds[p], bounds[p + 1]
-            yield int(p), kind, pack(ids[a:b].astype(np.uint32)), np.concatenate([v[a:b].astype(np.uint32) for v in values]).tobytes()
+            yield int(p), kind, pack(ids[a:b].astype(np.uint32)), squeeze(np.concatenate([v[a:b].astype(np.uint32) for v in values]))
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        before = np.concatenate([unpack(x, np.uint32) for x in table["before"].to_pylist()]).astype(np.uint64)
-        token = np.concatenate([np.frombuffer(x, np.uint32) for x in table["token"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()])
-        keys, counts = summed((before << np.uint64(32)) | token, counts)
-        shared.save(folder, f"pairs-{key[0].as_py():06d}", {"keys": keys, "counts": smallest(counts)})
+        before = joined(table["before"], unpack, np.uint32).astype(np.uint64)
+        keys, counts = summed((before << np.uint64(32)) | joined(table["token"], unpack, np.uint32), joined(table["counts"], loosen, np.uint32))
+        firsts, outer = level((keys >> np.uint64(32)).astype(np.uint32))
+        shared.save(folder, f"pairs-{key[0].as_py():06d}", {"keys": firsts, "outer": outer, "tokens": (keys & LOW).astype(np.uint32)} | bytewise("counts", counts))
         before, token = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(2**32 - 1)).astype(np.int64)
-        rows = [(-1, "of counts", b"", counts_of_counts(counts).tobytes())]
+        rows = [(-1, "of counts", b"", squeeze(counts_of_counts(counts)))]
         rows += by_range("follow", *summed(before, counts, counts == 1, counts == 2, counts >= 3))
         rows += by_range("precede", *summed(token, np.ones(len(token), np.int64)))
         return pa.Table.from_batches([_batch(rows, CONTEXT)])
@@ -248,14 +396,14 @@ def _store_contexts(folder: str, parts: int, total: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         part = key[0].as_py()
         if part < 0:
-            stats = np.sum([np.frombuffer(x, np.int64) for x in table["values"].to_pylist()], axis=0)
+            stats = np.sum([loosen(x, np.int64) for x in table["values"].to_pylist()], axis=0)
             return pa.table({"part": pa.array([part], pa.int32()), "stats": pa.array([stats.tolist()], pa.list_(pa.int64()))})
         low, high = -(-part * total // parts), -(-(part + 1) * total // parts)
         arrays = {k: np.zeros(high - low, np.int64) for k in ("all", "one", "two", "more", "precede")}
         for kind, ids, values in zip(*(table[c].to_pylist() for c in ("kind", "ids", "values")), strict=True):
             at = unpack(ids, np.uint32).astype(np.int64) - low
             names = ("all", "one", "two", "more") if kind == "follow" else ("precede",)
-            for name, v in zip(names, np.frombuffer(values, np.uint32).reshape(len(names), -1), strict=True):
+            for name, v in zip(names, loosen(values, np.uint32).reshape(len(names), -1), strict=True):
                 arrays[name][at] += v
         shared.save(folder, f"contexts-{part:06d}", {k: smallest(v) for k, v in arrays.items()})
         stats = [*counts_of_counts(arrays["precede"]).tolist(), int(arrays["precede"].sum())]
@@ -285,6 +433,8 @@ class Model:
     cut1: np.ndarray
     kinds: int  # distinct pairs
     rest1: float  # the share that single words leave to the uniform distribution
+    has_triples: np.ndarray | None = None  # None: a model of order two
+    cut3: np.ndarray | None = None
 
     def context(self, ids: np.ndarray) -> dict[str, np.ndarray]:
         """Context counts of ids; zero for unknown ones."""
@@ -294,7 +444,7 @@ class Model:
         order = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(self.parts + 1))
         for p in np.flatnonzero((np.diff(bounds) > 0) & self.has_contexts):
-            arrays, at = shared.load(f"{self.folder}/contexts-{p:06d}", 1024), order[bounds[p] : bounds[p + 1]]
+            arrays, at = shared.load(f"{self.folder}/contexts-{p:06d}", 4096), order[bounds[p] : bounds[p + 1]]
             local = ids[at] - -(-p * total // self.parts)
             for k in out:
                 out[k][at] = arrays[k][local]
@@ -306,13 +456,29 @@ class Model:
         shard = np.where((before < 0) | (token < 0), -1, shard_of(before, token, frequent, self.shards))
         order = np.argsort(shard, kind="stable")
         bounds = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        keys = (before.astype(np.uint64) << np.uint64(32)) | token.astype(np.uint64)
         for p in np.flatnonzero((np.diff(bounds) > 0) & self.has_pairs):
-            arrays, at = shared.load(f"{self.folder}/pairs-{p:06d}", 1024), order[bounds[p] : bounds[p + 1]]
-            slot = np.minimum(np.searchsorted(arrays["keys"], keys[at]), len(arrays["keys"]) - 1)
-            out[at] = np.where(arrays["keys"][slot] == keys[at], arrays["counts"][slot], 0)
+            arrays, at = shared.load(f"{self.folder}/pairs-{p:06d}", 4096), order[bounds[p] : bounds[p + 1]]
+            slot = below(arrays["outer"], arrays["tokens"], place(arrays["keys"], before[at]), token[at])
+            out[at[slot >= 0]] = counts_at(arrays, "counts", slot[slot >= 0])
         return out
 
+    def triples(self, earlier: np.ndarray, before: np.ndarray, token: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Counts of distinct triples of ids, and of all tokens and those seen once, twice and more after their first two."""
+        counts, seen, one, two, more = (np.zeros(len(before), np.int64) for _ in range(5))
+        shard = np.where((earlier < 0) | (before < 0), -1, shard_of(before, earlier, frequent, self.shards))
+        order = np.argsort(shard, kind="stable")
+        bounds = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        for p in np.flatnonzero((np.diff(bounds) > 0) & self.has_triples):
+            arrays, at = shared.load(f"{self.folder}/triples-{p:06d}", 4096), order[bounds[p] : bounds[p + 1]]
+            slot = below(arrays["outer"], arrays["firsts"], place(arrays["keys"], before[at]), earlier[at])
+            at, slot = at[slot >= 0], slot[slot >= 0]
+            seen[at], one[at], two[at] = (counts_at(arrays, k, slot) for k in ("all", "one", "two"))
+            start, stop = whole(arrays, "inner", slot), whole(arrays, "inner", slot + 1)
+            more[at] = stop - start - one[at] - two[at]
+            slot = np.where(token[at] < 0, -1, within(arrays["tokens"], start, stop, np.maximum(token[at], 0).astype(np.uint32)))
+            counts[at[slot >= 0]] = counts_at(arrays, "counts", slot[slot >= 0])
+        return counts, seen, one, two, more
+
     def single(self, precede: np.ndarray) -> np.ndarray:
         """The lower-order share of tokens, by how many kinds of token precede them."""
         uniform = 1 / (self.vocabulary.types + 1)
@@ -321,8 +487,27 @@ class Model:
         cut = np.concatenate([[0.0], self.cut1])[np.minimum(precede, 3)]
         return np.maximum(precede - cut, 0) / self.kinds + self.rest1 * uniform
 
-    def log10(self, token: np.ndarray, before: np.ndarray, count_before: np.ndarray) -> np.ndarray:
-        """log10 of the model's share of each token after the one before it."""
+    def log10(self, token: np.ndarray, before: np.ndarray, count_before: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        """log10 of the model's share of each token after the one before it, in order three after the two before it."""
+        share = self.after_one(token, before, count_before)
+        if self.has_triples is None:
+            return np.log10(share)
+        contexts = ((before + 1).astype(np.uint64) << np.uint64(32)) | (earlier + 1).astype(np.uint64)
+        which = np.unique(contexts, return_inverse=True)[1].astype(np.uint64)
+        _, first, where = np.unique((which << np.uint64(32)) | (token + 1).astype(np.uint64), return_index=True, return_inverse=True)
+        limit = max(1, self.vocabulary.tokens // (8 * self.shards))
+        counts, seen, *kinds = self.triples(earlier[first], before[first], token[first], count_before[first] > limit)
+        return np.log10(self.mixed(counts, seen, kinds, self.cut3, share[first]))[where]
+
+    @staticmethod
+    def mixed(counts: np.ndarray, seen: np.ndarray, kinds: list[np.ndarray], cuts: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Shares of tokens after contexts seen so often: what their counts keep, and what these leave dealt by the lower order."""
+        cut = np.concatenate([[0.0], cuts])[np.minimum(counts, 3)]
+        left = (cuts[0] * kinds[0] + cuts[1] * kinds[1] + cuts[2] * kinds[2]) / np.maximum(seen, 1)
+        return np.where(seen > 0, np.maximum(counts - cut, 0) / np.maximum(seen, 1) + left * low, low)
+
+    def after_one(self, token: np.ndarray, before: np.ndarray, count_before: np.ndarray) -> np.ndarray:
+        """The share of each token after the one before it."""
         keys = ((before + 1).astype(np.uint64) << np.uint64(32)) | (token + 1).astype(np.uint64)
         keys, first, where = np.unique(keys, return_index=True, return_inverse=True)
         token, before, count_before = token[first], before[first], count_before[first]
@@ -332,16 +517,13 @@ class Model:
         of = {k: context[k][place[len(token) :]] for k in ("all", "one", "two", "more")}
         limit = max(1, self.vocabulary.tokens // (8 * self.shards))
         counts = self.pairs(before, token, count_before > limit)
-        low = self.single(precede)
-        cut = np.concatenate([[0.0], self.cut2])[np.minimum(counts, 3)]
-        seen = np.maximum(of["all"], 1)
-        left = (self.cut2[0] * of["one"] + self.cut2[1] * of["two"] + self.cut2[2] * of["more"]) / seen
-        share = np.where(of["all"] > 0, np.maximum(counts - cut, 0) / seen + left * low, low)
-        return np.log10(share)[where]
+        return self.mixed(counts, of["all"], [of["one"], of["two"], of["more"]], self.cut2, self.single(precede))[where]
 
 
-def train(documents: DataFrame, held=is_held_out) -> Model:
-    """The model of the texts of which ``held(doc_id)`` is false."""
+def train(documents: DataFrame, held=is_held_out, order: int = 2) -> Model:
+    """The model, of order two or three, of the texts of which ``held(doc_id)`` is false."""
+    if order not in (2, 3):
+        raise ValueError("the order is two or three")
     spark = documents.sparkSession
     folder = shared.folder(spark, "language-model")
     texts = documents.select("doc_id", "text")
@@ -357,7 +539,11 @@ def train(documents: DataFrame, held=is_held_out) -> Model:
     if vocabulary.size > 2**32 - 4:
         raise ValueError("more than 2**32 distinct words")
     total = vocabulary.size + 2
-    pairs = texts.mapInArrow(_ship_pairs(vocabulary, parts, held), schema(PAIR_RUN))
+    if order == 3:
+        triples = texts.mapInArrow(_ship_triples(vocabulary, parts, held), schema(TRIPLE_RUN))
+        pairs = triples.groupBy("part").applyInArrow(_store_triples(folder, parts), schema(PAIR_RUN))
+    else:
+        pairs = texts.mapInArrow(_ship_pairs(vocabulary, parts, held), schema(PAIR_RUN))
     contexts = pairs.groupBy("part").applyInArrow(_store_pairs(folder, parts, total), schema(CONTEXT))
     rows = contexts.groupBy("part").applyInArrow(_store_contexts(folder, parts, total), "part int, stats array<bigint>").collect()
     has_contexts, n2, n1, kinds = np.zeros(parts, bool), np.zeros(5, np.int64), np.zeros(5, np.int64), 0
@@ -369,11 +555,15 @@ def train(documents: DataFrame, held=is_held_out) -> Model:
             n1, kinds = n1 + np.array(r["stats"][:5]), kinds + r["stats"][5]
     cut1 = discounts(n1)
     rest1 = float(cut1 @ [n1[0], n1[1], n1[4]]) / max(1, kinds)
-    return Model(vocabulary, folder, parts, _present(folder, parts, vocabulary), parts, has_contexts, discounts(n2), cut1, kinds, rest1)
+    model = Model(vocabulary, folder, parts, _present(folder, "pairs", parts), parts, has_contexts, discounts(n2), cut1, kinds, rest1)
+    if order == 3:
+        model.has_triples = _present(folder, "triples", parts)
+        model.cut3 = discounts(sum((shared.load(f"{folder}/triples-{p:06d}-of-counts")["n"] for p in np.flatnonzero(model.has_triples)), np.zeros(5, np.int64)))
+    return model
 
 
-def _present(folder: str, shards: int, vocabulary: Vocabulary) -> np.ndarray:
-    return np.array([shared.exists(f"{folder}/pairs-{p:06d}") for p in range(shards)])
+def _present(folder: str, what: str, shards: int) -> np.ndarray:
+    return np.array([shared.exists(f"{folder}/{what}-{p:06d}") for p in range(shards)])
 
 
 def _scores(model: Model, held):
@@ -381,9 +571,9 @@ def _scores(model: Model, held):
         v = model.vocabulary
         for batch in batches:
             for piece in slices(batch):
-                token, count, before, count_before, first = v.read(words_of(piece.column("text"), lower=True))
+                token, count, before, count_before, earlier, first = v.read(words_of(piece.column("text"), lower=True))
                 base = np.log10((count + 1) / (v.tokens + v.types + 1))
-                score = model.log10(token, before, count_before)
+                score = model.log10(token, before, count_before, earlier)
                 rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 add = lambda x: np.bincount(rows, x, len(first) - 1)
                 yield pa.RecordBatch.from_arrays(
@@ -411,4 +601,4 @@ def score(documents: DataFrame, model: Model, held=is_held_out) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(documents, train(documents))
+    return score(documents, train(documents, order=3))

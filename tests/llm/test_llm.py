@@ -157,6 +157,41 @@ def test_language_model(documents):
         assert math.isclose(r.base_score, base, abs_tol=1e-6) and math.isclose(r.score, score, abs_tol=1e-6)
 
 
+def test_language_model_of_order_three(spark, documents, tmp_path):
+    words = [(i, WORD.findall(low(t)) + ["</s>"]) for i, t in TEXTS]
+    train = [w for i, w in words if not language_model.is_held_out(i)]
+    triples = lambda w: zip(["<s>", "<s>", *w], ["<s>", *w], w)
+    tri = collections.Counter(p for w in train for p in triples(w))
+    bi = collections.Counter(p[1:] for p in tri)
+    uni = collections.Counter(p[1] for p in bi)
+    v = len({x for w in train for x in w})
+    count = lambda c: np.array([sum(x == k for x in c) for k in (1, 2, 3, 4)] + [sum(x >= 3 for x in c)])
+    d3, d2, d1 = (language_model.discounts(count(c.values())) for c in (tri, bi, uni))
+    n1 = count(uni.values())
+    after2, after1 = collections.defaultdict(list), collections.defaultdict(list)
+    for p, c in tri.items():
+        after2[p[:2]].append(c)
+    for p, c in bi.items():
+        after1[p[0]].append(c)
+    p1 = lambda w: max(uni[w] - [0, *d1][min(uni[w], 3)], 0) / len(bi) + d1 @ [n1[0], n1[1], n1[4]] / len(bi) / (v + 1)
+
+    def mixed(c, d, after, lower):
+        return (max(c - [0, *d][min(c, 3)], 0) + sum(d[min(x, 3) - 1] for x in after) * lower) / sum(after) if after else lower
+
+    p2 = lambda a, w: mixed(bi[a, w], d2, after1.get(a), p1(w))
+    p3 = lambda a, b, w: mixed(tri[a, b, w], d3, after2.get((a, b)), p2(b, w))
+    assert math.isclose(sum(p3("<s>", "<s>", w) for w in [*uni, "unseen"]), 1)
+    got = collections.defaultdict(list)
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    for r in language_model.op4_lm_scoring(spark, str(tmp_path)).collect():
+        got[r.doc_id].append(r)
+    for i, w in words:
+        r = got[i].pop() if i is not None else got[None][0]
+        assert math.isclose(r.score, sum(math.log10(p3(*p)) for p in triples(w)), abs_tol=1e-6)
+    none = documents.limit(0)
+    assert language_model.score(none, language_model.train(none, order=3)).count() == 0
+
+
 def test_substring_dedup(documents):
     words = [(i, WORD.findall(t)) for i, t in TEXTS]
     seen = collections.Counter(tuple(w[k : k + 35]) for _, w in words for k in range(len(w) - 34))
