@@ -25,18 +25,22 @@ from pyspark.sql import DataFrame, SparkSession
 from sheaf.llm.blocks_labelled import TABLE
 from sheaf.llm.words import map_texts
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|title|head(?=[\s>]))\b[^>]*>.*?(?:</\1\s*>|\Z)"""
-    r"""|<(/?)([a-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""",
-    re.I | re.S,
-)
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+_BLOCKS = "|".join(sorted(BLOCK))
+# a head or svg without its end runs no further than the first block, a self-closing svg no further than its tag
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
+    rf"""|<(?P<head>head)(?=[\s>])[^>]*>(?:(?>[^<]+|<!--.*?-->|<(?P<inner>script|style|noscript|template|title)\b[^>]*>.*?</(?P=inner)\s*>|<(?!/head\s*>|(?:{_BLOCKS})[\s/>])))*+</head\s*>"""
+    rf"""|<(?P<svg>svg)\b(?:[^>]*/>|[^>]*>(?:(?>[^<]+|<!--.*?-->|<(?P<held>script|style|title|foreignobject)\b[^>]*>.*?</(?P=held)\s*>|<(?!/svg\s*>|/?(?:{_BLOCKS})[\s/>])))*+(?:</svg\s*>)?)"""
+    r"""|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<attributes>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<close2>/?)(?P<tag2>[a-z][^\s/>]*)(?P<attributes2>[^>]*)>|<[!?/][^>]*>""",
+    re.I | re.S,
+)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = set("nav footer aside form header menu dialog button fieldset search".split())
-ARTICLE = set("article main".split())
+LOOSE = set("form fieldset".split())
 ASIDE_WORDS = set(
     "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies copyright disclaimer discussion "
     "disqus footer form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted "
@@ -55,25 +59,59 @@ class Block:
     zone: int  # 1: in an article, -1: in something beside it, 0: neither
 
 
-def _zone(tag: str, attributes: str, around: int) -> int:
-    """The zone of an element inside a zone."""
-    if around < 0 or tag in ASIDE and not (tag == "header" and around > 0):
-        return -1
-    if tag in ARTICLE:
-        return 1
-    if attributes and tag not in ("html", "body"):
+@dataclass
+class Place:
+    """Where an element lies: its zone, the outermost element around it that only its name or a form sets aside, and whether a tag does."""
+
+    zone: int = 0
+    outer: int = -1
+    firm: bool = False
+
+
+def _place(tag: str, attributes: str, around: Place, at: int, passed: set[int]) -> Place:
+    """The place of the element that begins at a character of the page; elements in ``passed`` set nothing aside."""
+    if tag in ASIDE and tag not in LOOSE and not (tag == "header" and around.zone > 0):
+        return Place(-1, around.outer, True)
+    if around.firm:
+        return around
+    names = set()
+    if attributes and tag not in ("html", "head", "body"):
         names = {p.lower() for m in _NAMES.findall(attributes) for p in _PARTS.findall("".join(m))}
-        if names & ASIDE_WORDS:
-            return -1
-        if names & ARTICLE_WORDS:
-            return 1
-    return around
+    if tag == "main" or tag == "article" and around.zone >= 0:
+        return Place(1, around.outer)
+    if tag == "article" and not names & ASIDE_WORDS:
+        return Place(0, around.outer)  # inside something set aside by its name only: the tree decides
+    if around.zone < 0:
+        return around
+    if (tag in LOOSE or names & ASIDE_WORDS) and at not in passed:
+        return Place(-1, at if around.outer < 0 else around.outer)
+    return Place(1, around.outer) if names & ARTICLE_WORDS else around
 
 
 def blocks(page: str) -> list[Block]:
+    """The blocks of a page.
+
+    What is set aside by its name only, or as a form, but holds more than half of the words outside links, with no article
+    outside it, is a wrapper of the page and passed over.
+    """
+    passed: set[int] = set()
+    while True:
+        found, outer = _blocks(page, passed)
+        free = [b.words * (1 - b.link) for b in found]
+        inside: dict[int, float] = {}
+        for n, o in zip(free, outer, strict=True):
+            inside[o] = inside.get(o, 0.0) + n
+        most = max((o for o in inside if o >= 0), key=lambda o: inside[o], default=-1)
+        if most < 0 or 2 * inside[most] <= sum(free) or any(b.zone > 0 and o != most for b, o in zip(found, outer, strict=True)):
+            return found
+        passed.add(most)
+
+
+def _blocks(page: str, passed: set[int]) -> tuple[list[Block], list[int]]:
     found: list[Block] = []
-    open_: list[tuple[str, int]] = []
-    zone, links, parts = 0, 0, []
+    outer: list[int] = []
+    open_: list[tuple[str, Place]] = []
+    here, links, parts = Place(), 0, []
 
     def text(a: int, b: int) -> None:
         if a < b:
@@ -85,14 +123,15 @@ def blocks(page: str) -> list[Block]:
         words = html.unescape("".join([t for t, _ in parts])).split()
         if words:
             linked = sum(len(html.unescape(t).split()) for t, inside in parts if inside)
-            found.append(Block(" ".join(words), len(words), min(1.0, linked / len(words)), zone))
+            found.append(Block(" ".join(words), len(words), min(1.0, linked / len(words)), here.zone))
+            outer.append(here.outer)
         parts.clear()
 
     at = 0
     for m in _TOKEN.finditer(page):
         text(at, m.start())
         at = m.end()
-        raw, closing, tag, attributes = m[1], m[2] or m[5], m[3] or m[6], m[4] or m[7]
+        raw, closing, tag, attributes = m[1] or m["head"] or m["svg"], m["close"] or m["close2"], m["tag"] or m["tag2"], m["attributes"] or m["attributes2"]
         if tag is None:
             if raw and raw.lower() not in ("noscript", "template", "svg"):
                 flush()
@@ -110,19 +149,19 @@ def blocks(page: str) -> list[Block]:
                 if open_[k][0] == tag:
                     links -= sum(t == "a" for t, _ in open_[k:])
                     del open_[k:]
-                    zone = open_[-1][1] if open_ else 0
+                    here = open_[-1][1] if open_ else Place()
                     break
         elif tag not in VOID:
             if tag in ("p", "li", "td", "tr", "dd", "dt", "option") and open_ and open_[-1][0] == tag:  # closed by the next
                 open_.pop()
-                zone = open_[-1][1] if open_ else 0
+                here = open_[-1][1] if open_ else Place()
             if tag == "a":
                 links += 1
-            zone = _zone(tag, attributes, zone)
-            open_.append((tag, zone))
+            here = _place(tag, attributes, here, m.start(), passed)
+            open_.append((tag, here))
     text(at, len(page))
     flush()
-    return found
+    return found, outer
 
 
 FEATURES = ("zone", "words", "link", "words_before", "link_before", "words_after", "link_after")

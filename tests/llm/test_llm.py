@@ -226,6 +226,27 @@ def test_html_extraction(spark):
     assert html_main.extract_pages(frame.limit(0)).count() == 0
 
 
+def test_html_extraction_keeps_whole_articles():
+    words = "word " * 39 + "word"
+    body = f"<h1>A title</h1><p>{words}</p><p>{words} again</p>"
+    text = html_main.main_text
+    want = f"A title\n{words}\n{words} again"
+    assert text(f"<html><head><title>no</title><script>'<p>no'</script><body><article>{body}</article>") == want
+    assert text(f"<head><meta charset=utf-8><title>no</title><article>{body}</article>") == want
+    assert text(f"<head><title>no</title><style>no</style></head><article>{body}</article>") == want
+    assert text(f"<head><title>no</head><article>{body}</article>") == want
+    assert text(f"<article><svg class=x/>{body}<svg><text>no</text></svg></article>") == want
+    assert text(f"<article><svg><path>{body}</article>") == want
+    for wrapper in ("div class='has-sidebar'", "div class='with-header'", "div class=page-header-fixed", "form id=aspnetForm"):
+        end = wrapper.split()[0]
+        nav = "<nav><a href=x>Home</a></nav>"
+        assert text(f"<{wrapper}>{nav}<article>{body}</article><div class=comments><p>I liked it</p></div></{end}>") == want
+        assert text(f"<{wrapper}>{nav}<main>{body}</main></{end}>") == want
+        assert words in text(f"<{wrapper}>{nav}<div>{body}</div></{end}>")
+    comments = f"<section id=comments><article class=comment><p>{words} comment</p></article></section>"
+    assert text(f"<article>{body}</article>{comments * 9}") == want
+
+
 def labelled(bad, seed, n=160):
     rng = random.Random(seed)
     clean = lambda: [rng.choice(["sun", "moon", "river", "stone", "green"]) + str(rng.randrange(99)) for _ in range(rng.randrange(5, 80))]
