@@ -46,3 +46,31 @@ SELECTIONS = ['{"evidence_ids": ["E1", "E2"]}', '{"evidence_ids": ["E1"]}', '{"e
 
 def selections(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s, ["E1", "E2"], True) for s in SELECTIONS], "raw string, ids array<string>, spans_valid boolean")
+
+
+#: (family, outline, code): glyphs of fonts as their files map them; outlines by name, but for verified ones.
+GLYPHS = [
+    ("THSarabunNew", "o1", 0x0E01),
+    ("THSarabunNew", "o1", 0xE001),
+    ("THSarabunNew", "o2", 0x0E02),
+    ("THSarabunNew", "o2", 0x0E03),
+    ("THSarabunNew", "o2", 0xE002),
+    ("THSarabunNew", "0fa641fde2abff437f3b6b436c4b98f853be57ab1c7cd62183a27b98e39458b7", 0xE003),
+    ("THSarabunPSK", "12945c6f46081a276f80c6ae37c292edaa2c14e60820555a62a4f6e3f453cf73", 0xE001),
+    ("THSarabunPSK", "o3", 0xE004),
+    ("Wingdings", "o1", 0x0E01),
+    ("Wingdings", "o1", 0xE001),
+]
+#: (id, family, text): text with private characters from those fonts.
+GLYPH_TEXTS = [
+    (1, "THSarabunNew", "x\ue001\ue002\ue003 2566"),
+    (2, "THSarabunPSK", "\ue001 \ue004"),
+    (3, "Wingdings", "\ue001"),
+    (4, None, "\ue001"),
+    (5, "THSarabunNew", None),
+    (6, "THSarabunNew", ""),
+]
+
+
+def glyphs(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return spark.createDataFrame(GLYPHS, "family string, outline string, code int"), spark.createDataFrame(GLYPH_TEXTS, "id long, family string, text string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from sheaf.functions import rules
 from sheaf.functions.text import OPEN_WORD, STRICT_WORD
 from sheaf.plans import fixtures
+from sheaf.sources import glyphs
 
 
 def lit(value: str) -> str:
@@ -36,6 +37,12 @@ def strict_terms(text: str) -> str:
     return f"list_filter(regexp_extract_all({normal(text)}, '{STRICT_WORD}'), lambda t: NOT list_contains({array(rules.ENGLISH_STOP_WORDS)}, t))"
 
 
+def values(rows: list[tuple], names: str) -> str:
+    """Rows of numbers, strings and nulls as a table."""
+    cell = lambda v: "NULL" if v is None else lit(v) if isinstance(v, str) else str(v)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS t({names})"
+
+
 def cte(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
@@ -187,6 +194,16 @@ ORACLES: dict[str, str] = {
     + "SELECT CASE WHEN regexp_matches(text, '[぀-ヿ]') THEN 'ja' WHEN regexp_matches(text, '[가-힯]') THEN 'ko' WHEN regexp_matches(text, '[㐀-鿿]') THEN 'zh' "
     "WHEN regexp_matches(text, '[฀-๿]') THEN 'th' WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'th' END AS language, count(*) AS n FROM e GROUP BY 1",
     "html_text": f"SELECT page_id, md5({HTML}) AS digest, regexp_extract(html, '(?is)<title>([^<]*)</title>', 1) AS title FROM pages",
+    "glyph_repair": cte(
+        f"g AS (SELECT * FROM {values(fixtures.GLYPHS, 'family, outline, code')} WHERE starts_with(family, {lit(glyphs.FAMILY)}))",
+        f"v AS (SELECT * FROM {values(list(glyphs.VERIFIED.items()), 'outline, target')})",
+        "x AS (SELECT family, outline, code AS target FROM g WHERE code BETWEEN 3585 AND 3662 UNION ALL SELECT family, outline, target FROM g JOIN v USING (outline) WHERE code BETWEEN 57344 AND 63743)",
+        "o AS (SELECT family, outline, min(target) AS target FROM x GROUP BY ALL HAVING count(DISTINCT target) = 1)",
+        "m AS (SELECT family, code, min(target) AS target FROM g JOIN o USING (family, outline) WHERE code BETWEEN 57344 AND 63743 GROUP BY ALL HAVING count(DISTINCT target) = 1)",
+        "p AS (SELECT family, string_agg(chr(code), '' ORDER BY code) AS a, string_agg(chr(target), '' ORDER BY code) AS b FROM m GROUP BY family)",
+        f"t AS (SELECT * FROM {values(fixtures.GLYPH_TEXTS, 'id, family, text')})",
+    )
+    + "SELECT id::BIGINT AS id, family, coalesce(translate(text, a, b), text) AS text FROM t LEFT JOIN p USING (family)",
     "url_predicate": "SELECT regexp_extract(url, '^https?://([^/ ]+)', 1) AS host, count(*) AS n FROM pages WHERE regexp_matches(url, '^https?://[^/ ]+') GROUP BY 1",
     "question_types": "SELECT conv_id, turn, CASE " + " ".join(f"WHEN {any_of('lower(text)', terms)} THEN '{name}'" for name, terms in rules.QUESTION_TYPES) + " ELSE 'general' END AS kind FROM conversations WHERE role = 'user'",
     "query_signals": f"SELECT conv_id, turn, array_to_string(list_filter({tokens('text')}, lambda t: NOT list_contains({array(rules.OPEN_STOP_WORDS)}, t)), '|') AS keywords, array_to_string(regexp_extract_all(text, {lit(rules.NUMBER)}), '|') AS numbers "

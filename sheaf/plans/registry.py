@@ -16,6 +16,7 @@ from sheaf.plans import fixtures
 from sheaf.plans.profiles import Open, Strict
 from sheaf.plans.storage import shared_folder
 from sheaf.sources import files
+from sheaf.sources import glyphs as repair_of
 from sheaf.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,6 +230,13 @@ def url_predicate(spark, sf_dir):
     return table(spark, sf_dir, "pages").filter(files.is_url(F.col("url"))).groupBy(host.alias("host")).agg(F.count("*").alias("n"))
 
 
+@query
+def glyph_repair(spark, sf_dir):
+    """Text with private characters of PDF fonts, repaired by outlines."""
+    known, texts = fixtures.glyphs(spark)
+    return repair_of.repair(texts, repair_of.glyph_map(known, repair_of.verified(spark), repair_of.FAMILY)).select("id", "family", "text")
+
+
 # questions
 
 
