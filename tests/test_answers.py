@@ -138,8 +138,11 @@ def test_html():
 def test_glyphs(spark):
     rows = spark.createDataFrame([("f", "o1", 0x0E01), ("f", "o1", 0xE001), ("f", "o2", 0x0E02), ("f", "o2", 0x0E03), ("f", "o2", 0xE002), ("f", "o3", 0xE003)], "family string, outline string, code int")
     known = glyphs.glyph_map(rows, spark.createDataFrame([("o3", 0x0E04)], "outline string, target int"))
-    text = spark.createDataFrame([("f", "xก"), ("g", "")], "family string, text string")
+    text = spark.createDataFrame([("f", "x\ue001\ue003\u0e01"), ("g", "")], "family string, text string")
     assert sorted(r.text for r in glyphs.repair(text, known).collect()) == sorted(["xกคก", ""])
+    both = glyphs.glyph_map(rows, spark.createDataFrame([("o1", 0x0E04)], "outline string, target int"))
+    assert not both.count()  # o1 stands for two characters now, o2 always did
+    assert len(glyphs.VERIFIED) == 24 and not glyphs.glyph_map(rows, None, glyphs.FAMILY).count()
 
 
 def test_settings():
