@@ -1,4 +1,8 @@
-"""Counts of 32-bit hashes over a corpus: sorted runs from tasks, dealt by range, merged into sorted arrays."""
+"""Counts of 64-bit hashes over a corpus: sorted runs from tasks, dealt by range, merged into sorted arrays.
+
+The range says the first bits of a hash, and within a range 32 more are kept.  There are as many ranges as the corpus has
+partitions (times a constant), so how seldom two hashes are taken for one doesn't change as the corpus grows.
+"""
 
 from __future__ import annotations
 
@@ -15,17 +19,28 @@ from sheaf.llm.words import slices
 RUN = 3_000_000
 
 
+def packed(h: np.ndarray, ranges: int) -> np.ndarray:
+    """For each hash its range, in the upper 32 bits, and its place within it; in the order of the hashes."""
+    n = np.uint64(ranges)
+    return (h >> np.uint64(32)) * n + (((h & np.uint64(2**32 - 1)) * n) >> np.uint64(32))
+
+
+def _bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
+    return np.searchsorted(keys, np.append(np.arange(ranges, dtype=np.uint64) << np.uint64(32), np.uint64(2**64 - 1)))
+
+
 def _ship(read: Callable[[pa.RecordBatch], Iterable[np.ndarray]], ranges: int):
     """Runs of hashes: (range, those that occur once, those that occur more often, how often)."""
 
     def flush(parts: list[np.ndarray]):
-        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-        bounds = np.searchsorted(keys, (np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges))
+        keys, counts = np.unique(packed(np.concatenate(parts), ranges), return_counts=True)
+        parts.clear()
+        bounds = _bounds(keys, ranges)
+        keys = keys.astype(np.uint32)  # the place within a range
         rows = []
-        for r in range(ranges):
+        for r in np.flatnonzero(np.diff(bounds)).tolist():
             k, c = keys[bounds[r] : bounds[r + 1]], counts[bounds[r] : bounds[r + 1]]
-            if len(k):
-                rows.append((r, k[c == 1].tobytes(), k[c > 1].tobytes(), c[c > 1].astype(np.uint32).tobytes()))
+            rows.append((r, k[c == 1].tobytes(), k[c > 1].tobytes(), c[c > 1].astype(np.uint32).tobytes()))
         cols = list(zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], ["range", "once", "more", "counts"])
 
@@ -38,7 +53,7 @@ def _ship(read: Callable[[pa.RecordBatch], Iterable[np.ndarray]], ranges: int):
                     held += len(s)
                 if held >= RUN:
                     yield from flush(parts)
-                    parts, held = [], 0
+                    held = 0
         if held:
             yield from flush(parts)
 
@@ -77,11 +92,11 @@ class Counts:
     def __init__(self, paths: list[str | None]):
         self.paths = paths
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """For ascending keys."""
-        out = np.ones(len(keys), np.int64)
-        n = len(self.paths)
-        bounds = np.searchsorted(keys, (np.arange(n + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(n))
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """For ascending 64-bit hashes."""
+        out, n = np.ones(len(hashes), np.int64), len(self.paths)
+        keys = packed(hashes, n)
+        bounds, keys = _bounds(keys, n), keys.astype(np.uint32)
         for r in np.flatnonzero(np.diff(bounds)):
             if self.paths[r] is None:
                 continue
@@ -93,7 +108,7 @@ class Counts:
 
 
 def count_hashes(texts: DataFrame, read: Callable[[pa.RecordBatch], Iterable[np.ndarray]], folder: str, ranges: int) -> Counts:
-    """Counts of all hashes (arrays of uint32) that ``read`` gives for slices of the texts."""
+    """Counts of all hashes (arrays of uint64) that ``read`` gives for slices of the texts."""
     runs = texts.mapInArrow(_ship(read, ranges), "range int, once binary, more binary, counts binary")
     paths: list[str | None] = [None] * ranges
     for r in runs.groupBy("range").applyInArrow(_count(folder), "range int, path string").collect():

@@ -5,19 +5,23 @@
 2. Prefixes.  Documents are read again.  Shingles are ordered by count, then hash; two sets with a Jaccard index of at
    least 0.8 share one of the first n - ceil(0.8 n) + 1.  A shingle of one document can be shared by none, so a document
    whose prefix has no other has no partner.
-3. Classes.  Documents with equal sets are one class.  Its set goes into a file of sorted arrays.
-4. Groups.  Classes with the same size and the same prefix are one group.  Only groups are listed under the shingles of
-   their prefixes; pairs of groups are filtered by size, and only then expanded into members and verified.
-5. Links.  First each group of a list meets the list's first class only.  What links joins components.  In short lists
-   all pairs in different components are verified then.  In a long one, as large groups of near copies make, nearly all
-   sets share nearly all shingles; there each member is replaced by its difference from the list's typical set,
-   and a second prefix join over these differences finds the pairs to verify (see ``_differences``).  So no
-   link between components is missed, and a large group of near copies never becomes all its pairs.
-
-Shingles are 64-bit hashes (the counts use 32 bits of them, which can only change the order, never a result).  A document
-is a row: a repeated row or copy is in the class of its text.  A null or empty text, or one without words, has an empty
-set and links with nothing; its component is itself.  The component of a row with a null doc_id is the least doc_id it is
-linked with, else null.  Only doc_id and text are read.  An empty table gives an empty result.
+3. Classes.  Documents with equal sets are one class.  Its set and its prefix go into a file of sorted arrays.
+4. Groups.  Classes with the same size and the same prefix (the shingles of it that others have) are one group; a group
+   of very many classes is several, each of about MEMBERS.  Only groups are listed, under the shingles of their prefixes
+   and by bands of size: sets that link lie in the same band or in neighbours, so a list holds a band's groups and,
+   as guests, those of the next.
+5. Leads.  Each group of a list meets the list's first group: its members are verified against one member of that.  What
+   links joins components, so a large group of near copies never becomes all its pairs.
+6. Pairs.  Lists with more than one component are cut into blocks of about BLOCK classes, the largest component apart
+   from the rest.  Blocks of the rest meet all blocks of the list, a task for each pair of blocks at a time.  There pairs
+   of groups are filtered: by component, by size, by whether this list is the first of those they share, and by the
+   number of shingles that both prefixes have, which bounds what the sets can share.  Groups of pairs that are left are
+   expanded into their members and verified.  A task returns the links that join something, not all of them.
+
+Shingles are 64-bit hashes.  Counts may take two of them for one (see counted.py), which can only change the order, never a
+result.  A document is a row: a repeated row or copy is in the class of its text.  A null or empty text, or one without
+words, has an empty set and links with nothing; its component is itself.  The component of a row with a null doc_id is the
+least doc_id it is linked with, else null.  Only doc_id and text are read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm import shared
@@ -34,11 +38,10 @@ from sheaf.llm.counted import Counts, count_hashes
 from sheaf.llm.words import Rolling, slices, words_of
 
 SHINGLE, PERCENT = 5, 80
-#: Lists of at most so many entries become their pairs.
-SHORT = 24
-#: Members of a long list whose majority makes its typical set.
-JURY = 15
-
+#: Classes of a group that are handled as one, and of a block of a list, on average.
+MEMBERS, BLOCK = 64, 256
+#: Hashes of sets, and columns of a table of them, that a task compares at once.
+HASHES, COLUMNS = 1 << 20, 1 << 13
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE):
     """For each text its distinct shingles, sorted 64-bit hashes."""
@@ -71,10 +74,9 @@ def _prefixes(counts: Counts):
                 sets = list(shingle_sets(piece.column("text")))
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                short = (flat >> np.uint64(32)).astype(np.uint32)
-                order = np.argsort(short, kind="stable")
+                order = np.argsort(flat, kind="stable")
                 df = np.empty(len(flat), np.int64)
-                df[order] = counts.find(short[order])
+                df[order] = counts.find(flat[order])
                 alone = np.concatenate([[0], np.cumsum(df == 1)])
                 rows: dict[str, list] = {k: [] for k in ("n", "high", "low", "sign", "prefix", "tokens")}
                 for d, s in enumerate(sets):
@@ -90,8 +92,9 @@ def _prefixes(counts: Counts):
                     whole = xxhash.xxh3_128_intdigest(s.tobytes())
                     rows["high"].append((whole >> 64) - 2**63)
                     rows["low"].append((whole & (2**64 - 1)) - 2**63)
-                    rows["sign"].append(xxhash.xxh3_64_intdigest(s[first].tobytes(), n) - 2**63)
-                    rows["prefix"].append(s[first][rank[first] > 1].view(np.int64))
+                    prefix = np.sort(s[first][rank[first] > 1])
+                    rows["sign"].append(xxhash.xxh3_64_intdigest(prefix.tobytes(), n) - 2**63)
+                    rows["prefix"].append(prefix.view(np.int64))
                     rows["tokens"].append(s.tobytes())
                 kinds = {"n": pa.int32(), "high": pa.int64(), "low": pa.int64(), "sign": pa.int64(), "prefix": pa.list_(pa.int64()), "tokens": pa.binary()}
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_hash")] + [pa.array(rows[k], t) for k, t in kinds.items()], ["doc_id", "text_hash", *kinds])
@@ -106,19 +109,22 @@ def _store(folder: str):
         shard = key[0].as_py()
         table = table.sort_by([("high", "ascending"), ("low", "ascending")])  # the same ids in each attempt
         sets = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
-        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-        shared.save(folder, f"sets-{shard:06d}", {"ends": ends, "tokens": np.concatenate(sets)})
+        firsts = [np.array(x, np.int64).view(np.uint64) for x in table["prefix"].to_pylist()]
+        ends = lambda parts: np.concatenate([[0], np.cumsum([len(s) for s in parts])]).astype(np.int64)
+        shared.save(folder, f"sets-{shard:06d}", {"ends": ends(sets), "tokens": np.concatenate(sets), "prefix_ends": ends(firsts), "prefix": np.concatenate(firsts)})
         ids = pa.array((np.int64(shard) << 32) + np.arange(len(sets)))
         return table.select(["high", "low", "least", "n", "sign", "prefix"]).append_column("class", ids)
 
     return run
 
 
-def _loader(folder: str):
+def _loader(folder: str, ends: str = "ends", values: str = "tokens"):
+    """The set of a class, or its prefix: ascending hashes."""
+
     def load(c: int) -> np.ndarray:
         arrays = shared.load(f"{folder}/sets-{c >> 32:06d}", 1024)
         at = c & (2**32 - 1)
-        return arrays["tokens"][arrays["ends"][at] : arrays["ends"][at + 1]]
+        return arrays[values][arrays[ends][at] : arrays[ends][at + 1]]
 
     return load
 
@@ -149,12 +155,173 @@ def _verify(folder: str, percent: int):
     return run
 
 
-def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id) for each row of (doc_id, text); the hash is Spark's xxhash64."""
+def _runs(sets: list[np.ndarray]):
+    """Neighbouring sets of about HASHES hashes together, at least one: (from, to, hashes in order, the set of each)."""
+    ends, at = np.cumsum([len(s) for s in sets]), 0
+    while at < len(sets):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HASHES, "right")))
+        flat = np.concatenate(sets[at:stop])
+        order = np.argsort(flat, kind="stable")
+        yield at, stop, flat[order], np.repeat(np.arange(stop - at), [len(s) for s in sets[at:stop]])[order]
+        at = stop
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of a has in common with each of b, as products of 0/1 tables of the hashes both sides have."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    right = list(_runs(b))
+    for a0, a1, x, of_x in _runs(a):
+        for b0, b1, y, of_y in right:
+            both = np.intersect1d(x, y)
+            for k in range(0, len(both), COLUMNS):
+                names, tables = both[k : k + COLUMNS], []
+                for values, owner, size in ((x, of_x, a1 - a0), (y, of_y, b1 - b0)):
+                    lo, hi = np.searchsorted(values, names[0]), np.searchsorted(values, names[-1], "right")
+                    slot = np.searchsorted(names, values[lo:hi])
+                    held = names[slot] == values[lo:hi]
+                    one = np.zeros((size, len(names)), np.float32)
+                    one[owner[lo:hi][held], slot[held]] = 1
+                    tables.append(one)
+                out[a0:a1, b0:b1] += (tables[0] @ tables[1].T).astype(np.int64)
+    return out
+
+
+def _spanning(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links between classes those that join something; the others follow from them."""
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    kept = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(links)), strict=True):
+        u, v = int(left[i]), int(right[j])
+        p, q = find(u), find(v)
+        if p != q:
+            root[p] = q
+            kept.append((u, v))
+    return kept
+
+
+class _Side:
+    """The groups of a block, from a batch's column of arrays of structs."""
+
+    def __init__(self, units: pa.StructArray, a: int, b: int):
+        take = lambda name: units.field(name).slice(a, b - a).to_numpy(zero_copy_only=False)
+        self.unit, self.n, self.root, self.guest = take("unit"), take("n").astype(np.int64), take("root"), take("guest")
+        members = units.field("members")
+        ends = members.offsets.to_numpy()[a : b + 1]
+        self.members = [members.values.slice(x, y - x).to_numpy() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def group_pairs(a: _Side, b: _Side, same: bool, token: np.uint64, prefix, percent: int) -> np.ndarray:
+    """Which pairs of groups of two blocks of a list may hold a link that no other list's turn it is to find.
+
+    Common prefix hashes up to where the prefix that ends first ends are all common hashes so far; that set has no more than
+    n - prefix_length(n) behind it.  So c common ones in the prefixes allow c + n - prefix_length(n) in all, for one of the two n.
+    """
+    n, m = a.n[:, None], b.n[None, :]
+    maybe = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ~((a.root[:, None] == b.root[None, :]) & (a.root >= 0)[:, None]) & ~(a.guest[:, None] & b.guest[None, :])
+    if same:
+        maybe &= np.triu(np.ones(maybe.shape, bool))
+        np.fill_diagonal(maybe, maybe.diagonal() & (a.root < 0))  # a group whose members aren't all joined meets itself
+    rows, cols = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
+    if not len(rows):
+        return maybe
+    x, y = [prefix(int(a.unit[i])) for i in rows], [prefix(int(b.unit[j])) for j in cols]
+    earlier = overlaps([p[: np.searchsorted(p, token)] for p in x], [p[: np.searchsorted(p, token)] for p in y]) > 0
+    rest = np.array([k - prefix_length(k) for k in a.n[rows].tolist()])[:, None], np.array([k - prefix_length(k) for k in b.n[cols].tolist()])[None, :]
+    most = overlaps(x, y) + np.maximum(*rest)
+    sizes = a.n[rows][:, None] + b.n[cols][None, :]
+    maybe[np.ix_(rows, cols)] &= ~earlier & ((100 + percent) * most >= percent * sizes)
+    return maybe
+
+
+def _match(folder: str, percent: int):
+    """Links between the classes of pairs of blocks (token, a, b)."""
+    load, prefix = _loader(folder), _loader(folder, "prefix_ends", "prefix")
+
+    def run(batches):
+        for batch in batches:
+            sides = [(batch.column(c).values, batch.column(c).offsets.to_numpy()) for c in ("a", "b")]
+            found: list[tuple[int, int]] = []
+            for k, token in enumerate(batch.column("token").to_numpy()):
+                a, b = (_Side(units, int(ends[k]), int(ends[k + 1])) for units, ends in sides)
+                same = np.array_equal(a.unit, b.unit)
+                pairs = group_pairs(a, b, same, np.int64(token).view(np.uint64), prefix, percent)
+                rows, cols = np.flatnonzero(pairs.any(1)), np.flatnonzero(pairs.any(0))
+                if not len(rows):
+                    continue
+                left, right = (np.concatenate([s.members[i] for i in which]) for s, which in ((a, rows), (b, cols)))
+                of_left, of_right = (np.repeat(which, [len(s.members[i]) for i in which]) for s, which in ((a, rows), (b, cols)))
+                both = overlaps([load(int(c)) for c in left], [load(int(c)) for c in right])
+                links = pairs[of_left][:, of_right] & (left[:, None] != right[None, :])
+                links &= 100 * both >= percent * (a.n[of_left][:, None] + b.n[of_right][None, :] - both)
+                found += _spanning(links, left, right)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*found, strict=True)) or [(), ()])], ["u", "v"])
+
+    return run
+
+
+def _band(n: Column, percent: int) -> Column:
+    """Sizes that differ by no more than linked sets may lie in the same band or in neighbours; the factor is for rounding."""
+    return F.floor(F.log(n) / (F.log(F.lit(100 / percent)) * (1 + 1e-9))).cast("int")
+
+
+def _links(stored: DataFrame, folder: str, percent: int) -> DataFrame:
+    """(node, root) of linked classes, from the stored classes (class, n, sign, prefix)."""
+    spark = stored.sparkSession
+    sizes = stored.groupBy("n", "sign").agg(F.count("*").alias("size"))
+    part = F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / MEMBERS)).alias("part")
+    units = stored.select("n", "sign", "class", "prefix").join(sizes, ["n", "sign"]).groupBy("n", "sign", part).agg(F.min("class").alias("unit"), F.min("prefix").alias("prefix"), F.array_sort(F.collect_list("class")).alias("members"))
+    units = shared.table(units.select("unit", "n", "prefix", "members"), folder, "units")
+    members = units.select("unit", "n", F.explode("members").alias("class"))
+
+    listed = units.select("unit", "n", _band(F.col("n"), percent).alias("band"), F.explode("prefix").alias("token"))
+    lists = listed.withColumn("guest", F.lit(False)).unionByName(listed.withColumns({"band": F.col("band") - 1, "guest": F.lit(True)}))
+    near = lambda a, b: (100 * a >= percent * b) & (100 * b >= percent * a)
+
+    lead = listed.groupBy("token", "band").agg(F.min(F.struct("unit", "n")).alias("lead"))
+    pairs = lists.join(lead, ["token", "band"]).filter(near(F.col("n"), F.col("lead.n"))).select(F.col("lead.unit").alias("u"), "unit").distinct()
+    pairs = pairs.join(members.select("unit", F.col("class").alias("v")), "unit").filter("u <> v").select("u", "v")
+    links = shared.table(pairs.repartition("u", "v").mapInArrow(_verify(folder, percent), "u long, v long"), folder, "links-0")
+    found = components(links, folder, "first")
+
+    # a group's component; below 0, and its own, where its members lie in several
+    rooted = members.join(found.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    state = rooted.groupBy("unit").agg(F.when(F.min("root") == F.max("root"), F.min("root")).otherwise(-1 - F.col("unit")).alias("root"), F.array_sort(F.collect_list("class")).alias("members"))
+    entries = shared.table(lists.join(state, "unit"), folder, "entries")
+    parts = entries.groupBy("token", "band", "root").agg(F.sum(F.size("members")).alias("size"), F.bool_or(~F.col("guest")).alias("home"))
+    whole = parts.groupBy("token", "band").agg(
+        F.count("*").alias("roots"), F.bool_or("home").alias("home"), F.min("root").alias("least"), F.sum("size").alias("size"), F.max_by(F.struct("root", "size"), F.struct("size", "root")).alias("top")
+    )
+    several = whole.filter("home AND (roots > 1 OR least < 0)").select("token", "band", "size", "top")
+    main = (F.col("root") == F.col("top.root")) & (F.col("root") >= 0)
+    count = F.when(F.col("main"), F.col("top.size")).when(F.col("top.root") >= 0, F.col("size") - F.col("top.size")).otherwise(F.col("size"))
+    cut = entries.join(several, ["token", "band"]).withColumn("main", main).withColumn("block", F.pmod(F.xxhash64("unit"), F.ceil(count / BLOCK)))
+    blocks = cut.groupBy("token", "band", "main", "block").agg(F.array_sort(F.collect_list(F.struct("unit", "n", "root", "guest", "members"))).alias("units"))
+    blocks = shared.table(blocks, folder, "blocks")
+    side = lambda s: blocks.select("token", "band", *[F.col(c).alias(f"{c}_{s}") for c in ("main", "block", "units")])
+    met = side("a").filter("NOT main_a").join(side("b"), ["token", "band"]).filter("main_b OR block_a <= block_b")
+    # lists with the same groups are one, under their first shingle in the order of unsigned numbers
+    order = F.col("token").bitwiseXOR(F.lit(-(2**63)))
+    met = met.groupBy(F.col("units_a").alias("a"), F.col("units_b").alias("b")).agg(F.min_by("token", order).alias("token"))
+    met = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("token", "a", "b"))
+    more = shared.table(met.mapInArrow(_match(folder, percent), "u long, v long"), folder, "links-1")
+    return components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), folder, "last")
+
+
+ROWS = ("doc_id", "text_hash", "n_shingles", "component_id")
+
+
+def _labelled(documents: DataFrame, percent: int) -> DataFrame:
+    """ROWS and root, the class that names the component, for each row; root is null where no other row can be linked."""
     spark, folder = documents.sparkSession, shared.folder(documents.sparkSession, "jaccard")
     texts = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     shards = max(64, 4 * texts.rdd.getNumPartitions())
-    counts = count_hashes(texts, lambda piece: [(s >> np.uint64(32)).astype(np.uint32) for s in shingle_sets(piece.column("text"))], folder, shards)
+    counts = count_hashes(texts, lambda piece: shingle_sets(piece.column("text")), folder, shards)
     docs = shared.table(texts.mapInArrow(_prefixes(counts), DOCS), folder, "documents")
 
     maybe = docs.filter(F.col("sign").isNotNull())
@@ -163,124 +330,42 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFram
     stored = classes.withColumn("shard", F.pmod(F.col("high"), F.lit(shards))).groupBy("shard").applyInArrow(_store(folder), "high long, low long, least long, n int, sign long, prefix array<long>, class long")
     stored = shared.table(stored, folder, "classes")
 
-    groups = stored.groupBy("n", "sign").agg(F.min("class").alias("group"), F.min("prefix").alias("prefix"))
-    groups = shared.table(groups, folder, "groups")
-    members = shared.table(stored.select("n", "sign", "class").join(groups.select("n", "sign", "group"), ["n", "sign"]).select("group", "class", "n"), folder, "members")
-    lists = groups.select("group", "n", F.explode("prefix").alias("token"))
-    # a list is told apart by size too: sets whose sizes differ by a quarter can't link, and lists of close sizes overlap
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
-    near = lambda a, b: (100 * a >= percent * b) & (100 * b >= percent * a)
-
-    first = lists.withColumn("band", band).groupBy("token", "band").agg(F.min(F.struct("group", "n")).alias("lead"), F.count("*").alias("size"))
-    pairs = lists.withColumn("band", band).join(first, ["token", "band"]).filter(near(F.col("n"), F.col("lead.n"))).select(F.col("lead.group").alias("u"), "group").distinct()
-    pairs = pairs.join(members, "group").filter("u <> class").select("u", F.col("class").alias("v"))
-    links = shared.table(pairs.repartition("u", "v").mapInArrow(_verify(folder, percent), "u long, v long"), folder, "links-0")
-    found = components(links, folder, "first")
-
-    edges = found.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    members_of = lists.select("group", "token").join(members, "group").select("token", "class", "n")
-    # whatever shares a list and isn't joined yet
-    entries = members_of.join(edges.select(F.col("u").alias("class"), F.col("v").alias("root")), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    entries = shared.table(entries, folder, "entries")
-    parts = entries.groupBy("token", "root").agg(F.count("*").alias("size"), F.min_by("class", F.xxhash64("class")).alias("member"))
-    whole = parts.groupBy("token").agg(F.sum("size").alias("size"), F.count("*").alias("roots"), F.max_by("member", F.struct("size", "root")).alias("pivot"))
-    open_ = shared.table(entries.join(whole.filter("roots > 1").drop("roots"), "token"), folder, "open")
-    apart = (F.col("class_a") != F.col("class_b")) & (F.col("root_a") != F.col("root_b")) & near(F.col("n_a"), F.col("n_b"))
-    side = lambda df, keys, s: df.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "root")])
-    pair = (F.least("class_a", "class_b").alias("u"), F.greatest("class_a", "class_b").alias("v"))
-
-    short = open_.filter(F.col("size") <= SHORT)
-    direct = side(short, ["token"], "a").join(side(short, ["token"], "b"), "token").filter(apart & (F.col("class_a") < F.col("class_b"))).select(*pair)
-
-    # long lists: what a member and the list's typical set don't have in common takes the place of its set
-    asked = open_.filter(F.col("size") > SHORT).select("pivot", "class", "root").distinct()
-    asked = shared.table(asked, folder, "asked")
-    jury = asked.groupBy("pivot").agg(F.array(*[F.min_by("class", F.xxhash64("class", F.lit(k))) for k in range(JURY)]).alias("jury"))
-    asked = asked.join(jury, "pivot").repartition("pivot", "class").sortWithinPartitions("pivot")
-    differ = shared.table(asked.mapInArrow(_differences(folder, counts, percent), DIFFERENCES), folder, "differences")
-    nearest = differ.groupBy("pivot").agg(F.min(F.struct("far", "class")).alias("z")).select("pivot", F.col("z.far").alias("z_far"), F.col("z.class").alias("z"))
-    differ = differ.join(nearest, "pivot")
-    to_z = differ.filter("class <> z").select(F.col("z").alias("u"), F.col("class").alias("v")).distinct().repartition("u", "v")
-    to_z = shared.table(to_z.mapInArrow(_verify(folder, percent), "u long, v long"), folder, "links-1")
-    apart_z = differ.filter("class <> z").join(to_z.select(F.col("u").alias("z"), F.col("v").alias("class")), ["z", "class"], "left_anti")
-    shares = F.floor((F.col("far") - F.col("z_far")) / (2 * (100 + percent))) + 1
-    listed = lambda df, upto: df.select("pivot", "class", "n", "root", F.explode(F.slice("tokens", 1, F.greatest(F.lit(0), upto.cast("int")))).alias("token"))
-    keys = ["pivot", "token"]
-    shifted = side(listed(apart_z, F.col("reach")), keys, "a").join(side(listed(differ, F.col("size") - shares + 1 - F.col("alone")), keys, "b"), keys).filter(apart).select(*pair)
-    rest = direct.unionByName(shifted).distinct()
-    more = shared.table(rest.repartition("u", "v").mapInArrow(_verify(folder, percent), "u long, v long"), folder, "links-2")
-    edges = components(edges.unionByName(more).unionByName(to_z), folder, "last").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    final = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    named = stored.select("high", "low", "least", "class").join(final.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    final = _links(stored, folder, percent).withColumnRenamed("node", "class")
+    named = stored.select("high", "low", "least", "class").join(final, "class", "left").withColumn("root", F.coalesce("root", "class"))
     named = shared.table(named, folder, "named")
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_set = named.join(roots, "root").select("high", "low", "component_id")
-    linked = maybe.select("doc_id", "text_hash", "n", "high", "low").join(by_set, ["high", "low"], "left").select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    alone = docs.filter(F.col("sign").isNull()).select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    by_set = named.join(roots, "root").select("high", "low", "root", "component_id")
+    linked = maybe.select("doc_id", "text_hash", "n", "high", "low").join(by_set, ["high", "low"], "left").select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "component_id", "root")
+    alone = docs.filter(F.col("sign").isNull()).select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     return linked.unionByName(alone)
 
 
-DIFFERENCES = "pivot long, class long, n int, root long, tokens array<long>, far long, size int, alone int, reach int"
-
-
-def _differences(folder: str, counts: Counts, percent: int):
-    """For members of long lists: the shingles that the member or the list's typical set has, but not both.
-
-    The typical set p holds what most of some members have; any set would do, this one makes the differences small.  With
-    D(x) and D(y) the differences of x and y from p, x and y differ by |D(x)| + |D(y)| - 2 |D(x) & D(y)|, and they link
-    if that is at most c (|x| + |y|), c = (100 - percent) / (100 + percent).  Let z be the member with the least
-    |D(z)| - c |z|, which all others are compared with.  If x doesn't link with z, |D(x)| + |D(z)| > c (|x| + |z|), so if it
-    links with y, D(x) and D(y) share more than (|D(y)| - c |y| - (|D(z)| - c |z|)) / 2 >= 0 shingles, and at least
-    |D(x)| - c (|x| + |y|).  As for sets, partners then share one of the first |D| - (that number) + 1 of each, in an order
-    in which those that few differences hold tend to come first; a shingle that only this member has is left out.
-
-    far is (100 + percent) |D| - (100 - percent) n, reach how many of tokens come first for a member that doesn't link with z.
-    """
-
-    def run(batches):
-        load = _loader(folder)
-        current, p = None, None
-        for batch in batches:
-            rows = []
-            for pivot, jury, member, root in zip(*(batch.column(c).to_pylist() for c in ("pivot", "jury", "class", "root")), strict=True):
-                if pivot != current:
-                    votes, times = np.unique(np.concatenate([load(j) for j in set(jury)]), return_counts=True)
-                    current, p = pivot, votes[2 * times > len(set(jury))]
-                x = load(member)
-                d = np.setxor1d(p, x, assume_unique=True)
-                total, rest = 100 + percent, 100 - percent
-                widest = len(x) + 100 * len(x) // percent  # both sizes, at most
-                least = max(1, -(-(total * len(d) - rest * widest) // total))
-                df = counts.find((d >> np.uint64(32)).astype(np.uint32))  # d is ascending
-                lost = np.isin(d, p, assume_unique=True)
-                # what the member has besides, rarest first, then what it lacks, what others seldom lack first
-                order = np.lexsort((np.where(lost, -df, df), lost))
-                alone = int(np.sum(~lost & (df == 1)))
-                rows.append((pivot, member, len(x), root, d[order[alone:]].view(np.int64), total * len(d) - rest * len(x), len(d), alone, max(0, len(d) - least + 1 - alone)))
-            cols = list(zip(*rows, strict=True)) or [()] * 9
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in DIFFERENCES.split(", ")])
-
-    return run
+def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id) for each row of (doc_id, text); the hash is Spark's xxhash64."""
+    return _labelled(documents, percent).select(*ROWS)
 
 
 def keep_one(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents, all columns, with one of each component: the one with the least doc_id.
+    """The documents, all columns, with one row of each component: the one with the least doc_id, then the least hash of its text.
 
-    Of rows that share both doc_id and text one stays.  Documents with an empty set stay.
+    A null doc_id comes last.  Of rows that share both doc_id and text one stays, it isn't said which.  Documents with an
+    empty set, or with a set that no other can be near to, stay.
     """
-    spark = documents.sparkSession
-    found = shared.table(jaccard_components(documents, percent), shared.folder(spark, "keep-one"), "components")
-    same = lambda c: F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash")).eqNullSafe(F.col(c))
-    key = F.struct("doc_id", "text_hash").alias("_key")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
-    again = found.filter("n_shingles > 0").groupBy("doc_id", "text_hash").count().filter("count > 1").select(key)
-    again = shared.table(again, shared.folder(spark, "keep-one"), "repeated")
-    left = documents.join(gone, same("_key"), "left_anti")
+    folder = shared.folder(documents.sparkSession, "keep-one")
+    found = shared.table(_labelled(documents, percent).filter("root IS NOT NULL"), folder, "components")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
+    is_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    rows = found.join(best, "root").groupBy("doc_id", "text_hash").agg(F.bool_or(is_best).alias("best"), F.count("*").alias("times"))
+    rows = shared.table(rows, folder, "rows")
+    doc, text = shared.fresh("doc", "text")
+    of = lambda some: some.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text))
+    same = documents["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(documents["text"]) == F.col(text))
+    left = documents.join(of(rows.filter("NOT best")), same, "left_anti")
+    again = rows.filter("best AND times > 1")
     if again.isEmpty():
         return left
-    single = left.join(again, same("_key"), "left_anti")
-    return single.unionByName(left.join(again, same("_key"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    single = left.join(of(again), same, "left_anti")
+    return single.unionByName(documents.join(of(again), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

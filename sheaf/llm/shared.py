@@ -19,20 +19,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder; set only where the session names none, as in tests on one machine."""
+    """The shared folder: spark.checkpoint.dir, or what setCheckpointDir was given; set here only for one machine, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         kept = spark.sparkContext.getCheckpointDir()
-        where = os.path.dirname(kept) if kept else f"file://{tempfile.mkdtemp(prefix='sheaf-')}"
-        if spark.sparkContext.master.startswith("local"):
-            spark.conf.set("spark.checkpoint.dir", where)
-        else:
+        if not kept and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = os.path.dirname(kept) if kept else f"file://{tempfile.mkdtemp(prefix='sheaf-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+#: Bytes of rows that Spark hands to Python at once.
+BATCH = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch, so that a task's memory follows neither it nor the rows.
+
+    It is left alone where the session has another than Spark's own, 64 MB.  A row is never split, so one with a longer
+    text is a batch of its own.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("64m", f"{64 << 20}b", str(64 << 20)):
+        spark.conf.set(key, str(BATCH))
+
+
+def fresh(*names: str) -> list[str]:
+    """Column names that no table has."""
+    return [f"_{n}_{uuid.uuid4().hex}" for n in names]
+
+
 def folder(spark: SparkSession, what: str) -> str:
-    """A new folder's address for one run of an operator."""
+    """A new folder's address for one run of an operator; its tasks get batches of bounded size."""
+    bound_batches(spark)
     return f"{root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -80,15 +100,17 @@ def save(where: str, name: str, arrays: dict[str, np.ndarray]) -> str:
     return address
 
 
-_OPEN: OrderedDict[str, dict[str, np.ndarray]] = OrderedDict()
+_OPEN: OrderedDict[str, tuple[dict[str, np.ndarray], int]] = OrderedDict()
+#: Bytes of files that a process keeps where they can't be mapped.
+HELD = 128 << 20
 
 
 def load(address: str, most: int = 256) -> dict[str, np.ndarray]:
-    """The arrays of a file; the last ``most`` files stay open."""
+    """The arrays of a file; the last ``most`` files stay open, and of those that aren't mapped no more than HELD bytes."""
     if address in _OPEN:
         _OPEN.move_to_end(address)
-        return _OPEN[address]
-    path = _local(address)
+        return _OPEN[address][0]
+    path, held = _local(address), 0
     if path is not None:
         raw = np.memmap(path, np.uint8, "r")
     else:
@@ -97,14 +119,14 @@ def load(address: str, most: int = 256) -> dict[str, np.ndarray]:
         store, path = fs.FileSystem.from_uri(address)
         with store.open_input_file(path) as f:
             raw = np.frombuffer(f.read_buffer(), np.uint8)
-        most = 16
+        held = raw.nbytes
     size = int.from_bytes(bytes(raw[:8]), "little")
     first = -(-(size + 8) // 64) * 64
     arrays = {}
     for key, kind, n, at in json.loads(bytes(raw[8 : 8 + size])):
         arrays[key] = raw[first + at : first + at + n * np.dtype(kind).itemsize].view(kind).view(np.ndarray)
-    _OPEN[address] = arrays
-    while len(_OPEN) > most:
+    _OPEN[address] = arrays, held
+    while len(_OPEN) > most or len(_OPEN) > 1 and sum(b for _, b in _OPEN.values()) > HELD:
         _OPEN.popitem(last=False)
     return arrays
 

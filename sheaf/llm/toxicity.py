@@ -15,6 +15,7 @@ isn't held out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,11 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm import labelled
-from sheaf.llm.words import map_texts, mix, words_of
+from sheaf.llm.words import Words, find_words, map_texts, mix, words_of
 
 BUCKETS, DIMS, PASSAGE = 1 << 18, 6, 8
 GRAMS = (3, 4, 5, 6)
 PER_CLASS, ROUNDS, STEPS, RATE = 800, 5, 12, 0.02
+#: Bytes of distinct words whose subwords are listed at once, and of a text that is scored at once.
+LETTERS, PART = 1 << 18, 2 << 20
 
 
 @dataclass
@@ -42,46 +45,74 @@ class Bags:
     texts: int
 
 
-def bags(texts: pa.Array) -> Bags:
-    words = words_of(texts, lower=True)
-    _, firsts, word = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    start, end = words.start[firsts], words.end[firsts]
+def _subwords(words: Words, which: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the subwords of the words at some places, and how many each has."""
+    start, end = words.start[which], words.end[which]
     size = end - start + 1
     at = np.concatenate([[0], np.cumsum(size)])
     # " w1 w2 ... " : the space before a word and the one after it are the marks
     source = np.repeat(start - at[:-1] - 1, size) + np.arange(at[-1])
     line = np.full(int(at[-1]) + 9, 32, np.uint8)
-    if len(words.buf):
-        line[: at[-1]] = words.buf[np.maximum(source, 0)]
+    line[: at[-1]] = words.buf[np.maximum(source, 0)]
     line[at] = 32
     n = len(line) - 8
     loads = np.ndarray((n,), "<u8", line, 0, (1,))
     marks = np.concatenate([[0], np.cumsum(line == 32)])
+    owner = np.append(np.repeat(np.arange(len(size), dtype=np.int32), size), np.int32(len(size)))[:n]
     places, values = [], []
-    owner = np.concatenate([np.repeat(np.arange(len(size)), size), [len(size)]])[:n] if len(size) else np.zeros(n, np.int64)
     for g in GRAMS:
         i = np.arange(max(0, int(at[-1]) + 2 - g))
         i = i[marks[i + g - 1] == marks[i + 1]]
         places.append(owner[i])
-        values.append(mix((loads[i] & np.uint64((1 << 8 * g) - 1)) + np.uint64(g)))
-    places.append(np.arange(len(size)))
-    values.append(mix(words.hashes()[firsts] + np.uint64(1)))
+        values.append((mix((loads[i] & np.uint64((1 << 8 * g) - 1)) + np.uint64(g)) & np.uint64(BUCKETS - 1)).astype(np.int32))
+    places.append(np.arange(len(size), dtype=np.int32))
+    values.append((mix(hashes + np.uint64(1)) & np.uint64(BUCKETS - 1)).astype(np.int32))
     place, value = np.concatenate(places), np.concatenate(values)
-    order = np.argsort(place, kind="stable")
-    grams = (value[order] & np.uint64(BUCKETS - 1)).astype(np.int32)
-    first = np.searchsorted(place[order], np.arange(len(size) + 1))
+    return value[np.argsort(place, kind="stable")], np.bincount(place, minlength=len(size))
+
+
+def bags(texts: pa.Array) -> Bags:
+    words = words_of(texts, lower=True)
+    hashes, firsts, word = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    grams, sizes, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+    letters = np.cumsum(words.end[firsts] - words.start[firsts] + 1)
+    while at < len(firsts):  # some words at a time: the temporary arrays are many times as large as the result
+        stop = max(at + 1, int(np.searchsorted(letters, (letters[at - 1] if at else 0) + LETTERS, "right")))
+        value, size = _subwords(words, firsts[at:stop], hashes[at:stop])
+        grams.append(value)
+        sizes.append(size)
+        at = stop
+    first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
     counts = words.counts
     within = np.arange(len(words.start)) - np.repeat(words.first[:-1], counts)
     per_text = -(-counts // PASSAGE)
     base = np.concatenate([[0], np.cumsum(per_text)])
     passage = np.repeat(base[:-1], counts) + within // PASSAGE
-    return Bags(grams, first, word.reshape(-1), passage, np.repeat(np.arange(len(counts)), per_text), len(counts))
+    return Bags(np.concatenate(grams), first, word.reshape(-1), passage, np.repeat(np.arange(len(counts)), per_text), len(counts))
 
 
 def _per_word(bag: Bags, values: np.ndarray) -> np.ndarray:
-    """The sum of a value of each bucket over the subwords of each distinct word."""
-    total = np.concatenate([[0.0], np.cumsum(values[bag.grams], dtype=np.float64)])
-    return total[bag.first[1:]] - total[bag.first[:-1]]
+    """The sum of a value of each bucket over the subwords of each distinct word; it doesn't depend on the other words."""
+    if len(bag.first) < 2:
+        return np.zeros(0)
+    return np.add.reduceat(values[bag.grams].astype(np.float64), bag.first[:-1])
+
+
+def segments(text: bytes, size: int) -> Iterator[bytes]:
+    """A long text in parts of about ``size`` bytes, each of whole passages but for the last one's end."""
+    at = 0
+    while at < len(text):
+        words = find_words(np.frombuffer(text, np.uint8, min(len(text) - at, size), at), np.array([0, min(len(text) - at, size)]))
+        whole = (len(words.start) - 1) // PASSAGE * PASSAGE  # the last word may go on
+        if at + size >= len(text):
+            stop = len(text)
+        elif whole > 0:
+            stop = at + int(words.start[whole])
+        else:
+            size *= 2  # a passage longer than a part
+            continue
+        yield text[at:stop]
+        at = stop
 
 
 def passage_logits(bag: Bags, value: np.ndarray, bias: float) -> np.ndarray:
@@ -201,7 +232,12 @@ def _fit(texts: list[str], labels: list[int], seed: int) -> tuple[np.ndarray, fl
 
 
 def _probabilities(texts: pa.Array, value: np.ndarray, bias: float) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(text_logits(bags(texts), value, bias), -60, 60)))
+    """Of the texts of a slice; a text that is longer than a part is a slice of its own and read in parts."""
+    if len(texts) == 1 and len(long := texts[0].as_py() or "") > PART // 4 and len(raw := long.encode()) > PART:
+        logits = np.array([max(text_logits(bags(pa.array([part], pa.large_binary()).cast(pa.large_string())), value, bias)[0] for part in segments(raw, PART))])
+    else:
+        logits = text_logits(bags(texts), value, bias)
+    return 1 / (1 + np.exp(-np.clip(logits, -60, 60)))
 
 
 def _scores(value: np.ndarray, bias: float):

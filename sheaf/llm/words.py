@@ -1,8 +1,8 @@
 """Vectorised reading of text columns: byte buffers, words, lines and their 64-bit hashes.
 
 Every Python operator of this subpackage works on slices of Arrow batches.  A slice holds whole texts of about
-``SLICE_BYTES`` bytes (one longer text makes a slice of its own), so memory follows the longest text and not the
-number of rows Spark puts into a batch.
+``SLICE_BYTES`` bytes (one longer text makes a slice of its own).  The batches themselves hold shared.BATCH bytes, or one
+longer row, so memory follows the longest text and not the number of rows.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from sheaf.llm.shared import bound_batches
+
 SLICE_BYTES = 2 << 20
 #: Words of more bytes than this are hashed one at a time.
 LONG_WORD = 128
@@ -71,6 +73,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
 
 def map_texts(df, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text"):
     """``df.mapInArrow`` with one call of ``fn`` for each slice."""
+    bound_batches(df.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -199,9 +199,7 @@ def test_substring_dedup(documents):
     for i, w in words:
         gone = {j for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)}
         want[i, len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone))] += 1
-    plain = documents.select("doc_id", "text")
-    got = substring_dedup._with_spans(plain).mapInArrow(substring_dedup._removal(substring_dedup._digest), "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    assert rows_of(got, "*") == want
+    assert rows_of(substring_dedup.digest_removal(documents), "*") == want
     kept = substring_dedup.remove_repeats(documents)
     assert kept.columns == documents.columns and kept.count() == len(ROWS)
 
@@ -333,9 +331,20 @@ def test_ngram_jaccard(documents):
     assert kept.columns == documents.columns and left[300] == 1 and not left[301] and left[500] == left[501] == left[502] == 1
 
 
-def test_long_lists_of_near_copies(spark, monkeypatch):
-    """The difference join against brute force, with every list long."""
-    monkeypatch.setattr(jaccard_join, "SHORT", 1)
+def test_overlaps(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HASHES", 40)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    sets = [[np.unique(rng.integers(0, 60, rng.integers(0, 30))).astype(np.uint64) for _ in range(n)] for n in (9, 13)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[1]] for x in sets[0]]
+    assert (jaccard_join.overlaps(*sets) == np.array(want)).all()
+
+
+@pytest.mark.parametrize(("members", "block"), [(2, 8), (64, 256), (1, 1)])
+def test_long_lists_of_near_copies(spark, monkeypatch, members, block):
+    """Pairs of blocks against brute force, with groups and lists cut into small ones."""
+    monkeypatch.setattr(jaccard_join, "MEMBERS", members)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rng = random.Random(9)
     base = [f"w{k}" for k in range(90)]
     rows = []
