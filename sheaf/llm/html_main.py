@@ -1,20 +1,24 @@
 """HTML extraction: the main text of a page from its flat text blocks, by a small decision tree.
 
-A page is read once from left to right into blocks: runs of text between block-level tags, each with its word count, the
-share of its words inside links, and its zone (inside an article, inside a menu, form, notice or the like, or neither, by
-the names, classes and ids of the elements around it).  A decision tree over these numbers of a block and of the blocks
-before and after it says which blocks are main text.  The tree is grown from ``blocks_labelled.TABLE``, a few dozen rows.
+A page is read from left to right into blocks: runs of text between block-level tags.  A block is described by its word
+count and the share of its words inside links, by those of its neighbours, by the longest block two places around, by
+whether it is a heading, and by its zone: what the tags, classes and ids of the elements around it say (inside an article,
+beside it, or nothing).  A decision tree over these numbers says which blocks are main text.  It is grown from a small
+labelled table: the blocks of the sketches in blocks_labelled.py.
 
 Scripts, styles, comments and markup never are text.  Character references are decoded, white space in a block becomes
 one space, and kept blocks are joined by one line feed.  Unclosed and stray tags are tolerated; an element that is closed
-closes all that are open inside it.  A null or empty page gives an empty text.  Every input row gives one row, repeated
-rows too; columns other than page_id, url and html aren't read.  An empty table gives an empty result.
+closes all that are open inside it.  Pages of any length take time in proportion to it, whatever is left open.  A null or
+empty page gives an empty text.  Every input row gives one row, repeated rows too; columns other than page_id, url and
+html aren't read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -22,22 +26,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm.blocks_labelled import TABLE
+from sheaf.llm.blocks_labelled import SKETCHES
 from sheaf.llm.words import map_texts
 
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-_BLOCKS = "|".join(sorted(BLOCK))
-# a head or svg without its end runs no further than the first block, a self-closing svg no further than its tag
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
-    rf"""|<(?P<head>head)(?=[\s>])[^>]*>(?:(?>[^<]+|<!--.*?-->|<(?P<inner>script|style|noscript|template|title)\b[^>]*>.*?</(?P=inner)\s*>|<(?!/head\s*>|(?:{_BLOCKS})[\s/>])))*+</head\s*>"""
-    rf"""|<(?P<svg>svg)\b(?:[^>]*/>|[^>]*>(?:(?>[^<]+|<!--.*?-->|<(?P<held>script|style|title|foreignobject)\b[^>]*>.*?</(?P=held)\s*>|<(?!/svg\s*>|/?(?:{_BLOCKS})[\s/>])))*+(?:</svg\s*>)?)"""
-    r"""|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<attributes>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<close2>/?)(?P<tag2>[a-z][^\s/>]*)(?P<attributes2>[^>]*)>|<[!?/][^>]*>""",
-    re.I | re.S,
-)
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose content isn't markup, and those of them that hold text of another kind where they are left open.
+RAW = set("script style noscript template iframe textarea select title foreignobject".split())
+OPEN_RAW = set("script style textarea".split())
+_NAME = re.compile(r"(/?)([a-z][^\s/>]*)", re.I)
+_QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = set("nav footer aside form header menu dialog button fieldset search".split())
 LOOSE = set("form fieldset".split())
@@ -46,6 +47,7 @@ ASIDE_WORDS = set(
     "disqus footer form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted "
     "related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar widget".split()
 )
+READER_WORDS = set("comment comments discussion disqus replies".split())
 ARTICLE_WORDS = set("article articlebody content entry main maincontent post postbody prose story text".split())
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -57,121 +59,194 @@ class Block:
     words: int
     link: float  # share of words inside links
     zone: int  # 1: in an article, -1: in something beside it, 0: neither
+    heading: int  # whether it is one
 
 
-@dataclass
+def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """The tags of a page: (from, to, name, whether it closes, attributes); the name is empty for comments and the like.
+
+    A raw element is one tag from its start to its end.  Each character is looked at a bounded number of times: where quotes
+    in a tag don't pair up, none do from there on; what has no end runs to the end of the page, or is left out if that
+    would take text with it.
+    """
+    at, quotes, ends = page.find("<"), True, {}
+    last = page.rfind(">")
+    while 0 <= at < last:
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            stop = len(page) if stop < 0 else stop + 3
+            yield at, stop, "", False, ""
+        elif (m := _NAME.match(page, at + 1)) is None:
+            stop = at + 1
+            if page[at + 1] in "!?/":
+                stop = page.index(">", at) + 1
+                yield at, stop, "", False, ""
+        else:
+            closes, name, stop = bool(m[1]), m[2].lower(), 0
+            if quotes:
+                whole = _QUOTED.match(page, m.end())
+                quotes, stop = whole is not None, whole.end() if whole else 0
+            stop = stop or page.index(">", m.end() - 1) + 1
+            first, attributes = stop, page[m.end() : stop - 1]
+            if name in RAW and not closes and ends.get(name, 0) >= 0:
+                close = re.compile(rf"</{name}\s*>", re.I).search(page, stop)
+                ends[name] = close.start() if close else -1
+                if close:
+                    stop = close.end()
+                elif name in OPEN_RAW:
+                    stop = len(page)
+            elif name in OPEN_RAW and not closes:
+                stop = len(page)
+            yield at, stop, name, closes, "" if stop > first else attributes
+        at = page.find("<", stop)
+
+
+@dataclass(frozen=True)
 class Place:
-    """Where an element lies: its zone, the outermost element around it that only its name or a form sets aside, and whether a tag does."""
+    """Where an element lies: its zone, and whether a tag and not only a name or a form sets it aside."""
 
     zone: int = 0
-    outer: int = -1
     firm: bool = False
 
 
-def _place(tag: str, attributes: str, around: Place, at: int, passed: set[int]) -> Place:
-    """The place of the element that begins at a character of the page; elements in ``passed`` set nothing aside."""
-    if tag in ASIDE and tag not in LOOSE and not (tag == "header" and around.zone > 0):
-        return Place(-1, around.outer, True)
-    if around.firm:
-        return around
+@lru_cache(4096)
+def _named(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is set aside by its name or as a form, whether its name says that it is an article, and whether readers wrote it."""
     names = set()
     if attributes and tag not in ("html", "head", "body"):
         names = {p.lower() for m in _NAMES.findall(attributes) for p in _PARTS.findall("".join(m))}
+    return tag in LOOSE or bool(names & ASIDE_WORDS), bool(names & ARTICLE_WORDS), bool(names & READER_WORDS)
+
+
+def _place(tag: str, named: tuple[bool, bool, bool], around: Place) -> Place:
+    """The place of an element inside another."""
+    if tag in ASIDE and tag not in LOOSE and not (tag == "header" and around.zone > 0):
+        return Place(-1, True)
+    if around.firm or tag == "header":
+        return around
     if tag == "main" or tag == "article" and around.zone >= 0:
-        return Place(1, around.outer)
-    if tag == "article" and not names & ASIDE_WORDS:
-        return Place(0, around.outer)  # inside something set aside by its name only: the tree decides
+        return Place(1)
+    if tag == "article" and not named[0]:
+        return Place(0)  # inside something set aside by its name only: the tree decides
     if around.zone < 0:
         return around
-    if (tag in LOOSE or names & ASIDE_WORDS) and at not in passed:
-        return Place(-1, at if around.outer < 0 else around.outer)
-    return Place(1, around.outer) if names & ARTICLE_WORDS else around
+    if named[0]:
+        return Place(-1, named[2])
+    return Place(1) if named[1] else around
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page.
 
     What is set aside by its name only, or as a form, but holds more than half of the words outside links, with no article
-    outside it, is a wrapper of the page and passed over.
+    outside it, is a wrapper of the page and passed over.  Such elements lie inside each other, so it takes three readings
+    to tell which: one for the words, one with all of them passed over, and the last.
     """
-    passed: set[int] = set()
-    while True:
-        found, outer = _blocks(page, passed)
-        free = [b.words * (1 - b.link) for b in found]
-        inside: dict[int, float] = {}
-        for n, o in zip(free, outer, strict=True):
-            inside[o] = inside.get(o, 0.0) + n
-        most = max((o for o in inside if o >= 0), key=lambda o: inside[o], default=-1)
-        if most < 0 or 2 * inside[most] <= sum(free) or any(b.zone > 0 and o != most for b, o in zip(found, outer, strict=True)):
-            return found
-        passed.add(most)
-
-
-def _blocks(page: str, passed: set[int]) -> tuple[list[Block], list[int]]:
+    found, _, sums = _blocks(page, frozenset())
+    half = sum(b.words * (1 - b.link) for b in found) / 2
+    chain = sorted(start for start, words in sums.items() if words > half)
+    if chain:
+        found, depths, _ = _blocks(page, frozenset(chain))
+        outside = min((d for b, d in zip(found, depths, strict=True) if b.zone > 0), default=len(chain))
+        if outside < len(chain):
+            found, _, _ = _blocks(page, frozenset(chain[:outside]))
+    return found
+
+
+def _blocks(page: str, passed: frozenset[int]) -> tuple[list[Block], list[int], dict[int, float]]:
+    """Blocks, how many elements of ``passed`` each lies in, and the words outside links of what a name or form sets aside."""
     found: list[Block] = []
-    outer: list[int] = []
-    open_: list[tuple[str, Place]] = []
-    here, links, parts = Place(), 0, []
+    depths: list[int] = []
+    sums: dict[int, float] = {}
+    open_: list[tuple[str, Place, int, float]] = []  # tag, place, where it starts if a name or form sets it aside, words so far
+    here, links, headings, depth, free, parts = Place(), 0, 0, 0, 0.0, []
+    quiet = ""  # inside a head or an svg that no block has ended yet
 
     def text(a: int, b: int) -> None:
-        if a < b:
+        if a < b and not quiet:
             parts.append((page[a:b], links > 0))
 
     def flush() -> None:
+        nonlocal free
         if not parts:
             return
         words = html.unescape("".join([t for t, _ in parts])).split()
         if words:
             linked = sum(len(html.unescape(t).split()) for t, inside in parts if inside)
-            found.append(Block(" ".join(words), len(words), min(1.0, linked / len(words)), here.zone))
-            outer.append(here.outer)
+            found.append(Block(" ".join(words), len(words), min(1.0, linked / len(words)), here.zone, int(headings > 0)))
+            depths.append(depth)
+            free += found[-1].words * (1 - found[-1].link)
         parts.clear()
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        text(at, m.start())
-        at = m.end()
-        raw, closing, tag, attributes = m[1] or m["head"] or m["svg"], m["close"] or m["close2"], m["tag"] or m["tag2"], m["attributes"] or m["attributes2"]
-        if tag is None:
-            if raw and raw.lower() not in ("noscript", "template", "svg"):
+    def leave(k: int) -> Place:
+        nonlocal links, headings, depth
+        while len(open_) > k:
+            tag, _, start, before = open_.pop()
+            links -= tag == "a"
+            headings -= tag in HEADINGS
+            if start >= 0:
+                depth -= start in passed
+                sums[start] = free - before
+        return open_[-1][1] if open_ else Place()
+
+    at, counts = 0, Counter()
+    for start, stop, tag, closes, attributes in markup(page):
+        text(at, start)
+        at = stop
+        if tag in RAW:
+            if tag not in ("noscript", "template") and not closes:
                 flush()
-            continue
-        tag = tag.lower()
-        if tag == "br":
+        elif tag == "br":
             parts.append((" ", links > 0))
-            continue
-        if tag in VOID and tag != "hr":
-            continue
-        if tag in BLOCK:
-            flush()
-        if closing:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == tag:
-                    links -= sum(t == "a" for t, _ in open_[k:])
-                    del open_[k:]
-                    here = open_[-1][1] if open_ else Place()
-                    break
-        elif tag not in VOID:
-            if tag in ("p", "li", "td", "tr", "dd", "dt", "option") and open_ and open_[-1][0] == tag:  # closed by the next
-                open_.pop()
-                here = open_[-1][1] if open_ else Place()
-            if tag == "a":
-                links += 1
-            here = _place(tag, attributes, here, m.start(), passed)
-            open_.append((tag, here))
+        elif tag in ("head", "svg"):
+            if closes:
+                quiet = "" if quiet == tag else quiet
+            elif not attributes.endswith("/"):
+                quiet = quiet or tag
+        elif tag and (tag not in VOID or tag == "hr"):
+            if tag in BLOCK:
+                quiet = ""
+                flush()
+            if closes:
+                if counts[tag]:
+                    k = len(open_) - 1
+                    while open_[k][0] != tag:
+                        k -= 1
+                    counts.subtract(t for t, *_ in open_[k:])
+                    here = leave(k)
+            elif tag not in VOID and not quiet:
+                if tag in ("p", "li", "td", "tr", "dd", "dt", "option") and open_ and open_[-1][0] == tag:  # closed by the next
+                    counts[tag] -= 1
+                    here = leave(len(open_) - 1)
+                links += tag == "a"
+                headings += tag in HEADINGS
+                named = _named(tag, attributes)
+                own = start if named[0] and not here.firm else -1
+                if own in passed:
+                    named = (False, named[1], False)
+                    depth += 1
+                here = _place(tag, named, here)
+                open_.append((tag, here, own, free))
+                counts[tag] += 1
     text(at, len(page))
     flush()
-    return found, outer
+    leave(0)
+    return found, depths, sums
 
 
-FEATURES = ("zone", "words", "link", "words_before", "link_before", "words_after", "link_after")
+FEATURES = ("words", "link", "words_before", "link_before", "words_after", "link_after", "around", "heading", "zone")
 
 
 def features(found: list[Block]) -> np.ndarray:
-    own = np.array([(b.words, b.link) for b in found], float).reshape(len(found), 2)
-    edge = np.zeros((1, 2))
-    zone = np.array([[b.zone] for b in found], float).reshape(len(found), 1)
-    return np.hstack([zone, own, np.vstack([edge, own[:-1]]), np.vstack([own[1:], edge])]) if found else np.zeros((0, 7))
+    """A row for each block: words and link share of it and of its neighbours, the most words outside links of any block
+    two places around, and what its elements say."""
+    n = len(found)
+    own = np.zeros((n + 4, 2))
+    own[2 : n + 2] = np.array([(b.words, b.link) for b in found], float).reshape(n, 2)
+    free = own[:, 0] * (1 - own[:, 1])
+    around = np.max([free[0:n], free[1 : n + 1], free[3 : n + 3], free[4 : n + 4]], axis=0) if n else np.zeros(0)
+    said = np.array([(b.heading, b.zone) for b in found], float).reshape(n, 2)
+    return np.column_stack([own[2 : n + 2], own[1 : n + 1], own[3 : n + 3], around, said])
 
 
 @dataclass
@@ -212,10 +287,19 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Node:
     return node
 
 
+def labelled_rows() -> tuple[np.ndarray, np.ndarray]:
+    """The small labelled table: features of the blocks of all sketches, and whether they are main text."""
+    rows, labels = [], []
+    for sketch in SKETCHES:
+        found = blocks(re.sub(r"([+-])(\d+)", lambda m: " ".join([{"+": "kept", "-": "left"}[m[1]]] * int(m[2])), sketch))
+        rows.append(features(found))
+        labels += [b.text.startswith("kept") for b in found]
+    return np.vstack(rows), np.array(labels, float)
+
+
 @lru_cache(1)
 def tree() -> Node:
-    rows = np.array([[float(v) for v in line.split()] for line in TABLE.strip().splitlines() if not line.startswith("#")])
-    return grow(rows[:, 1:], rows[:, 0])
+    return grow(*labelled_rows())
 
 
 def main_text(page: str | None) -> str:

@@ -245,6 +245,58 @@ def test_html_extraction_keeps_whole_articles():
     assert text(f"<article>{body}</article>{comments * 9}") == want
 
 
+#: Pages that the tree wasn't grown from; +60 stands for 60 words of main text, -3 for three that aren't.
+PAGES = [
+    "<nav><ul><li><a>-1</a></li><li><a>-1</a></li></ul></nav><div class=ad>-9</div><article><h1>+14</h1><p><b>+80<br><p>+22</p><p>+3</p><p>+17</p><p>+1</p></article><footer>-13</footer>",
+    "<body><div class='wrap has-sidebar'><header id=masthead><a>-3</a><nav><a>-1</a><a>-2</a></nav></header><div id=primary><main><article><header class=entry-header><h1>+6</h1></header><p>+55</p><h2>+3</h2><p>+31</p><ol><li>+5<li>+8</ol><p>+64</p></article><section class=comments-area><article><p>-3</p><p>-29</p></article></section></main></div><aside id=secondary><p>-18</p><a>-4</a></aside></div>",
+    "<p><a>-1</a> | <a>-2</a> | <a>-1</a></p><h2>+7</h2><p>+47</p><p>+19</p><p>+82</p><p>+35</p><p><a>-2</a> <a>-3</a></p>",
+    "<div><a>-1</a> <a>-1</a> <a>-1</a></div><h1>+5</h1><div>+66</div><div>+12</div><div>+104</div><div>+40</div><div>-4 <a>-2</a> <a>-2</a></div>",
+    "<div class=topnav><ul><li><a>-1</a><li><a>-1</a></ul></div><div class=article-body><h1>+8</h1><p>+30<a>+2</a>+14</p><div class=advert>-16</div><p>+26</p><blockquote>+19</blockquote><p>+9</p></div><div class=related-posts><ul><li><a>-7</a><li><a>-6</a></ul></div><div id=disqus_thread><p>-25</p></div>",
+    "<form id=aspnetForm><div id=nav><a>-1</a><a>-1</a></div><div id=content><h1>+4</h1><p>+75</p><p>+38</p><p>+6</p></div><div id=footer>-9</div></form>",
+    "<dialog open><p>-21</p></dialog><main><h1>+3</h1><p>+12</p><p>+5</p><p>+88</p><section class=share-buttons><a>-1</a><a>-1</a></section></main><footer><p>-6</p><ul><li><a>-1</a><li><a>-2</a></ul></footer>",
+    "<h1>+6</h1><p>+29</p><p>+51</p><h3>+2</h3><p>+16</p><p>+70</p><ul><li><a>-4</a><li><a>-6</a><li><a>-5</a></ul>",
+    "<table><tr><td class=menu><a>-1</a><br><a>-2</a></td><td><h2>+4</h2><p>+45</p><p>+93</p><p>+21</p></td></tr></table><center><a>-1</a> <a>-1</a></center>",
+    "<header><a>-2</a></header><article><h1>+10</h1><figure><figcaption>+7</figcaption></figure><p>+42</p><ul><li><a>-5</a><li><a>-8</a></ul><p>+37</p><p>+2</p></article><div class=newsletter-signup><p>-14</p><form><button>-2</button></form></div><footer>-20</footer>",
+    "<div class=cookie-notice>-24</div><div role=main><h1>+5</h1><p>+18</p><table><tr><th>+1<th>+2<tr><td>+3<td>+1</table><p>+49</p></div><div role=navigation><a>-2</a><a>-2</a></div>",
+    "<ul><li><a>-2</a><li><a>-3</a><li><a>-2</a></ul><p>-3</p><ul><li><a>-4</a><li><a>-2</a></ul>",
+    "<main><article><h1>+2</h1><p>+4</p></article></main><footer class=site-footer><p>-30</p></footer>",
+    "<section class=story><h1>+12</h1><p>+33</p><p>+58</p><aside><h4>-3</h4><p>-40</p></aside><p>+61</p><footer>-5</footer></section><section id=respond><p>-12</p></section>",
+]
+
+
+def test_html_blocks_of_other_pages():
+    kept = left = missed = 0
+    for page in PAGES:
+        found = html_main.blocks(re.sub(r"([+-])(\d+)", lambda m: " ".join([{"+": "kept", "-": "left"}[m[1]]] * int(m[2])), page))
+        said = html_main.tree().predict(html_main.features(found)) >= 0.5
+        label = np.array([b.text.startswith("kept") for b in found])
+        kept, left, missed = kept + (said & label).sum(), left + (said & ~label).sum(), missed + (~said & label).sum()
+    assert 2 * kept / (2 * kept + left + missed) >= 0.95
+
+
+def test_html_features_against_brute_force():
+    page = "<h1>a b</h1><p>one <a>two</a> three</p><ul class=menu><li><a>x y</a><li>z</ul><article><p>" + "w " * 9 + "</article>"
+    found = html_main.blocks(page)
+    own = [(2, 0.0), (3, 1 / 3), (2, 1.0), (1, 0.0), (9, 0.0)]
+    at = lambda k: own[k] if 0 <= k < 5 else (0, 0.0)
+    free = lambda k: at(k)[0] * (1 - at(k)[1])
+    want = [[*at(k), *at(k - 1), *at(k + 1), max(free(k + j) for j in (-2, -1, 1, 2)), int(k == 0), [0, 0, -1, -1, 1][k]] for k in range(5)]
+    assert np.allclose(html_main.features(found), want) and html_main.features([]).shape == (0, 9)
+
+
+def test_html_of_odd_markup():
+    import time
+
+    text = html_main.main_text
+    words = "word " * 39 + "word"
+    began = time.time()
+    for odd in ("<a ", '<a ">" ', "<noscript>", "<svg>", "<!--", "<div class=ad>", "<p", "</b>", "<b>", "<form><table>", '<a href="', "<a b='>"):
+        assert isinstance(text(odd * (200_000 // len(odd)) + f"<p>{words}</p>"), str)
+    assert time.time() - began < 20
+    assert text(f"<noscript><p>{words}</p>") == words and text(f"a < b <article><p>{words}</article>").endswith(words)
+    assert text(f"<article><p title='a>b'>{words}</p><p title=\"it's\">{words}</p></article>") == f"{words}\n{words}"
+
+
 def labelled(bad, seed, n=160):
     rng = random.Random(seed)
     clean = lambda: [rng.choice(["sun", "moon", "river", "stone", "green"]) + str(rng.randrange(99)) for _ in range(rng.randrange(5, 80))]
