@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with the ranks of a public vocabulary.
 
 A text is cut by the vocabulary's pattern and each match (a piece) is encoded separately.  A piece that is a vocabulary
-entry is that entry.  All other distinct pieces of a slice are encoded together in numpy: each has a segment tree over
-its byte positions whose leaves hold the rank of the pair that starts there and whose nodes hold the leftmost minimum.
+entry is that entry.  All other distinct pieces of a slice are encoded together in numpy (if there are but a few of a
+size, one by one in plain numbers): each has a segment tree over its byte positions whose leaves hold the rank of the pair that starts there and whose nodes hold the leftmost minimum.
 The root names the next merge; a merge unlinks the right part and updates the leaves of the merged part and of its
 nearest live neighbour on the left, each in a logarithmic number of steps, so a piece of n bytes takes O(n log n).
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,6 +30,8 @@ from sheaf.llm.words import map_texts
 CACHE_PIECES = 80_000
 #: Byte positions of the trees that are worked on at once.
 TREE_CELLS = 1 << 15
+#: Pieces of one size class that are worked on one by one if there are no more.
+FEW = 24
 _NONE = np.int64(2**62)
 
 
@@ -97,10 +99,56 @@ class Codec:
             step = max(1, TREE_CELLS >> depth)
             for k in range(0, len(members), step):
                 part = members[k : k + step]
-                for i, ids in zip(part, self._merge([pieces[i] for i in part], depth), strict=True):
+                if len(part) < FEW:  # a call of numpy for each level and merge costs more than it saves
+                    found = [self._merge_alone(pieces[i], depth) for i in part]
+                else:
+                    found = self._merge([pieces[i] for i in part], depth)
+                for i, ids in zip(part, found, strict=True):
                     out[i] = ids
         return out
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.values.tolist(), strict=True))
+
+    def _merge_alone(self, piece: bytes, depth: int) -> tuple[int, ...]:
+        """The same tree for one piece, in plain numbers: what a merge changes is followed upwards as far as it changes anything."""
+        n, width, none, rank = len(piece), 1 << depth, int(_NONE), self.pairs.get
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        tree = [none] * (2 * width)
+        for k in range(n - 1):
+            r = rank(ids[k] << 32 | ids[k + 1])
+            if r is not None:
+                tree[width + k] = r * width + k
+        for node in range(width - 1, 0, -1):
+            a, b = tree[2 * node], tree[2 * node + 1]
+            tree[node] = a if a < b else b
+
+        def update(at: int, value: int) -> None:
+            node = width + at
+            while node and tree[node] != value:
+                tree[node] = value
+                other = tree[node ^ 1]
+                value = value if value < other else other
+                node >>= 1
+
+        while tree[1] != none:
+            at, merged = tree[1] & (width - 1), tree[1] >> depth
+            right = after[at]
+            follow = after[right]
+            ids[at], ids[right], after[at] = merged, -1, follow
+            update(right, none)
+            r = None
+            if follow < n:
+                before[follow] = at
+                r = rank(merged << 32 | ids[follow])
+            update(at, none if r is None else r * width + at)
+            if (prev := before[at]) >= 0:
+                r = rank(ids[prev] << 32 | merged)
+                update(prev, none if r is None else r * width + prev)
+        return tuple([i for i in ids if i >= 0])
+
     def _merge(self, pieces: list[bytes], depth: int) -> list[tuple[int, ...]]:
         rows, width = len(pieces), 1 << depth
         sizes = np.array([len(p) for p in pieces])

@@ -336,7 +336,7 @@ def test_quality_classifier_held_out():
     assert ((quality_classifier.margins(pa.array([text(q) for q in labels], pa.large_string()), model) >= 0) == np.array(labels)).all()
 
 
-def test_byte_bpe(documents):
+def test_byte_bpe(documents, monkeypatch):
     import public_tokenizers as P
     import tiktoken
 
@@ -350,6 +350,11 @@ def test_byte_bpe(documents):
     odd = ["a  b", "a   b", "\n \n x", "it's  'll\n'd", " x ", "ab" * 700, "é" * 300, "<|endoftext|>", "\x00\x1f", "🎉🎉 z"]
     assert [bpe.codec(path).encode(t) for t in odd] == [own.encode_ordinary(t) for t in odd]
     assert [x[0] for x in bpe._many(odd, path, P.PATTERN)] == [" ".join(map(str, own.encode_ordinary(t))) for t in odd]
+    rng = random.Random(4)
+    long = ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (300, 5000, 100_000)]
+    assert bpe.codec(path).encode_pieces([t.encode() for t in long]) == [tuple(own.encode_ordinary(t)) for t in long]
+    monkeypatch.setattr(bpe, "FEW", 0)
+    assert [bpe.codec(path).encode(t) for t in [*odd, long[0]]] == [own.encode_ordinary(t) for t in [*odd, long[0]]]
     both = bpe.decode_column(bpe.encode_column(documents))
     assert both.filter("coalesce(text, '') <> decoded").count() == 0
 
