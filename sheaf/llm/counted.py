@@ -16,7 +16,7 @@ from sheaf.llm import shared
 from sheaf.llm.words import slices
 
 #: Hashes that a task sorts before it ships them.
-RUN = 3_000_000
+RUN = 2_000_000
 
 
 def packed(h: np.ndarray, ranges: int) -> np.ndarray:

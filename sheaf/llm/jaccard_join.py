@@ -29,6 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ from sheaf.llm.words import Rolling, slices, words_of
 SHINGLE, PERCENT = 5, 80
 #: Classes of a group that are handled as one, and of a block of a list, on average.
 MEMBERS, BLOCK = 64, 256
+#: Hashes of a file of sets, and files of a task at most.
+FILE, FILES = 1 << 20, 1 << 16
 #: Hashes of sets, and columns of a table of them, that a task compares at once.
 HASHES, COLUMNS = 1 << 20, 1 << 13
 
@@ -103,17 +106,34 @@ def _prefixes(counts: Counts):
 
 
 def _store(folder: str):
-    """Writes the sets of a shard of classes to a file; the id of a class is its shard and its place there."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        table = table.sort_by([("high", "ascending"), ("low", "ascending")])  # the same ids in each attempt
-        sets = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
-        firsts = [np.array(x, np.int64).view(np.uint64) for x in table["prefix"].to_pylist()]
-        ends = lambda parts: np.concatenate([[0], np.cumsum([len(s) for s in parts])]).astype(np.int64)
-        shared.save(folder, f"sets-{shard:06d}", {"ends": ends(sets), "tokens": np.concatenate(sets), "prefix_ends": ends(firsts), "prefix": np.concatenate(firsts)})
-        ids = pa.array((np.int64(shard) << 32) + np.arange(len(sets)))
-        return table.select(["high", "low", "least", "n", "sign", "prefix"]).append_column("class", ids)
+    """Writes the sets of a partition's classes to files of about FILE hashes; the id of a class is its file and its place there."""
+
+    def run(batches):
+        task, files = TaskContext.get().partitionId(), 0
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal files, size
+            table = pa.Table.from_batches(held)
+            sets = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
+            firsts = [np.array(x, np.int64).view(np.uint64) for x in table["prefix"].to_pylist()]
+            ends = lambda parts: np.concatenate([[0], np.cumsum([len(s) for s in parts])]).astype(np.int64)
+            number = task * FILES + files
+            shared.save(folder, f"sets-{number}", {"ends": ends(sets), "tokens": np.concatenate(sets), "prefix_ends": ends(firsts), "prefix": np.concatenate(firsts)})
+            ids = pa.array((np.int64(number) << 24) + np.arange(len(sets)))
+            held.clear()
+            files, size = files + 1, 0
+            return table.select(["high", "low", "least", "n", "sign", "prefix"]).append_column("class", ids).combine_chunks().to_batches()[0]
+
+        for batch in batches:
+            for piece in slices(batch, "tokens", 8 * FILE):
+                held.append(piece)
+                size += piece.column("tokens").nbytes // 8
+                if size >= FILE or sum(x.num_rows for x in held) >= 1 << 23:
+                    yield flush()
+        if held:
+            yield flush()
 
     return run
 
@@ -122,8 +142,8 @@ def _loader(folder: str, ends: str = "ends", values: str = "tokens"):
     """The set of a class, or its prefix: ascending hashes."""
 
     def load(c: int) -> np.ndarray:
-        arrays = shared.load(f"{folder}/sets-{c >> 32:06d}", 1024)
-        at = c & (2**32 - 1)
+        arrays = shared.load(f"{folder}/sets-{c >> 24}", 1024)
+        at = c & (2**24 - 1)
         return arrays[values][arrays[ends][at] : arrays[ends][at + 1]]
 
     return load
@@ -279,28 +299,33 @@ def _links(stored: DataFrame, folder: str, percent: int) -> DataFrame:
     units = shared.table(units.select("unit", "n", "prefix", "members"), folder, "units")
     members = units.select("unit", "n", F.explode("members").alias("class"))
 
-    listed = units.select("unit", "n", _band(F.col("n"), percent).alias("band"), F.explode("prefix").alias("token"))
-    lists = listed.withColumn("guest", F.lit(False)).unionByName(listed.withColumns({"band": F.col("band") - 1, "guest": F.lit(True)}))
-    near = lambda a, b: (100 * a >= percent * b) & (100 * b >= percent * a)
+    def lists(table: DataFrame, *columns: str) -> DataFrame:
+        """A row for each group and hash of its prefix, in the list of its band and, as a guest, in that of the band below."""
+        own = F.struct(_band(F.col("n"), percent).alias("band"), F.lit(False).alias("guest"))
+        below = F.struct((_band(F.col("n"), percent) - 1).alias("band"), F.lit(True).alias("guest"))
+        return table.select(*columns, F.explode(F.array(own, below)).alias("list"), "prefix").select(*columns, "list.*", F.explode("prefix").alias("token"))
 
-    lead = listed.groupBy("token", "band").agg(F.min(F.struct("unit", "n")).alias("lead"))
-    pairs = lists.join(lead, ["token", "band"]).filter(near(F.col("n"), F.col("lead.n"))).select(F.col("lead.unit").alias("u"), "unit").distinct()
+    near = lambda a, b: (100 * a >= percent * b) & (100 * b >= percent * a)
+    every = lists(units, "unit", "n")
+    lead = every.filter("NOT guest").groupBy("token", "band").agg(F.min(F.struct("unit", "n")).alias("lead"))
+    pairs = every.join(lead, ["token", "band"]).filter(near(F.col("n"), F.col("lead.n"))).select(F.col("lead.unit").alias("u"), "unit").distinct()
     pairs = pairs.join(members.select("unit", F.col("class").alias("v")), "unit").filter("u <> v").select("u", "v")
     links = shared.table(pairs.repartition("u", "v").mapInArrow(_verify(folder, percent), "u long, v long"), folder, "links-0")
     found = components(links, folder, "first")
 
     # a group's component; below 0, and its own, where its members lie in several
     rooted = members.join(found.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    state = rooted.groupBy("unit").agg(F.when(F.min("root") == F.max("root"), F.min("root")).otherwise(-1 - F.col("unit")).alias("root"), F.array_sort(F.collect_list("class")).alias("members"))
-    entries = shared.table(lists.join(state, "unit"), folder, "entries")
-    parts = entries.groupBy("token", "band", "root").agg(F.sum(F.size("members")).alias("size"), F.bool_or(~F.col("guest")).alias("home"))
+    state = rooted.groupBy("unit").agg(F.when(F.min("root") == F.max("root"), F.min("root")).otherwise(-1 - F.col("unit")).alias("root"))
+    placed = shared.table(units.join(state, "unit").withColumn("size", F.size("members")), folder, "placed")
+    parts = lists(placed, "root", "size").groupBy("token", "band", "root").agg(F.sum("size").alias("size"), F.bool_or(~F.col("guest")).alias("home"))
     whole = parts.groupBy("token", "band").agg(
         F.count("*").alias("roots"), F.bool_or("home").alias("home"), F.min("root").alias("least"), F.sum("size").alias("size"), F.max_by(F.struct("root", "size"), F.struct("size", "root")).alias("top")
     )
-    several = whole.filter("home AND (roots > 1 OR least < 0)").select("token", "band", "size", "top")
+    several = whole.filter("home AND (roots > 1 OR least < 0)").select("token", "band", F.col("size").alias("all"), "top")
     main = (F.col("root") == F.col("top.root")) & (F.col("root") >= 0)
-    count = F.when(F.col("main"), F.col("top.size")).when(F.col("top.root") >= 0, F.col("size") - F.col("top.size")).otherwise(F.col("size"))
-    cut = entries.join(several, ["token", "band"]).withColumn("main", main).withColumn("block", F.pmod(F.xxhash64("unit"), F.ceil(count / BLOCK)))
+    count = F.when(F.col("main"), F.col("top.size")).when(F.col("top.root") >= 0, F.col("all") - F.col("top.size")).otherwise(F.col("all"))
+    cut = lists(placed, "unit", "root").join(several, ["token", "band"]).withColumn("main", main).withColumn("block", F.pmod(F.xxhash64("unit"), F.ceil(count / BLOCK)))
+    cut = cut.select("token", "band", "main", "block", "unit", "guest").join(placed.select("unit", "n", "root", "members"), "unit")
     blocks = cut.groupBy("token", "band", "main", "block").agg(F.array_sort(F.collect_list(F.struct("unit", "n", "root", "guest", "members"))).alias("units"))
     blocks = shared.table(blocks, folder, "blocks")
     side = lambda s: blocks.select("token", "band", *[F.col(c).alias(f"{c}_{s}") for c in ("main", "block", "units")])
@@ -327,8 +352,9 @@ def _labelled(documents: DataFrame, percent: int) -> DataFrame:
     maybe = docs.filter(F.col("sign").isNotNull())
     # equal sets meet before the shuffle, so the copies of a text are one row a task
     classes = maybe.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("sign").alias("sign"), F.min("prefix").alias("prefix"), F.min("tokens").alias("tokens"))
-    stored = classes.withColumn("shard", F.pmod(F.col("high"), F.lit(shards))).groupBy("shard").applyInArrow(_store(folder), "high long, low long, least long, n int, sign long, prefix array<long>, class long")
-    stored = shared.table(stored, folder, "classes")
+    # in one order, so that a task that runs again gives the same ids
+    stored = classes.select("high", "low", "least", "n", "sign", "prefix", "tokens").sortWithinPartitions("high", "low")
+    stored = shared.table(stored.mapInArrow(_store(folder), "high long, low long, least long, n int, sign long, prefix array<long>, class long"), folder, "classes")
 
     final = _links(stored, folder, percent).withColumnRenamed("node", "class")
     named = stored.select("high", "low", "least", "class").join(final, "class", "left").withColumn("root", F.coalesce("root", "class"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,20 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
+@lru_cache(1)
+def _trim() -> Callable[[int], int] | None:
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives memory that isn't used any more back to the system, where the C library can: a worker lives longer than a task."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose texts hold about ``size`` bytes."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -69,6 +84,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
         stop = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
         yield batch.slice(at, stop - at)
         at = stop
+    release()
 
 
 def map_texts(df, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text"):
