@@ -35,7 +35,7 @@ from sheaf.llm.words import Rolling, Words, find_words, mix, slices, text_buffer
 
 WINDOW, GRAM = 35, 11
 #: Owned windows of a shard, on average, and of a passage at most.
-SHARD_WINDOWS, PASSAGE = 40_000, 2_000
+SHARD_WINDOWS, PASSAGE = 20_000, 2_000
 #: Suspect windows that a task gathers before it ships a sorted run.
 RUN = 1_000_000
 
@@ -61,12 +61,12 @@ class Anchored:
         self.anchors = (low[self.at] & np.uint64(2**32 - 1)).astype(np.int64) if len(self.at) else np.zeros(0, np.int64)
 
     def anchor_hashes(self) -> np.ndarray:
-        """The hash of each anchor, once for each place that is one."""
-        return self.grams[np.unique(self.anchors)]
+        """A hash of each anchor, once for each place that is one; least hashes are small, so they are mixed again."""
+        return mix(self.grams[np.unique(self.anchors)])
 
     def suspects(self, counts: Counts) -> np.ndarray:
         """Places of windows whose anchor occurs elsewhere too."""
-        distinct, where = np.unique(self.grams[self.anchors], return_inverse=True)
+        distinct, where = np.unique(mix(self.grams[self.anchors]), return_inverse=True)
         return self.at[(counts.find(distinct) > 1)[where]]
 
     def hashes(self, at: np.ndarray) -> np.ndarray:
@@ -228,12 +228,23 @@ def matched_runs(found: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     return [(a, b, c) for a, b, c in runs]
 
 
+def merged(runs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The words that runs in order of their places cover, as spans apart from each other."""
+    spans: list[list[int]] = []
+    for a, b, _ in runs:
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = b
+        else:
+            spans.append([a, b])
+    return [(a, b) for a, b in spans]
+
+
 def _stream(folder: str):
     """Of runs of words, in order of shards and words, the spans to be removed, on both sides."""
 
     def run(batches):
         matcher = current = arrays = last = None
-        runs: list[tuple[int, int, int]] = []
+        whole: list[tuple[int, int]] = []
         for batch in batches:
             out = []
             for shard, row, place, words in zip(*(batch.column(c).to_pylist() for c in ("shard", "row", "place", "words")), strict=True):
@@ -246,7 +257,8 @@ def _stream(folder: str):
                         k = int(np.searchsorted(arrays["first"], end, "left")) - 1
                         stop = int(arrays["places"][k]) + end - int(arrays["first"][k])
                         out.append((int(arrays["rows"][k]), stop - (b - a), stop))
-                out += [(row, place + a, place + b) for a, b, _ in runs]
+                    whole = merged(runs)
+                out += [(row, place + a, place + b) for a, b in whole]
             yield _spans(out)
 
     return run
@@ -330,7 +342,7 @@ def find_spans(documents: DataFrame) -> Spans:
 
     equal = shared.table(passages.filter("owned").select("shard", "words", "row", "place").groupBy("shard").applyInArrow(_automaton(folder), SPANS), folder, "equal")
     streamed = passages.filter("NOT owned").select("shard", "row", "place", "words")
-    streamed = streamed.repartitionByRange("shard", F.xxhash64("words"), "row", "place").sortWithinPartitions("shard", "words")
+    streamed = streamed.repartitionByRange(max(16, texts.rdd.getNumPartitions()), "shard", F.xxhash64("words"), "row", "place").sortWithinPartitions("shard", "words")
     spans = streamed.mapInArrow(_stream(folder), SPANS).unionByName(equal).distinct()
     parts = spans.withColumn("part", F.pmod("row", F.lit(ranges)).cast("int")).groupBy("part").applyInArrow(_store_spans(folder), "part int").collect()
     kept = np.zeros(ranges, bool)
