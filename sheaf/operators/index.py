@@ -9,14 +9,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as T
+from sheaf.storage import stored
 
 VERSION = 1
+#: The term under which a lookup lists every chunk once; no tokenizer gives an empty one.
+EVERY = ""
 
 
 class IndexFormatError(RuntimeError):
     """A stored index is missing, broken or of another version."""
 
 
+@dataclass
+class Lookup:
+    """What rankers need of an index for some terms."""
+
+    postings: DataFrame  # term, id, tf, dl
+    frequencies: DataFrame  # term, df
+    totals: DataFrame  # one row: n, avgdl, n_tokens
+    ids: DataFrame  # id of each chunk
+
+
+def _totals(n: Column, n_tokens: Column) -> list[Column]:
+    n, n_tokens = F.coalesce(n, F.lit(0)).cast("long"), F.coalesce(n_tokens, F.lit(0)).cast("long")
+    return [n.alias("n"), F.coalesce(n_tokens / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("avgdl"), n_tokens.alias("n_tokens")]
+
+
 @dataclass
 class Index:
     """``chunks`` has the key column ``id`` and the text; ``tokens`` one row a chunk with its tokens.
@@ -38,21 +56,42 @@ class Index:
         """(term, id, tf, dl), of the given terms only if there are some."""
         if self.stored:
             found = self.tokens.sparkSession.read.parquet(f"{self.stored}/postings")
-            return found.join(F.broadcast(terms), "term", "left_semi") if terms is not None else found
+            return found.join(terms.select("term").distinct(), "term", "left_semi") if terms is not None else found
         wide = self.tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
         if terms is not None:
-            wide = wide.join(F.broadcast(terms), "term", "left_semi")  # before anything is shuffled
+            wide = wide.join(terms.select("term").distinct(), "term", "left_semi")  # before anything is shuffled
         return wide.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
+    def lookup(self, terms: DataFrame) -> Lookup:
+        """The postings of some terms, stored, and the totals, from one pass over the chunks.
+
+        Chunks meet the terms before anything is shuffled; Spark broadcasts the terms if they are few enough.
+        """
+        if self.stored:
+            found = stored(self.postings(terms), "postings")
+            ids, totals = self.tokens.select("id"), self.totals()
+        else:
+            words = F.concat(F.array(F.lit(EVERY)), F.coalesce("tokens", F.array().cast("array<string>")))
+            wide = self.tokens.select("id", F.coalesce(F.size("tokens"), F.lit(0)).alias("dl"), F.explode(words).alias("term"))
+            wanted = terms.select("term").unionByName(self.tokens.sparkSession.range(1).select(F.lit(EVERY).alias("term"))).distinct()
+            wide = wide.join(wanted, "term", "left_semi")
+            every = stored(wide.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sum("dl").alias("tokens")), "postings")
+            found = every.filter(F.col("term") != EVERY).drop("tokens")
+            ids = every.filter(F.col("term") == EVERY).select("id")
+            totals = every.filter(F.col("term") == EVERY).agg(*_totals(F.sum("tf"), F.sum("tokens")))
+        return Lookup(found, found.groupBy("term").agg(F.count("*").alias("df")), totals, ids)
+
     def totals(self) -> DataFrame:
         """One row: n chunks, average length, number of tokens."""
         if self.stored:
             return self.tokens.sparkSession.read.parquet(f"{self.stored}/totals")
-        return self.tokens.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("avgdl"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n_tokens"))
+        return self.tokens.agg(*_totals(F.count("*"), F.sum(F.size("tokens"))))
 
     def frequencies(self) -> DataFrame:
-        """(term, df)."""
-        return self.postings().groupBy("term").agg(F.count("*").alias("df"))
+        """(term, df); unless the index is stored, one shuffle of partial counts."""
+        if self.stored:
+            return self.postings().groupBy("term").agg(F.count("*").alias("df"))
+        return self.tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
     def lengths(self) -> DataFrame:
         return self.tokens.select("id", F.size("tokens").alias("dl"))
@@ -93,7 +132,15 @@ class Index:
         return cls(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/tokens"), path)
 
 
-def ordered_fingerprint(key: str, text: str = "text") -> Column:
-    """An aggregate for small corpora: SHA-256 over key and text in the order of keys."""
+def ordered_fingerprint(chunks: DataFrame, key: str, text: str = "text", width: int = 1024, levels: int = 4) -> DataFrame:
+    """One row: an order-dependent digest of (key, text), keys being whole numbers.
+
+    It is a tree: the digest of a run of ``width`` keys is that of its rows' digests in order, and so on for runs of runs, so
+    no task gets more than a run while keys lie below width ** levels, in size.
+    """
     piece = F.concat(F.col(key).cast("string"), F.lit("\0"), F.coalesce(F.col(text), F.lit("")), F.lit("\0"))
-    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), piece.alias("p")))), lambda s: s["p"]), ""), 256)
+    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda s: s["d"]), ""), 256).alias("d")
+    level = chunks.select(F.col(key).cast("long").alias("k"), F.sha2(piece, 256).alias("d"))
+    for _ in range(levels):
+        level = level.groupBy(F.expr(f"k div {width}").alias("run")).agg(digest).withColumnRenamed("run", "k")
+    return level.agg(digest.alias("digest"))

@@ -181,7 +181,11 @@ ORACLES: dict[str, str] = {
     "fingerprint": "WITH h AS (SELECT sha256(doc_id::VARCHAR || chr(0) || coalesce(text, '') || chr(0)) AS x FROM documents) SELECT count(*) AS n_chunks, "
     + ", ".join(f"sum(('0x' || substr(x, {1 + 15 * k}, 15))::UBIGINT)::HUGEINT::VARCHAR AS digest_{k}" for k in range(4))
     + " FROM h",
-    "ordered_digest": "SELECT sha256(string_agg(item_id::VARCHAR || chr(0) || coalesce(text, '') || chr(0), '' ORDER BY item_id)) AS digest FROM benchmark",
+    "ordered_digest": cte(
+        "l0 AS (SELECT doc_id AS k, sha256(doc_id::VARCHAR || chr(0) || coalesce(text, '') || chr(0)) AS d FROM documents)",
+        *[f"l{n + 1} AS (SELECT k // 1024 AS k, sha256(string_agg(d, '' ORDER BY k, d)) AS d FROM l{n} GROUP BY k // 1024)" for n in range(4)],
+    )
+    + "SELECT sha256(coalesce(string_agg(d, '' ORDER BY k, d), '')) AS digest FROM l4",
     "char_ngrams": cte(*base(ONE), "c AS (SELECT term, count(*) AS c FROM w GROUP BY term)", "g AS (SELECT unnest(list_concat(list_transform(range(1, length(term)), lambda i: substring(term, i, 2)), list_transform(range(1, length(term) - 1), lambda i: substring(term, i, 3)))) AS gram, c FROM c)")
     + "SELECT gram, sum(c)::BIGINT AS n FROM g GROUP BY gram",
     "strict_terms": f"SELECT doc_id, len({strict_terms('text')})::BIGINT AS n_terms, md5(array_to_string({strict_terms('text')}, ' ')) AS digest FROM documents",

@@ -16,7 +16,7 @@ from sheaf.operators import ranking as R
 from sheaf.operators.index import Index
 from sheaf.plans.config import Config
 from sheaf.plans.provider import FirstBlock, Provider, SelectAll, ask
-from sheaf.plans.storage import stored
+from sheaf.storage import stored
 
 SELECT = (
     'Select evidence by its ids. Reply with JSON only: {"evidence_ids": ["..."]}. Name every id that you are given, conflicting ones too, '
@@ -60,7 +60,7 @@ class Strict:
         documents = F.when(F.size("plan.documents") > 0, F.col("plan.documents")).otherwise(F.array_compact(F.array(Q.preferred_document(T.normalize(F.col("own"))))))
         named = F.regexp_extract(F.lower("own"), r"หลักสูตร\s+([a-z][a-z0-9_-]*)", 1)
         routed = asked.select("query_id", "facets", documents.alias("wanted"), named.alias("named"))
-        wide = hits.join(routed, "query_id").join(index.chunks.withColumnRenamed("id", "chunk_id").select("chunk_id", "document", "page", "text", "normalized"), F.col("id") == F.col("chunk_id"))
+        wide = hits.join(routed, "query_id").join(index.chunks.withColumnRenamed("id", "chunk_id").select("chunk_id", "document", "page", "text", R.normalized().alias("normalized")), F.col("id") == F.col("chunk_id"))
         known = [F.lit(d) for d in rules.PROGRAMS]
         routes = F.array_contains("wanted", F.col("document")) | (~F.col("document").isin(*known) & F.array_contains("wanted", Q.preferred_document(F.col("normalized"))))
         stem = F.lower(F.regexp_replace("document", r"\.[^.]*$", ""))

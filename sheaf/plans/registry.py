@@ -14,7 +14,7 @@ from sheaf.operators import query as Q
 from sheaf.operators.index import Index, ordered_fingerprint
 from sheaf.plans import fixtures
 from sheaf.plans.profiles import Open, Strict
-from sheaf.plans.storage import shared_folder
+from sheaf.storage import shared_folder
 from sheaf.sources import files
 from sheaf.sources import glyphs as repair_of
 from sheaf.streaming import ingest
@@ -154,7 +154,7 @@ def fingerprint(spark, sf_dir):
 
 @query
 def ordered_digest(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").agg(ordered_fingerprint("item_id").alias("digest"))
+    return ordered_fingerprint(documents(spark, sf_dir), "doc_id")
 
 
 # text
