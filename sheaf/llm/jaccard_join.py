@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -371,27 +372,69 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFram
     return _labelled(documents, percent).select(*ROWS)
 
 
+GOES, REPEATED = 1, 2
+
+
+def _store_fates(folder: str):
+    """Stores what becomes of rows, sorted by the hash of the text and the doc_id."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        part, table = key[0].as_py(), table.append_column("none", pc.is_null(table["doc_id"]))
+        table = table.set_column(table.schema.get_field_index("doc_id"), "doc_id", pc.fill_null(table["doc_id"], 0)).sort_by([(c, "ascending") for c in ("text_hash", "none", "doc_id")])
+        shared.save(folder, f"fates-{part:06d}", {c: table[c].to_numpy() for c in ("text_hash", "none", "doc_id", "fate")})
+        return pa.table({"part": pa.array([part], pa.int32())})
+
+    return run
+
+
+def _fate_is(folder: str, stored: np.ndarray, wanted: int, names: list[str], hidden: tuple[str, str]):
+    """The rows whose fate is the wanted one (0: they aren't listed), without the hidden columns: hash of the text, part."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in slices(batch):
+                ids, (hashes, parts) = piece.column("doc_id"), (piece.column(c).to_numpy() for c in hidden)
+                none, ids = ids.is_null().to_numpy(zero_copy_only=False), pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+                fates = np.zeros(len(hashes), np.int64)
+                for k in np.flatnonzero(stored[parts]).tolist():
+                    arrays = shared.load(f"{folder}/fates-{parts[k]:06d}", 1024)
+                    a, b = np.searchsorted(arrays["text_hash"], [hashes[k]])[0], np.searchsorted(arrays["text_hash"], [hashes[k]], "right")[0]
+                    if a < b:
+                        middle = a + int(np.searchsorted(arrays["none"][a:b], True))
+                        a, b = (middle, b) if none[k] else (a, middle)
+                        at = a + int(np.searchsorted(arrays["doc_id"][a:b], ids[k]))
+                        if at < b and arrays["doc_id"][at] == ids[k]:
+                            fates[k] = arrays["fate"][at]
+                yield piece.select(names).filter(pa.array(fates == wanted))
+
+    return run
+
+
 def keep_one(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents, all columns, with one row of each component: the one with the least doc_id, then the least hash of its text.
 
     A null doc_id comes last.  Of rows that share both doc_id and text one stays, it isn't said which.  Documents with an
-    empty set, or with a set that no other can be near to, stay.
+    empty set, or with a set that no other can be near to, stay.  Rows that go are looked up in sorted arrays, so the
+    documents themselves aren't shuffled.
     """
     folder = shared.folder(documents.sparkSession, "keep-one")
     found = shared.table(_labelled(documents, percent).filter("root IS NOT NULL"), folder, "components")
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
     is_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
     rows = found.join(best, "root").groupBy("doc_id", "text_hash").agg(F.bool_or(is_best).alias("best"), F.count("*").alias("times"))
-    rows = shared.table(rows, folder, "rows")
-    doc, text = shared.fresh("doc", "text")
-    of = lambda some: some.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text))
-    same = documents["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(documents["text"]) == F.col(text))
-    left = documents.join(of(rows.filter("NOT best")), same, "left_anti")
-    again = rows.filter("best AND times > 1")
-    if again.isEmpty():
-        return left
-    single = left.join(of(again), same, "left_anti")
-    return single.unionByName(documents.join(of(again), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    fates = rows.select("doc_id", "text_hash", F.when(~F.col("best"), GOES).when(F.col("times") > 1, REPEATED).alias("fate")).filter("fate IS NOT NULL")
+    # by doc_id too: a text may have very many copies
+    ranges = max(64, 4 * documents.rdd.getNumPartitions())
+    part = lambda text_hash: F.pmod(F.xxhash64("doc_id", text_hash), F.lit(ranges)).cast("int")
+    fates = shared.table(fates.withColumn("part", part(F.col("text_hash"))), folder, "fates")
+    stored = np.zeros(ranges, bool)
+    stored[[r["part"] for r in fates.groupBy("part").applyInArrow(_store_fates(folder), "part int").collect()]] = True
+    hidden = tuple(shared.fresh("hash", "part"))
+    named = documents.withColumn(hidden[0], F.xxhash64("text")).withColumn(hidden[1], part(F.col(hidden[0])))
+    with_fate = lambda wanted: named.mapInArrow(_fate_is(folder, stored, wanted, documents.columns, hidden), documents.schema)
+    if fates.filter(F.col("fate") == REPEATED).isEmpty():
+        return with_fate(0)
+    return with_fate(0).unionByName(with_fate(REPEATED).dropDuplicates(["doc_id", "text"]))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

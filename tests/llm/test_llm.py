@@ -397,6 +397,19 @@ def test_overlaps(monkeypatch):
     assert (jaccard_join.overlaps(*sets) == np.array(want)).all()
 
 
+def test_keep_one_of_each_group(spark):
+    words = " ".join(f"w{k}" for k in range(60))
+    near, other = words.replace("w30 ", "x "), " ".join(f"v{k}" for k in range(40))
+    rows = [(5, words), (3, near), (3, near), (None, words), (9, words), (3, words), (None, other), (None, other + " end"), (None, other), (7, ""), (7, ""), (8, None), (1, "alone " + " ".join(f"u{k}" for k in range(9)))]
+    frame = spark.createDataFrame([(*r, 1, 2, "c") for r in rows], "doc_id long, text string, _key long, fate long, part string").repartition(3)
+    kept = jaccard_join.keep_one(frame)
+    got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    assert kept.columns == frame.columns
+    assert sum(v for (i, t), v in got.items() if t in (words, near)) == 1 and got[3, words] + got[3, near] == 1
+    assert sum(v for (i, t), v in got.items() if (t or "").startswith("v0")) == 1 and got[7, ""] == 2 and got[8, None] == 1 and got[1, rows[-1][1]] == 1
+    assert jaccard_join.keep_one(frame.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize(("members", "block"), [(2, 8), (64, 256), (1, 1)])
 def test_long_lists_of_near_copies(spark, monkeypatch, members, block):
     """Pairs of blocks against brute force, with groups and lists cut into small ones."""
