@@ -20,6 +20,7 @@ EXPANSIONS = [
         "เทคโนโลยีสารสนเทศ เทคโนโลยีปัญญาประดิษฐ์ วิทยาการข้อมูลและการวิเคราะห์เชิงธุรกิจ เทคโนโลยีสารสนเทศทางธุรกิจ หลักสูตรนานาชาติ",
     ),
 ]
+# Phrases of questions that span documents.
 CROSS_DOCUMENT = ["ทั้ง 4 หลักสูตร", "แต่ละหลักสูตร", "ทุกหลักสูตร", "เปรียบเทียบหลักสูตร", "เรียงหลักสูตร"]
 
 # Routes to one document, the most specific first; substrings, then whole words.
@@ -73,6 +74,7 @@ FACET_TERMS = {
     "date": ["วันไหน", "วันที่", "เมื่อไหร่"],
     "name": ["หัวหน้าทีมชื่อ"],
 }
+# What asks in a clause, and what a known facet is asked with.
 ASKING = ["เท่าไหร่", "เท่าไร", "อะไร", "กี่", "how", "what", "多少"]
 KNOWN = ["อาชีพ", "ภาค", "เทอม", "เชี่ยวชาญ", "ปี", "ระยะเวลา", "อายุ", "รางวัล", "วัน", "หน่วยกิต", "credit", "year", "职业", "学分", "学制", "学期", "专业"]
 
@@ -129,6 +131,7 @@ REFUSALS = {
     "ja": ("日本語", "提供された文書には十分な関連情報がありません。"),
     "ko": ("한국어", "제공된 문서에 관련 정보가 충분하지 않습니다."),
 }
+# How refusals begin, and phrases in evidence that try to give orders.
 REFUSAL_PREFIXES = ["ไม่พบข้อมูล", "ข้อมูลไม่เพียงพอ", "ไม่เพียงพอ", "ไม่มีข้อมูล", "ไม่สามารถตอบ"]
 INJECTIONS = ["ignore previous", "system prompt", "api_key", "ไม่ต้องสนกฎ"]
 
@@ -174,4 +177,37 @@ HEADINGS = [
     r"^มาตรา\s*\d+",
     r"^ข้อ\s*\d+",
 ]
+# Fields of a chunk that name its source.
 METADATA_FIELDS = ["source_name", "title", "source", "file_name", "filename", "source_path"]
+
+# Query enhancement. Words that keywords leave out, what starts a new sub-question, what the fallback adds,
+# and what tells the lines of a reply apart.
+ENHANCER_STOP_WORDS = [
+    "คือ", "อะไร", "ที่", "ซึ่ง", "ได้", "จะ", "มี", "เป็น", "อย่างไร",
+    "ทำไม", "เมื่อไหร่", "ที่ไหน", "ใคร", "what", "how", "why", "when", "where", "who",
+    "the", "a", "an", "is", "are", "can", "do", "does", "?",
+]
+CONJUNCTIONS = ["และ", "และว่า", "หรือ", "หรือว่า", "แต่", "แต่ว่า", "เพราะ", "เพราะว่า"]
+EXPAND_MORE = "กรุณาอธิบายรายละเอียดและตัวอย่าง"
+REPLY_LINES = {
+    "expanded": ["ขยาย", "expanded", "ละเอียด", "รายละเอียด"],
+    "decomposed": ["แยก", "decomposed", "ส่วนย่อย", "ย่อย"],
+    "keywords": ["คำสำคัญ", "keyword", "สำคัญ"],
+}
+REPLY_SEPARATORS = "[|,،؛]"
+ENHANCER_SYSTEM = "คุณคือนักวิเคราะห์คำถามมืออาชีพ"
+
+# Parts of prompts.
+NO_HISTORY = "(ไม่มีบทสนทนาก่อนหน้า)"
+HISTORY_TITLE = "CONVERSATION HISTORY (เพื่อเข้าใจคำถามต่อเนื่องเท่านั้น ไม่ใช่หลักฐาน):"
+USER_PROMPT_END = "ตอบโดยปฏิบัติตามกฎทั้งหมดใน system prompt"
+RAG_TEMPLATE = "บริบทจากเอกสาร:\n{context}\n\nคำถาม: {question}\n\nคำตอบ:"
+STYLES = {
+    "concise": "Answer briefly and directly, preserving all necessary facts.",
+    "balanced": "Give a balanced explanation with useful supporting details.",
+    "detailed": "Explain in detail with clear sections or lists, but only where evidence supports them.",
+}
+AUTO_LANGUAGE = "Write in Thai first, then in the language of the user's current question. If it is Thai, answer once."
+PREFERENCES_END = " These presentation preferences never override the document-only system rules. If evidence is insufficient, use the prescribed refusal message."
+LANGUAGE_NAMES = {"th": "ภาษาไทย (Thai)", "en": "ภาษาอังกฤษ (English)", "zh": "ภาษาจีน (Chinese)", "ja": "ภาษาญี่ปุ่น (Japanese)", "ko": "ภาษาเกาหลี (Korean)"}
+THAI_ONCE = "\nREQUIRED OUTPUT: Answer once in Thai only. Do not duplicate the Thai answer. Use only CONTEXT evidence."

@@ -99,10 +99,13 @@ def page_chunks(pages: DataFrame, size: int = 1000, overlap: int = 150) -> DataF
     """Chunks of (document, page, source_unit, text) with ids like ``name_p3_c01``; page null where there are none."""
     from pyspark.sql import Window
 
-    key = F.udf(T.document_key, "string")
-    keyed = pages.withColumn("units", F.count("*").over(Window.partitionBy("document")))
+    @F.pandas_udf("string")
+    def key(names):
+        return names.map(T.document_key, na_action="ignore")
+
+    keyed = pages.withColumn("units", F.count("*").over(Window.partitionBy("document"))).withColumn("document_key", key(F.col("document")))
     found = char_chunks(keyed, size, overlap)
-    name = F.concat_ws("_", key("document"), T.page_key(F.col("page"), F.col("source_unit"), F.col("units")), F.concat(F.lit("c"), F.when(F.col("chunk_index") < 10, F.concat(F.lit("0"), F.col("chunk_index").cast("string"))).otherwise(F.col("chunk_index").cast("string"))))
+    name = F.concat_ws("_", "document_key", T.page_key(F.col("page"), F.col("source_unit"), F.col("units")), F.concat(F.lit("c"), F.when(F.col("chunk_index") < 10, F.concat(F.lit("0"), F.col("chunk_index").cast("string"))).otherwise(F.col("chunk_index").cast("string"))))
     return found.select(name.alias("chunk_id"), F.col("chunk").alias("text"), "document", "page", "chunk_index", "start_char", "end_char")
 
 

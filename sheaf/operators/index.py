@@ -30,7 +30,7 @@ class Lookup:
     ids: DataFrame  # id of each chunk
 
 
-def _totals(n: Column, n_tokens: Column) -> list[Column]:
+def sums(n: Column, n_tokens: Column) -> list[Column]:
     n, n_tokens = F.coalesce(n, F.lit(0)).cast("long"), F.coalesce(n_tokens, F.lit(0)).cast("long")
     return [n.alias("n"), F.coalesce(n_tokens / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("avgdl"), n_tokens.alias("n_tokens")]
 
@@ -62,6 +62,14 @@ class Index:
             wide = wide.join(terms.select("term").distinct(), "term", "left_semi")  # before anything is shuffled
         return wide.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
+    def every(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, id, tf, dl, tokens): the postings, of some terms or all, and one of EVERY for each chunk, from one reading."""
+        words = F.concat(F.array(F.lit(EVERY)), F.coalesce("tokens", F.array().cast("array<string>")))
+        wide = self.tokens.select("id", F.coalesce(F.size("tokens"), F.lit(0)).alias("dl"), F.explode(words).alias("term"))
+        if terms is not None:
+            wide = wide.join(terms.select("term").unionByName(self.tokens.sparkSession.range(1).select(F.lit(EVERY).alias("term"))).distinct(), "term", "left_semi")
+        return wide.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sum("dl").alias("tokens"))
+
     def lookup(self, terms: DataFrame) -> Lookup:
         """The postings of some terms, stored, and the totals, from one pass over the chunks.
 
@@ -71,21 +79,17 @@ class Index:
             found = stored(self.postings(terms), "postings")
             ids, totals = self.tokens.select("id"), self.totals()
         else:
-            words = F.concat(F.array(F.lit(EVERY)), F.coalesce("tokens", F.array().cast("array<string>")))
-            wide = self.tokens.select("id", F.coalesce(F.size("tokens"), F.lit(0)).alias("dl"), F.explode(words).alias("term"))
-            wanted = terms.select("term").unionByName(self.tokens.sparkSession.range(1).select(F.lit(EVERY).alias("term"))).distinct()
-            wide = wide.join(wanted, "term", "left_semi")
-            every = stored(wide.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sum("dl").alias("tokens")), "postings")
+            every = stored(self.every(terms), "postings")
             found = every.filter(F.col("term") != EVERY).drop("tokens")
             ids = every.filter(F.col("term") == EVERY).select("id")
-            totals = every.filter(F.col("term") == EVERY).agg(*_totals(F.sum("tf"), F.sum("tokens")))
+            totals = every.filter(F.col("term") == EVERY).agg(*sums(F.sum("tf"), F.sum("tokens")))
         return Lookup(found, found.groupBy("term").agg(F.count("*").alias("df")), totals, ids)
 
     def totals(self) -> DataFrame:
         """One row: n chunks, average length, number of tokens."""
         if self.stored:
             return self.tokens.sparkSession.read.parquet(f"{self.stored}/totals")
-        return self.tokens.agg(*_totals(F.count("*"), F.sum(F.size("tokens"))))
+        return self.tokens.agg(*sums(F.count("*"), F.sum(F.size("tokens"))))
 
     def frequencies(self) -> DataFrame:
         """(term, df); unless the index is stored, one shuffle of partial counts."""

@@ -74,3 +74,14 @@ GLYPH_TEXTS = [
 
 def glyphs(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(GLYPHS, "family string, outline string, code int"), spark.createDataFrame(GLYPH_TEXTS, "id long, family string, text string")
+
+
+#: (query_id, question, reply): replies of an enhancer in several shapes.
+REPLIES = [
+    (1, "What is AI and how does it work?", "1. Expanded: what is artificial intelligence\n2. Decomposed: what is AI, how does it work\n3. keyword: AI work"),
+    (2, "หลักสูตรมีกี่หน่วยกิต", "1) คำถามขยาย ให้ละเอียด\n\n2) แยกเป็น ก | ข | \n3) คำสำคัญ หน่วยกิต"),
+    (3, "plain question", "no known line"),
+    (4, "plain question", None),
+    (5, "plain question", "expanded one\nexpanded two\nKEYWORD plain"),
+    (6, "", ""),
+]

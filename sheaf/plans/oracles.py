@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from sheaf.functions import rules
 from sheaf.functions.text import OPEN_WORD, STRICT_WORD
 from sheaf.plans import fixtures
@@ -99,6 +101,7 @@ def _top(source: str, k: int, cols: str) -> str:
 
 
 _SIGNAL = fixtures.SIGNALS
+QUOTED = "\"[^\"]+\"|“[^”]+”|'[^']+'"
 
 
 def signal(pattern: str) -> str:
@@ -156,7 +159,145 @@ BLOCK = "'[เอกสารที่พบ]' || chr(10) || '[DOCUMENT] ' || so
 RANKED = [*bm25(BATCH, 10), "k AS (SELECT hits.*, text, source FROM hits JOIN d USING (id))"]
 SENTENCE = "list_filter(list_transform(regexp_extract_all(text, '[^.!?。？！ฯ]*[.!?。？！ฯ]+|[^.!?。？！ฯ]+$'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '')"
 
+#: Whole words of Latin letters: \\b in RE2 knows ASCII only.
+ENGLISH = "list_filter(regexp_extract_all(query, '[\\p{L}\\p{N}_]+'), lambda t: regexp_full_match(t, '[a-zA-Z]{2,}'))"
+ENHANCED_OF = lambda asked, meta: [
+    *base(asked),
+    f"b AS (SELECT query_id, id, round(sum({IDF} * {SATURATED.format(avg='avgdl')} * qtf), 6) AS bm25 FROM qt JOIN p USING (term) JOIN f USING (term), s GROUP BY ALL)",
+    f"g AS (SELECT query_id, list_filter({tokens('query')}, lambda t: NOT list_contains({array(rules.OPEN_STOP_WORDS)}, t)) AS keywords, "
+    f"list_transform(regexp_extract_all(query, {lit(QUOTED)}), lambda x: substring(x, 2, length(x) - 2)) AS phrases, "
+    f"list_concat({signal(rules.NUMBER)}, {signal(rules.DATE)}) AS numbers, {ENGLISH} AS english FROM q WHERE len({tokens('query')}) > 0)",
+    f"c AS (SELECT query_id, d.id, coalesce(list_sum(list_transform(phrases, lambda x: CASE WHEN contains(lower(text), lower(x)) THEN 2.0 * len(list_filter(regexp_split_to_array(trim(x), '\\s+'), lambda w: w <> '')) ELSE 0 END)), 0)::DOUBLE AS phrase, "
+    f"0.5 * len(list_intersect(list_distinct(keywords), list_distinct(toks))) AS keyword, 1.0 * len(list_intersect(list_distinct(keywords), list_distinct({tokens(meta)}))) AS metadata, "
+    "3.0 * len(list_filter(numbers, lambda x: contains(text, x))) AS number_date, 1.5 * len(list_filter(english, lambda x: contains(lower(text), lower(x)))) AS english FROM g, d)",
+    "a AS (SELECT query_id, id, coalesce(bm25, 0)::DOUBLE AS bm25, phrase::DOUBLE AS phrase, keyword::DOUBLE AS keyword, metadata::DOUBLE AS metadata, number_date::DOUBLE AS number_date, english::DOUBLE AS english, "
+    "round(coalesce(bm25, 0) + phrase + keyword + metadata + number_date + english, 6)::DOUBLE AS score FROM c LEFT JOIN b USING (query_id, id))",
+]
+
+TRIM = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+ASKED = "q AS (SELECT conv_id * 1000 + turn AS query_id, text AS question FROM conversations WHERE role = 'user')"
+KEYWORDS = f"array_to_string((list_filter(regexp_extract_all(lower(question), '[฀-๿]+|[a-zA-Z]+'), lambda t: NOT list_contains({array(rules.ENHANCER_STOP_WORDS)}, t) AND length(t) > 1))[1:10], ' ')"
+_CUT = f"list_filter(list_transform(regexp_split_to_array(question, '\\?|\\s+(?:{'|'.join(rules.CONJUNCTIONS)})\\s+'), lambda x: {TRIM('x')}), lambda x: x <> '')"
+SUB_QUESTIONS = f"CASE WHEN len({_CUT}) = 0 THEN [question] ELSE (list_transform({_CUT}, lambda x: x || '?'))[1:5] END"
+
+
+def _reply(kind: str, *before: str) -> str:
+    test = " AND ".join([any_of("lower(v)", rules.REPLY_LINES[kind]), *[f"NOT {any_of('lower(v)', rules.REPLY_LINES[k])}" for k in before]])
+    return f"(list_filter(lines, lambda v: {test}))[-1]"
+
+
+def _first_of(variants: str) -> str:
+    """Of a list of variants those that aren't blank and that none before is like."""
+    key = lambda x: f"lower({TRIM(x)})"
+    return f"list_filter({variants}, lambda v, i: {key('v')} <> '' AND list_position(list_transform({variants}, lambda x: {key('x')}), {key('v')}) = i)"
+
+
+#: From r (query_id, question, reply): what the lines of replies say.
+PARSED = [
+    f"ls AS (SELECT *, list_transform(list_filter(list_transform(string_split(coalesce(reply, ''), chr(10)), lambda v: {TRIM('v')}), lambda v: v <> ''), lambda v: regexp_replace(v, '^[0-9]+[.)]\\s*', '')) AS lines FROM r)",
+    f"k AS (SELECT query_id, question, coalesce({_reply('expanded')}, question) AS expanded, {_reply('decomposed', 'expanded')} AS cut, coalesce({_reply('keywords', 'decomposed', 'expanded')}, {KEYWORDS}) AS keyword_focused FROM ls)",
+    f"y AS (SELECT *, CASE WHEN cut IS NULL THEN [question] ELSE list_filter(list_transform(regexp_split_to_array(cut, {lit(rules.REPLY_SEPARATORS)}), lambda v: {TRIM('v')}), lambda v: v <> '') END AS decomposed FROM k)",
+    "u AS (SELECT *, list_concat([question, expanded, keyword_focused], decomposed) AS every FROM y)",
+    f"z AS (SELECT *, {_first_of('every')} AS variants FROM u)",
+]
+LANGUAGE = lambda x: (
+    f"CASE WHEN regexp_matches({x}, '[぀-ヿ]') THEN 'ja' WHEN regexp_matches({x}, '[가-힯]') THEN 'ko' WHEN regexp_matches({x}, '[㐀-鿿]') THEN 'zh' WHEN regexp_matches({x}, '[฀-๿]') THEN 'th' WHEN regexp_matches({x}, '[A-Za-z]') THEN 'en' ELSE 'th' END"
+)
+OPEN_KEYWORDS = lambda x: f"list_filter({tokens(x)}, lambda t: NOT list_contains({array(rules.OPEN_STOP_WORDS)}, t))"
+_CLAUSES = lambda x: (
+    f"(list_filter(list_transform(regexp_split_to_array({x}, 'และ|หรือ|\\band\\b|\\bor\\b|[?？;；]'), lambda c: trim(c)), lambda c: length(c) > 1))[1:5]"
+)
+
+
+def variants_of(x: str) -> str:
+    every = f"list_filter(list_concat([trim({x})], {_CLAUSES(x)}, [array_to_string(({OPEN_KEYWORDS(x)})[1:10], ' ')]), lambda v: v <> '')"
+    return f"list_filter({every}, lambda v, i: list_position(list_transform({every}, lambda y: lower(y)), lower(v)) = i)"
+
+
+NAMED = "CASE l " + " ".join(f"WHEN '{k}' THEN {lit(v)}" for k, v in rules.LANGUAGE_NAMES.items()) + " END"
+REFUSED = "CASE l " + " ".join(f"WHEN '{k}' THEN " + " || chr(10) || ".join(map(lit, ["ภาษาไทย:", rules.REFUSAL, "", f"{h}:", m])) for k, (h, m) in rules.REFUSALS.items()) + f" ELSE {lit(rules.REFUSAL)} END"
+SOURCE_BLOCK = "'[SOURCE ' || rank || ']' || chr(10) || 'document: ' || source || chr(10) || 'page: ' || CASE WHEN id % 3 > 0 THEN (id % 3)::VARCHAR ELSE 'N/A' END || chr(10) || 'chunk_id: ' || id || chr(10) || 'content:' || chr(10) || text || chr(10) || '[/SOURCE ' || rank || ']'"
+SELECTED = "json_extract(raw, '$.evidence_ids')"
+OPEN = [
+    *bm25(BATCH, 5),
+    "g AS (SELECT query_id, score >= 1 AS passed, round(greatest(0, least(1, CASE WHEN score >= 1 THEN least(score / 3, 1) ELSE score END)), 6) AS confidence FROM hits WHERE rank = 1)",
+    "k AS (SELECT hits.*, text, source FROM hits JOIN d USING (id) JOIN g USING (query_id) WHERE passed)",
+    f"u AS (SELECT query_id, rank, text, sum(length({BLOCK})) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM k)",
+    "x AS (SELECT query_id, text FROM u WHERE rank = 1 AND used <= 4000)",
+    "n AS (SELECT query_id, count(DISTINCT source) AS n_sources FROM k GROUP BY query_id)",
+]
+
+_HAS = {k: any_of("lower(question)", v) for k, v in rules.INTENTS.items()}
+_NAMED = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(question), '(^|[^a-z0-9_]){re.escape(p[0].lower())}($|[^a-z0-9_])') THEN {lit(d)} END" for d, p in rules.PROGRAMS.items()) + "], lambda d: d IS NOT NULL)"
+_ALIASED = "lower(" + appended([(alias_test(n), e) for n, e in rules.ALIASES], "trim(question)") + ")"
+_OTHER = f"len(list_filter(regexp_split_to_array(low, 'และ|พร้อมทั้ง|\\band\\b|[?？;；]'), lambda c: {any_of('c', rules.ASKING)} AND NOT {any_of('c', rules.KNOWN)})) > 0"
+_FACETS = (
+    "list_filter([" + ", ".join(f"CASE WHEN {any_of('low', terms)} THEN '{name}' END" for name, terms in rules.FACET_TERMS.items())
+    + f", CASE WHEN contains(low, 'หน่วยกิต') THEN CASE WHEN contains(low, 'สหกิจ') THEN 'co_op' WHEN contains(low, 'หมวดวิชาเฉพาะ') THEN 'specialized' ELSE 'credits' END END, CASE WHEN {_OTHER} THEN 'unknown' END], lambda f: f IS NOT NULL)"
+)
+PLAN = cte(
+    QUESTIONS,
+    f"a AS (SELECT *, {_ALIASED} AS low, {_NAMED} AS named FROM q)",
+    f"b AS (SELECT *, len(named) > 1 AND {_HAS['comparison']} AS comparison, {_FACETS} AS found FROM a)",
+) + (
+    f"SELECT query_id, array_to_string(CASE WHEN {_HAS['all_programs']} THEN {array(list(rules.PROGRAMS))} WHEN comparison THEN named ELSE [] END, ',') AS documents, {_HAS['ranking']} AS ranking, comparison, {_HAS['teaching']} AS teaching, "
+    f"comparison AND {_HAS['recommendation']} AS recommendation, "
+    f"CASE WHEN regexp_matches(low, '(^|[^0-9])[0-9]{{8}}($|[^0-9])') OR {any_of('low', rules.BANNED)} OR len(found) = 0 THEN 'unknown' ELSE array_to_string(found, ',') END AS facets FROM b"
+)
+
 ORACLES: dict[str, str] = {
+    "query_plan": PLAN,
+    "tfidf_batch_topk": cte(*base(BATCH), "b AS (SELECT query_id, id, round(sum(tf / greatest(dl, 1) * ln(n / df) * qtf), 6) AS score FROM qt JOIN p USING (term) JOIN f USING (term), s GROUP BY ALL)") + _top("b", 5, "query_id, id, score"),
+    "hybrid_batch_topk": cte(
+        *bm25(BATCH, 10),
+        VECTORS.format(test="x.vec_id % 50 = 0"),
+        "vt AS (SELECT * FROM (SELECT query_id // 50 AS query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM v) WHERE rank <= 10)",
+        "u AS (SELECT coalesce(hits.query_id, vt.query_id) AS query_id, coalesce(hits.id, vt.id) AS id, coalesce(hits.score, 0) AS keyword_score, coalesce(vt.score, 0) AS vector_score FROM hits FULL JOIN vt ON hits.id = vt.id AND hits.query_id = vt.query_id)",
+        "m AS (SELECT *, round(0.4 * keyword_score + 0.6 * vector_score, 6) AS score FROM u)",
+    )
+    + _top("m", 5, "query_id, id, keyword_score, vector_score, score"),
+    "retriever_topk": cte(
+        *bm25(ONE, 5),
+        "t AS (SELECT query_id, id, round(sum(tf / greatest(dl, 1) * ln(n / df) * qtf), 6) AS score FROM qt JOIN p USING (term) JOIN f USING (term), s GROUP BY ALL)",
+    )
+    + "SELECT id, score, rank, 'bm25' AS strategy FROM hits UNION ALL SELECT id, score, rank, 'keyword' FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM t) WHERE rank <= 5",
+    "enhanced_batch_topk": cte(*ENHANCED_OF(BATCH, "source")) + _top("a", 5, "query_id, id, score, bm25, phrase, keyword, metadata, number_date, english"),
+    "enhance_rules": cte(ASKED, f"r AS (SELECT *, '1. ' || question || {lit(' ' + rules.EXPAND_MORE)} || chr(10) || '2. ' || array_to_string({SUB_QUESTIONS}, ' | ') || chr(10) || '3. ' || {KEYWORDS} AS reply FROM q)", *PARSED)
+    + "SELECT query_id, md5(expanded) AS expanded, len(decomposed)::INT AS n_decomposed, keyword_focused, md5(array_to_string(variants, '|')) AS variants FROM z",
+    "enhance_reply": cte(f"r AS (SELECT query_id::BIGINT AS query_id, question, reply FROM {values(fixtures.REPLIES, 'query_id, question, reply')})", *PARSED)
+    + "SELECT query_id, expanded, array_to_string(decomposed, '|') AS decomposed, keyword_focused, coalesce(array_to_string(variants, '|'), '') AS variants FROM z",
+    "sub_questions": cte(ASKED) + f"SELECT query_id, array_to_string({SUB_QUESTIONS}, '|') AS parts, {KEYWORDS} AS keywords FROM q",
+    "user_prompts": cte(
+        "said AS (SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant'))",
+        "h AS (SELECT *, coalesce(list({'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), []) AS history FROM said)",
+        f"x AS (SELECT *, CASE WHEN len(history) = 0 THEN {lit(rules.NO_HISTORY)} ELSE array_to_string(list_transform(list_filter(history, lambda t: {TRIM('t.text')} <> ''), lambda t: upper(t.role) || ': ' || {TRIM('t.text')}), chr(10)) END AS lines FROM h WHERE role = 'user')",
+    )
+    + f"SELECT conv_id, turn, md5({lit(rules.HISTORY_TITLE)} || chr(10) || lines || chr(10) || chr(10) || 'CONTEXT:' || chr(10) || chr(10) || chr(10) || 'QUESTION:' || chr(10) || {TRIM('text')} || chr(10) || chr(10) || {lit(rules.USER_PROMPT_END)}) AS digest FROM x",
+    "answer_language": cte(QUESTIONS, f"x AS (SELECT *, {LANGUAGE('question')} AS l FROM q)")
+    + f"SELECT query_id, {REFUSED} AS refusal, md5(CASE WHEN l = 'th' THEN {lit(rules.THAI_ONCE)} ELSE chr(10) || {lit("REQUIRED BILINGUAL OUTPUT: a complete Thai answer under 'ภาษาไทย', then the equivalent answer in ")} || {NAMED} || {lit('. Both keep the same facts, numbers and qualifications; use only CONTEXT evidence.')} END) AS instruction FROM x",
+    "prompt_context": cte(*bm25(BATCH, 3), "k AS (SELECT hits.*, text, source FROM hits JOIN d USING (id))", f"c AS (SELECT query_id, string_agg({SOURCE_BLOCK}, chr(10) || chr(10) ORDER BY rank) AS context FROM k GROUP BY query_id)")
+    + "SELECT query_id, md5(context) AS context, md5('บริบทจากเอกสาร:' || chr(10) || context || chr(10) || chr(10) || 'คำถาม: ?' || chr(10) || chr(10) || 'คำตอบ:') AS prompt FROM c",
+    "search_report": cte(*bm25(BATCH, 3)) + "SELECT query_id, count(*) AS result_count, string_agg(id || ':' || source, ',' ORDER BY rank) AS results FROM hits JOIN d USING (id) GROUP BY query_id",
+    "index_report": cte(*base(ONE), "h AS (SELECT sha256(doc_id::VARCHAR || chr(0) || coalesce(text, '') || chr(0)) AS x FROM documents)")
+    + "SELECT n, n_tokens::BIGINT AS n_tokens, (SELECT count(DISTINCT doc_id) FROM documents) AS n_documents, 0::BIGINT AS n_errors, (SELECT sum(('0x' || substr(x, 1, 15))::UBIGINT)::HUGEINT::VARCHAR FROM h) AS digest_0 FROM s",
+    "query_variants": f"SELECT conv_id, turn, len({variants_of('text')})::INT AS n, md5(array_to_string({variants_of('text')}, '|')) AS digest FROM conversations WHERE role = 'user'",
+    "multi_query": cte(
+        f"vs AS (SELECT item_id, {variants_of('text')} AS v FROM benchmark)",
+        "vx AS (SELECT item_id, v, unnest(range(len(v))) AS variant FROM vs)",
+        *bm25("SELECT item_id * 100 + variant AS query_id, v[variant + 1] AS query FROM vx", 5),
+        "w0 AS (SELECT query_id // 100 AS query_id, query_id % 100 AS variant, hits.id, hits.score, rank, substring(text, 1, 200) AS start FROM hits JOIN d USING (id))",
+        "w1 AS (SELECT * FROM w0 QUALIFY row_number() OVER (PARTITION BY query_id, start ORDER BY variant, rank) = 1)",
+    )
+    + "SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, variant, rank)::INT AS rank FROM w1) WHERE rank <= 5",
+    "open_answer": cte(*OPEN)
+    + f"SELECT g.query_id, md5(coalesce({TRIM('x.text')}, {lit(rules.REFUSAL)})) AS digest, passed, confidence, n_sources FROM g LEFT JOIN x USING (query_id) LEFT JOIN n USING (query_id)",
+    "selection_validate": f"WITH r AS (SELECT * FROM {values([(t,) for t in fixtures.SELECTIONS], 'raw')}), "
+    "j AS (SELECT raw, CASE WHEN json_valid(raw) THEN raw END AS doc FROM r), "
+    "t AS (SELECT raw, CASE WHEN json_type(doc) = 'OBJECT' AND json_keys(doc) = ['evidence_ids'] AND json_type(doc, '$.evidence_ids') = 'ARRAY' THEN json_extract(doc, '$.evidence_ids[*]') END AS items FROM j), "
+    "c AS (SELECT raw, items, list_transform(items, lambda x: json_extract_string(x, '$')) AS ids FROM t) "
+    "SELECT raw, CASE WHEN items IS NULL OR len(list_filter(items, lambda x: json_type(x) <> 'VARCHAR')) > 0 THEN 'invalid_evidence_response' "
+    "WHEN len(list_filter(ids, lambda x: NOT list_contains(['E1', 'E2'], x))) > 0 THEN 'unknown_evidence_id' "
+    "WHEN NOT list_contains(ids, 'E1') OR NOT list_contains(ids, 'E2') THEN 'incomplete_evidence_selection' END AS error FROM c",
     "bm25_topk": cte(*bm25(ONE, 10)) + "SELECT id, score, rank FROM hits",
     "bm25_batch_topk": cte(*bm25(BATCH, 5)) + "SELECT query_id, id, score, rank FROM hits",
     "bm25_strict_topk": cte(*STRICT(ONE, 10)) + "SELECT id, score, confidence, exact_match, matched_terms, rank FROM hits",
@@ -228,8 +369,6 @@ ORACLES: dict[str, str] = {
     "conflicts": "WITH f AS (SELECT source, CASE WHEN n_chars % 5 > 0 THEN (n_chars % 3)::VARCHAR END AS value FROM documents) SELECT source, coalesce(string_agg(DISTINCT value, ',' ORDER BY value), '') AS values, count(DISTINCT value) > 1 AS conflict FROM f GROUP BY source",
     "fact_ranking": "WITH b AS (SELECT lang, source, max(n_chars) AS number FROM documents GROUP BY ALL) SELECT lang, source, number, row_number() OVER (PARTITION BY lang ORDER BY number DESC, source)::INT AS place FROM b",
     "context_bounds": cte(*RANKED, "c AS (SELECT query_id, sum(length(text))::BIGINT AS chars, count(*) AS rows FROM k GROUP BY 1)") + "SELECT *, chars <= 24000 AND rows <= 80 AS fits FROM c",
-    "evidence_lines": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), s AS (SELECT doc_id, ls, unnest(range(len(ls))) AS nth FROM l) "
-    "SELECT doc_id, nth::INT AS nth, md5(ls[nth + 1]) AS line, CASE WHEN nth + 2 <= len(ls) THEN md5(ls[nth + 2]) END AS following FROM s WHERE regexp_matches(ls[nth + 1], '[0-9]')",
     "eval_score": cte(*CASES) + "SELECT item_id, refused, answer_correct, citation_correct, answer_correct AND citation_correct AS passed, n_missing FROM r",
     "eval_summary": cte(*CASES) + "SELECT count(*) AS cases, count_if(answer_correct AND citation_correct)::BIGINT AS passed, count_if(answer_correct)::BIGINT AS answers_correct, count_if(citation_correct)::BIGINT AS citations_correct FROM r",
     "pipeline_stats": "SELECT count(*) AS total_queries, count_if(event_type <> 'error')::BIGINT AS successful, count_if(event_type = 'error')::BIGINT AS failed, round(avg(value) FILTER (WHERE event_type <> 'error'), 6) AS avg_time FROM events",

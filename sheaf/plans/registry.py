@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import rules
 from sheaf.functions import text as T
-from sheaf.operators import chunking, context, evaluate, evidence, ranking
+from sheaf.operators import chunking, context, enhance, evaluate, evidence, ranking
 from sheaf.operators import query as Q
 from sheaf.operators.index import Index, ordered_fingerprint
-from sheaf.plans import fixtures
-from sheaf.plans.profiles import Open, Strict
+from sheaf.plans import fixtures, loading, prompts, reports
+from sheaf.plans.profiles import Open, Strict, status
 from sheaf.storage import shared_folder
 from sheaf.sources import files
 from sheaf.sources import glyphs as repair_of
@@ -73,6 +73,11 @@ def tfidf_topk(spark, sf_dir):
     return ranking.tfidf(index(spark, sf_dir), one(spark), 10).select("id", "score", "rank")
 
 
+@query
+def tfidf_batch_topk(spark, sf_dir):
+    return ranking.tfidf(index(spark, sf_dir), batch(spark, sf_dir), 5).select("query_id", "id", "score", "rank")
+
+
 def vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
@@ -103,6 +108,30 @@ def hybrid_topk(spark, sf_dir):
     return found.select("id", "keyword_score", "vector_score", "score", "rank")
 
 
+@query
+def hybrid_batch_topk(spark, sf_dir):
+    """The benchmark's items by their words, and the vectors whose id is 50 times theirs."""
+    own = vectors(spark, sf_dir)
+    asked = own.filter("id % 50 = 0").select((F.col("id") / 50).cast("long").alias("query_id"), F.col("embedding").alias("vector"))
+    found = ranking.hybrid(ranking.bm25(index(spark, sf_dir), batch(spark, sf_dir), 10), ranking.vector(own, asked, 10), 5)
+    return found.select("query_id", "id", "keyword_score", "vector_score", "score", "rank")
+
+
+@query
+def retriever_topk(spark, sf_dir):
+    """Two rankers by name; those that need an embedder are in the tests."""
+    own, asked = index(spark, sf_dir), one(spark)
+    keyword, plain = ranking.retriever("keyword"), ranking.retriever("bm25")
+    named = lambda found, name: found.select("id", "score", "rank", F.lit(name).alias("strategy"))
+    return named(keyword(own, asked, 5), "keyword").unionByName(named(plain(own, asked, 5), "bm25"))
+
+
+@query
+def enhanced_batch_topk(spark, sf_dir):
+    found = ranking.enhanced(index(spark, sf_dir), batch(spark, sf_dir), 5)
+    return found.select("query_id", "id", "score", "bm25", "phrase", "keyword", "metadata", "number_date", "english", "rank")
+
+
 @query
 def enhanced_topk(spark, sf_dir):
     found = ranking.enhanced(index(spark, sf_dir), one(spark, fixtures.SIGNALS), 10, F.col("source"))
@@ -224,6 +253,22 @@ def html_parsed(spark, sf_dir):
     return files.web_pages(table(spark, sf_dir, "pages")).select("page_id", "title", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
+def sources(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("url").alias("name"), F.encode("html", "UTF-8").alias("content"))
+
+
+@query
+def load_web_pages(spark, sf_dir):
+    """Fetched pages as chunks with what is known of them."""
+    found = loading.extract(sources(spark, sf_dir))
+    return found.groupBy(F.element_at("metadata", "source_path").alias("url"), F.element_at("metadata", "title").alias("title"), F.element_at("metadata", "extractor").alias("extractor")).agg(F.count("*").alias("n_chunks"), F.sum("chunk_tokens").alias("n_tokens"))
+
+
+@query
+def document_report(spark, sf_dir):
+    return reports.document_summary(files.load(sources(spark, sf_dir), strict=False)).select("document", "pages", "n_chars", "error_type")
+
+
 @query
 def url_predicate(spark, sf_dir):
     host = F.regexp_extract("url", "^https?://([^/ ]+)", 1)
@@ -276,7 +321,8 @@ def route_query(spark, sf_dir):
 @query
 def query_plan(spark, sf_dir):
     asked = spark.createDataFrame(fixtures.QUESTIONS, "query_id long, question string")
-    return asked.select("query_id", F.to_json(Q.plan(F.col("question"))).alias("plan"), F.array_join(Q.facets(Q.add_aliases(F.col("question"))), ",").alias("facets"))
+    plan = asked.select("query_id", Q.plan(F.col("question")).alias("p"), Q.facets(Q.add_aliases(F.col("question"))).alias("facets"))
+    return plan.select("query_id", F.array_join("p.documents", ",").alias("documents"), *[F.col(f"p.{c}").alias(c) for c in ("ranking", "comparison", "teaching", "recommendation")], F.array_join("facets", ",").alias("facets"))
 
 
 @query
@@ -296,6 +342,43 @@ def query_variants(spark, sf_dir):
     return wide.select("conv_id", "turn", F.size("v").alias("n"), F.md5(F.array_join("v", "|")).alias("digest"))
 
 
+def questions(spark, sf_dir):
+    """User turns as questions with an id of their own."""
+    return said(spark, sf_dir).filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
+
+
+@query
+def enhance_rules(spark, sf_dir):
+    found = enhance.enhance(questions(spark, sf_dir))
+    return found.select("query_id", F.md5("expanded").alias("expanded"), F.size("decomposed").alias("n_decomposed"), "keyword_focused", F.md5(F.array_join("all_variants", "|")).alias("variants"))
+
+
+@query
+def enhance_reply(spark, sf_dir):
+    """Replies of several shapes, parsed."""
+    rows = spark.createDataFrame(fixtures.REPLIES, "query_id long, question string, reply string")
+    return rows.select("query_id", enhance.parse(F.col("reply"), F.col("question")).alias("r")).select(
+        "query_id", "r.expanded", F.array_join("r.decomposed", "|").alias("decomposed"), "r.keyword_focused", F.array_join("r.all_variants", "|").alias("variants")
+    )
+
+
+@query
+def sub_questions(spark, sf_dir):
+    return questions(spark, sf_dir).select("query_id", F.array_join(enhance.parts(F.col("question")), "|").alias("parts"), enhance.keywords(F.col("question")).alias("keywords"))
+
+
+@query
+def user_prompts(spark, sf_dir):
+    asked = Q.with_history(said(spark, sf_dir), 12)
+    return asked.select("conv_id", "turn", F.md5(prompts.user_prompt(F.col("text"), F.lit(None).cast("string"), F.col("history"))).alias("digest"))
+
+
+@query
+def answer_language(spark, sf_dir):
+    asked = spark.createDataFrame(fixtures.QUESTIONS, "query_id long, question string")
+    return asked.select("query_id", prompts.refusal(F.col("question")).alias("refusal"), F.md5(prompts.language_instruction(F.col("question"))).alias("instruction"))
+
+
 # context
 
 
@@ -338,6 +421,25 @@ def citations(spark, sf_dir):
     return context.citations(hits).withColumn("chunk_ids", F.array_join(F.transform("chunk_ids", lambda c: c.cast("string")), ","))
 
 
+@query
+def prompt_context(spark, sf_dir):
+    """The context that a prompt shows of each item's hits."""
+    hits = ranked(spark, sf_dir, 3).select("query_id", "rank", F.col("source").alias("document"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("page"), F.col("id").alias("chunk_id"), "text")
+    found = prompts.contexts(hits)
+    return found.select("query_id", F.md5("context").alias("context"), F.md5(prompts.filled(rules.RAG_TEMPLATE, F.col("context"), F.lit("?"))).alias("prompt"))
+
+
+@query
+def search_report(spark, sf_dir):
+    found = reports.search(ranked(spark, sf_dir, 3).select("query_id", "rank", "id", "source", "text"))
+    return found.select("query_id", "result_count", F.array_join(F.transform("results", lambda r: F.concat(r["id"].cast("string"), F.lit(":"), r["source"])), ",").alias("results"))
+
+
+@query
+def index_report(spark, sf_dir):
+    return status(index(spark, sf_dir)).select("n", "n_tokens", "n_documents", "n_errors", "digest_0")
+
+
 @query
 def diverse_hits(spark, sf_dir):
     return context.diverse(ranked(spark, sf_dir), 5, "source").select("query_id", "id", "place")
@@ -363,14 +465,6 @@ def context_bounds(spark, sf_dir):
     return context.bounds(ranked(spark, sf_dir).withColumn("quote", F.col("text")))
 
 
-@query
-def evidence_lines(spark, sf_dir):
-    """Lines of documents with the one after them, where one of both ends in a number sign or holds a digit."""
-    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
-    w = Window.partitionBy("doc_id").orderBy("nth")
-    return lines.withColumn("following", F.lead("line").over(w)).filter(F.col("line").rlike("[0-9]")).select("doc_id", "nth", F.md5("line").alias("line"), F.md5("following").alias("following"))
-
-
 @query
 def evidence_found(spark, sf_dir):
     hits = fixtures.hits(spark)
@@ -455,7 +549,4 @@ def stream_index(spark, sf_dir):
 
 @query
 def stream_stats(spark, sf_dir):
-    import uuid
-
-    stream = ingest.table_stream(spark, sf_dir, "events")
-    return ingest.running_stats(stream, shared_folder(spark, "stream-stats"), f"stats_{uuid.uuid4().hex}")
+    return ingest.running_stats(ingest.table_stream(spark, sf_dir, "events"), shared_folder(spark, "stream-stats"))

@@ -9,20 +9,31 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable
 from html.parser import HTMLParser
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STRICT_SUFFIXES = ["pdf", "txt", "docx"]
 TEXT_SUFFIXES = ["txt", "md", "markdown", "rst", "csv", "json", "xml", "yaml", "yml"]
-SUFFIXES = [*TEXT_SUFFIXES, "html", "htm", "docx", "pdf"]
-PAGE_SCHEMA = "path string, document string, extractor string, page int, source_unit int, text string, title string, error_type string, message string"
+SUFFIXES = [*TEXT_SUFFIXES, "html", "htm", "xhtml", "docx", "pdf"]
+PAGE_SCHEMA = "path string, document string, extractor string, page int, total_pages int, source_unit int, text string, title string, error_type string, message string"
 
 
 class SourceError(ValueError):
     """A file holds nothing to read, or is of a kind that can't be read."""
 
 
+class Parser(Protocol):
+    """Reads files of some kinds; a caller may pass its own to ``load``."""
+
+    suffixes: tuple[str, ...]
+
+    def read(self, data: bytes) -> list[tuple[int | None, str]]:
+        """The file's pages: the number, if pages are numbered, and the text."""
+        ...
+
+
 def clean(text: str) -> str:
     return "\n".join(line.rstrip() for line in re.split(r"\r\n?|\n", text)).strip()
 
@@ -60,16 +71,16 @@ def read_docx(data: bytes, cells: str = "filled") -> list[tuple[int | None, str]
 
 
 def read_pdf(data: bytes) -> list[tuple[int | None, str]]:
-    """Pages with text under their real numbers, by whichever PDF library the workers have."""
+    """All pages under their real numbers, blank ones too, by whichever PDF library the workers have."""
     if importlib.util.find_spec("pypdf"):
         import pypdf
 
-        return [(k, t) for k, p in enumerate(pypdf.PdfReader(io.BytesIO(data)).pages, 1) if (t := p.extract_text() or "").strip()]
+        return [(k, p.extract_text() or "") for k, p in enumerate(pypdf.PdfReader(io.BytesIO(data)).pages, 1)]
     if importlib.util.find_spec("pdfplumber"):
         import pdfplumber
 
         with pdfplumber.open(io.BytesIO(data)) as pdf:
-            return [(k, t) for k, p in enumerate(pdf.pages, 1) if (t := p.extract_text() or "").strip()]
+            return [(k, p.extract_text() or "") for k, p in enumerate(pdf.pages, 1)]
     raise SourceError("no PDF library is installed")
 
 
@@ -128,13 +139,22 @@ def html_text(page: str, web: bool = False) -> tuple[str, str | None]:
     return text.strip(), parser.title
 
 
-def parse(path: str, data: bytes, strict: bool) -> tuple[list[tuple[int | None, str]], str, str | None]:
-    """Pages, the extractor's name and the title of a file."""
+def parse(path: str, data: bytes, strict: bool, parsers: tuple[Parser, ...] = ()) -> tuple[list[tuple[int | None, str]], int, str, str | None]:
+    """Pages with text, how many there are with those without, the extractor's name and the title of a source.
+
+    A URL is a fetched page; other sources go by their suffix, and in the open profile unknown ones are text.
+    """
     suffix = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
-    if strict and suffix not in STRICT_SUFFIXES:
-        raise SourceError(f"unsupported suffix: {suffix or 'none'}")
+    own = next((p for p in parsers if suffix in p.suffixes), None)
     title = None
-    if suffix in ("html", "htm"):
+    if own is not None:
+        pages, name = own.read(data), type(own).__name__
+    elif strict and suffix not in STRICT_SUFFIXES:
+        raise SourceError(f"unsupported suffix: {suffix or 'none'}")
+    elif not strict and path.startswith(("http://", "https://")):
+        text, title = html_text(data.decode("utf-8", "replace"), True)
+        pages, name = [(None, text)], "web"
+    elif suffix in ("html", "htm", "xhtml"):
         text, title = html_text(data.decode("utf-8", "replace"))
         pages, name = [(None, text)], "html"
     elif suffix in ("docx", "doc"):
@@ -143,22 +163,29 @@ def parse(path: str, data: bytes, strict: bool) -> tuple[list[tuple[int | None,
         pages, name = read_pdf(data), "pdf"
     else:
         pages, name = read_text(data), "text"
-    pages = [(n, t) for n, text in pages if (t := clean(text))]
-    if not pages:
+    filled = [(n, t) for n, text in pages if (t := clean(text))]
+    if not filled:
         raise SourceError("no text")
-    return pages, name, title
+    return filled, len(pages), name, title
 
 
 def discover(spark: SparkSession, folder: str, suffixes: list[str] | None = None, recursive: bool = False) -> DataFrame:
-    """Files with one of the suffixes, in any case: path, name, length, content.  A folder that isn't there is an error."""
-    kinds = "|".join(suffixes or STRICT_SUFFIXES)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    """Files with one of the suffixes, in any case, in order of their names: path, name, length, content.
+
+    Names are chosen when the folder is listed, so other files aren't read.  A folder that isn't there is an error.
+    """
+    either = lambda s: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s)
+    kinds = ",".join(map(either, suffixes or STRICT_SUFFIXES))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", f"*.{{{kinds}}}").load(folder)
     name = F.regexp_extract("path", "([^/]*)$", 1)
-    return files.filter(F.lower("path").rlike(rf"\.({kinds})$")).select("path", name.alias("name"), "length", "content")
+    return files.select("path", name.alias("name"), "length", "content").orderBy(F.lower("name"), "path")
+
 
+def load(files: DataFrame, strict: bool = True, parsers: tuple[Parser, ...] = ()) -> DataFrame:
+    """A row for each page, and one with error_type and message for each file that can't be read.
 
-def load(files: DataFrame, strict: bool = True) -> DataFrame:
-    """A row for each page, and one with error_type and message for each file that can't be read."""
+    ``files`` has path, name and content; a fetched page's path is its URL.  ``parsers`` come before the built-in ones.
+    """
 
     def run(batches):
         import pandas as pd
@@ -167,11 +194,11 @@ def load(files: DataFrame, strict: bool = True) -> DataFrame:
             rows = []
             for f in pdf.itertuples():
                 try:
-                    pages, extractor, title = parse(f.path, f.content, strict)
-                    rows += [(f.path, f.name, extractor, n, k, t, title, None, None) for k, (n, t) in enumerate(pages, 1)]
+                    pages, total, extractor, title = parse(f.path, f.content, strict, parsers)
+                    rows += [(f.path, f.name, extractor, n, total, k, t, title, None, None) for k, (n, t) in enumerate(pages, 1)]
                 except Exception as error:  # whatever a broken file raises is its result
-                    rows.append((f.path, f.name, None, None, None, None, None, type(error).__name__, str(error)[:500]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGE_SCHEMA.split(", ")]).astype({"page": "Int64", "source_unit": "Int64"})
+                    rows.append((f.path, f.name, None, None, None, None, None, None, type(error).__name__, str(error)[:500]))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGE_SCHEMA.split(", ")]).astype({"page": "Int64", "source_unit": "Int64", "total_pages": "Int64"})
 
     return files.select("path", "name", "content").mapInPandas(run, PAGE_SCHEMA)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as T
-from sheaf.operators.index import Index
+from sheaf.operators.index import EVERY, Index, sums
 
 
 def is_folder(spark: SparkSession, path: str) -> bool:
@@ -29,9 +29,12 @@ def ingest(stream: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        index = Index.build(batch, tokenizer, key, text)
-        index.postings().write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
-        index.totals().select("n", "n_tokens").write.mode("overwrite").parquet(f"{path}/totals/batch={number}")
+        found = Index.build(batch, tokenizer, key, text).every()
+        where = f"{path}/every/batch={number}"
+        found.write.mode("overwrite").parquet(where)
+        found = batch.sparkSession.read.parquet(where)
+        found.filter(F.col("term") != EVERY).drop("tokens").write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
+        found.filter(F.col("term") == EVERY).agg(*sums(F.sum("tf"), F.sum("tokens"))).select("n", "n_tokens").write.mode("overwrite").parquet(f"{path}/totals/batch={number}")
 
     stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start().awaitTermination()
 
@@ -43,12 +46,16 @@ def totals(spark: SparkSession, path: str) -> DataFrame:
     return sums.crossJoin(terms).select("n", "n_tokens", "n_terms", F.round(F.col("n_tokens") / F.col("n"), 6).alias("avgdl"))
 
 
-def running_stats(stream: DataFrame, checkpoint: str, name: str, key: str = "event_type", value: str = "value") -> DataFrame:
-    """Counts and averages by key of all rows at hand."""
+def running_stats(stream: DataFrame, folder: str, key: str = "event_type", value: str = "value") -> DataFrame:
+    """Counts and averages by key of all rows at hand, as a table in the folder that each batch writes anew."""
     stats = stream.groupBy(key).agg(F.count("*").alias("n"), F.count(value).alias("n_values"), F.round(F.avg(value), 6).alias("avg_value"))
-    query = stats.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/stats")
+
+    query = stats.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/_checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stats.schema).parquet(f"{folder}/stats")
 
 
 def windowed_counts(stream: DataFrame, time: str = "ts", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
