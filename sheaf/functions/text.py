@@ -74,7 +74,7 @@ def clean(text: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """For matching only: lower case without private-use characters, Thai vowels and marks, and white space."""
-    return F.regexp_replace(F.lower(text), r"(?U)[-ะ-ฺเ-๎\s]", "")
+    return F.regexp_replace(F.lower(text), r"(?U)[\x{E000}-\x{F8FF}\x{0E30}-\x{0E3A}\x{0E40}-\x{0E4E}\s]", "")
 
 
 def compact(text: Column) -> Column:
