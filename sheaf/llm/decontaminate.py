@@ -3,9 +3,10 @@
 The benchmark's windows (10 consecutive normalised words; a shorter item is one window) are hashed into a set that is
 broadcast.  Every document is cut into words once, the words are hashed, and the hash of each of its windows probes the
 set; hits are verified word by word inside the join, so a hash collision is no hit.  Unverified windows never leave the
-scan: documents are shuffled neither for the search nor for the result, only hits and one row a document are.
+scan: documents are shuffled neither for the search nor for the result, only hits and one row a document are.  The set holds
+each window once; which items it is of is looked up later, for the windows that were found.
 
-The set has a size bound, ``MAX_WINDOWS``; a benchmark with more windows is searched in blocks of at most about that many.
+The set has a size bound, ``MAX_WINDOWS`` and ``MAX_BYTES``; a larger benchmark is searched in blocks of about that size.
 
 A null or empty text has no words and is clean.  Each input row gives one row, repeated rows too.  An item without words
 has no window; an item with a null item_id marks words but is neither counted nor listed; repeated items count once.
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from sheaf.llm import shared
 
 WINDOW = 10
-#: Windows of a broadcast set.
-MAX_WINDOWS = 500_000
+#: Windows of a broadcast set and bytes of their texts, on average over blocks.
+MAX_WINDOWS, MAX_BYTES = 500_000, 96 << 20
 #: Keys of contaminated documents that are broadcast to remove them; more are joined by a shuffle.
 MAX_KEYS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,13 +53,12 @@ def _window_hashes(hashes: Column, count: Column, n: int) -> Column:
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Each distinct window of the benchmark: its hash, text, number of words and the items that hold it."""
+    """Each window of the benchmark and item that holds it: the window's hash, text and number of words, and item_id."""
     words = benchmark.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
     words = words.withColumn("n", F.least(F.lit(window), F.size("words")))
     at = words.withColumn("start", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)))
     part = F.slice("words", F.col("start"), F.col("n"))
-    found = at.select("item_id", "n", _plain(F.col("words"), F.col("start"), F.col("n")).alias("gram"), F.xxhash64(_hashes(part)).alias("hash"))
-    return found.groupBy("hash", "gram", "n").agg(F.collect_set("item_id").alias("items"))
+    return at.select("item_id", "n", _plain(F.col("words"), F.col("start"), F.col("n")).alias("gram"), F.xxhash64(_hashes(part)).alias("hash")).distinct()
 
 
 def _scan(documents: DataFrame, grams: DataFrame, lengths: list[int], first: bool) -> DataFrame:
@@ -77,33 +77,37 @@ def _scan(documents: DataFrame, grams: DataFrame, lengths: list[int], first: boo
         before = before + F.greatest(F.lit(0), F.col("_n") - (n - 1))
     offset = reduce(lambda c, x: F.when(F.col("g_n") == x[0], x[1]).otherwise(c), zip(lengths, offsets, strict=True), F.lit(0))
     start = F.col("_place") - offset
-    g = F.broadcast(grams.select(F.col("hash").alias("g_hash"), F.col("gram").alias("g_gram"), F.col("n").alias("g_n"), F.col("items").alias("g_items")))
+    g = F.broadcast(grams.select(F.col("hash").alias("g_hash"), F.col("gram").alias("g_gram"), F.col("n").alias("g_n"), F.col("id").alias("g_id")))
     same = (F.col("_hash") == F.col("g_hash")) & (_plain(F.col("_words"), start, F.col("g_n")) == F.col("g_gram"))
     hits = wide.join(g, same, "left" if first else "inner")
     if first:
         hits = hits.filter((F.col("_place") == 0) | F.col("g_n").isNotNull())
-    return hits.select("_key", F.col("_n").alias("n_words"), start.alias("start"), F.col("g_n").alias("n"), F.col("g_items").alias("items"))
+    return hits.select("_key", F.col("_n").alias("n_words"), start.alias("start"), F.col("g_n").alias("n"), F.col("g_id").alias("gram"))
 
 
-def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For each document: key (doc_id and a hash of the text), copies (rows like it), n_words, its hit spans and the items found in it."""
-    spark = documents.sparkSession
-    grams = shared.table(windows(benchmark, window), shared.folder(spark, "benchmark"), "windows")
-    count = grams.count()
+def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """For each document: key (doc_id and a hash of the text), copies (rows like it), n_words, its hit spans and the windows in it;
+    and the items of windows: (gram, item_id)."""
+    spark, folder = documents.sparkSession, shared.folder(documents.sparkSession, "benchmark")
+    held = shared.table(windows(benchmark, window), folder, "windows")
+    grams = shared.table(held.select("hash", "gram", "n").distinct().withColumn("id", F.monotonically_increasing_id()), folder, "grams")
+    held_now = grams.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("gram")), F.lit(0)).alias("bytes")).first()
     lengths = sorted({r["n"] for r in grams.select("n").distinct().collect()} | {window}, reverse=True)  # at most as many as a window has words
     keyed = documents.select(F.struct("doc_id", F.xxhash64("text").alias("text"), F.length("text").alias("chars")).alias("_key"), "text")
-    blocks = max(1, -(-count // MAX_WINDOWS))
+    blocks = max(1, -(-held_now["n"] // MAX_WINDOWS), -(-held_now["bytes"] // MAX_BYTES))
     scans = [_scan(keyed, grams.filter(F.pmod(F.col("hash"), F.lit(blocks)) == b) if blocks > 1 else grams, lengths, b == 0) for b in range(blocks)]
-    return (
+    found = (
         reduce(DataFrame.unionByName, scans)
         .groupBy(F.col("_key").alias("key"))
         .agg(
             F.count_if(F.col("n").isNull()).alias("copies"),
             F.max("n_words").cast("long").alias("n_words"),
             F.sort_array(F.collect_set(F.when(F.col("n").isNotNull(), F.struct("start", "n")))).alias("spans"),
-            F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+            F.collect_set("gram").alias("grams"),
         )
     )
+    items = held.filter(F.col("item_id").isNotNull()).join(grams, ["hash", "gram", "n"]).select(F.col("id").alias("gram"), "item_id")
+    return found, items
 
 
 def covered(spans: Column) -> Column:
@@ -119,12 +123,18 @@ def covered(spans: Column) -> Column:
 
 def report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row for each document row: words, words hit, items found."""
-    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
-    found = find(documents, benchmark, window).select(
-        F.col("key.doc_id").alias("doc_id"), "copies", "n_words", covered(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256")
+    folder = shared.folder(documents.sparkSession, "report")
+    found, items = find(documents, benchmark, window)
+    found = shared.table(found, folder, "found")
+    # a pair of document and item once, however many windows they share
+    pairs = found.select("key", F.explode("grams").alias("gram")).join(items, "gram").select("key", "item_id").distinct()
+    names = pairs.groupBy("key").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("names")).select(F.col("key").alias("of"), "names")
+    names = found.join(names, F.col("key").eqNullSafe(F.col("of")), "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    out = names.select(
+        F.col("key.doc_id").alias("doc_id"), "copies", "n_words", covered(F.col("spans")).alias("n_hit"), F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256")
     )
-    found = found.withColumn("contaminated", F.col("n_hit") > 0)
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_copy", "copies")
+    out = out.withColumn("contaminated", F.col("n_hit") > 0)
+    return out.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy", "copies")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW) -> DataFrame:
@@ -135,19 +145,20 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, remove: str = "doc
     if remove not in ("documents", "spans"):
         raise ValueError("remove must be 'documents' or 'spans'")
     spark = documents.sparkSession
-    hits = find(documents, benchmark, window).filter(F.size("spans") > 0).select("key", "spans")
+    hits = find(documents, benchmark, window)[0].filter(F.size("spans") > 0).select("key", "spans")
     hits = shared.table(hits, shared.folder(spark, "contaminated"), "keys")
-    side = F.broadcast(hits) if hits.count() <= MAX_KEYS and remove == "documents" else hits
-    key = F.struct("doc_id", F.xxhash64("text").alias("text"), F.length("text").alias("chars"))
-    side = side.select(F.col("key").alias("_found"), F.col("spans").alias("_spans"))
+    key = F.struct(documents["doc_id"], F.xxhash64(documents["text"]).alias("text"), F.length(documents["text"]).alias("chars"))
+    of, spans, gaps, words = shared.fresh("of", "spans", "gaps", "words")
+    side = hits.select(F.col("key").alias(of), F.col("spans").alias(spans))
     if remove == "documents":
-        return documents.join(side, key.eqNullSafe(F.col("_found")), "left_anti")
-    joined = documents.join(side, key.eqNullSafe(F.col("_found")), "left")
-    gaps = F.split(F.col("text"), WORD, -1)
-    hit = lambda i: F.exists("_spans", lambda s: (s["start"] <= i + 1) & (i + 1 < s["start"] + s["n"]))
-    kept = joined.withColumn("_gaps", gaps).withColumn("_words", words_of(F.col("text")))
-    body = F.transform("_words", lambda w, i: F.when(hit(i), "").otherwise(F.concat(F.get("_gaps", i), w)))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(body, ""), F.element_at("_gaps", -1)))
+        side = side.drop(spans)
+        # a key has a fixed size, so so many of them are a bounded set
+        return documents.join(F.broadcast(side) if hits.count() <= MAX_KEYS else side, key.eqNullSafe(F.col(of)), "left_anti")
+    joined = documents.join(side, key.eqNullSafe(F.col(of)), "left")
+    hit = lambda i: F.exists(spans, lambda s: (s["start"] <= i + 1) & (i + 1 < s["start"] + s["n"]))
+    kept = joined.withColumn(gaps, F.split(F.col("text"), WORD, -1)).withColumn(words, words_of(F.col("text")))
+    body = F.transform(words, lambda w, i: F.when(hit(i), "").otherwise(F.concat(F.get(gaps, i), w)))
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.concat(F.array_join(body, ""), F.element_at(gaps, -1)))
     return kept.withColumn("text", text).select(*documents.columns)
 
 

@@ -36,6 +36,8 @@ from sheaf.llm.words import mix, slices, words_of
 
 #: Tokens that a task gathers before it ships a sorted run.
 RUN = 3_000_000
+#: Ids of a range of context counts, on average.
+IDS = 1 << 18
 
 
 def is_held_out(doc_id: int | None, modulus: int = 7, rest: int = 2) -> bool:
@@ -544,9 +546,11 @@ def train(documents: DataFrame, held=is_held_out, order: int = 2) -> Model:
         pairs = triples.groupBy("part").applyInArrow(_store_triples(folder, parts), schema(PAIR_RUN))
     else:
         pairs = texts.mapInArrow(_ship_pairs(vocabulary, parts, held), schema(PAIR_RUN))
-    contexts = pairs.groupBy("part").applyInArrow(_store_pairs(folder, parts, total), schema(CONTEXT))
-    rows = contexts.groupBy("part").applyInArrow(_store_contexts(folder, parts, total), "part int, stats array<bigint>").collect()
-    has_contexts, n2, n1, kinds = np.zeros(parts, bool), np.zeros(5, np.int64), np.zeros(5, np.int64), 0
+    # ranges of ids follow the vocabulary and not the corpus, so a shard has rows for no more ranges as shards grow in number
+    ranges = min(parts, max(32, -(-total // IDS)))
+    contexts = pairs.groupBy("part").applyInArrow(_store_pairs(folder, ranges, total), schema(CONTEXT))
+    rows = contexts.groupBy("part").applyInArrow(_store_contexts(folder, ranges, total), "part int, stats array<bigint>").collect()
+    has_contexts, n2, n1, kinds = np.zeros(ranges, bool), np.zeros(5, np.int64), np.zeros(5, np.int64), 0
     for r in rows:
         if r["part"] < 0:
             n2 = np.array(r["stats"])
@@ -555,7 +559,7 @@ def train(documents: DataFrame, held=is_held_out, order: int = 2) -> Model:
             n1, kinds = n1 + np.array(r["stats"][:5]), kinds + r["stats"][5]
     cut1 = discounts(n1)
     rest1 = float(cut1 @ [n1[0], n1[1], n1[4]]) / max(1, kinds)
-    model = Model(vocabulary, folder, parts, _present(folder, "pairs", parts), parts, has_contexts, discounts(n2), cut1, kinds, rest1)
+    model = Model(vocabulary, folder, parts, _present(folder, "pairs", parts), ranges, has_contexts, discounts(n2), cut1, kinds, rest1)
     if order == 3:
         model.has_triples = _present(folder, "triples", parts)
         model.cut3 = discounts(sum((shared.load(f"{folder}/triples-{p:06d}-of-counts")["n"] for p in np.flatnonzero(model.has_triples)), np.zeros(5, np.int64)))

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sheaf.llm import automaton, bpe, decontaminate, html_main, jaccard_join, language_model, line_dedup, perfect_hash, quality_classifier, quality_rules, substring_dedup, toxicity
 from sheaf.llm.words import hash_spans
@@ -100,7 +101,9 @@ def test_perfect_hash_is_minimal():
     assert len(perfect_hash.build(keys[:0])[1]) == 0
 
 
-def test_decontamination(spark, documents):
+@pytest.mark.parametrize("most", [500_000, 7])
+def test_decontamination(spark, documents, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MAX_WINDOWS", most)
     plain = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(t or ""))
     items = [(1, ROWS[3][1]), (2, " ".join(WORD.findall(ROWS[45][1])[5:25]).upper()), (3, "one TWO"), (4, ""), (5, None), (6, "not there at all"), (3, "one two"), (7, ROWS[3][1])]
     windows = collections.defaultdict(set)
@@ -121,6 +124,10 @@ def test_decontamination(spark, documents):
     assert rows_of(decontaminate.report(documents, bench), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
     clean = decontaminate.decontaminate(documents, bench)
     assert clean.columns == documents.columns and rows_of(clean, "doc_id") == collections.Counter({(k[0],): 0 for k in ()}) + sum((collections.Counter({(k[0],): v}) for k, v in want.items() if not k[5]), collections.Counter())
+    odd = documents.withColumns({f"_{c}": F.lit(1) for c in ("found", "spans", "gaps", "words", "key", "n", "hashes")})
+    for remove in ("documents", "spans"):
+        assert decontaminate.decontaminate(odd, bench, remove).columns == odd.columns
+    assert decontaminate.decontaminate(odd, bench).count() == clean.count() and decontaminate.report(documents.limit(0), bench).count() == 0
     spans = decontaminate.decontaminate(documents, bench, "spans")
     assert spans.count() == len(ROWS) and decontaminate.report(spans, bench).filter("contaminated AND doc_id = 3").count() == 0
     assert decontaminate.report(documents, bench.limit(0)).filter("contaminated").count() == 0
