@@ -339,6 +339,17 @@ ORACLES: dict[str, str] = {
     + "SELECT CASE WHEN regexp_matches(text, '[぀-ヿ]') THEN 'ja' WHEN regexp_matches(text, '[가-힯]') THEN 'ko' WHEN regexp_matches(text, '[㐀-鿿]') THEN 'zh' "
     "WHEN regexp_matches(text, '[฀-๿]') THEN 'th' WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'th' END AS language, count(*) AS n FROM e GROUP BY 1",
     "html_text": f"SELECT page_id, md5({HTML}) AS digest, regexp_extract(html, '(?is)<title>([^<]*)</title>', 1) AS title FROM pages",
+    "folded_text": "SELECT doc_id, md5(regexp_replace(lower(text), '[\\x{E000}-\\x{F8FF}\\x{0E30}-\\x{0E3A}\\x{0E40}-\\x{0E4E}\\s]', '', 'g')) AS digest FROM documents",
+    "hidden_markers": "WITH m AS (SELECT conv_id, turn, regexp_replace('[SOURCE 1] ' || text || '  [ source 12 ]' || chr(10) || 'end  of it [SOURCE 3]', '(?i)[ \\t]*\\[\\s*SOURCE\\s+\\d+\\s*\\]', '', 'g') AS t FROM conversations) "
+    "SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(t, '[ \\t]+(\\n)', '\\1', 'g'), ' {2,}', ' ', 'g'))) AS digest FROM m",
+    "redacted_text": "SELECT doc_id, md5(replace(text, 'th', '[REDACTED]')) AS digest FROM documents",
+    "document_keys": "WITH k AS (SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') AS stem FROM pages) "
+    "SELECT page_id, CASE WHEN trim(regexp_replace(stem, '[^\\p{L}\\p{N}]+', '_', 'g'), '_') = '' THEN 'document' ELSE trim(regexp_replace(stem, '[^\\p{L}\\p{N}]+', '_', 'g'), '_') END AS document, "
+    "CASE WHEN page_id % 3 > 0 THEN 'p' || page_id WHEN page_id % 2 + 1 > 1 THEN 'pna_u' || lpad((page_id % 5)::VARCHAR, 2, '0') ELSE 'pna' END AS page FROM k",
+    "joined_tokens": f"WITH t AS (SELECT doc_id, ({cased('text')})[1:50] AS w FROM documents) SELECT doc_id, md5(array_to_string(w, ' ')) AS digest FROM t",
+    "confidence_bands": cte(*bm25(BATCH, 1), "g AS (SELECT score >= 1 AS passed, round(greatest(0, least(1, CASE WHEN score >= 1 THEN least(score / 3, 1) ELSE score END)), 6) AS c FROM hits)")
+    + "SELECT CASE WHEN c >= 0.7 THEN 'high' WHEN c >= 0.4 THEN 'medium' ELSE 'low' END AS band, passed, count(*) AS n FROM g GROUP BY 1, 2",
+    "source_names": "SELECT coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN source WHEN doc_id % 3 = 0 THEN '' END, ''), nullif(CASE WHEN doc_id % 5 > 0 THEN lang END, ''), 'Unknown') AS source, count(*) AS n FROM documents GROUP BY 1",
     "glyph_repair": cte(
         f"g AS (SELECT * FROM {values(fixtures.GLYPHS, 'family, outline, code')} WHERE starts_with(family, {lit(glyphs.FAMILY)}))",
         f"v AS (SELECT * FROM {values(list(glyphs.VERIFIED.items()), 'outline, target')})",

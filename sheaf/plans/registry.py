@@ -223,6 +223,40 @@ def sentences(spark, sf_dir):
     return wide.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
+@query
+def folded_text(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.md5(T.folded(F.col("text"))).alias("digest"))
+
+
+@query
+def hidden_markers(spark, sf_dir):
+    """Turns with marks of sources, as an answer may have them, and without."""
+    marked = F.concat(F.lit("[SOURCE 1] "), "text", F.lit("  [ source 12 ]\nend  of it [SOURCE 3]"))
+    return said(spark, sf_dir).select("conv_id", "turn", F.md5(T.hide_source_markers(marked)).alias("digest"))
+
+
+@query
+def redacted_text(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.md5(T.redact(F.col("text"), "th")).alias("digest"))
+
+
+@query
+def document_keys(spark, sf_dir):
+    """Keys of pages' URLs as file names, and of their units."""
+    @F.pandas_udf("string")
+    def key(names):
+        return names.map(T.document_key, na_action="ignore")
+
+    page = F.when(F.col("page_id") % 3 > 0, F.col("page_id"))
+    return table(spark, sf_dir, "pages").select("page_id", key("url").alias("document"), T.page_key(page, F.col("page_id") % 5, F.col("page_id") % 2 + 1).alias("page"))
+
+
+@query
+def joined_tokens(spark, sf_dir):
+    """The first fifty tokens of documents, joined without spaces but between Latin letters and digits."""
+    return documents(spark, sf_dir).select("doc_id", F.md5(T.smart_join(F.slice(T.cased_tokens(F.col("text")), 1, 50))).alias("digest"))
+
+
 @query
 def language_counts(spark, sf_dir):
     every = documents(spark, sf_dir).select("text").unionByName(spark.createDataFrame([(q,) for _, q in fixtures.QUESTIONS], "text string"))
@@ -392,6 +426,19 @@ def gate_open(spark, sf_dir):
     return context.gate(ranking.bm25(index(spark, sf_dir), batch(spark, sf_dir), 1))
 
 
+@query
+def confidence_bands(spark, sf_dir):
+    gates = context.gate(ranking.bm25(index(spark, sf_dir), batch(spark, sf_dir), 1))
+    return gates.groupBy(T.confidence_band(F.col("confidence")).alias("band"), "passed").agg(F.count("*").alias("n"))
+
+
+@query
+def source_names(spark, sf_dir):
+    """The first field of a document that names its source."""
+    odd = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.col("source")).when(F.col("doc_id") % 3 == 0, "").alias("source_name"), F.when(F.col("doc_id") % 5 > 0, F.col("lang")).alias("title"))
+    return odd.groupBy(context.first_source("source_name", "title").alias("source")).agg(F.count("*").alias("n"))
+
+
 @query
 def gate_strict(spark, sf_dir):
     own = ranking.strict_index(documents(spark, sf_dir))
