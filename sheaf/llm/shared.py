@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import uuid
 from collections import OrderedDict
 from urllib.parse import unquote, urlparse
@@ -17,17 +16,7 @@ from urllib.parse import unquote, urlparse
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-
-def root(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, or what setCheckpointDir was given; set here only for one machine, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        kept = spark.sparkContext.getCheckpointDir()
-        if not kept and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = os.path.dirname(kept) if kept else f"file://{tempfile.mkdtemp(prefix='sheaf-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+from sheaf.storage import shared_folder
 
 
 #: Bytes of rows that Spark hands to Python at once.
@@ -51,9 +40,9 @@ def fresh(*names: str) -> list[str]:
 
 
 def folder(spark: SparkSession, what: str) -> str:
-    """A new folder's address for one run of an operator; its tasks get batches of bounded size."""
+    """A new folder's address for one run of an operator; its tasks get batches of bounded size.  ``sheaf.clean`` deletes it."""
     bound_batches(spark)
-    return f"{root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return shared_folder(spark, what)
 
 
 def table(df: DataFrame, where: str, name: str) -> DataFrame:
