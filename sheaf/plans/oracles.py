@@ -245,7 +245,30 @@ PLAN = cte(
     f"CASE WHEN regexp_matches(low, '(^|[^0-9])[0-9]{{8}}($|[^0-9])') OR {any_of('low', rules.BANNED)} OR len(found) = 0 THEN 'unknown' ELSE array_to_string(found, ',') END AS facets FROM b"
 )
 
+_SENTENCE = r"[.!?…。！？\n]"
+_LEAD = lambda x: f"(length({x}) - length(regexp_replace({x}, '^\\s+', '')))"
+_PART = lambda a, b: f"substring(text, ({a}) + 1, ({b}) - ({a}))"
+
+
+def chunked(size: int, overlap: int) -> str:
+    """Chunks by a recursion over where each starts: ``p`` has a step's columns in the order in which they are found."""
+    half = max(1, size // 2)
+    cut = lambda at, span, pattern: f"nullif(({at}) - 1 + length(regexp_extract({span}, '(?s)^({pattern})', 1)), ({at}) - 1)"
+    run = lambda at, span, pattern: f"nullif(({at}) - 1 + length(regexp_extract({span}, '(?s)^({pattern})\\S', 1)), ({at}) - 1)"
+    step = f"""(SELECT doc_id, text, total, pos, stop, {_LEAD('inside')} + pos AS start_char, pos + length(regexp_replace(inside, '\\s+$', '')) AS end_char, floor_, found FROM (
+      SELECT *, {_PART('pos', 'stop')} AS inside, CASE WHEN stop < total THEN coalesce({cut('floor_', _PART('floor_ - 1', 'stop - 1'), f'.*?{_SENTENCE}')}, {run('floor_', _PART('floor_ - 1', 'stop'), '.*?\\s')}) END AS found FROM (
+        SELECT *, greatest(pos + 1, stop - {overlap}) AS floor_ FROM (
+          SELECT *, CASE WHEN pos + {size} >= total THEN total ELSE coalesce({cut(f'pos + {half}', _PART(f'pos + {half} - 1', f'pos + {size}'), f'.*{_SENTENCE}')}, {run(f'pos + {half}', _PART(f'pos + {half} - 1', f'pos + {size} + 1'), '.*\\s')}, pos + {size}) END AS stop FROM c WHERE pos < total))))"""
+    return (
+        "WITH RECURSIVE c AS (SELECT doc_id, text, length(text) AS total, " + _LEAD("text") + " AS pos FROM documents WHERE text IS NOT NULL UNION ALL "
+        f"SELECT doc_id, text, total, greatest(pos + 1, CASE WHEN found IS NULL THEN floor_ ELSE found + {_LEAD(_PART('found', 'stop'))} END) FROM {step} WHERE stop < total), "
+        f"s AS (SELECT * FROM {step} WHERE start_char < end_char) "
+        f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos)::INT AS chunk_index, start_char::INT AS start_char, end_char::INT AS end_char, md5({_PART('start_char', 'end_char')}) AS digest FROM s"
+    )
+
+
 ORACLES: dict[str, str] = {
+    "char_chunks": chunked(1000, 150),
     "query_plan": PLAN,
     "tfidf_batch_topk": cte(*base(BATCH), "b AS (SELECT query_id, id, round(sum(tf / greatest(dl, 1) * ln(n / df) * qtf), 6) AS score FROM qt JOIN p USING (term) JOIN f USING (term), s GROUP BY ALL)") + _top("b", 5, "query_id, id, score"),
     "hybrid_batch_topk": cte(
