@@ -121,6 +121,9 @@ ENHANCED = cte(
 ) + _top("a", 10, "id, score, bm25, phrase, keyword, metadata, number_date, english")
 
 QUESTIONS = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {lit(t)})" for i, t in fixtures.QUESTIONS) + ") AS t(query_id, question))"
+ALL_QUESTIONS = QUESTIONS[:-1] + " UNION ALL SELECT conv_id * 1000 + turn + 1000, text FROM conversations WHERE role = 'user')"
+#: Whole words: \\b in RE2 knows ASCII only.
+WHOLE = "(^|[^\\p{{L}}\\p{{N}}_]){}($|[^\\p{{L}}\\p{{N}}_])"
 
 
 def appended(conditions: list[tuple[str, str]], first: str) -> str:
@@ -134,7 +137,7 @@ def alias_test(names: list[str]) -> str:
 
 LOW_QUESTION = normal("question")
 ROUTE = f"CASE WHEN {any_of(LOW_QUESTION, rules.CROSS_DOCUMENT)} THEN NULL " + " ".join(
-    f"WHEN {any_of(LOW_QUESTION, terms)} {''.join(f' OR regexp_matches({LOW_QUESTION}, {lit(chr(92) + "b" + w + chr(92) + "b")})' for w in words)} THEN {lit(d)}" for d, terms, words in rules.ROUTES
+    f"WHEN {any_of(LOW_QUESTION, terms)} {''.join(f' OR regexp_matches({LOW_QUESTION}, {lit(WHOLE.format(w))})' for w in words)} THEN {lit(d)}" for d, terms, words in rules.ROUTES
 ) + " END"
 HISTORY = (
     "said AS (SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant'))",
@@ -227,6 +230,7 @@ OPEN = [
     "n AS (SELECT query_id, count(DISTINCT source) AS n_sources FROM k GROUP BY query_id)",
 ]
 
+FACTS = "f AS (SELECT lang, source, quality::VARCHAR AS value FROM documents JOIN labels USING (doc_id))"
 _HAS = {k: any_of("lower(question)", v) for k, v in rules.INTENTS.items()}
 _NAMED = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(question), '(^|[^a-z0-9_]){re.escape(p[0].lower())}($|[^a-z0-9_])') THEN {lit(d)} END" for d, p in rules.PROGRAMS.items()) + "], lambda d: d IS NOT NULL)"
 _ALIASED = "lower(" + appended([(alias_test(n), e) for n, e in rules.ALIASES], "trim(question)") + ")"
@@ -236,7 +240,7 @@ _FACETS = (
     + f", CASE WHEN contains(low, 'หน่วยกิต') THEN CASE WHEN contains(low, 'สหกิจ') THEN 'co_op' WHEN contains(low, 'หมวดวิชาเฉพาะ') THEN 'specialized' ELSE 'credits' END END, CASE WHEN {_OTHER} THEN 'unknown' END], lambda f: f IS NOT NULL)"
 )
 PLAN = cte(
-    QUESTIONS,
+    ALL_QUESTIONS,
     f"a AS (SELECT *, {_ALIASED} AS low, {_NAMED} AS named FROM q)",
     f"b AS (SELECT *, len(named) > 1 AND {_HAS['comparison']} AS comparison, {_FACETS} AS found FROM a)",
 ) + (
@@ -296,7 +300,7 @@ ORACLES: dict[str, str] = {
         f"x AS (SELECT *, CASE WHEN len(history) = 0 THEN {lit(rules.NO_HISTORY)} ELSE array_to_string(list_transform(list_filter(history, lambda t: {TRIM('t.text')} <> ''), lambda t: upper(t.role) || ': ' || {TRIM('t.text')}), chr(10)) END AS lines FROM h WHERE role = 'user')",
     )
     + f"SELECT conv_id, turn, md5({lit(rules.HISTORY_TITLE)} || chr(10) || lines || chr(10) || chr(10) || 'CONTEXT:' || chr(10) || chr(10) || chr(10) || 'QUESTION:' || chr(10) || {TRIM('text')} || chr(10) || chr(10) || {lit(rules.USER_PROMPT_END)}) AS digest FROM x",
-    "answer_language": cte(QUESTIONS, f"x AS (SELECT *, {LANGUAGE('question')} AS l FROM q)")
+    "answer_language": cte(ALL_QUESTIONS, f"x AS (SELECT *, {LANGUAGE('question')} AS l FROM q)")
     + f"SELECT query_id, {REFUSED} AS refusal, md5(CASE WHEN l = 'th' THEN {lit(rules.THAI_ONCE)} ELSE chr(10) || {lit("REQUIRED BILINGUAL OUTPUT: a complete Thai answer under 'ภาษาไทย', then the equivalent answer in ")} || {NAMED} || {lit('. Both keep the same facts, numbers and qualifications; use only CONTEXT evidence.')} END) AS instruction FROM x",
     "prompt_context": cte(*bm25(BATCH, 3), "k AS (SELECT hits.*, text, source FROM hits JOIN d USING (id))", f"c AS (SELECT query_id, string_agg({SOURCE_BLOCK}, chr(10) || chr(10) ORDER BY rank) AS context FROM k GROUP BY query_id)")
     + "SELECT query_id, md5(context) AS context, md5('บริบทจากเอกสาร:' || chr(10) || context || chr(10) || chr(10) || 'คำถาม: ?' || chr(10) || chr(10) || 'คำตอบ:') AS prompt FROM c",
@@ -387,9 +391,9 @@ ORACLES: dict[str, str] = {
     "question_types": "SELECT conv_id, turn, CASE " + " ".join(f"WHEN {any_of('lower(text)', terms)} THEN '{name}'" for name, terms in rules.QUESTION_TYPES) + " ELSE 'general' END AS kind FROM conversations WHERE role = 'user'",
     "query_signals": f"SELECT conv_id, turn, array_to_string(list_filter({tokens('text')}, lambda t: NOT list_contains({array(rules.OPEN_STOP_WORDS)}, t)), '|') AS keywords, array_to_string(regexp_extract_all(text, {lit(rules.NUMBER)}), '|') AS numbers "
     f", array_to_string(regexp_extract_all(text, {lit(rules.DATE)}), '|') AS dates FROM conversations",
-    "expand_query": cte(QUESTIONS) + f"SELECT query_id, {appended([(any_of(LOW_QUESTION, t), e) for t, e in rules.EXPANSIONS], 'question')} AS expanded FROM q",
-    "alias_query": cte(QUESTIONS) + f"SELECT query_id, {appended([(alias_test(n), e) for n, e in rules.ALIASES], 'trim(question)')} AS aliased FROM q",
-    "route_query": cte(QUESTIONS) + f"SELECT query_id, {ROUTE} AS document FROM q",
+    "expand_query": cte(ALL_QUESTIONS) + f"SELECT query_id, {appended([(any_of(LOW_QUESTION, t), e) for t, e in rules.EXPANSIONS], 'question')} AS expanded FROM q",
+    "alias_query": cte(ALL_QUESTIONS) + f"SELECT query_id, {appended([(alias_test(n), e) for n, e in rules.ALIASES], 'trim(question)')} AS aliased FROM q",
+    "route_query": cte(ALL_QUESTIONS) + f"SELECT query_id, {ROUTE} AS document FROM q",
     "history_window": cte(*HISTORY) + "SELECT conv_id, turn, len(history)::BIGINT AS n_history, md5(array_to_string(list_transform(history, lambda x: x.role || ':' || x.text), '|')) AS digest FROM h WHERE role = 'user'",
     "retrieval_query": cte(*HISTORY, "o AS (SELECT *, list_transform(list_filter(history, lambda x: x.role = 'user' AND trim(x.text) <> ''), lambda x: x.text) AS own FROM h WHERE role = 'user')")
     + "SELECT conv_id, turn, md5(array_to_string(list_append(own[greatest(1, len(own) - 2):], text), chr(10))) AS digest FROM o",
@@ -400,8 +404,8 @@ ORACLES: dict[str, str] = {
     "prefix_dedupe": cte(*RANKED) + "SELECT query_id, id, rank FROM k QUALIFY row_number() OVER (PARTITION BY query_id, substring(text, 1, 200) ORDER BY rank) = 1",
     "citations": cte(*RANKED) + "SELECT query_id, source AS document, id % 3 AS page, min(rank) AS first_rank, string_agg(id::VARCHAR, ',' ORDER BY rank) AS chunk_ids FROM k GROUP BY 1, 2, 3",
     "diverse_hits": cte(*RANKED, "t AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS turn FROM k)", "o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY turn > 1, rank)::INT AS place FROM t)") + "SELECT query_id, id, place FROM o WHERE place <= 5",
-    "conflicts": "WITH f AS (SELECT source, CASE WHEN n_chars % 5 > 0 THEN (n_chars % 3)::VARCHAR END AS value FROM documents) SELECT source, coalesce(string_agg(DISTINCT value, ',' ORDER BY value), '') AS values, count(DISTINCT value) > 1 AS conflict FROM f GROUP BY source",
-    "fact_ranking": "WITH b AS (SELECT lang, source, max(n_chars) AS number FROM documents GROUP BY ALL) SELECT lang, source, number, row_number() OVER (PARTITION BY lang ORDER BY number DESC, source)::INT AS place FROM b",
+    "conflicts": cte(FACTS) + "SELECT lang, source, coalesce(string_agg(DISTINCT value, ',' ORDER BY value), '') AS values, count(DISTINCT value) > 1 AS conflict FROM f GROUP BY ALL",
+    "fact_ranking": cte(FACTS, "b AS (SELECT lang, source, count(*)::BIGINT AS number FROM f GROUP BY ALL)") + "SELECT lang, source, number, row_number() OVER (PARTITION BY lang ORDER BY number DESC, source)::INT AS place FROM b",
     "context_bounds": cte(*RANKED, "c AS (SELECT query_id, sum(length(text))::BIGINT AS chars, count(*) AS rows FROM k GROUP BY 1)") + "SELECT *, chars <= 24000 AND rows <= 80 AS fits FROM c",
     "eval_score": cte(*CASES) + "SELECT item_id, refused, answer_correct, citation_correct, answer_correct AND citation_correct AS passed, n_missing FROM r",
     "eval_summary": cte(*CASES) + "SELECT count(*) AS cases, count_if(answer_correct AND citation_correct)::BIGINT AS passed, count_if(answer_correct)::BIGINT AS answers_correct, count_if(citation_correct)::BIGINT AS citations_correct FROM r",

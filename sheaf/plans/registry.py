@@ -334,28 +334,30 @@ def query_signals(spark, sf_dir):
     return said(spark, sf_dir).select("conv_id", "turn", *[F.array_join(s[k], "|").alias(k) for k in ("keywords", "numbers", "dates")])
 
 
+def asked_all(spark, sf_dir):
+    """Questions whose rules no table exercises, and all user turns."""
+    turns = said(spark, sf_dir).filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
+    return spark.createDataFrame(fixtures.QUESTIONS, "query_id long, question string").unionByName(turns.withColumn("query_id", F.col("query_id") + 1000))
+
+
 @query
 def expand_query(spark, sf_dir):
-    asked = spark.createDataFrame(fixtures.QUESTIONS, "query_id long, question string")
-    return asked.select("query_id", ranking.expand(F.col("question")).alias("expanded"))
+    return asked_all(spark, sf_dir).select("query_id", ranking.expand(F.col("question")).alias("expanded"))
 
 
 @query
 def alias_query(spark, sf_dir):
-    asked = spark.createDataFrame(fixtures.QUESTIONS, "query_id long, question string")
-    return asked.select("query_id", Q.add_aliases(F.col("question")).alias("aliased"))
+    return asked_all(spark, sf_dir).select("query_id", Q.add_aliases(F.col("question")).alias("aliased"))
 
 
 @query
 def route_query(spark, sf_dir):
-    asked = spark.createDataFrame(fixtures.QUESTIONS, "query_id long, question string")
-    return asked.select("query_id", Q.preferred_document(T.normalize(F.col("question"))).alias("document"))
+    return asked_all(spark, sf_dir).select("query_id", Q.preferred_document(T.normalize(F.col("question"))).alias("document"))
 
 
 @query
 def query_plan(spark, sf_dir):
-    asked = spark.createDataFrame(fixtures.QUESTIONS, "query_id long, question string")
-    plan = asked.select("query_id", Q.plan(F.col("question")).alias("p"), Q.facets(Q.add_aliases(F.col("question"))).alias("facets"))
+    plan = asked_all(spark, sf_dir).select("query_id", Q.plan(F.col("question")).alias("p"), Q.facets(Q.add_aliases(F.col("question"))).alias("facets"))
     return plan.select("query_id", F.array_join("p.documents", ",").alias("documents"), *[F.col(f"p.{c}").alias(c) for c in ("ranking", "comparison", "teaching", "recommendation")], F.array_join("facets", ",").alias("facets"))
 
 
@@ -409,7 +411,7 @@ def user_prompts(spark, sf_dir):
 
 @query
 def answer_language(spark, sf_dir):
-    asked = spark.createDataFrame(fixtures.QUESTIONS, "query_id long, question string")
+    asked = asked_all(spark, sf_dir)
     return asked.select("query_id", prompts.refusal(F.col("question")).alias("refusal"), F.md5(prompts.language_instruction(F.col("question"))).alias("instruction"))
 
 
@@ -493,17 +495,21 @@ def diverse_hits(spark, sf_dir):
 
 
 def facts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("lang", "source", F.when(F.col("n_chars") % 5 > 0, (F.col("n_chars") % 3).cast("string")).alias("value"))
+    """What the labels say of sources: a quality for each labelled document."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("value"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(labels, "doc_id")
 
 
 @query
 def conflicts(spark, sf_dir):
-    return context.conflicts(facts(spark, sf_dir), "source").select("source", F.array_join("values", ",").alias("values"), "conflict")
+    """Sources and languages of which documents were labelled both ways."""
+    return context.conflicts(facts(spark, sf_dir), "lang", "source").select("lang", "source", F.array_join("values", ",").alias("values"), "conflict")
 
 
 @query
 def fact_ranking(spark, sf_dir):
-    best = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.max("n_chars").cast("string").alias("value"))
+    """Sources of each language by the number of their labelled documents."""
+    best = facts(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").cast("string").alias("value"))
     return context.rank_facts(best, ("lang",), "source").select("lang", "source", "number", "place")
 
 
