@@ -271,7 +271,24 @@ def chunked(size: int, overlap: int) -> str:
     )
 
 
+def decoded(x: str) -> str:
+    """A text with the character references that the test pages hold; the ampersand comes last."""
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", chr(34)), ("&#x27;", "'"), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        x = f"replace({x}, {lit(name)}, {lit(char)})"
+    return x
+
+
+#: Fetched pages whose text lies in one article without anything to be dropped.
+WEB = (
+    "n AS (SELECT page_id, url, regexp_extract(html, '(?is)<title>([^<]*)</title>', 1) AS title, regexp_split_to_array(regexp_extract(html, '(?is)<article>(.*)</article>', 1), '<[^>]*>') AS nodes FROM pages)",
+    f"w AS (SELECT page_id, url, nullif({TRIM(decoded('title'))}, '') AS title, array_to_string(list_filter(list_transform(nodes, lambda x: {TRIM(decoded('x'))}), lambda x: x <> ''), chr(10)) AS raw FROM n)",
+    f"t AS (SELECT page_id, url, title, {TRIM("regexp_replace(regexp_replace(raw, '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]{2,}', ' ', 'g')")} AS text FROM w)",
+)
+
 ORACLES: dict[str, str] = {
+    "html_parsed": cte(*WEB) + "SELECT page_id, title, length(text)::INT AS n_chars, md5(text) AS digest FROM t",
+    "document_report": cte(*WEB, "c AS (SELECT url AS document, regexp_replace(text, '[ \\t]+(\\n|$)', '\\1', 'g') AS text FROM t)")
+    + "SELECT document, count(nullif(text, '')) AS pages, sum(length(text))::BIGINT AS n_chars, max(CASE WHEN text = '' THEN 'SourceError' END) AS error_type FROM c GROUP BY document",
     "char_chunks": chunked(1000, 150),
     "query_plan": PLAN,
     "tfidf_batch_topk": cte(*base(BATCH), "b AS (SELECT query_id, id, round(sum(tf / greatest(dl, 1) * ln(n / df) * qtf), 6) AS score FROM qt JOIN p USING (term) JOIN f USING (term), s GROUP BY ALL)") + _top("b", 5, "query_id, id, score"),
