@@ -86,4 +86,19 @@ c AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = r
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (r) JOIN c USING (r)
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op2_line_dedup": OP2, "op3_decontamination": OP3, "op5_substring_dedup": OP5, "op10_ngram_jaccard": OP10}
+_REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", chr(34)), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", " "))
+_BLOCKS = "address|aside|blockquote|button|caption|center|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|legend|li|main|menu|nav|ol|p|pre|section|summary|table|tbody|td|tfoot|th|thead|tr|ul"
+_DECODED = "x"
+for _name, _char in _REFERENCES:
+    _DECODED = f"replace({_DECODED}, '{_name}', '{_char}')"
+_DECODED = f"regexp_replace({_DECODED}, '&amp;?', '&', 'g')"  # legal without its end, and where a title was cut
+#: What the main text must be on pages that mark it as an article and have nothing else in it: not how the tree finds it.
+OP6 = f"""
+WITH a AS (SELECT row_number() OVER () AS r, page_id, url, regexp_extract(coalesce(html, ''), '(?is)<article[^>]*>(.*)</article>', 1) AS body FROM pages),
+b AS (SELECT r, page_id, url, regexp_split_to_array(body, '(?i)</?(?:{_BLOCKS})(?:\\s[^>]*)?>') AS blocks FROM a),
+c AS (SELECT page_id, url, array_to_string(list_filter(list_transform(list_transform(list_transform(blocks, lambda x: regexp_replace(regexp_replace(x, '(?i)<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')), lambda x: {_DECODED}),
+  lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c
+"""
+
+ORACLES: dict[str, str] = {"op6_html_extraction": OP6, "op1_quality_rules": OP1, "op2_line_dedup": OP2, "op3_decontamination": OP3, "op5_substring_dedup": OP5, "op10_ngram_jaccard": OP10}
