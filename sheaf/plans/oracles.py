@@ -429,5 +429,6 @@ ORACLES: dict[str, str] = {
     "pipeline_stats": "SELECT count(*) AS total_queries, count_if(event_type <> 'error')::BIGINT AS successful, count_if(event_type = 'error')::BIGINT AS failed, round(avg(value) FILTER (WHERE event_type <> 'error'), 6) AS avg_time FROM events",
     "label_precision": cte(*bm25(BATCH, 10)) + "SELECT rank, count(*) AS n, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic FROM hits JOIN labels ON id = doc_id GROUP BY rank",
     "stream_index": cte(*base(ONE)) + "SELECT n, n_tokens::BIGINT AS n_tokens, (SELECT count(*) FROM f) AS n_terms, round(avgdl, 6) AS avgdl FROM s",
+    "stream_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_stats": "SELECT event_type, count(*) AS n, count(value) AS n_values, round(avg(value), 6) AS avg_value FROM events GROUP BY event_type",
 }

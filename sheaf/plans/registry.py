@@ -602,4 +602,10 @@ def stream_index(spark, sf_dir):
 
 @query
 def stream_stats(spark, sf_dir):
-    return ingest.running_stats(ingest.table_stream(spark, sf_dir, "events"), shared_folder(spark, "stream-stats"))
+    return ingest.complete(ingest.running_stats(ingest.table_stream(spark, sf_dir, "events")), shared_folder(spark, "stream-stats"))
+
+
+@query
+def stream_windows(spark, sf_dir):
+    found = ingest.complete(ingest.windowed_counts(ingest.table_stream(spark, sf_dir, "events")), shared_folder(spark, "stream-windows"))
+    return found.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")

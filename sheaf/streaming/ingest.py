@@ -46,18 +46,24 @@ def totals(spark: SparkSession, path: str) -> DataFrame:
     return sums.crossJoin(terms).select("n", "n_tokens", "n_terms", F.round(F.col("n_tokens") / F.col("n"), 6).alias("avgdl"))
 
 
-def running_stats(stream: DataFrame, folder: str, key: str = "event_type", value: str = "value") -> DataFrame:
-    """Counts and averages by key of all rows at hand, as a table in the folder that each batch writes anew."""
-    stats = stream.groupBy(key).agg(F.count("*").alias("n"), F.count(value).alias("n_values"), F.round(F.avg(value), 6).alias("avg_value"))
+def complete(result: DataFrame, folder: str) -> DataFrame:
+    """An aggregate of all rows at hand, as a table in the folder that each batch writes anew; nothing passes through the driver."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/stats")
+        batch.write.mode("overwrite").parquet(f"{folder}/result")
 
-    query = stats.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/_checkpoint").trigger(availableNow=True).start()
+    result.sparkSession.createDataFrame([], result.schema).write.mode("ignore").parquet(f"{folder}/result")  # there may be no batch
+    query = result.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/_checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stats.schema).parquet(f"{folder}/stats")
+    return result.sparkSession.read.schema(result.schema).parquet(f"{folder}/result")
+
+
+def running_stats(stream: DataFrame, key: str = "event_type", value: str = "value") -> DataFrame:
+    """Counts and averages by key."""
+    return stream.groupBy(key).agg(F.count("*").alias("n"), F.count(value).alias("n_values"), F.round(F.avg(value), 6).alias("avg_value"))
 
 
 def windowed_counts(stream: DataFrame, time: str = "ts", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts by window and event type; rows later than ``late`` are left out."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width), "event_type").agg(F.count("*").alias("n"))
+    """Counts by window and event type; rows later than ``late`` are left out where windows are closed (in append mode)."""
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, late).groupBy(F.window(time, width), "event_type").agg(F.count("*").alias("n"))
