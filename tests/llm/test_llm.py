@@ -211,6 +211,23 @@ def test_substring_dedup(documents):
     assert kept.columns == documents.columns and kept.count() == len(ROWS)
 
 
+@pytest.mark.parametrize(("fan", "run"), [(1024, 2_000_000), (5, 100), (1, 7)])
+def test_counts_of_hashes(spark, monkeypatch, tmp_path, fan, run):
+    from sheaf.llm import counted
+
+    monkeypatch.setattr(counted, "FAN", fan)
+    monkeypatch.setattr(counted, "RUN", run)
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    met = [rng.choice(values, 60) for _ in range(30)]
+    frame = spark.createDataFrame([(k, " ".join(map(str, m.tolist()))) for k, m in enumerate(met)], "doc_id long, text string").repartition(4)
+    read = lambda piece: [np.array(t.split(), np.uint64) for t in piece.column("text").to_pylist()]
+    counts = counted.count_hashes(frame, read, f"file://{tmp_path}", 64)
+    want = collections.Counter(np.concatenate(met).tolist())
+    asked = np.sort(np.concatenate([values, rng.integers(0, 2**64, 50, dtype=np.uint64)]))
+    assert counts.find(asked).tolist() == [max(1, want[int(x)]) for x in asked]
+
+
 def test_automaton_gives_matching_statistics():
     rng = random.Random(2)
     passages = [[rng.choice("ab") for _ in range(rng.randrange(1, 30))] for _ in range(6)]
