@@ -89,12 +89,15 @@ class Codec:
         """The ids of each piece, as the reference algorithm gives them."""
         out: list[tuple[int, ...]] = [()] * len(pieces)
         classes: dict[int, list[int]] = {}
-        for i, p in enumerate(pieces):
-            rank = self.ranks.get(p)
+        for i, rank in enumerate(map(self.ranks.get, pieces)):
             if rank is not None:
                 out[i] = (rank,)
-            elif p:
-                classes.setdefault(max(1, (len(p) - 1).bit_length()), []).append(i)
+            elif size := len(pieces[i]):
+                depth = (size - 1).bit_length() or 1
+                if depth in classes:
+                    classes[depth].append(i)
+                else:
+                    classes[depth] = [i]
         for depth, members in classes.items():
             step = max(1, TREE_CELLS >> depth)
             for k in range(0, len(members), step):
@@ -107,6 +110,11 @@ class Codec:
                     out[i] = ids
         return out
 
+    @cached_property
+    def names(self) -> dict[int, str]:
+        """The ids in decimal."""
+        return {i: str(i) for i in self.bytes_of}
+
     @cached_property
     def pairs(self) -> dict[int, int]:
         return dict(zip(self.keys.tolist(), self.values.tolist(), strict=True))
@@ -268,22 +276,36 @@ def _uneven(text: str) -> bool:
     return " \n" in text or "\n " in text or any(c in text for c in _ODD)
 
 
+def _is_word(chunk: str) -> bool:
+    """Whether a chunk is a space and letters of the blocks for European languages: the pattern makes it one piece."""
+    return chunk[0] == " " and chunk[1:].isalpha() and max(chunk) < "\u0250"
+
+
 def _many(texts: list[str | None], path: str, pattern: str):
     """For each text the ids in decimal joined by one space, and the bytes they decode to."""
     own, memory = codec(path), _MEMORIES.setdefault(path + pattern, _Memory())
-    find = regex.compile(pattern).findall
-    cut = [_chunks(t, pattern == public_tokenizers.PATTERN) for t in texts]
+    plain = pattern == public_tokenizers.PATTERN
+    cut = [_chunks(t, plain) for t in texts]
     new = memory.missing(set(chain.from_iterable(cut)))
-    pieces = [find(c) for c in new]
+    names, decode, young = own.names, own.bytes_of.__getitem__, memory.young
+    words = [c for c in new if _is_word(c)] if plain else []
+    for chunk, ids in zip(words, own.encode_pieces([c.encode() for c in words]), strict=True):
+        young[chunk] = " ".join([names[i] for i in ids]), b"".join([decode(i) for i in ids])
+    find = regex.compile(pattern).findall
+    rest = [c for c in new if c not in young] if words else new
+    pieces = [find(c) for c in rest]
     distinct = list(set(chain.from_iterable(pieces)))
-    ids = dict(zip(distinct, own.encode_pieces([p.encode() for p in distinct]), strict=True))
-    for chunk, parts in zip(new, pieces, strict=True):
-        found = ids[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable([ids[p] for p in parts]))
-        memory.young[chunk] = " ".join(map(str, found)), own.decode(found)
-    get = memory.young.__getitem__
+    known = dict(zip(distinct, own.encode_pieces([p.encode() for p in distinct]), strict=True))
+    for chunk, parts in zip(rest, pieces, strict=True):
+        ids = list(chain.from_iterable([known[p] for p in parts]))
+        young[chunk] = " ".join([names[i] for i in ids]), b"".join([decode(i) for i in ids])
+    get = young.__getitem__
     for chunks in cut:
-        found = list(map(get, chunks))
-        yield " ".join([x[0] for x in found]), b"".join([x[1] for x in found])
+        if chunks:
+            ids, decoded = zip(*map(get, chunks), strict=True)
+            yield " ".join(ids), b"".join(decoded)
+        else:
+            yield "", b""
 
 
 def _digests(path: str, pattern: str):
