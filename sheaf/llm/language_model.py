@@ -36,6 +36,8 @@ from sheaf.llm.words import mix, slices, words_of
 
 #: Tokens that a task gathers before it ships a sorted run.
 RUN = 3_000_000
+#: Bytes of text that are scored at once: each lot visits the files of all its ranges and shards.
+SCORED = 4 << 20
 #: Ids of a range of context counts, on average.
 IDS = 1 << 18
 
@@ -574,7 +576,7 @@ def _scores(model: Model, held):
     def run(batches):
         v = model.vocabulary
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, size=SCORED):
                 token, count, before, count_before, earlier, first = v.read(words_of(piece.column("text"), lower=True))
                 base = np.log10((count + 1) / (v.tokens + v.types + 1))
                 score = model.log10(token, before, count_before, earlier)
