@@ -215,3 +215,18 @@ def test_ordered_digest(spark):
 def test_shared_folder_is_cleaned(spark):
     table = storage.stored(spark.range(3), "numbers")
     assert table.count() == 3 and storage.clean(spark) >= 1 and storage.clean(spark) == 0
+
+
+def test_stream_results_are_tables(spark, tmp_path):
+    from sheaf.streaming import ingest
+
+    rows = spark.createDataFrame([("a", 1.0, "2024-01-01 10:05:00"), ("a", None, "2024-01-01 10:55:00"), ("b", 3.0, "2024-01-01 12:00:00")], "event_type string, value double, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    stream = lambda: ingest.table_stream(spark, str(tmp_path), "events")
+    stats = ingest.complete(ingest.running_stats(stream()), f"file://{tmp_path}/stats")
+    assert sorted(map(tuple, stats.collect())) == [("a", 2, 1, 1.0), ("b", 1, 1, 3.0)]
+    counts = ingest.complete(ingest.windowed_counts(stream()), f"file://{tmp_path}/windows")
+    assert sorted((r.window.start.hour, r.event_type, r.n) for r in counts.collect()) == [(10, "a", 2), (12, "b", 1)]
+    os.makedirs(f"{tmp_path}/nothing")
+    none = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/nothing")
+    assert ingest.complete(ingest.running_stats(none), f"file://{tmp_path}/empty").count() == 0
