@@ -56,19 +56,21 @@ class Index:
         """(term, id, tf, dl), of the given terms only if there are some."""
         if self.stored:
             found = self.tokens.sparkSession.read.parquet(f"{self.stored}/postings")
-            return found.join(terms.select("term").distinct(), "term", "left_semi") if terms is not None else found
+            return found.join(stored(terms.select("term").distinct(), "terms"), "term", "left_semi") if terms is not None else found
         wide = self.tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
         if terms is not None:
-            wide = wide.join(terms.select("term").distinct(), "term", "left_semi")  # before anything is shuffled
-        return wide.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+            wide = wide.join(stored(terms.select("term").distinct(), "terms"), "term", "left_semi")  # before anything is shuffled
+        return wide.groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
     def every(self, terms: DataFrame | None = None) -> DataFrame:
         """(term, id, tf, dl, tokens): the postings, of some terms or all, and one of EVERY for each chunk, from one reading."""
         words = F.concat(F.array(F.lit(EVERY)), F.coalesce("tokens", F.array().cast("array<string>")))
         wide = self.tokens.select("id", F.coalesce(F.size("tokens"), F.lit(0)).alias("dl"), F.explode(words).alias("term"))
         if terms is not None:
-            wide = wide.join(terms.select("term").unionByName(self.tokens.sparkSession.range(1).select(F.lit(EVERY).alias("term"))).distinct(), "term", "left_semi")
-        return wide.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sum("dl").alias("tokens"))
+            # stored, so that its size is known: Spark broadcasts few terms and shuffles for very many
+            every = self.tokens.sparkSession.range(1).select(F.lit(EVERY).alias("term"))
+            wide = wide.join(stored(terms.select("term").unionByName(every).distinct(), "terms"), "term", "left_semi")
+        return wide.groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"), F.sum("dl").alias("tokens"))
 
     def lookup(self, terms: DataFrame) -> Lookup:
         """The postings of some terms, stored, and the totals, from one pass over the chunks.
