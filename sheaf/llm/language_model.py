@@ -350,13 +350,12 @@ def _store_triples(folder: str, shards: int):
         arrays |= bytewise("counts", counts) | bytewise("all", total(counts)) | bytewise("one", total(counts == 1)) | bytewise("two", total(counts == 2))
         part = key[0].as_py()
         shared.save(folder, f"triples-{part:06d}", arrays)
-        shared.save(folder, f"triples-{part:06d}-of-counts", {"n": counts_of_counts(counts)})
         pairs, kinds = np.unique((contexts >> np.uint64(32) << np.uint64(32))[which] | token, return_counts=True)
         before, token = pairs >> np.uint64(32), pairs & LOW
         shard = shard_of(before, token, np.isin(before, joined(table["hot"], loosen, np.uint64)), shards)
         order = np.argsort(shard, kind="stable")
         bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-        rows = []
+        rows = [(-1, squeeze(counts_of_counts(counts)), b"", b"")]  # passed on by _store_pairs
         for p in np.flatnonzero(np.diff(bounds)):
             at = order[bounds[p] : bounds[p + 1]]
             rows.append((int(p), pack(before[at].astype(np.uint32)), pack(token[at].astype(np.uint32)), squeeze(kinds[at].astype(np.uint32))))
@@ -373,7 +372,8 @@ def counts_of_counts(counts: np.ndarray) -> np.ndarray:
 
 
 def _store_pairs(folder: str, parts: int, total: int):
-    """Stores a shard of pairs; passes on what follows and what precedes each word, and the counts of counts (part -1)."""
+    """Stores a shard of pairs; passes on what follows and what precedes each word, and the counts of counts of pairs (part -1)
+    and of triples (part -2)."""
 
     def by_range(kind: str, ids: np.ndarray, *values: np.ndarray):
         part = ids * parts // total
@@ -383,6 +383,9 @@ def _store_pairs(folder: str, parts: int, total: int):
             yield int(p), kind, pack(ids[a:b].astype(np.uint32)), squeeze(np.concatenate([v[a:b].astype(np.uint32) for v in values]))
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            total_of = np.sum([loosen(x, np.int64) for x in table["before"].to_pylist()], axis=0)
+            return pa.Table.from_batches([_batch([(-2, "of counts", b"", squeeze(total_of))], CONTEXT)])
         before = joined(table["before"], unpack, np.uint32).astype(np.uint64)
         keys, counts = summed((before << np.uint64(32)) | joined(table["token"], unpack, np.uint32), joined(table["counts"], loosen, np.uint32))
         firsts, outer = level((keys >> np.uint64(32)).astype(np.uint32))
@@ -552,26 +555,25 @@ def train(documents: DataFrame, held=is_held_out, order: int = 2) -> Model:
     ranges = min(parts, max(32, -(-total // IDS)))
     contexts = pairs.groupBy("part").applyInArrow(_store_pairs(folder, ranges, total), schema(CONTEXT))
     rows = contexts.groupBy("part").applyInArrow(_store_contexts(folder, ranges, total), "part int, stats array<bigint>").collect()
-    has_contexts, n2, n1, kinds = np.zeros(ranges, bool), np.zeros(5, np.int64), np.zeros(5, np.int64), 0
+    has_contexts, n3, n2, n1, kinds = np.zeros(ranges, bool), *np.zeros((3, 5), np.int64), 0
     for r in rows:
-        if r["part"] < 0:
+        if r["part"] == -2:
+            n3 = np.array(r["stats"])
+        elif r["part"] == -1:
             n2 = np.array(r["stats"])
         else:
             has_contexts[r["part"]] = True
             n1, kinds = n1 + np.array(r["stats"][:5]), kinds + r["stats"][5]
     cut1 = discounts(n1)
     rest1 = float(cut1 @ [n1[0], n1[1], n1[4]]) / max(1, kinds)
-    model = Model(vocabulary, folder, parts, _present(folder, "pairs", parts), ranges, has_contexts, discounts(n2), cut1, kinds, rest1)
+    names = shared.names(folder)
+    present = lambda what: np.array([f"{what}-{p:06d}" in names for p in range(parts)])
+    model = Model(vocabulary, folder, parts, present("pairs"), ranges, has_contexts, discounts(n2), cut1, kinds, rest1)
     if order == 3:
-        model.has_triples = _present(folder, "triples", parts)
-        model.cut3 = discounts(sum((shared.load(f"{folder}/triples-{p:06d}-of-counts")["n"] for p in np.flatnonzero(model.has_triples)), np.zeros(5, np.int64)))
+        model.has_triples, model.cut3 = present("triples"), discounts(n3)
     return model
 
 
-def _present(folder: str, what: str, shards: int) -> np.ndarray:
-    return np.array([shared.exists(f"{folder}/{what}-{p:06d}") for p in range(shards)])
-
-
 def _scores(model: Model, held):
     def run(batches):
         v = model.vocabulary

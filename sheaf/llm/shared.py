@@ -120,11 +120,12 @@ def load(address: str, most: int = 256) -> dict[str, np.ndarray]:
     return arrays
 
 
-def exists(address: str) -> bool:
-    path = _local(address)
+def names(where: str) -> set[str]:
+    """The names of the files in a folder, from one listing; none if there is no folder."""
+    path = _local(where)
     if path is not None:
-        return os.path.exists(path)
+        return set(os.listdir(path)) if os.path.isdir(path) else set()
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(address)
-    return store.get_file_info(path).type == fs.FileType.File
+    store, path = fs.FileSystem.from_uri(where)
+    return {f.base_name for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True))}
