@@ -115,18 +115,14 @@ class Codec:
         """The ids in decimal."""
         return {i: str(i) for i in self.bytes_of}
 
-    @cached_property
-    def pairs(self) -> dict[int, int]:
-        return dict(zip(self.keys.tolist(), self.values.tolist(), strict=True))
-
     def _merge_alone(self, piece: bytes, depth: int) -> tuple[int, ...]:
         """The same tree for one piece, in plain numbers: what a merge changes is followed upwards as far as it changes anything."""
-        n, width, none, rank = len(piece), 1 << depth, int(_NONE), self.pairs.get
+        n, width, none, token, ranks = len(piece), 1 << depth, int(_NONE), self.bytes_of, self.ranks
         ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         tree = [none] * (2 * width)
         for k in range(n - 1):
-            r = rank(ids[k] << 32 | ids[k + 1])
+            r = ranks.get(piece[k : k + 2])
             if r is not None:
                 tree[width + k] = r * width + k
         for node in range(width - 1, 0, -1):
@@ -150,10 +146,10 @@ class Codec:
             r = None
             if follow < n:
                 before[follow] = at
-                r = rank(merged << 32 | ids[follow])
+                r = ranks.get(token[merged] + token[ids[follow]])
             update(at, none if r is None else r * width + at)
             if (prev := before[at]) >= 0:
-                r = rank(ids[prev] << 32 | merged)
+                r = ranks.get(token[ids[prev]] + token[merged])
                 update(prev, none if r is None else r * width + prev)
         return tuple([i for i in ids if i >= 0])
 

@@ -17,7 +17,7 @@ from sheaf.llm import shared
 from sheaf.llm.words import slices
 
 #: Hashes that a task sorts before it ships them.
-RUN = 2_000_000
+RUN = 1_000_000
 #: Ranges that a run is dealt to at most.
 FAN = 1024
 
