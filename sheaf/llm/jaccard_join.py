@@ -419,10 +419,11 @@ def keep_one(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     folder = shared.folder(documents.sparkSession, "keep-one")
     found = shared.table(_labelled(documents, percent).filter("root IS NOT NULL"), folder, "components")
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
-    is_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
-    rows = found.join(best, "root").groupBy("doc_id", "text_hash").agg(F.bool_or(is_best).alias("best"), F.count("*").alias("times"))
-    fates = rows.select("doc_id", "text_hash", F.when(~F.col("best"), GOES).when(F.col("times") > 1, REPEATED).alias("fate")).filter("fate IS NOT NULL")
+    # the best row of a component by its root, then rows by keys of their own: a large component is no key of a join
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")).select(F.struct("best.doc_id", "best.text_hash").alias("kept"))
+    rows = found.groupBy(F.struct("doc_id", "text_hash").alias("row")).agg(F.count("*").alias("times"))
+    rows = rows.join(best, F.col("row").eqNullSafe(F.col("kept")), "left")
+    fates = rows.select("row.*", F.when(F.col("kept").isNull(), GOES).when(F.col("times") > 1, REPEATED).alias("fate")).filter("fate IS NOT NULL")
     # by doc_id too: a text may have very many copies
     ranges = max(64, 4 * documents.rdd.getNumPartitions())
     part = lambda text_hash: F.pmod(F.xxhash64("doc_id", text_hash), F.lit(ranges)).cast("int")
