@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import rules
 
 OPEN_WORD = r"[฀-๿]+|[a-zA-Z0-9]+"
+LONG_WORD = r"[\u0e00-\u0e7f]{2,}|[a-z0-9]{2,}"
 STRICT_WORD = r"[a-z0-9]+|[฀-๿]+"
 
 
@@ -40,7 +41,7 @@ def contains_any(text: Column, terms: list[str]) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words of the open profile: lower case, runs of Thai or of Latin letters and digits, of two characters at least."""
-    return F.filter(cased_tokens(F.lower(text)), lambda t: F.length(t) > 1)
+    return F.regexp_extract_all(F.coalesce(F.lower(text), F.lit("")), F.lit(LONG_WORD), F.lit(0))
 
 
 def cased_tokens(text: Column) -> Column:
