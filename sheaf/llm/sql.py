@@ -86,6 +86,31 @@ c AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = r
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (r) JOIN c USING (r)
 """
 
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _share(count: str, total: str) -> str:
+    return f"(1 + (1000000000::HUGEINT * ({count} + 5)) // ({total} + 5 * v))"
+
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '{_TERM}')) AS t FROM d),
+k AS (SELECT lang, t FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, (SELECT count(*) FROM k WHERE k.lang = l.lang) AS v FROM (SELECT DISTINCT lang FROM d) l),
+n AS (SELECT lang, source, t, count(*) AS c FROM w SEMI JOIN k USING (lang, t) GROUP BY ALL),
+g AS MATERIALIZED (SELECT lang, source, v, coalesce((SELECT sum(c) FROM n WHERE n.lang = x.lang AND n.source = x.source), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) x JOIN v USING (lang)),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.t, coalesce(c, 0) AS c, {_share("coalesce(c, 0)", "total")} AS p FROM g JOIN k ON k.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.t = k.t),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+whole AS (SELECT lang, t, sum(c) AS c FROM n GROUP BY ALL),
+q AS (SELECT whole.lang, t, {_share("c", "total")} AS q FROM whole JOIN (SELECT lang, any_value(v) AS v, sum(total) AS total FROM g GROUP BY lang) USING (lang)),
+term AS (SELECT lang, source, t AS item, p - q AS value FROM p JOIN q USING (lang, t) WHERE c > 0 AND p > q),
+r AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 50
+"""
+
 _REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", chr(34)), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", " "))
 _BLOCKS = "address|aside|blockquote|button|caption|center|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|legend|li|main|menu|nav|ol|p|pre|section|summary|table|tbody|td|tfoot|th|thead|tr|ul"
 _DECODED = "x"
@@ -101,4 +126,4 @@ c AS (SELECT page_id, url, array_to_string(list_filter(list_transform(list_trans
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c
 """
 
-ORACLES: dict[str, str] = {"op6_html_extraction": OP6, "op1_quality_rules": OP1, "op2_line_dedup": OP2, "op3_decontamination": OP3, "op5_substring_dedup": OP5, "op10_ngram_jaccard": OP10}
+ORACLES: dict[str, str] = {"op6_html_extraction": OP6, "op1_quality_rules": OP1, "op2_line_dedup": OP2, "op3_decontamination": OP3, "op5_substring_dedup": OP5, "op10_ngram_jaccard": OP10, "op11_source_audit": OP11}

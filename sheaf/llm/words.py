@@ -161,7 +161,11 @@ class Words:
 
 def find_words(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> Words:
     """Maximal runs of bytes outside ``space``; none crosses the end of a text."""
-    inside = ~space[buf]
+    return find_runs(buf, offsets, ~space[buf])
+
+
+def find_runs(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
+    """Maximal runs of bytes for which ``inside`` is true; none crosses the end of a text."""
     if not len(buf):
         none = np.zeros(0, np.int64)
         return Words(buf, offsets, none, none, np.zeros(len(offsets), np.int64))
@@ -185,6 +189,19 @@ def words_of(col: pa.Array, lower: bool = False) -> Words:
     return find_words(LOWER[buf] if lower else buf, offsets)
 
 
+def coded(words: Words) -> tuple[np.ndarray, pa.Array]:
+    """The distinct words as strings, and for each word which of them it is: equal bytes, not equal hashes."""
+    if not len(words.start):
+        return np.zeros(0, np.int32), pa.array([], pa.string())
+    size = words.end - words.start
+    ends = np.cumsum(size)
+    data = words.buf[np.repeat(words.start - (ends - size), size) + np.arange(ends[-1])]
+    offsets = np.concatenate([[0], ends]).astype(np.int32 if ends[-1] < 2**31 else np.int64)
+    kind = pa.StringArray if offsets.dtype == np.int32 else pa.LargeStringArray
+    found = kind.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary.cast(pa.string())
+
+
 _BASE = 0x5851F42D4C957F2D
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
