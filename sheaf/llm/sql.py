@@ -111,6 +111,33 @@ SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PART
 FROM r QUALIFY part = 'pair' OR rank <= 50
 """
 
+_STEPS = []
+for _x in range(16):
+    for _ in range(4):
+        _x = 0xEDB88320 ^ (_x >> 1) if _x & 1 else _x >> 1
+    _STEPS.append(_x)
+#: the crc32 of a string, half a byte a step, lower half first
+_CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(0, length(x) // 2), lambda k: [('0x' || x[2 * k + 2])::BIGINT, ('0x' || x[2 * k + 1])::BIGINT]))),
+  lambda c, b: xor({_STEPS}[(xor(c, b) & 15) + 1]::BIGINT, c >> 4)), 4294967295::BIGINT)"""
+OP13 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, coalesce(doc_id::VARCHAR, '') AS id, translate(coalesce(text, ''), '{_UP}', '{_LOW}') AS text FROM documents),
+u AS (SELECT r, id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM d),
+c AS (SELECT r, w, count(*) AS k, hex(any_value(id) || ':' || w) AS x FROM u WHERE length(w) >= 7 GROUP BY ALL),
+h AS (SELECT w, k, {_CRC} AS h FROM c),
+m AS (SELECT CASE WHEN h % 31 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, k FROM h),
+v AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM m WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+i AS MATERIALIZED (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+t AS MATERIALIZED (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM i),
+short AS (SELECT DISTINCT word, n, rest FROM t),
+near AS MATERIALIZED (SELECT a.word, b.word AS other, b.n FROM t a JOIN t b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT s.word, v.word, v.n FROM short s JOIN v ON v.word = s.rest UNION ALL SELECT v.word, s.word, s.n FROM short s JOIN v ON v.word = s.rest),
+best AS (SELECT word, other, n, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 10 * v.n THEN other END AS form, CASE WHEN best.n >= 10 * v.n THEN best.n END AS form_n FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS here FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.here WHERE f.form IS NOT NULL),
+ends AS (SELECT walk.word, here AS root FROM walk JOIN f ON f.word = walk.here WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
+"""
+
 _REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", chr(34)), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", " "))
 _BLOCKS = "address|aside|blockquote|button|caption|center|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|legend|li|main|menu|nav|ol|p|pre|section|summary|table|tbody|td|tfoot|th|thead|tr|ul"
 _DECODED = "x"
@@ -126,4 +153,4 @@ c AS (SELECT page_id, url, array_to_string(list_filter(list_transform(list_trans
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c
 """
 
-ORACLES: dict[str, str] = {"op6_html_extraction": OP6, "op1_quality_rules": OP1, "op2_line_dedup": OP2, "op3_decontamination": OP3, "op5_substring_dedup": OP5, "op10_ngram_jaccard": OP10, "op11_source_audit": OP11}
+ORACLES: dict[str, str] = {"op6_html_extraction": OP6, "op1_quality_rules": OP1, "op2_line_dedup": OP2, "op3_decontamination": OP3, "op5_substring_dedup": OP5, "op10_ngram_jaccard": OP10, "op11_source_audit": OP11, "op13_spelling_variants": OP13}
