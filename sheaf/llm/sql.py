@@ -122,7 +122,7 @@ _CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transfo
 OP13 = f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, coalesce(doc_id::VARCHAR, '') AS id, translate(coalesce(text, ''), '{_UP}', '{_LOW}') AS text FROM documents),
 u AS (SELECT r, id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM d),
-c AS (SELECT r, w, count(*) AS k, hex(any_value(id) || ':' || w) AS x FROM u WHERE length(w) >= 7 GROUP BY ALL),
+c AS (SELECT r, w, count(*) AS k, hex(id || ':' || w) AS x FROM u WHERE length(w) >= 7 GROUP BY r, id, w),
 h AS (SELECT w, k, {_CRC} AS h FROM c),
 m AS (SELECT CASE WHEN h % 31 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, k FROM h),
 v AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM m WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
