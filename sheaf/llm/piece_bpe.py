@@ -8,7 +8,7 @@ is a task's own, since looking each word's position up in a table of the corpus
 White space that is in no piece but its own cuts words too.
 
 Segmentation merges, again and again, the leftmost adjacent pair whose piece has the best score; characters that are no piece become
-byte pieces.  Models of another kind, with pieces of users, a normalisation or markers at word ends are refused.  If a piece
+byte pieces.  Words of one length are segmented together in numpy, a merge of each in a step; long ones wait on a heap.  Models of another kind, with pieces of users, a normalisation or markers at word ends are refused.  If a piece
 has a marker inside, a text is one chunk.
 
 A null is an empty text, which has no tokens.  Every input row gives one row, repeated rows too.  Only doc_id and text are read.
@@ -33,10 +33,11 @@ from sheaf.llm.words import map_texts
 
 MARK = "▁"
 #: Marked words in a generation of a worker's table, and how many characters they may have.
-TABLE_WORDS, WORD_CHARS = 80_000, 64
-#: Characters up to which the best pair is looked for in a list; beyond, in a heap.
-SHORT = 48
-_NONE = 1 << 60
+TABLE_WORDS, WORD_CHARS = 150_000, 64
+#: Characters up to which words are segmented together, and cells of one such table.
+SHORT, CELLS = 40, 1 << 18
+#: A pair's value is the rank of its piece, in the upper bits, and the piece's code.
+_BITS, _NONE = 24, np.int64(2**62)
 
 
 class Codec:
@@ -67,36 +68,83 @@ class Codec:
         self.unknown_surface = model.trainer_spec.unk_surface
         inner = [p for p in self.ids if MARK in p.lstrip(MARK)]
         joined = set(chain.from_iterable(p for p in self.ids if len(p) > 1))
+        pairs = sorted((self._code(p[:k]) << 32 | self._code(p[k:]), r << _BITS | self.ids[p]) for p, r in self.rank.items() for k in range(1, len(p)) if all(len(x) == 1 or x in self.ids for x in (p[:k], p[k:])))
+        self.keys, self.values = np.array([k for k, _ in pairs] or [-1], np.int64), np.array([v for _, v in pairs] or [_NONE], np.int64)
+        self.decimal, self.says = _Filled(self._decimal), _Filled(self._says)
         own = "".join(c for c in "\t\n\v\f\r" if c not in joined)  # each a word of its own
         word = f"{MARK}*[^{MARK}{own}]+|{MARK}+" + (f"|[{own}]" if own else "")
         self.words = re.compile(r"(?s).+" if inner else word).findall
 
+    def _code(self, part: str) -> int:
+        """The id of a piece; a character that is none has a code beyond all ids."""
+        found = self.ids.get(part)
+        return len(self.surface) + ord(part) if found is None else found
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The values of pairs of codes; _NONE where no piece joins them."""
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], _NONE)
+
+    def _together(self, words: list[str], n: int) -> list[list[int]]:
+        """The codes of words of n characters.  All that still have a pair to merge merge one in each step, so they stay equally long."""
+        chars, where = np.unique(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), return_inverse=True)
+        codes = np.array([self._code(chr(c)) for c in chars.tolist()], np.int64)[where].reshape(len(words), n)
+        out: list[list[int]] = [[]] * len(words)
+        rows, values = np.arange(len(words)), self._pairs(codes[:, :-1], codes[:, 1:])
+        while True:
+            width = values.shape[1]
+            at = (values >> _BITS).argmin(1) if width else np.zeros(len(rows), np.int64)
+            best = values[np.arange(len(rows)), at] if width else np.full(len(rows), _NONE)
+            live = best != _NONE
+            for i, found in zip(rows[~live].tolist(), codes[~live].tolist(), strict=True):
+                out[i] = found
+            rows, codes, values, at, best = rows[live], codes[live], values[live], at[live], best[live]
+            if not len(rows):
+                return out
+            each = np.arange(len(rows))
+            codes[each, at] = best & ((1 << _BITS) - 1)
+            keep = np.ones(codes.shape, bool)
+            keep[each, at + 1] = False
+            codes = codes[keep].reshape(len(rows), width)
+            keep = np.ones(values.shape, bool)
+            keep[each, at] = False
+            values = values[keep].reshape(len(rows), width - 1)
+            for side in (at - 1, at):  # the pairs that the merged piece ends and starts
+                k = np.flatnonzero((side >= 0) & (side < width - 1))
+                values[k, side[k]] = self._pairs(codes[k, side[k]], codes[k, side[k] + 1])
+
+    def _ids(self, code: int) -> list[int]:
+        return [code] if code < len(self.surface) else [self.byte_ids[b] for b in chr(code - len(self.surface)).encode()]
+
+    def _decimal(self, code: int) -> str:
+        return ",".join(map(str, self._ids(code)))
+
+    def _says(self, code: int) -> str:
+        return self.spoken(self._ids(code))
+
+    def rows(self, words: list[str]) -> list[tuple[str, str]]:
+        """For each marked word its ids in decimal, joined by commas, and what they say."""
+        out: list[tuple[str, str]] = [("", "")] * len(words)
+        decimal, says = self.decimal.__getitem__, self.says.__getitem__
+        sizes: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            sizes.setdefault(len(word), []).append(i)
+        for n, members in sizes.items():
+            step = max(1, CELLS // n)
+            for k in range(0, len(members), step):
+                part = [words[i] for i in members[k : k + step]]
+                found = self._together(part, n) if n <= SHORT else [list(map(self._code, self._alone(w))) for w in part]
+                for i, codes in zip(members[k : k + step], found, strict=True):
+                    out[i] = ",".join(map(decimal, codes)), "".join(map(says, codes))
+        return out
+
     def segment(self, word: str) -> list[int]:
         """The ids of a marked word."""
-        found: list[int] = []
-        for part in self._short(word) if len(word) <= SHORT else self._long(word):
-            i = self.ids.get(part)
-            if i is None:
-                found += [self.byte_ids[b] for b in part.encode()]
-            else:
-                found.append(i)
-        return found
-
-    def _short(self, word: str) -> list[str]:
-        parts, rank = list(word), self.rank.get
-        ranks = [rank(a + b, _NONE) for a, b in zip(word, word[1:], strict=False)]
-        while ranks and (best := min(ranks)) != _NONE:
-            i = ranks.index(best)
-            parts[i] += parts.pop(i + 1)
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank(parts[i] + parts[i + 1], _NONE)
-            if i:
-                ranks[i - 1] = rank(parts[i - 1] + parts[i], _NONE)
-        return parts
-
-    def _long(self, word: str) -> list[str]:
-        """The same, in n log n steps: pairs wait in a heap, and one whose parts have changed since is passed over."""
+        return [int(i) for i in self.rows([word])[0][0].split(",")]
+
+    def _alone(self, word: str) -> list[str]:
+        """The pieces of a long word in n log n steps: pairs wait in a heap, and one whose parts have changed since is passed over."""
         n, rank = len(word), self.rank.get
         parts: list[str] = list(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -168,6 +216,17 @@ def _utf8(raw: bytes) -> str:
         return "".join(found)
 
 
+class _Filled(dict):
+    """A dict whose values come from their keys when they are first asked for."""
+
+    def __init__(self, of):
+        self.of = of
+
+    def __missing__(self, key):
+        self[key] = value = self.of(key)
+        return value
+
+
 @lru_cache(2)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -187,12 +246,10 @@ class _Table:
         if len(self.young) + len(new) > TABLE_WORDS and self.young:
             self.old, self.young = self.young, {}
             new = words
-        table, long, segment, spoken = self.young, {}, self.own.segment, self.own.spoken
-        for word in new:
-            row = self.old.get(word)
-            if row is None:
-                ids = segment(word)
-                row = ",".join(map(str, ids)), spoken(ids)
+        table, long = self.young, {}
+        known = {w: row for w in new if (row := self.old.get(w)) is not None}
+        fresh = list(new.difference(known)) if known else list(new)
+        for word, row in chain(known.items(), zip(fresh, self.own.rows(fresh), strict=True)):
             if len(word) <= WORD_CHARS:
                 table[word] = row
             else:
