@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as T
-from sheaf.storage import stored
+from sheaf.operators.store import BUCKETS, Asked, IndexFormatError, Store
+from sheaf.storage import spread, stored
 
-VERSION = 1
+__all__ = ["EVERY", "Index", "IndexFormatError", "Lookup", "ordered_fingerprint", "sums"]
 #: The term under which a lookup lists every chunk once; no tokenizer gives an empty one.
 EVERY = ""
-
-
-class IndexFormatError(RuntimeError):
-    """A stored index is missing, broken or of another version."""
+#: The column of tokens beside those of the chunks.
+TOKENS = "_sheaf_tokens"
 
 
 @dataclass
@@ -28,6 +26,7 @@ class Lookup:
     frequencies: DataFrame  # term, df
     totals: DataFrame  # one row: n, avgdl, n_tokens
     ids: DataFrame  # id of each chunk
+    asked: Asked | None = None  # how a stored index finds the terms
 
 
 def sums(n: Column, n_tokens: Column) -> list[Column]:
@@ -40,23 +39,29 @@ class Index:
     """``chunks`` has the key column ``id`` and the text; ``tokens`` one row a chunk with its tokens.
 
     Nothing is computed until it is asked for: postings for a handful of query terms come from one pass over the chunks
-    that keeps those terms alone; a stored index reads only the files of those terms.
+    that keeps those terms alone.  A stored index reads the partitions of those terms, and BM25 opens only the blocks of
+    postings that can hold one of the best chunks; ``store`` has more on that, and the ways to change a stored index.
     """
 
     chunks: DataFrame
     tokens: DataFrame  # id, tokens
-    stored: str | None = None
+    stored: Store | None = None
+    wide: DataFrame | None = None  # the chunks with their tokens in a column TOKENS
 
     @classmethod
     def build(cls, chunks: DataFrame, tokenizer=T.tokens, key: str = "doc_id", text: str = "text") -> Index:
         named = chunks.withColumnRenamed(key, "id") if key != "id" else chunks
-        return cls(named, named.select("id", tokenizer(F.col(text)).alias("tokens")))
+        return cls.cut(named, tokenizer(F.col(text)))
+
+    @classmethod
+    def cut(cls, named: DataFrame, tokens: Column) -> Index:
+        """The index of chunks that have an id, with the expression that gives their tokens."""
+        return cls(named, spread(named).select("id", tokens.alias("tokens")), wide=named.withColumn(TOKENS, tokens))
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
         """(term, id, tf, dl), of the given terms only if there are some."""
         if self.stored:
-            found = self.tokens.sparkSession.read.parquet(f"{self.stored}/postings")
-            return found.join(stored(terms.select("term").distinct(), "terms"), "term", "left_semi") if terms is not None else found
+            return self.stored.postings(terms)
         wide = self.tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
         if terms is not None:
             wide = wide.join(stored(terms.select("term").distinct(), "terms"), "term", "left_semi")  # before anything is shuffled
@@ -78,8 +83,8 @@ class Index:
         Chunks meet the terms before anything is shuffled; Spark broadcasts the terms if they are few enough.
         """
         if self.stored:
-            found = stored(self.postings(terms), "postings")
-            ids, totals = self.tokens.select("id"), self.totals()
+            asked, postings, frequencies = self.stored.lookup(terms)
+            return Lookup(postings, frequencies, self.totals(), self.tokens.select("id"), asked)
         else:
             every = stored(self.every(terms), "postings")
             found = every.filter(F.col("term") != EVERY).drop("tokens")
@@ -90,13 +95,13 @@ class Index:
     def totals(self) -> DataFrame:
         """One row: n chunks, average length, number of tokens."""
         if self.stored:
-            return self.tokens.sparkSession.read.parquet(f"{self.stored}/totals")
+            return self.stored.totals()
         return self.tokens.agg(*sums(F.count("*"), F.sum(F.size("tokens"))))
 
     def frequencies(self) -> DataFrame:
         """(term, df); unless the index is stored, one shuffle of partial counts."""
         if self.stored:
-            return self.postings().groupBy("term").agg(F.count("*").alias("df"))
+            return self.stored.frequencies()
         return self.tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
     def lengths(self) -> DataFrame:
@@ -105,11 +110,12 @@ class Index:
     def add(self, chunks: DataFrame, tokenizer=T.tokens, key: str = "doc_id", text: str = "text") -> Index:
         """The index of both; statistics follow."""
         more = Index.build(chunks, tokenizer, key, text)
-        return Index(self.chunks.unionByName(more.chunks, allowMissingColumns=True), self.tokens.unionByName(more.tokens))
+        wide = self.wide.unionByName(more.wide, allowMissingColumns=True) if self.wide is not None else None
+        return Index(self.chunks.unionByName(more.chunks, allowMissingColumns=True), self.tokens.unionByName(more.tokens), wide=wide)
 
     def clear(self) -> Index:
         """The index of nothing, with the same columns."""
-        return Index(self.chunks.limit(0), self.tokens.limit(0))
+        return Index(self.chunks.limit(0), self.tokens.limit(0), wide=self.wide.limit(0) if self.wide is not None else None)
 
     def fingerprint(self, text: str = "text") -> DataFrame:
         """One row: an order-free digest of (id, text) pairs that doesn't need the corpus in one place."""
@@ -117,25 +123,27 @@ class Index:
         part = lambda at: F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(38,0)"))
         return self.chunks.agg(F.count("*").alias("n_chunks"), *[F.coalesce(part(1 + 15 * k), F.lit(0)).cast("string").alias(f"digest_{k}") for k in range(4)])
 
-    def save(self, path: str) -> None:
-        """Postings sorted by term, so that a read of few terms touches few row groups; the manifest comes last."""
-        spark = self.tokens.sparkSession
-        self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-        self.tokens.write.mode("overwrite").parquet(f"{path}/tokens")
-        self.postings().repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.totals().write.mode("overwrite").parquet(f"{path}/totals")
-        mark = self.fingerprint().first().asDict()
-        spark.createDataFrame([(json.dumps({"version": VERSION} | mark),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    def rows(self) -> DataFrame:
+        """(id, tokens, chunk): what a store is given."""
+        if self.wide is None:
+            raise ValueError("the tokens of this index don't come from its chunks")
+        own = [F.col(c) for c in self.wide.columns if c not in ("id", TOKENS)] or [F.lit(None).cast("string").alias("text")]
+        return spread(self.wide).select("id", F.col(TOKENS).alias("tokens"), F.struct(*own).alias("chunk"))
+
+    def save(self, path: str, buckets: int = BUCKETS) -> Store:
+        """Stores the index as the next version under ``path``; readers of earlier ones aren't disturbed, and a save that stops half-way isn't seen."""
+        return Store.create(self.tokens.sparkSession, path, buckets).replace(self.rows())
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> Index:
+        return cls.of(Store.open(spark, path, version))
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Index:
-        try:
-            manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
-        except Exception as error:
-            raise IndexFormatError(f"no readable index at {path}") from error
-        if not isinstance(manifest, dict) or manifest.get("version") != VERSION:
-            raise IndexFormatError(f"an index of another version at {path}")
-        return cls(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/tokens"), path)
+    def of(cls, store: Store) -> Index:
+        """The index of a version of a store."""
+        wide = store.docs("id", "tokens", "chunk")
+        own = [F.col(f"chunk.{c}").alias(c) for c in wide.schema["chunk"].dataType.names if c != "id"]
+        return cls(store.chunks(), store.docs("id", "tokens"), store, wide.select("id", *own, F.col("tokens").alias(TOKENS)))
 
 
 def ordered_fingerprint(chunks: DataFrame, key: str, text: str = "text", width: int = 1024, levels: int = 4) -> DataFrame:

@@ -65,6 +65,7 @@ def base(asked: str, words: str = "", key: str = "documents", terms=tokens) -> l
 
 ONE = f"SELECT 0::BIGINT AS query_id, {lit(fixtures.QUESTION)} AS query"
 BATCH = "SELECT item_id AS query_id, text AS query FROM benchmark"
+SHORT = f"SELECT item_id AS query_id, array_to_string(({tokens('text')})[3:5], ' ') AS query FROM benchmark"
 IDF = "ln(1 + (n - df + 0.5) / (df + 0.5))"
 SATURATED = "tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / {avg}))"
 
@@ -344,6 +345,9 @@ ORACLES: dict[str, str] = {
     "WHEN NOT list_contains(ids, 'E1') OR NOT list_contains(ids, 'E2') THEN 'incomplete_evidence_selection' END AS error FROM c",
     "bm25_topk": cte(*bm25(ONE, 10)) + "SELECT id, score, rank FROM hits",
     "bm25_batch_topk": cte(*bm25(BATCH, 5)) + "SELECT query_id, id, score, rank FROM hits",
+    "bm25_stored_batch_topk": cte(*bm25(BATCH, 5)) + "SELECT query_id, id, score, rank FROM hits",
+    "bm25_stored_keywords_topk": cte(*bm25(SHORT, 5)) + "SELECT query_id, id, score, rank FROM hits",
+    "bm25_strict_stored_topk": cte(*STRICT(SHORT, 5)) + "SELECT query_id, id, score, confidence, exact_match, matched_terms, rank FROM hits",
     "bm25_strict_topk": cte(*STRICT(ONE, 10)) + "SELECT id, score, confidence, exact_match, matched_terms, rank FROM hits",
     "tfidf_topk": cte(*base(ONE), "b AS (SELECT query_id, id, round(sum(tf / greatest(dl, 1) * ln(n / df) * qtf), 6) AS score FROM qt JOIN p USING (term) JOIN f USING (term), s GROUP BY ALL)") + _top("b", 10, "id, score"),
     "vector_topk": cte(VECTORS.format(test="x.vec_id = 0")) + _top("v", 10, "id, score"),
@@ -429,6 +433,12 @@ ORACLES: dict[str, str] = {
     "pipeline_stats": "SELECT count(*) AS total_queries, count_if(event_type <> 'error')::BIGINT AS successful, count_if(event_type = 'error')::BIGINT AS failed, round(avg(value) FILTER (WHERE event_type <> 'error'), 6) AS avg_time FROM events",
     "label_precision": cte(*bm25(BATCH, 10)) + "SELECT rank, count(*) AS n, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic FROM hits JOIN labels ON id = doc_id GROUP BY rank",
     "stream_index": cte(*base(ONE)) + "SELECT n, n_tokens::BIGINT AS n_tokens, (SELECT count(*) FROM f) AS n_terms, round(avgdl, 6) AS avgdl FROM s",
+    "stream_index_updates": cte(
+        "c AS (SELECT CASE WHEN lang = 'de' THEN coalesce(text, '') || ' amended text' ELSE text END AS text FROM documents WHERE source IS DISTINCT FROM 'src3')",
+        f"d AS (SELECT row_number() OVER () AS r, {tokens('text')} AS toks FROM c WHERE text IS NOT NULL)",
+        "w AS (SELECT r, unnest(list_distinct(toks)) AS term FROM d)",
+    )
+    + "SELECT term, count(*) AS df, count(*) AS df_compacted, (SELECT count(*) FROM d) AS n, (SELECT sum(len(toks))::BIGINT FROM d) AS n_tokens FROM w GROUP BY term",
     "stream_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_stats": "SELECT event_type, count(*) AS n, count(value) AS n_values, round(avg(value), 6) AS avg_value FROM events GROUP BY event_type",
 }

@@ -62,6 +62,36 @@ def bm25_batch_topk(spark, sf_dir):
     return ranking.bm25(index(spark, sf_dir), batch(spark, sf_dir), 5).select("query_id", "id", "score", "rank")
 
 
+def stored_index(spark, own: Index) -> Index:
+    """The index after a round trip through a store."""
+    return Index.of(own.save(shared_folder(spark, "index")))
+
+
+@query
+def bm25_stored_batch_topk(spark, sf_dir):
+    """The same ranking from a stored index: asked terms are partitions and row groups, blocks of postings are skipped by their bounds."""
+    return ranking.bm25(stored_index(spark, index(spark, sf_dir)), batch(spark, sf_dir), 5).select("query_id", "id", "score", "rank")
+
+
+def keywords(spark, sf_dir):
+    """Questions of three words: the third to fifth of each item of the benchmark."""
+    words = F.slice(T.tokens(F.col("query")), 3, 3)
+    return batch(spark, sf_dir).withColumn("query", F.array_join(words, " "))
+
+
+@query
+def bm25_stored_keywords_topk(spark, sf_dir):
+    """Short questions, as people type them: most postings of their frequent words aren't opened."""
+    return ranking.bm25(stored_index(spark, index(spark, sf_dir)), keywords(spark, sf_dir), 5).select("query_id", "id", "score", "rank")
+
+
+@query
+def bm25_strict_stored_topk(spark, sf_dir):
+    own = stored_index(spark, ranking.strict_index(documents(spark, sf_dir)))
+    found = ranking.bm25_strict(own, keywords(spark, sf_dir), 5)
+    return found.select("query_id", "id", "score", "confidence", "exact_match", F.array_join("matched_terms", " ").alias("matched_terms"), "rank")
+
+
 @query
 def bm25_strict_topk(spark, sf_dir):
     found = ranking.bm25_strict(ranking.strict_index(documents(spark, sf_dir)), one(spark), 10)
@@ -600,6 +630,22 @@ def stream_index(spark, sf_dir):
     return ingest.totals(spark, folder)
 
 
+@query
+def stream_index_updates(spark, sf_dir):
+    """All documents arrive, then those of one language with a new ending, then those of one source are taken out.
+
+    Frequencies of the last version, and of the same after it was written as one segment.
+    """
+    folder, log = shared_folder(spark, "stream-changes"), shared_folder(spark, "changes")
+    rows = table(spark, sf_dir, "documents")
+    changes = [rows, rows.filter("lang = 'de'").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" amended text"))), rows.filter("source = 'src3'").withColumn("text", F.lit(None).cast("string"))]
+    for at, change in enumerate(changes):
+        change.select("doc_id", "text", F.lit(at).alias("at")).write.mode("append").parquet(log)
+        store = ingest.ingest_changes(spark.readStream.schema("doc_id long, text string, at int").parquet(log), folder)
+    whole = store.compact().frequencies().withColumnRenamed("df", "df_compacted")
+    return store.frequencies().join(whole, "term", "full_outer").crossJoin(F.broadcast(store.totals())).select("term", "df", "df_compacted", "n", "n_tokens")
+
+
 @query
 def stream_stats(spark, sf_dir):
     return ingest.complete(ingest.running_stats(ingest.table_stream(spark, sf_dir, "events")), shared_folder(spark, "stream-stats"))

@@ -47,3 +47,9 @@ def clean(spark: SparkSession) -> int:
         path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
         gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return gone
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if it has fewer: a small table often is one task's."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df

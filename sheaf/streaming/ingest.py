@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as T
 from sheaf.operators.index import EVERY, Index, sums
+from sheaf.operators.store import Store
+from sheaf.storage import stored
 
 
 def is_folder(spark: SparkSession, path: str) -> bool:
@@ -39,6 +43,24 @@ def ingest(stream: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
+def ingest_changes(stream: DataFrame, path: str, key: str = "doc_id", text: str = "text", order: str = "at", tokenizer: Callable[[Column], Column] = T.tokens) -> Store:
+    """Applies a stream of changes to the store under ``path`` until it has no more at hand, and returns the last version.
+
+    A row sets the chunk of its key, or takes it out where its text is null; of several for one key in a batch the last by
+    ``order`` counts.  A batch becomes one version, and a batch that is repeated after a failure none.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        last = Window.partitionBy(key).orderBy(F.col(order).desc(), F.col(text).desc())
+        now = stored(batch.withColumn("_last", F.row_number().over(last)).filter("_last = 1").drop("_last", order), "changes")
+        named = now.withColumnRenamed(key, "id") if key != "id" else now
+        kept = named.filter(F.col(text).isNotNull())
+        Store.create(batch.sparkSession, path).apply(Index.cut(kept, tokenizer(F.col(text))).rows(), named.filter(F.col(text).isNull()).select("id"), f"{path}/_changes", number)
+
+    stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{path}/_changes").trigger(availableNow=True).start().awaitTermination()
+    return Store.create(stream.sparkSession, path)
+
+
 def totals(spark: SparkSession, path: str) -> DataFrame:
     """One row: chunks, tokens, average length, terms."""
     sums = spark.read.parquet(f"{path}/totals").agg(F.sum("n").alias("n"), F.sum("n_tokens").alias("n_tokens"))
