@@ -351,6 +351,7 @@ ORACLES: dict[str, str] = {
     "bm25_strict_topk": cte(*STRICT(ONE, 10)) + "SELECT id, score, confidence, exact_match, matched_terms, rank FROM hits",
     "tfidf_topk": cte(*base(ONE), "b AS (SELECT query_id, id, round(sum(tf / greatest(dl, 1) * ln(n / df) * qtf), 6) AS score FROM qt JOIN p USING (term) JOIN f USING (term), s GROUP BY ALL)") + _top("b", 10, "id, score"),
     "vector_topk": cte(VECTORS.format(test="x.vec_id = 0")) + _top("v", 10, "id, score"),
+    "vector_index_exact_topk": cte(VECTORS.format(test="x.vec_id % 50 = 0")) + _top("v", 5, "query_id, id, score"),
     "vector_batch_topk": cte(VECTORS.format(test="x.vec_id % 50 = 0")) + _top("v", 5, "query_id, id, score"),
     "hybrid_topk": cte(
         *bm25(ONE, 20),

@@ -13,6 +13,7 @@ from sheaf.operators import chunking, context, enhance, evaluate, evidence, rank
 from sheaf.operators import query as Q
 from sheaf.operators.index import Index, ordered_fingerprint
 from sheaf.plans import fixtures, loading, prompts, reports
+from sheaf.operators.vector_index import VectorIndex
 from sheaf.plans.profiles import Open, Strict, status
 from sheaf.storage import shared_folder
 from sheaf.sources import files
@@ -128,6 +129,24 @@ def vector_batch_topk(spark, sf_dir):
     return ranking.vector(own, asked, 5).select("query_id", "id", "score", "rank")
 
 
+def near_vectors(spark, sf_dir, exact):
+    own = vectors(spark, sf_dir)
+    asked = own.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    return VectorIndex.build(own).search(asked, 5, exact=exact).select("query_id", "id", "score", "rank")
+
+
+@query
+def vector_index_topk(spark, sf_dir):
+    """The same queries through an index of cells, as many of which are visited as the index has found to be needed: recall is measured in the tests."""
+    return near_vectors(spark, sf_dir, False)
+
+
+@query
+def vector_index_exact_topk(spark, sf_dir):
+    """The same, with the other cells that can hold a nearer vector."""
+    return near_vectors(spark, sf_dir, True)
+
+
 @query
 def hybrid_topk(spark, sf_dir):
     """Documents are paired with the vectors of the same number; the tables don't say that they belong together."""
