@@ -51,4 +51,34 @@ SKETCHES = [
     "<nav><a>-1</a> <a>-1</a></nav><ul><li><a>-3</a><li><a>-4</a><li><a>-2</a></ul><footer><a>-2</a></footer>",
     "<div class=notice><p>-19</p></div><section><h2>+4</h2><p>+56</p><p>+23</p><p>+37</p></section><section class=reviews><p>+18</p><p>+40</p></section><aside><p>-54</p></aside>",
     "<div class=promo><p>-33</p><p>-12</p></div><article><p>+15</p><p>+28</p></article><div class=disclaimer><p>-70</p></div><div class=copyright>-6</div>",
+    # linked sentences and short last paragraphs of articles; menus, notices, feet and comments with links beside them
+    "<nav><a>-2</a> <a>-3</a> <a>-2</a> <a>-4</a> <a>-2</a></nav><article><h1>+6</h1><p>+40</p><p>+1<a>+2</a>+2</p><p>+55</p><p>+7</p></article><footer>-9 <a>-2</a> <a>-3</a> <a>-4</a></footer>",
+    "<header><a>-3</a><nav><a>-1</a> <a>-1</a> <a>-2</a> <a>-3</a> <a>-2</a> <a>-6</a></nav></header><div class=cookie-bar>-14 <a>-2</a> -5 <a>-3</a></div><main><h1>+4</h1><p>+25</p><p>+4<a>+9</a></p><p>+3<a>+1</a></p></main><footer><a>-4</a> <a>-6</a> <a>-5</a></footer>",
+    "<article><h1>+1</h1><p>+40</p><p>+7</p></article>",
+    "<article><h1>+2</h1><p>+12</p></article>",
+    "<article><h2>+5</h2><p>+16</p><p>+3</p></article><div class=comments><p>-20 <a>-3</a> -11</p><p>-3 <a>-2</a></p><p>-40</p></div>",
+    "<article><p>+31</p><p>+6<a>+5</a></p></article><section id=comments><h3>-2</h3><p><a>-2</a> -6</p><p>-9 <a>-1</a></p><p><a>-1</a> -28</p></section><footer>-16 <a>-2</a></footer>",
+    "<div class=notice>-6 <a>-3</a></div><div class=content><h1>+3</h1><p><a>+7</a></p><p>+60</p><p><a>+14</a></p><p>+2</p></div><div class=sidebar><p>-9 <a>-4</a></p><p><a>-16</a></p></div>",
+    "<div class=popup><p>-18 <a>-2</a></p></div><article><p>+20<a>+20</a></p><p>+5<a>+3</a>+4</p></article><aside><p>-30 <a>-8</a></p><p><a>-22</a></p></aside>",
+    "<nav>-1 <a>-2</a> -1 <a>-2</a> -1 <a>-3</a></nav><article><h1>+8</h1><p>+9</p></article><footer><p>-25 <a>-2</a></p><p>-3</p></footer>",
+    # the same with nothing named
+    "<div><a>-2</a> <a>-3</a> <a>-2</a> <a>-4</a> <a>-2</a></div><h1>+6</h1><p>+40</p><p>+4<a>+2</a>+8</p><p>+55</p><p>+17</p><div>-3 <a>-2</a> <a>-3</a> <a>-4</a></div>",
+    "<p><a>-3</a> <a>-1</a> <a>-1</a> <a>-2</a> <a>-3</a> <a>-2</a> <a>-6</a></p><h1>+4</h1><p>+25</p><p>+24<a>+9</a></p><p>+43<a>+6</a></p><p><a>-4</a> <a>-6</a> <a>-5</a></p>",
+    "<div><a>-1</a> <a>-1</a></div><h2>+7</h2><p>+38</p><p>+12<a>+3</a>+6</p><p>+29</p><p>+14</p><p>+66<a>+12</a></p><div><a>-9</a></div><div><a>-13</a></div><div><a>-8</a></div>",
+    "<h1>+5</h1><p>+18<a>+2</a></p><p>+31</p><p>+14<a>+4</a>+20</p><p>+22</p>",
+    "<div>-2 <a>-3</a> -2 <a>-5</a></div><div>+46</div><div>+30<a>+7</a>+11</div><div>+83</div><div>+19<a>+3</a></div><div>-2 <a>-4</a> <a>-2</a></div>",
+    "<ul><li><a>-14</a><li><a>-12</a><li><a>-16</a></ul><h1>+9</h1><p>+90</p><p>+50<a>+2</a></p><p>+35</p><ul><li><a>-13</a><li><a>-18</a></ul>",
+    # articles of paragraphs of all lengths in any order
+    "<nav><ul><li><a>-1</a><li><a>-2</a></ul></nav><div class=ad>-9</div><article><h1>+7</h1><p>+1</p><p>+48</p><p>+2</p><p>+19</p><p>+1</p><p>+161</p><p>+2</p><p>+8</p><p>+3</p></article><footer>-14</footer>",
+    "<article><h1>+12</h1><p>+1</p><p>+94</p><p>+31</p><p>+1</p><p>+5</p><p>+129</p><p>+9</p><p>+2</p><p>+45</p><p>+1</p></article><footer>-18</footer>",
+    "<main><h1>+4</h1><p>+20</p><p>+2</p><p>+53</p><p>+17</p><p>+1</p><p>+8</p><p>+60</p><p>+22</p><p>+2</p><p>+139</p><p>+46</p><p>+1</p><p>+173</p></main><aside>-12</aside>",
+    "<article><p>+3</p><p>+253</p><p>+4</p><p>+1</p><p>+86</p><p>+45</p><p>+2</p><p>+7</p><p>+12</p><p>+2</p><p>+19</p><p>+242</p><p>+4</p></article><footer>-7</footer>",
+    "<article><h1>+9</h1><p>+15</p><p>+6</p><p>+10</p><p>+2</p><p>+13</p><p>+4</p><p>+1</p><p>+27</p><p>+2</p><p>+1</p></article><footer>-21</footer>",
+    "<div class=post><h2>+3</h2><p>+5</p><p>+1</p><p>+2</p><p>+6</p><p>+1</p><p>+14</p><p>+3</p></div><div class=comments><p>-2</p><p>-24</p><p>-1</p><p>-51</p><p>-3</p><p>-8</p></div>",
+    # plain pages that end with text, or with a few words and links
+    "<h1>+6</h1><p>+44</p><p>+25</p><p>+40</p>",
+    "<div><a>-1</a> <a>-2</a></div><h1>+5</h1><p>+30</p><p>+62</p><p>+38</p>",
+    "<h2>+4</h2><p>+52</p><p>+37</p><div>-1 <a>-3</a> <a>-1</a></div>",
+    "<h1>+8</h1><p>+41</p><p>+33</p><p>+47</p><p>-2 <a>-2</a> <a>-4</a></p>",
+    "<p><a>-2</a> <a>-1</a></p><h1>+3</h1><p>+59</p><p>+45</p><p>-1 <a>-1</a> <a>-2</a> <a>-1</a></p>",
 ]

@@ -3,8 +3,9 @@
 A page is read from left to right into blocks: runs of text between block-level tags.  A block is described by its word
 count and the share of its words inside links, by those of its neighbours, by the longest block two places around, by
 whether it is a heading, and by its zone: what the tags, classes and ids of the elements around it say (inside an article,
-beside it, or nothing).  A decision tree over these numbers says which blocks are main text.  It is grown from a small
-labelled table: the blocks of the sketches in blocks_labelled.py.
+beside it, or nothing).  Neighbours are looked at as far as the zone reaches.  A decision tree over these numbers says which
+blocks are main text.  It is grown from a small labelled table: the blocks of the sketches in blocks_labelled.py, as they are, with all zones blank, so
+that words and links alone must tell as much as they can, and with all in one zone.
 
 Scripts, styles, comments and markup never are text.  Character references are decoded, white space in a block becomes
 one space, and kept blocks are joined by one line feed.  Unclosed and stray tags are tolerated; an element that is closed
@@ -19,7 +20,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -239,14 +240,21 @@ FEATURES = ("words", "link", "words_before", "link_before", "words_after", "link
 
 def features(found: list[Block]) -> np.ndarray:
     """A row for each block: words and link share of it and of its neighbours, the most words outside links of any block
-    two places around, and what its elements say."""
+two places around, and what its elements say.  A neighbour in another zone counts as none."""
     n = len(found)
-    own = np.zeros((n + 4, 2))
-    own[2 : n + 2] = np.array([(b.words, b.link) for b in found], float).reshape(n, 2)
-    free = own[:, 0] * (1 - own[:, 1])
-    around = np.max([free[0:n], free[1 : n + 1], free[3 : n + 3], free[4 : n + 4]], axis=0) if n else np.zeros(0)
+    own = np.array([(b.words, b.link) for b in found], float).reshape(n, 2)
     said = np.array([(b.heading, b.zone) for b in found], float).reshape(n, 2)
-    return np.column_stack([own[2 : n + 2], own[1 : n + 1], own[3 : n + 3], around, said])
+    run = np.cumsum(np.append(0, np.diff(said[:, 1]) != 0)) if n else np.zeros(0)
+
+    def at(k: int) -> np.ndarray:
+        """The block k places on, if it lies in the same run of blocks of a zone."""
+        there = np.arange(n) + k
+        inside = (there >= 0) & (there < n)
+        there = np.where(inside, there, 0)
+        return np.where((inside & (run[there] == run))[:, None], own[there], 0.0) if n else own
+
+    around = np.max([(w := at(k))[:, 0] * (1 - w[:, 1]) for k in (-2, -1, 1, 2)], axis=0)
+    return np.column_stack([own, at(-1), at(1), around, said])
 
 
 @dataclass
@@ -266,10 +274,14 @@ class Node:
         return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Node:
-    """A binary tree that splits where the Gini impurity falls most; ties go to the first feature and the lowest cut."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 16, least: int = 3, prior: float = 0.0) -> Node:
+    """A binary tree that splits where the Gini impurity falls most; ties go to the first feature and the lowest cut.
+
+    A leaf with as many rows of either kind has the share of the node above it.
+    """
     node = Node(float(y.mean()))
     if depth == 0 or node.share in (0.0, 1.0):
+        node.share = prior if node.share == 0.5 else node.share
         return node
     best = (y.var() * len(y) - 1e-9, -1, 0.0)
     for f in range(x.shape[1]):
@@ -283,17 +295,27 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Node:
     if best[1] >= 0:
         node.feature, node.cut = best[1], best[2]
         under = x[:, node.feature] <= node.cut
-        node.below, node.above = grow(x[under], y[under], depth - 1, least), grow(x[~under], y[~under], depth - 1, least)
+        node.below, node.above = (grow(x[side], y[side], depth - 1, least, node.share) for side in (under, ~under))
+    elif node.share == 0.5:
+        node.share = prior
     return node
 
 
 def labelled_rows() -> tuple[np.ndarray, np.ndarray]:
-    """The small labelled table: features of the blocks of all sketches, and whether they are main text."""
+    """The small labelled table: features of the blocks of all sketches, and whether they are main text.
+
+    A sketch is read as it is and with its zones blank, but for what neither words nor links tell from a paragraph, such as a
+    long comment of a reader; and, as blocks of any words and links lie in articles and beside them,
+    with all its blocks inside one, which makes them text, and all beside it, which makes them none.
+    """
     rows, labels = [], []
     for sketch in SKETCHES:
         found = blocks(re.sub(r"([+-])(\d+)", lambda m: " ".join([{"+": "kept", "-": "left"}[m[1]]] * int(m[2])), sketch))
-        rows.append(features(found))
-        labels += [b.text.startswith("kept") for b in found]
+        judged = [b.text.startswith("kept") for b in found]
+        for zone, labelled in ((None, judged), (0, judged), (1, [True] * len(found)), (-1, [False] * len(found))):
+            told = [zone != 0 or b.zone >= 0 or b.words * (1 - b.link) < 15 for b in found]
+            rows.append(features(found if zone is None else [replace(b, zone=zone) for b in found])[told])
+            labels += [y for y, t in zip(labelled, told, strict=True) if t]
     return np.vstack(rows), np.array(labels, float)
 
 

@@ -302,9 +302,10 @@ def test_html_features_against_brute_force():
     page = "<h1>a b</h1><p>one <a>two</a> three</p><ul class=menu><li><a>x y</a><li>z</ul><article><p>" + "w " * 9 + "</article>"
     found = html_main.blocks(page)
     own = [(2, 0.0), (3, 1 / 3), (2, 1.0), (1, 0.0), (9, 0.0)]
-    at = lambda k: own[k] if 0 <= k < 5 else (0, 0.0)
-    free = lambda k: at(k)[0] * (1 - at(k)[1])
-    want = [[*at(k), *at(k - 1), *at(k + 1), max(free(k + j) for j in (-2, -1, 1, 2)), int(k == 0), [0, 0, -1, -1, 1][k]] for k in range(5)]
+    zones = [0, 0, -1, -1, 1]  # a neighbour in another zone counts as none
+    at = lambda k, j: own[k + j] if 0 <= k + j < 5 and zones[k + j] == zones[k] else (0, 0.0)
+    free = lambda k, j: at(k, j)[0] * (1 - at(k, j)[1])
+    want = [[*at(k, 0), *at(k, -1), *at(k, 1), max(free(k, j) for j in (-2, -1, 1, 2)), int(k == 0), zones[k]] for k in range(5)]
     assert np.allclose(html_main.features(found), want) and html_main.features([]).shape == (0, 9)
 
 
