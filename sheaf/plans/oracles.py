@@ -440,6 +440,9 @@ ORACLES: dict[str, str] = {
         "w AS (SELECT r, unnest(list_distinct(toks)) AS term FROM d)",
     )
     + "SELECT term, count(*) AS df, count(*) AS df_compacted, (SELECT count(*) FROM d) AS n, (SELECT sum(len(toks))::BIGINT FROM d) AS n_tokens FROM w GROUP BY term",
+    "stream_conversations": "WITH m AS (SELECT conv_id, turn, list(role || ':' || coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS h, "
+    "count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) AS n FROM conversations WHERE role IN ('user', 'assistant')) "
+    "SELECT conv_id, turn, coalesce(len(h), 0)::BIGINT AS n_sent, md5(coalesce(array_to_string(h, '|'), '')) AS digest, n::BIGINT AS n_stored FROM m",
     "stream_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_stats": "SELECT event_type, count(*) AS n, count(value) AS n_values, round(avg(value), 6) AS avg_value FROM events GROUP BY event_type",
 }

@@ -18,7 +18,7 @@ from sheaf.plans.profiles import Open, Strict, status
 from sheaf.storage import shared_folder
 from sheaf.sources import files
 from sheaf.sources import glyphs as repair_of
-from sheaf.streaming import ingest
+from sheaf.streaming import conversations, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: The question of the single-query entries.
@@ -665,6 +665,15 @@ def stream_index_updates(spark, sf_dir):
     return store.frequencies().join(whole, "term", "full_outer").crossJoin(F.broadcast(store.totals())).select("term", "df", "df_compacted", "n", "n_tokens")
 
 
+@query
+def stream_conversations(spark, sf_dir):
+    """What is sent with each message and kept after it, from the state of a stream; thirty conversations at a time have one owner."""
+    said = ingest.table_stream(spark, sf_dir, "conversations").filter("role IN ('user', 'assistant')")
+    found = conversations.run(said.select(F.expr("conv_id div 30").alias("owner"), F.col("conv_id").alias("chat"), F.col("turn").alias("at"), "role", "text"), shared_folder(spark, "stream-conversations"))
+    history = F.array_join(F.transform("history", lambda h: F.concat(h["role"], F.lit(":"), F.coalesce(h["text"], F.lit("")))), "|")
+    return found.select(F.col("chat").alias("conv_id"), F.col("at").alias("turn"), F.size("history").cast("long").alias("n_sent"), F.md5(history).alias("digest"), "n_stored")
+
+
 @query
 def stream_stats(spark, sf_dir):
     return ingest.complete(ingest.running_stats(ingest.table_stream(spark, sf_dir, "events")), shared_folder(spark, "stream-stats"))
