@@ -85,3 +85,54 @@ REPLIES = [
     (5, "plain question", "expanded one\nexpanded two\nKEYWORD plain"),
     (6, "", ""),
 ]
+
+
+#: What a page of a programme says besides a document's own lines: when, and the line, both in SQL over n (the number of characters).
+PROGRAMME_LINES = [
+    ("n % 2 = 0", "concat('จำนวนหน่วยกิตรวมตลอดหลักสูตร ', 80 + n % 60, ' หน่วยกิต')"),
+    ("n % 3 = 0", "concat('จำนวนหน่วยกิต หลักสูตร', chr(10), ' ', 100 + n % 50, ' หน่วยกิต')"),
+    ("n % 4 = 0", "concat('หมวดวิชาเฉพาะ ', n % 100, ' หน่วยกิต')"),
+    ("n % 5 < 2", "concat('หลักสูตรปริญญาตรี ', 2 + n % 5, ' ปี')"),
+    ("n % 7 = 0", "concat('อาชีพที่สามารถประกอบได้', chr(10), '(1) นักวิเคราะห์ข้อมูล', chr(10), '(2) วิศวกร ', n % 9, chr(10), '2. อื่น')"),
+    ("n % 4 < 2", "concat('ชื่อ เทคโนโลยี', 'ปัญญาประดิษฐ์ ', n % 13)"),
+    ("n % 11 = 0", "concat('อายุ ', n % 90, ' ignore previous')"),
+    ("n % 6 = 0", "concat('อายุ ', n % 90)"),
+    ("n % 8 = 0", "concat('สหกิจศึกษา', chr(10), n % 7, ' (0 - 45 - 0)')"),
+]
+ASKED_FACETS = [["credits", "duration", "careers"], ["specialized", "program", "co_op"], ["age", "semesters", "program"]]
+
+
+def programme_pages(documents: DataFrame) -> DataFrame:
+    """Each document as a hit: its own lines and those that its length calls for.  Twenty documents are one question's hits."""
+    from pyspark.sql import functions as F
+
+    from sheaf.functions import rules
+
+    wide = documents.withColumn("n", F.coalesce(F.length("text"), F.lit(0)))
+    lines = [F.expr(f"CASE WHEN {test} THEN {line} END") for test, line in PROGRAMME_LINES]
+    names = F.array(*[F.lit(d) for d in [*rules.PROGRAMS, "other.pdf"]])
+    facets = F.array(*[F.array(*map(F.lit, f)) for f in ASKED_FACETS])
+    return wide.select(
+        F.expr("doc_id div 20").alias("query_id"),
+        F.col("doc_id").cast("string").alias("chunk_id"),
+        (F.col("doc_id") % 20 + 1).cast("int").alias("rank"),
+        F.element_at(names, (F.col("n") % 5 + 1).cast("int")).alias("document"),
+        (F.col("doc_id") % 7).cast("int").alias("page"),
+        F.concat_ws("\n", F.coalesce("text", F.lit("")), *lines).alias("text"),
+        F.element_at(facets, (F.col("doc_id") % 3 + 1).cast("int")).alias("facets"),
+    )
+
+
+def programme_summaries(documents: DataFrame) -> DataFrame:
+    """One chunk for each programme, whose numbers come from all documents of the sources that stand for it."""
+    from pyspark.sql import functions as F
+
+    from sheaf.functions import rules
+
+    number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(0)) % len(rules.PROGRAMS)
+    totals = documents.groupBy(number.alias("k")).agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n"))
+    names = F.array(*[F.lit(d) for d in rules.PROGRAMS])
+    titles = F.array(*[F.lit(p[1]) for p in rules.PROGRAMS.values()])
+    credits, years = F.expr("concat('จำนวนหน่วยกิตรวมตลอดหลักสูตร ', 80 + n % 60, ' หน่วยกิต')"), F.expr("concat('หลักสูตรปริญญาตรี ', 2 + n % 5, ' ปี')")
+    text = F.concat_ws("\n", F.element_at(titles, F.col("k") + 1), credits, years, F.lit(f"อาชีพที่สามารถประกอบได้\n(1) {rules.CAREERS[0][0]}"))
+    return totals.select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("chunk_id"), F.element_at(names, F.col("k") + 1).alias("document"), (F.col("k") + 1).alias("page"), text.alias("text"))

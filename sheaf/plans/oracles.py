@@ -6,6 +6,7 @@ import re
 
 from sheaf.functions import rules
 from sheaf.functions.text import OPEN_WORD, STRICT_WORD
+from sheaf.operators import evidence
 from sheaf.plans import fixtures
 from sheaf.sources import glyphs
 
@@ -286,6 +287,115 @@ WEB = (
     f"t AS (SELECT page_id, url, title, {TRIM("regexp_replace(regexp_replace(raw, '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]{2,}', ' ', 'g')")} AS text FROM w)",
 )
 
+
+def _re(pattern: str) -> str:
+    """A pattern as a literal, with characters by number as RE2 has them."""
+    return lit(re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", pattern))
+
+
+def _fold(text: str) -> str:
+    return f"regexp_replace(lower({text}), {_re(evidence.PASSED_OVER)}, '', 'g')"
+
+
+def _fold_term(term: str) -> str:
+    return lit(re.sub(evidence.PASSED_OVER, "", term.lower()))
+
+
+def _rule(rule: evidence.Rule) -> tuple[str, str]:
+    """When a rule fits line i of lines, and what it quotes."""
+    quote = f"array_to_string(lines[greatest(1, i + {rule.lines[0]}):i + {rule.lines[1] - 1}], chr(10))"
+    tests = ["(" + " OR ".join("(" + " AND ".join(f"contains(fold, {_fold_term(t)})" for t in g) + ")" for g in rule.terms) + ")"]
+    if rule.unless:
+        tests.append(f"NOT regexp_matches(said, {_re(f'^(?:{rule.unless})')})")
+    if rule.below:
+        tests.append(f"coalesce(contains({_fold('nxt')}, {_fold_term(rule.below)}), false)")
+    if rule.pattern:
+        where = {"line": "said", "next": "coalesce(nxt, '')", "quote": quote}[rule.place]
+        tests.append(f"regexp_matches({where}, {_re(f'^(?:{rule.pattern})' if rule.place == 'next' else rule.pattern)})")
+    return " AND ".join(tests), quote
+
+
+_LINE_QUOTES = "CASE facet " + " ".join(f"WHEN {lit(f)} THEN CASE " + " ".join("WHEN {} THEN {}".format(*_rule(r)) for r in own) + " END" for f, own in evidence.LINE_RULES.items()) + " END"
+_HEADED = lambda facet: "list_transform(lines, lambda x: " + " OR ".join(f"contains({_fold('x')}, {_fold_term(h)})" for h in evidence.LISTS[facet]) + ")"
+_PROGRAM = "CASE document " + " ".join(f"WHEN {lit(d)} THEN {lit(p[1])}" for d, p in rules.PROGRAMS.items()) + " END"
+EVIDENCE_FOUND = cte(
+    "d AS (SELECT doc_id, coalesce(text, '') AS own, length(coalesce(text, ''))::BIGINT AS n FROM documents)",
+    f"p AS (SELECT doc_id, doc_id // 20 AS query_id, doc_id % 20 + 1 AS rank, {array([*rules.PROGRAMS, 'other.pdf'])}[n % 5 + 1] AS document, doc_id % 7 AS page, "
+    + "concat_ws(chr(10), own, " + ", ".join(f"CASE WHEN {t} THEN {x} END" for t, x in fixtures.PROGRAMME_LINES) + ") AS text, "
+    + "[" + ", ".join(map(array, fixtures.ASKED_FACETS)) + "][doc_id % 3 + 1] AS facets FROM d)",
+    "r AS (SELECT *, string_split(text, chr(10)) AS raw FROM p)",
+    "c AS MATERIALIZED (SELECT * EXCLUDE raw, CASE WHEN raw[len(raw)] = '' THEN raw[:len(raw) - 1] ELSE raw END AS lines FROM r)",
+    "w AS (SELECT *, unnest(facets) AS facet, generate_subscripts(facets, 1) AS nth FROM c)",
+    f"e AS (SELECT doc_id, nth, facet, lines, i, said, nxt, {_fold('said')} AS fold FROM (SELECT doc_id, nth, facet, lines, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS said, unnest(list_append(lines[2:], NULL)) AS nxt FROM w))",
+    f"by_line AS (SELECT doc_id, nth, facet, i, {_LINE_QUOTES} AS quote FROM e)",
+    *[
+        f"{f}_top AS (SELECT doc_id, nth, facet, lines, list_position({_HEADED(f)}, true) AS top FROM w WHERE facet = {lit(f)})"
+        for f in evidence.LISTS
+    ],
+    "tops AS (" + " UNION ALL ".join(f"SELECT * FROM {f}_top WHERE top > 0" for f in evidence.LISTS) + ")",
+    f"sections AS (SELECT doc_id, nth, facet, string_split_regex(array_to_string(lines[top:], chr(10)), {_re(evidence.LIST_END)})[1] AS section FROM tops)",
+    f"parts AS (SELECT *, string_split(regexp_replace(section, {_re(f'({evidence.ITEM})')}, chr(1) || '\\1', 'g'), chr(1)) AS parts FROM sections)",
+    "items AS (SELECT doc_id, nth, facet, CASE WHEN len(parts) = 1 AND facet = 'careers' AND contains(section, ':') THEN [section] ELSE "
+    + f"list_filter(list_transform(parts[2:], lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 5 AND NOT regexp_matches(x, {_re(evidence.CUT_OFF)})) END AS items FROM parts)",
+    "by_list AS (SELECT doc_id, nth, facet, unnest(range(1, len(items) + 1)) AS i, unnest(items) AS quote FROM items)",
+    f"by_name AS (SELECT doc_id, nth, facet, i, said AS quote FROM e JOIN c USING (doc_id) WHERE facet = 'program' AND contains(regexp_replace(said, '\\s+', '', 'g'), {_PROGRAM}))",
+    "q AS (SELECT doc_id, nth, facet, quote, min(i) AS i FROM (SELECT * FROM by_line WHERE quote IS NOT NULL UNION ALL SELECT * FROM by_list UNION ALL SELECT * FROM by_name) GROUP BY ALL)",
+    f"k AS (SELECT q.*, query_id, rank, document, page, row_number() OVER (PARTITION BY doc_id ORDER BY nth, i, quote) AS ord FROM q JOIN c USING (doc_id) WHERE contains(text, quote) AND length(quote) <= {evidence.MOST_QUOTE} "
+    f"AND NOT contains(quote, {lit(rules.REFUSAL)}) AND NOT {any_of('lower(quote)', rules.INJECTIONS)})",
+    "o AS (SELECT * FROM k QUALIFY facet <> 'program' OR row_number() OVER (PARTITION BY query_id, document, facet = 'program' ORDER BY page, rank, ord) = 1)",
+) + (
+    "SELECT query_id, 'E' || row_number() OVER (PARTITION BY query_id ORDER BY rank, ord) AS evidence_id, doc_id::VARCHAR AS chunk_id, facet, quote, "
+    + "CASE facet " + " ".join(f"WHEN {lit(f)} THEN nullif(regexp_extract(quote, {_re(v)}, 1), '')" for f, v in evidence.VALUES.items()) + " END AS value FROM o"
+)
+
+
+_CODES = [p[0] for p in rules.PROGRAMS.values()]
+_BULLET = {"credits": ("หน่วยกิต", "credits", "学分"), "duration": ("ปี", "years", "年")}
+
+
+def _fact(code: str, facet: str, k: int) -> str:
+    """The lines of one programme's fact in language k, as an expression over v."""
+    at, name = _CODES.index(code), rules.FIELD_NAMES[facet][k]
+    cited = f"({list(rules.PROGRAMS)[at]}{evidence.PAGE[k]}{at + 1})"
+    if facet == "careers":
+        return lit(f"{code}:\n(1) {rules.CAREERS[0][k]} {cited}")
+    return f"{lit(f'{code}:{chr(10)}- {name}: ')} || (SELECT {facet} FROM v WHERE k = {at}) || {lit(f' {_BULLET[facet][k]} {cited}')}"
+
+
+def _facts(k: int, *facts: tuple[str, list[str]]) -> str:
+    """Facets in language k, each with its programmes."""
+    return " || chr(10) || ".join(f"{lit(rules.FIELD_NAMES[f][k] + ':' + chr(10))} || " + " || chr(10) || ".join(_fact(c, f, k) for c in codes) for f, codes in facts)
+
+
+def _twice(k: int, language: str, *facts: tuple[str, list[str]]) -> str:
+    return f"{lit('ภาษาไทย:' + chr(10))} || {_facts(0, *facts)} || {lit(f'{chr(10) * 2}{rules.REFUSALS[language][0]}:{chr(10)}')} || {_facts(k, *facts)}"
+
+
+_RANKED = "(SELECT string_agg(code || ':' || chr(10) || {} || credits || {} || page || ')', chr(10) ORDER BY credits DESC) FROM (SELECT v.*, {}[k + 1] AS code, {}[k + 1] || {} || (k + 1) AS page FROM v))".format(
+    lit(f"- {rules.FIELD_NAMES['credits'][0]}: "), lit(" หน่วยกิต ("), array(_CODES), array(list(rules.PROGRAMS)), lit(evidence.PAGE[0])
+)
+#: (query_id, answer, sources): the answers that the questions of the fixtures must get from the programmes' numbers; the others are refused.
+_ANSWERS = [
+    (1, _facts(0, ("credits", ["DSBA"])), 1),
+    (2, _twice(1, "en", ("careers", ["AIT"]), ("credits", ["AIT"])), 1),
+    (3, _twice(2, "zh", ("credits", ["DSBA"])), 1),
+    (4, f"{lit(rules.FIELD_NAMES['credits'][0] + ':' + chr(10) + evidence.ORDERED[0] + chr(10))} || {_RANKED}", 4),
+    (5, f"{lit(evidence.FOUND[0] + chr(10))} || {_facts(0, ('credits', ['AIT', 'DSBA']))} || {lit(chr(10) + evidence.MISSING[0] + chr(10) + rules.FIELD_NAMES['recommendation'][0])}", 2),
+    (6, lit(evidence.refusal("th")), 0),
+    (7, lit(evidence.refusal("en")), 0),
+    (8, _facts(0, ("duration", ["IT_inter2565"])), 1),
+    (9, lit(evidence.refusal("th")), 0),
+    (10, lit(evidence.refusal("th")), 0),
+    (11, "NULL", 0),
+    (12, lit(evidence.refusal("zh")), 0),
+]
+STRICT_ANSWER = (
+    "WITH t AS (SELECT coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER), 0) % 4 AS k, coalesce(sum(length(text)), 0)::BIGINT AS n FROM documents GROUP BY 1),\n"
+    "v AS (SELECT k, 80 + n % 60 AS credits, 2 + n % 5 AS duration FROM t)\n"
+    + " UNION ALL ".join(f"SELECT {q}::BIGINT AS query_id, {a} AS answer, {n > 0} AS grounded, {lit('empty_question') if q == 11 else 'NULL'} AS error, {n}::BIGINT AS n_sources" for q, a, n in _ANSWERS)
+)
+
+
 ORACLES: dict[str, str] = {
     "html_parsed": cte(*WEB) + "SELECT page_id, title, length(text)::INT AS n_chars, md5(text) AS digest FROM t",
     "document_report": cte(*WEB, "c AS (SELECT url AS document, regexp_replace(text, '[ \\t]+(\\n|$)', '\\1', 'g') AS text FROM t)")
@@ -336,6 +446,7 @@ ORACLES: dict[str, str] = {
     + "SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, variant, rank)::INT AS rank FROM w1) WHERE rank <= 5",
     "open_answer": cte(*OPEN)
     + f"SELECT g.query_id, md5(coalesce({TRIM('x.text')}, {lit(rules.REFUSAL)})) AS digest, passed, confidence, n_sources FROM g LEFT JOIN x USING (query_id) LEFT JOIN n USING (query_id)",
+    "strict_answer": STRICT_ANSWER,
     "selection_validate": f"WITH r AS (SELECT * FROM {values([(t,) for t in fixtures.SELECTIONS], 'raw')}), "
     "j AS (SELECT raw, CASE WHEN json_valid(raw) THEN raw END AS doc FROM r), "
     "t AS (SELECT raw, CASE WHEN json_type(doc) = 'OBJECT' AND json_keys(doc) = ['evidence_ids'] AND json_type(doc, '$.evidence_ids') = 'ARRAY' THEN json_extract(doc, '$.evidence_ids[*]') END AS items FROM j), "
@@ -345,6 +456,9 @@ ORACLES: dict[str, str] = {
     "WHEN NOT list_contains(ids, 'E1') OR NOT list_contains(ids, 'E2') THEN 'incomplete_evidence_selection' END AS error FROM c",
     "bm25_topk": cte(*bm25(ONE, 10)) + "SELECT id, score, rank FROM hits",
     "bm25_batch_topk": cte(*bm25(BATCH, 5)) + "SELECT query_id, id, score, rank FROM hits",
+    "evidence_found": EVIDENCE_FOUND,
+    "strict_answer": STRICT_ANSWER,
+    "selection_validate": f"WITH v AS ({EVIDENCE_FOUND}) SELECT query_id, count(*) AS n_ids, CASE query_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'incomplete_evidence_selection' WHEN 2 THEN 'unknown_evidence_id' ELSE 'invalid_evidence_response' END AS error FROM v GROUP BY query_id",
     "bm25_stored_batch_topk": cte(*bm25(BATCH, 5)) + "SELECT query_id, id, score, rank FROM hits",
     "bm25_stored_keywords_topk": cte(*bm25(SHORT, 5)) + "SELECT query_id, id, score, rank FROM hits",
     "bm25_strict_stored_topk": cte(*STRICT(SHORT, 5)) + "SELECT query_id, id, score, confidence, exact_match, matched_terms, rank FROM hits",

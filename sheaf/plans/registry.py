@@ -569,19 +569,29 @@ def context_bounds(spark, sf_dir):
 
 @query
 def evidence_found(spark, sf_dir):
-    hits = fixtures.hits(spark)
+    """Evidence in pages that are made of the documents' own lines and lines of programmes whose numbers come from them."""
+    hits = fixtures.programme_pages(table(spark, sf_dir, "documents"))
     return evidence.find_evidence(hits).select("query_id", "evidence_id", "chunk_id", "facet", "quote", "value")
 
 
 @query
 def selection_validate(spark, sf_dir):
-    return evidence.validate(fixtures.selections(spark)).select("raw", "error")
+    """Replies about each question's evidence, right and wrong in six ways by the question's number, and what is said of them."""
+    found = evidence.find_evidence(fixtures.programme_pages(table(spark, sf_dir, "documents")))
+    asked = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.substring("evidence_id", 2, 12).cast("long").alias("k"), "evidence_id"))), lambda s: s["evidence_id"]).alias("ids"))
+    said = lambda ids, *more: F.to_json(F.struct(ids.alias("evidence_ids"), *more))
+    ids = F.col("ids")
+    replies = [said(ids), said(F.slice(ids, 1, F.size(ids) - 1)), said(F.array_append(ids, "E999999")), said(F.lit("E1")), said(ids, F.lit("").alias("note")), F.lit("not json"), F.lit(None).cast("string")]
+    raw = F.element_at(F.array(*replies), (F.col("query_id") % 7 + 1).cast("int"))
+    checked = evidence.validate(asked.withColumns({"raw": raw, "spans_valid": F.lit(True)}))
+    return checked.select("query_id", F.size("ids").cast("long").alias("n_ids"), "error")
 
 
 @query
 def strict_answer(spark, sf_dir):
-    engine = Strict(fixtures.chunks(spark))
-    return engine.answer(spark.createDataFrame(fixtures.QUESTIONS, "query_id long, question string")).select("query_id", "answer", "grounded", "confidence", "error", F.to_json("sources").alias("sources"))
+    """Questions about programmes, answered from pages whose numbers are totals of the documents; every answer cites what it quotes."""
+    engine = Strict(fixtures.programme_summaries(table(spark, sf_dir, "documents")))
+    return engine.answer(spark.createDataFrame(fixtures.QUESTIONS, "query_id long, question string")).select("query_id", "answer", "grounded", "error", F.coalesce(F.size("sources"), F.lit(0)).cast("long").alias("n_sources"))
 
 
 @query
