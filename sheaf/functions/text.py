@@ -128,11 +128,8 @@ def sentences(text: Column) -> Column:
 
 def smart_join(words: Column) -> Column:
     """Words joined with a space only between two that meet in Latin letters or digits."""
-    return F.aggregate(
-        words,
-        F.lit(""),
-        lambda all_, w: F.when(all_.rlike("[a-zA-Z0-9]$") & w.rlike("^[a-zA-Z0-9]"), F.concat(all_, F.lit(" "), w)).otherwise(F.concat(all_, w)),
-    )
+    marked = F.regexp_replace(F.array_join(words, "\0"), r"(?<=[a-zA-Z0-9])\x00(?=[a-zA-Z0-9])", " ")
+    return F.replace(marked, F.lit("\0"), F.lit(""))
 
 
 def token_windows(words: Column, size: int, overlap: int) -> Column:

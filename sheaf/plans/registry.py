@@ -302,8 +302,8 @@ def document_keys(spark, sf_dir):
 
 @query
 def joined_tokens(spark, sf_dir):
-    """The first fifty tokens of documents, joined without spaces but between Latin letters and digits."""
-    return documents(spark, sf_dir).select("doc_id", F.md5(T.smart_join(F.slice(T.cased_tokens(F.col("text")), 1, 50))).alias("digest"))
+    """All tokens of documents, joined without spaces but between Latin letters and digits."""
+    return documents(spark, sf_dir).select("doc_id", F.md5(T.smart_join(T.cased_tokens(F.col("text")))).alias("digest"))
 
 
 @query
@@ -317,9 +317,15 @@ def char_chunks(spark, sf_dir):
     return chunking.char_chunks(documents(spark, sf_dir).drop("source"), 1000, 150).select("doc_id", "chunk_index", "start_char", "end_char", F.md5("chunk").alias("digest"))
 
 
+#: A document under a heading, and its first sentence under another: in SQL, since no document has headings.
+HEADED = "concat('# ', coalesce(source, ''), chr(10), coalesce(text, ''), chr(10), chr(10), 'Summary', chr(10), '-----', chr(10), regexp_extract(coalesce(text, ''), '^[^.!?]*[.!?]', 0))"
+
+
 @query
 def section_chunks(spark, sf_dir):
-    found = chunking.section_chunks(documents(spark, sf_dir).drop("source"), chunking.TokenChunks(100, 20, 10))
+    """Chunks of whole documents under headings: sections, sentences packed together, windows of long ones, overlaps."""
+    headed = documents(spark, sf_dir).select("doc_id", F.expr(HEADED).alias("text"))
+    found = chunking.section_chunks(headed, chunking.TokenChunks(100, 20, 10))
     return found.select("doc_id", "chunk_index", "chunk_tokens", "heading", "heading_level", F.md5("chunk").alias("digest"))
 
 
@@ -379,8 +385,10 @@ def question_types(spark, sf_dir):
 
 @query
 def query_signals(spark, sf_dir):
+    """Eight of the nine signals of all turns; runs of capitalised words are in the tests."""
     s = T.signals(F.col("text"))
-    return said(spark, sf_dir).select("conv_id", "turn", *[F.array_join(s[k], "|").alias(k) for k in ("keywords", "numbers", "dates")])
+    listed = ("tokens", "keywords", "phrases", "numbers", "dates", "english_terms", "thai_numbers")
+    return said(spark, sf_dir).select("conv_id", "turn", *[F.array_join(s[k], "|").alias(k) for k in listed], s["question_type"].alias("question_type"))
 
 
 def asked_all(spark, sf_dir):
