@@ -553,8 +553,22 @@ ORACLES: dict[str, str] = {
     + "SELECT id::BIGINT AS id, family, coalesce(translate(text, a, b), text) AS text FROM t LEFT JOIN p USING (family)",
     "url_predicate": "SELECT regexp_extract(url, '^https?://([^/ ]+)', 1) AS host, count(*) AS n FROM pages WHERE regexp_matches(url, '^https?://[^/ ]+') GROUP BY 1",
     "question_types": "SELECT conv_id, turn, CASE " + " ".join(f"WHEN {any_of('lower(text)', terms)} THEN '{name}'" for name, terms in rules.QUESTION_TYPES) + " ELSE 'general' END AS kind FROM conversations WHERE role = 'user'",
-    "query_signals": f"SELECT conv_id, turn, array_to_string(list_filter({tokens('text')}, lambda t: NOT list_contains({array(rules.OPEN_STOP_WORDS)}, t)), '|') AS keywords, array_to_string(regexp_extract_all(text, {lit(rules.NUMBER)}), '|') AS numbers "
-    f", array_to_string(regexp_extract_all(text, {lit(rules.DATE)}), '|') AS dates FROM conversations",
+    "query_signals": "SELECT conv_id, turn, "
+    + ", ".join(
+        f"array_to_string({x}, '|') AS {n}"
+        for n, x in {
+            "tokens": tokens("text"),
+            "keywords": f"list_filter({tokens('text')}, lambda t: NOT list_contains({array(rules.OPEN_STOP_WORDS)}, t))",
+            "phrases": f"list_transform(regexp_extract_all(text, {lit(QUOTED)}), lambda x: substring(x, 2, length(x) - 2))",
+            "numbers": f"regexp_extract_all(text, {lit(rules.NUMBER)})",
+            "dates": f"regexp_extract_all(text, {lit(rules.DATE)})",
+            "english_terms": "list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda x: regexp_matches(x, '^[a-zA-Z]{2,}$'))",
+            "thai_numbers": f"regexp_extract_all(text, {lit(rules.THAI_NUMBER)})",
+        }.items()
+    )
+    + ", CASE "
+    + " ".join(f"WHEN {any_of('lower(text)', terms)} THEN '{name}'" for name, terms in rules.QUESTION_TYPES)
+    + " ELSE 'general' END AS question_type FROM conversations",
     "expand_query": cte(ALL_QUESTIONS) + f"SELECT query_id, {appended([(any_of(LOW_QUESTION, t), e) for t, e in rules.EXPANSIONS], 'question')} AS expanded FROM q",
     "alias_query": cte(ALL_QUESTIONS) + f"SELECT query_id, {appended([(alias_test(n), e) for n, e in rules.ALIASES], 'trim(question)')} AS aliased FROM q",
     "route_query": cte(ALL_QUESTIONS) + f"SELECT query_id, {ROUTE} AS document FROM q",
