@@ -570,6 +570,7 @@ ORACLES: dict[str, str] = {
     + " ".join(f"WHEN {any_of('lower(text)', terms)} THEN '{name}'" for name, terms in rules.QUESTION_TYPES)
     + " ELSE 'general' END AS question_type FROM conversations",
     "expand_query": cte(ALL_QUESTIONS) + f"SELECT query_id, {appended([(any_of(LOW_QUESTION, t), e) for t, e in rules.EXPANSIONS], 'question')} AS expanded FROM q",
+    "alias_query_rules": cte(ALL_QUESTIONS) + f"SELECT query_id, {appended([(alias_test(n), e) for n, e in rules.ALIASES], 'trim(question)')} AS aliased FROM q",
     "alias_query": cte(ALL_QUESTIONS) + f"SELECT query_id, {appended([(alias_test(n), e) for n, e in rules.ALIASES], 'trim(question)')} AS aliased FROM q",
     "route_query": cte(ALL_QUESTIONS) + f"SELECT query_id, {ROUTE} AS document FROM q",
     "history_window": cte(*HISTORY) + "SELECT conv_id, turn, len(history)::BIGINT AS n_history, md5(array_to_string(list_transform(history, lambda x: x.role || ':' || x.text), '|')) AS digest FROM h WHERE role = 'user'",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import rules
 from sheaf.functions import text as T
-from sheaf.operators import chunking, context, enhance, evaluate, evidence, ranking
+from sheaf.operators import chunking, context, enhance, evaluate, evidence, patterns, ranking
 from sheaf.operators import query as Q
 from sheaf.operators.index import Index, ordered_fingerprint
 from sheaf.plans import fixtures, loading, prompts, reports
@@ -407,6 +407,15 @@ def alias_query(spark, sf_dir):
     return asked_all(spark, sf_dir).select("query_id", Q.add_aliases(F.col("question")).alias("aliased"))
 
 
+@query
+def alias_query_rules(spark, sf_dir):
+    """The same with the aliases as a table, whose triggers an automaton finds."""
+    listed = [(k, name, name.isascii(), extra) for k, (names, extra) in enumerate(rules.ALIASES) for name in names]
+    rows = asked_all(spark, sf_dir).select(F.col("query_id").alias("key"), F.trim("question").alias("text"))
+    found = patterns.expand_by(rows, spark.createDataFrame(listed, "rule int, trigger string, whole boolean, extra string"))
+    return found.select(F.col("key").alias("query_id"), F.col("expanded").alias("aliased"))
+
+
 @query
 def route_query(spark, sf_dir):
     return asked_all(spark, sf_dir).select("query_id", Q.preferred_document(T.normalize(F.col("question"))).alias("document"))
