@@ -400,27 +400,44 @@ STRICT_ANSWER = (
 _HEADED = HEADED.replace("'^[^.!?]*[.!?]', 0", "'^[^.!?]*[.!?]'")
 _STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 _N = lambda x: f"len({cased(x)})"
-#: Sections, then sentences packed one after the other: (held, its tokens, what a sentence made whole), step by step.
+#: From sections (r, sec, body), chunks made (r, sec, i, j, k, x): sentences packed one after the other, as (held, its tokens, what a sentence made whole).
+PACKED = lambda size, overlap: [
+    f"listed AS (SELECT r, sec, list_filter(list_transform(regexp_extract_all(body, '[^.!?]*[.!?]+|[^.!?]+$'), lambda x: {_STRIP('x')}), lambda x: x <> '') AS s FROM sections)",
+    f"said AS MATERIALIZED (SELECT r, sec, i, x, {cased('x')} AS t FROM (SELECT r, sec, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS x FROM listed))",
+    "pack AS (SELECT r, sec, 0::BIGINT AS i, '' AS held, 0::BIGINT AS n, []::VARCHAR[] AS made FROM sections UNION ALL "
+    f"SELECT p.r, p.sec, s.i, CASE WHEN len(t) > {size} THEN '' WHEN held <> '' AND n + len(t) > {size} THEN array_to_string((" + cased("held") + f")[-{overlap}:], ' ') || ' ' || x WHEN held <> '' THEN trim(held || ' ' || x) ELSE x END, "
+    f"CASE WHEN len(t) > {size} THEN 0 WHEN held <> '' AND n + len(t) > {size} THEN len(" + cased("array_to_string((" + cased("held") + f")[-{overlap}:], ' ') || ' ' || x") + ") ELSE n + len(t) END, "
+    f"CASE WHEN len(t) > {size} THEN list_concat(CASE WHEN held <> '' THEN [held] ELSE []::VARCHAR[] END, list_transform(range(0, len(t), {size - overlap}), lambda k: array_to_string(t[k + 1:k + {size}], ' '))) "
+    f"WHEN held <> '' AND n + len(t) > {size} THEN [held] ELSE []::VARCHAR[] END FROM pack p JOIN said s ON s.r = p.r AND s.sec = p.sec AND s.i = p.i + 1)",
+    "ends AS (SELECT r, sec, max(i) AS i FROM pack GROUP BY ALL)",
+    "made AS (SELECT r, sec, i, 0 AS j, unnest(made) AS x, unnest(range(1, len(made) + 1)) AS k FROM pack UNION ALL SELECT r, sec, i, 1, held, 0 FROM pack JOIN ends USING (r, sec, i) WHERE held <> '')",
+]
 SECTION_CHUNKS = cte(
     "RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents)",
     f"w AS (SELECT r, doc_id, source, text, {_HEADED} AS whole FROM d)",
     f"short AS (SELECT r, doc_id, {_STRIP('whole')} AS whole, {_N('whole')} AS n FROM w WHERE {_N('whole')} <= 100)",
     f"sections AS (SELECT r, doc_id, 1 AS sec, {_STRIP(lit('# ') + ' || source')} AS heading, 1 AS level, {_STRIP(lit('# ') + ' || source || chr(10) || text')} AS body FROM w WHERE {_N('whole')} > 100 "
     f"UNION ALL SELECT r, doc_id, 2, 'Summary' || chr(10) || '-----', 2, {_STRIP('whole[length(source) + length(text) + 6:]')} FROM w WHERE {_N('whole')} > 100)",
-    f"listed AS (SELECT r, sec, list_filter(list_transform(regexp_extract_all(body, '[^.!?]*[.!?]+|[^.!?]+$'), lambda x: {_STRIP('x')}), lambda x: x <> '') AS s FROM sections)",
-    f"said AS MATERIALIZED (SELECT r, sec, i, x, {cased('x')} AS t FROM (SELECT r, sec, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS x FROM listed))",
-    "pack AS (SELECT r, sec, 0::BIGINT AS i, '' AS held, 0::BIGINT AS n, []::VARCHAR[] AS made FROM sections UNION ALL "
-    "SELECT p.r, p.sec, s.i, CASE WHEN len(t) > 100 THEN '' WHEN held <> '' AND n + len(t) > 100 THEN array_to_string((" + cased("held") + ")[-20:], ' ') || ' ' || x WHEN held <> '' THEN trim(held || ' ' || x) ELSE x END, "
-    "CASE WHEN len(t) > 100 THEN 0 WHEN held <> '' AND n + len(t) > 100 THEN len(" + cased("array_to_string((" + cased("held") + ")[-20:], ' ') || ' ' || x") + ") ELSE n + len(t) END, "
-    "CASE WHEN len(t) > 100 THEN list_concat(CASE WHEN held <> '' THEN [held] ELSE []::VARCHAR[] END, list_transform(range(0, len(t), 80), lambda k: array_to_string(t[k + 1:k + 100], ' '))) "
-    "WHEN held <> '' AND n + len(t) > 100 THEN [held] ELSE []::VARCHAR[] END FROM pack p JOIN said s ON s.r = p.r AND s.sec = p.sec AND s.i = p.i + 1)",
-    "ends AS (SELECT r, sec, max(i) AS i FROM pack GROUP BY ALL)",
-    "made AS (SELECT r, sec, i, 0 AS j, unnest(made) AS x, unnest(range(1, len(made) + 1)) AS k FROM pack UNION ALL SELECT r, sec, i, 1, held, 0 FROM pack JOIN ends USING (r, sec, i) WHERE held <> '')",
+    *PACKED(100, 20),
     "numbered AS (SELECT r, sec, x, row_number() OVER (PARTITION BY r ORDER BY sec, i, j, k) - 1 AS nth, row_number() OVER (PARTITION BY r, sec ORDER BY i, j, k) AS in_sec FROM made)",
 ) + (
     "SELECT doc_id, 0 AS chunk_index, n::INTEGER AS chunk_tokens, NULL AS heading, NULL::INTEGER AS heading_level, md5(whole) AS digest FROM short UNION ALL "
     f"SELECT doc_id, nth::INTEGER, {_N('x')}::INTEGER, CASE WHEN in_sec = 1 THEN heading END, CASE WHEN in_sec = 1 THEN level END, md5({_STRIP('x')}) FROM numbered JOIN sections USING (r, sec) WHERE {_N('x')} >= 10"
 )
+#: Fetched pages as chunks: none of them has headings.
+WEB_CHUNKS = (
+    "WITH RECURSIVE "
+    + ",\n".join(
+        [
+            *WEB,
+            f"g AS (SELECT row_number() OVER () AS r, url, title, text, {_N('text')} AS n FROM t WHERE text <> '')",
+            "sections AS (SELECT r, 1 AS sec, text AS body FROM g WHERE n > 500)",
+            *PACKED(500, 50),
+            f"sized AS (SELECT r, {_N('x')} AS n FROM made WHERE {_N('x')} >= 50 UNION ALL SELECT r, n FROM g WHERE n <= 500)",
+        ]
+    )
+    + " SELECT url, title, 'web' AS extractor, count(*) AS n_chunks, sum(sized.n)::BIGINT AS n_tokens FROM sized JOIN g USING (r) GROUP BY url, title"
+)
 
 
 ORACLES: dict[str, str] = {
@@ -485,6 +502,7 @@ ORACLES: dict[str, str] = {
     "bm25_batch_topk": cte(*bm25(BATCH, 5)) + "SELECT query_id, id, score, rank FROM hits",
     "evidence_found": EVIDENCE_FOUND,
     "section_chunks": SECTION_CHUNKS,
+    "load_web_pages": WEB_CHUNKS,
     "strict_answer": STRICT_ANSWER,
     "selection_validate": f"WITH v AS ({EVIDENCE_FOUND}) SELECT query_id, count(*) AS n_ids, CASE query_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'incomplete_evidence_selection' WHEN 2 THEN 'unknown_evidence_id' ELSE 'invalid_evidence_response' END AS error FROM v GROUP BY query_id",
     "bm25_stored_batch_topk": cte(*bm25(BATCH, 5)) + "SELECT query_id, id, score, rank FROM hits",
