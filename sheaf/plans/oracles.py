@@ -8,7 +8,7 @@ from sheaf.functions import rules
 from sheaf.functions.text import OPEN_WORD, STRICT_WORD
 from sheaf.operators import evidence
 from sheaf.plans import fixtures
-from sheaf.plans.registry import HEADED
+from sheaf.plans.registry import GLYPH_FAMILY, GLYPH_TEXT, HEADED, REPLY
 from sheaf.sources import glyphs
 
 
@@ -463,7 +463,7 @@ ORACLES: dict[str, str] = {
     "enhanced_batch_topk": cte(*ENHANCED_OF(BATCH, "source")) + _top("a", 5, "query_id, id, score, bm25, phrase, keyword, metadata, number_date, english"),
     "enhance_rules": cte(ASKED, f"r AS (SELECT *, '1. ' || question || {lit(' ' + rules.EXPAND_MORE)} || chr(10) || '2. ' || array_to_string({SUB_QUESTIONS}, ' | ') || chr(10) || '3. ' || {KEYWORDS} AS reply FROM q)", *PARSED)
     + "SELECT query_id, md5(expanded) AS expanded, len(decomposed)::INT AS n_decomposed, keyword_focused, md5(array_to_string(variants, '|')) AS variants FROM z",
-    "enhance_reply": cte(f"r AS (SELECT query_id::BIGINT AS query_id, question, reply FROM {values(fixtures.REPLIES, 'query_id, question, reply')})", *PARSED)
+    "enhance_reply": cte(f"r AS (SELECT query_id::BIGINT AS query_id, question, reply FROM {values(fixtures.REPLIES, 'query_id, question, reply')} UNION ALL SELECT conv_id * 1000 + turn + 1000, text, {REPLY} FROM conversations WHERE text IS NOT NULL)", *PARSED)
     + "SELECT query_id, expanded, array_to_string(decomposed, '|') AS decomposed, keyword_focused, coalesce(array_to_string(variants, '|'), '') AS variants FROM z",
     "sub_questions": cte(ASKED) + f"SELECT query_id, array_to_string({SUB_QUESTIONS}, '|') AS parts, {KEYWORDS} AS keywords FROM q",
     "user_prompts": cte(
@@ -566,9 +566,9 @@ ORACLES: dict[str, str] = {
         "o AS (SELECT family, outline, min(target) AS target FROM x GROUP BY ALL HAVING count(DISTINCT target) = 1)",
         "m AS (SELECT family, code, min(target) AS target FROM g JOIN o USING (family, outline) WHERE code BETWEEN 57344 AND 63743 GROUP BY ALL HAVING count(DISTINCT target) = 1)",
         "p AS (SELECT family, string_agg(chr(code), '' ORDER BY code) AS a, string_agg(chr(target), '' ORDER BY code) AS b FROM m GROUP BY family)",
-        f"t AS (SELECT * FROM {values(fixtures.GLYPH_TEXTS, 'id, family, text')})",
+        f"t AS (SELECT -id::BIGINT AS id, family, text FROM {values(fixtures.GLYPH_TEXTS, 'id, family, text')} UNION ALL SELECT doc_id, {GLYPH_FAMILY}, {GLYPH_TEXT} FROM documents)",
     )
-    + "SELECT id::BIGINT AS id, family, coalesce(translate(text, a, b), text) AS text FROM t LEFT JOIN p USING (family)",
+    + "SELECT id, family, md5(coalesce(translate(text, a, b), text)) AS digest FROM t LEFT JOIN p USING (family)",
     "url_predicate": "SELECT regexp_extract(url, '^https?://([^/ ]+)', 1) AS host, count(*) AS n FROM pages WHERE regexp_matches(url, '^https?://[^/ ]+') GROUP BY 1",
     "question_types": "SELECT conv_id, turn, CASE " + " ".join(f"WHEN {any_of('lower(text)', terms)} THEN '{name}'" for name, terms in rules.QUESTION_TYPES) + " ELSE 'general' END AS kind FROM conversations WHERE role = 'user'",
     "query_signals": "SELECT conv_id, turn, "

@@ -364,11 +364,19 @@ def url_predicate(spark, sf_dir):
     return table(spark, sf_dir, "pages").filter(files.is_url(F.col("url"))).groupBy(host.alias("host")).agg(F.count("*").alias("n"))
 
 
+#: Documents as a broken font would give them, in SQL: letters as private characters, and a font by language.
+GLYPH_TEXT = "translate(coalesce(text, ''), 'etoa', concat(chr(57345), chr(57346), chr(57347), chr(57348)))"
+GLYPH_FAMILY = "CASE lang WHEN 'en' THEN 'THSarabunNew' WHEN 'de' THEN 'THSarabunPSK' WHEN 'fr' THEN 'Wingdings' END"
+
+
 @query
 def glyph_repair(spark, sf_dir):
-    """Text with private characters of PDF fonts, repaired by outlines."""
-    known, texts = fixtures.glyphs(spark)
-    return repair_of.repair(texts, repair_of.glyph_map(known, repair_of.verified(spark), repair_of.FAMILY)).select("id", "family", "text")
+    """Documents with private characters of PDF fonts, and a few texts of odd kinds, repaired by outlines."""
+    known, odd = fixtures.glyphs(spark)
+    private = F.translate(F.coalesce("text", F.lit("")), "etoa", "\ue001\ue002\ue003\ue004")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.expr(GLYPH_FAMILY).alias("family"), private.alias("text"))
+    found = repair_of.repair(odd.withColumn("id", -F.col("id")).unionByName(texts), repair_of.glyph_map(known, repair_of.verified(spark), repair_of.FAMILY))
+    return found.select("id", "family", F.md5("text").alias("digest"))
 
 
 # questions
@@ -455,10 +463,16 @@ def enhance_rules(spark, sf_dir):
     return found.select("query_id", F.md5("expanded").alias("expanded"), F.size("decomposed").alias("n_decomposed"), "keyword_focused", F.md5(F.array_join("all_variants", "|")).alias("variants"))
 
 
+#: What an enhancer would reply about a turn of a conversation, in SQL: some of the three lines, by the turn's number.
+REPLY = """concat(CASE WHEN turn % 2 = 0 THEN concat('1. Expanded: ', text, chr(10)) ELSE '' END, CASE WHEN turn % 3 > 0 THEN concat('Decomposed: ', replace(text, ' ', ' | '), chr(10)) ELSE '' END,
+  CASE WHEN turn % 5 > 0 THEN concat('keyword: ', substring(text, 1, 40)) ELSE 'no known line' END)"""
+
+
 @query
 def enhance_reply(spark, sf_dir):
-    """Replies of several shapes, parsed."""
-    rows = spark.createDataFrame(fixtures.REPLIES, "query_id long, question string, reply string")
+    """Replies about all turns, and a few of odd shapes, parsed."""
+    turns = said(spark, sf_dir).filter("text IS NOT NULL").select(F.expr("conv_id * 1000 + turn + 1000").alias("query_id"), F.col("text").alias("question"), F.expr(REPLY).alias("reply"))
+    rows = spark.createDataFrame(fixtures.REPLIES, "query_id long, question string, reply string").unionByName(turns)
     return rows.select("query_id", enhance.parse(F.col("reply"), F.col("question")).alias("r")).select(
         "query_id", "r.expanded", F.array_join("r.decomposed", "|").alias("decomposed"), "r.keyword_focused", F.array_join("r.all_variants", "|").alias("variants")
     )
