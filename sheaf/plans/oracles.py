@@ -440,6 +440,24 @@ WEB_CHUNKS = (
 )
 
 
+def _letters(text: str) -> str:
+    return f"list_transform(string_split_regex('abcdefghijklmnopqrstuvwxyz', ''), lambda c: (length(lower({text})) - length(replace(lower({text}), c, '')))::DOUBLE)"
+
+
+def _best(source: str, k: int) -> str:
+    return f"(SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM {source}) WHERE rank <= {k})"
+
+
+RETRIEVER_VECTORS = cte(
+    *ENHANCED_OF(BATCH, "source"),
+    f"ld AS MATERIALIZED (SELECT id, {_letters("coalesce(text, '')")} AS v FROM d)",
+    f"lq AS MATERIALIZED (SELECT query_id, {_letters("coalesce(query, '')")} AS v FROM q)",
+    "cs AS (SELECT query_id, id, CASE WHEN list_sum(ld.v) = 0 OR list_sum(lq.v) = 0 THEN 0.0 ELSE round(list_cosine_similarity(ld.v, lq.v), 6) + 0.0 END AS score FROM ld, lq)",
+    f"hy AS (SELECT coalesce(e.query_id, v.query_id) AS query_id, coalesce(e.id, v.id) AS id, round(0.4 * coalesce(e.score, 0) + 0.6 * coalesce(v.score, 0), 6) AS score "
+    f"FROM {_best('a', 10)} e FULL JOIN {_best('cs', 10)} v ON e.query_id = v.query_id AND e.id = v.id)",
+) + f"SELECT *, 'vector' AS strategy FROM {_best('cs', 5)} UNION ALL SELECT *, 'hybrid' FROM {_best('hy', 5)} UNION ALL SELECT *, 'unheard of' FROM {_best('a', 5)}"
+
+
 ORACLES: dict[str, str] = {
     "html_parsed": cte(*WEB) + "SELECT page_id, title, length(text)::INT AS n_chars, md5(text) AS digest FROM t",
     "document_report": cte(*WEB, "c AS (SELECT url AS document, regexp_replace(text, '[ \\t]+(\\n|$)', '\\1', 'g') AS text FROM t)")
@@ -455,6 +473,7 @@ ORACLES: dict[str, str] = {
         "m AS (SELECT *, round(0.4 * keyword_score + 0.6 * vector_score, 6) AS score FROM u)",
     )
     + _top("m", 5, "query_id, id, keyword_score, vector_score, score"),
+    "retriever_vectors_topk": RETRIEVER_VECTORS,
     "retriever_topk": cte(
         *bm25(ONE, 5),
         "t AS (SELECT query_id, id, round(sum(tf / greatest(dl, 1) * ln(n / df) * qtf), 6) AS score FROM qt JOIN p USING (term) JOIN f USING (term), s GROUP BY ALL)",

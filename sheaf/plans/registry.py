@@ -175,6 +175,19 @@ def retriever_topk(spark, sf_dir):
     return named(keyword(own, asked, 5), "keyword").unionByName(named(plain(own, asked, 5), "bm25"))
 
 
+def letters(texts: list[str]) -> list[list[float]]:
+    """An embedder that SQL can follow: how often each letter of the alphabet occurs."""
+    return [[float(t.count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for t in map(str.lower, texts)]
+
+
+@query
+def retriever_vectors_topk(spark, sf_dir):
+    """The rankers by name that need an embedder, and the one of a name that isn't known, for all items of the benchmark."""
+    own, asked = index(spark, sf_dir), batch(spark, sf_dir)
+    found = [ranking.retriever(name, letters)(own, asked, 5).select("query_id", "id", "score", "rank", F.lit(name).alias("strategy")) for name in ("vector", "hybrid", "unheard of")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query
 def enhanced_batch_topk(spark, sf_dir):
     found = ranking.enhanced(index(spark, sf_dir), batch(spark, sf_dir), 5)
