@@ -192,7 +192,7 @@ class Store:
 
     # changes
 
-    def _add_segment(self, tokens: DataFrame, chunks: DataFrame | None) -> tuple[str, dict] | None:
+    def _add_segment(self, tokens: DataFrame) -> tuple[str, dict] | None:
         """Writes rows (id, tokens, chunk); the blocks of a task are of chunks of like length."""
         name = f"s{self.manifest.version + 1:09d}-{uuid.uuid4().hex[:8]}"
         where = f"{self.path}/docs/segment={name}"
@@ -237,13 +237,13 @@ class Store:
         m = self.manifest
         ids = [df.select("id") for df in (upserts, removals) if df is not None]
         gone = self._add_removal(ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])) if ids else None
-        new = self._add_segment(upserts, None) if upserts is not None else None
+        new = self._add_segment(upserts) if upserts is not None else None
         batches = m.batches | ({stream: number} if stream is not None else {})
         return self._next(Manifest(m.version, m.buckets, m.segments | (dict([new]) if new else {}), m.removed | (dict([gone]) if gone else {}), batches))
 
     def replace(self, rows: DataFrame) -> Store:
         """The next version has these rows alone."""
-        new = self._add_segment(rows, None)
+        new = self._add_segment(rows)
         return self._next(Manifest(self.manifest.version, self.manifest.buckets, dict([new]) if new else {}, {}, dict(self.manifest.batches)))
 
     def compact(self) -> Store:
@@ -295,26 +295,23 @@ class Store:
         if not parts:
             return self.spark.createDataFrame([], f"id {self.key}, block long, dl int, tokens array<string>, chunk struct<text:string>, segment string").select(*columns)
         if len(parts) > 1 and "chunk" in columns:
-            wide = self._alive(self.chunks_of(parts))
-            return wide.select("id", "segment", "block", "dl", "tokens", F.struct(*[F.col(c) for c in wide.columns if c not in ("id", "segment", "block", "dl", "tokens")]).alias("chunk")).select(*columns)
+            # chunks that came with other columns: a chunk has null in those that it lacks
+            flat = [p.select("id", "segment", "block", "dl", "tokens", *[F.col(f"chunk.`{c}`").alias(f"chunk {c}") for c in p.schema["chunk"].dataType.names]) for p in parts]
+            wide = flat[0]
+            for p in flat[1:]:
+                wide = wide.unionByName(p, allowMissingColumns=True)
+            chunk = F.struct(*[F.col(f"`{c}`").alias(c[6:]) for c in wide.columns if c.startswith("chunk ")]).alias("chunk")
+            return self._alive(wide).select("id", "segment", "block", "dl", "tokens", chunk).select(*columns)
         whole = parts[0]
         for p in parts[1:]:
             whole = whole.drop("chunk").unionByName(p.drop("chunk"))
         return self._alive(whole).select(*columns)
 
-    @staticmethod
-    def chunks_of(parts: list[DataFrame]) -> DataFrame:
-        flat = [p.select("id", "segment", "block", "dl", "tokens", *[F.col(f"chunk.{c}").alias(c) for c in p.schema["chunk"].dataType.names if c not in ("id", "segment", "block", "dl", "tokens")]) for p in parts]
-        whole = flat[0]
-        for p in flat[1:]:
-            whole = whole.unionByName(p, allowMissingColumns=True)
-        return whole
-
     def chunks(self) -> DataFrame:
         """The live chunks with the columns they came with."""
         own = self.docs("id", "chunk")
         names = own.schema["chunk"].dataType.names
-        return own.select("id", *[F.col(f"chunk.{c}").alias(c) for c in names if c != "id"])
+        return own.select("id", *[F.col(f"chunk.`{c}`").alias(c) for c in names if c != "id"])
 
     def ask(self, terms: DataFrame | None) -> Asked:
         """How to find the rows of some terms: their buckets, and the terms if they are few, are literals, which Spark prunes files by."""

@@ -50,6 +50,6 @@ def clean(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over as many partitions as there are cores, if it has fewer: a small table often is one task's."""
+    """df over as many partitions as there are cores, if that at least doubles them: a small table often is one task's."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if not df.isStreaming and 2 * df.rdd.getNumPartitions() <= cores else df

@@ -154,6 +154,10 @@ def test_store_edges(spark, tmp_path):
     own = Index.of(index.save(f"file://{tmp_path}/named", buckets=2))
     assert rows_of(own.chunks, "id", "text", "dl", "segment") == sorted(rows, key=repr)
     assert rows_of(own.postings(), *POSTINGS) == rows_of(index.postings(), *POSTINGS)
+    more = spark.createDataFrame([("a", "bird", 7.5), ("e", "fish", None)], "id string, text string, tokens double")
+    grown = Index.of(own.stored.apply(Index.build(more, key="id").rows()))
+    assert rows_of(grown.chunks, "id", "text", "dl", "segment", "tokens") == sorted([*[(*r, None) for r in rows if r[0] != "a"], ("a", "bird", None, None, 7.5), ("e", "fish", None, None, None)], key=repr)
+    assert rows_of(Index.of(grown.stored.compact()).chunks, "id", "text", "dl", "tokens") == rows_of(grown.chunks, "id", "text", "dl", "tokens")
     no_words = Index.build(spark.createDataFrame([(1, ""), (2, None)], "id long, text string"), key="id").save(f"file://{tmp_path}/blank")
     assert [tuple(r)[1:] for r in ranking.bm25(Index.of(no_words), question, 2).select("query_id", "id", "score", "rank").collect()] == [(1, 0.0, 1), (2, 0.0, 2)]
 
