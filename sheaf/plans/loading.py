@@ -32,9 +32,9 @@ def cut(loaded: DataFrame, rule: TokenChunks = TokenChunks()) -> DataFrame:  # n
     return found.select(name.alias("id"), "path", F.col("chunk").alias("content"), F.map_concat("metadata", more).alias("metadata"), "chunk_tokens")
 
 
-def extract(sources: DataFrame, rule: TokenChunks = TokenChunks()) -> DataFrame:  # noqa: B008
+def extract(sources: DataFrame, rule: TokenChunks = TokenChunks(), unclosed: bool = True) -> DataFrame:  # noqa: B008
     """Chunks of sources (path, name, content): files by their suffix, fetched pages by their URL."""
-    return cut(files.load(sources, strict=False), rule)
+    return cut(files.load(sources, strict=False, unclosed=unclosed), rule)
 
 
 def load_documents(sources: DataFrame, chunk_size: int = 500, overlap: int = 50) -> DataFrame:

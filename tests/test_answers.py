@@ -160,3 +160,18 @@ def test_entry_has_sql_for_registered_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and json.dumps(sorted(entry.queries()))
+
+
+def test_references_without_a_semicolon():
+    page = "<title>a&amp;&amp</title><article>b&amp;lt;&copy;&copy c&#38;&#38 &no; &AMP</article>"
+    assert files.html_text(page, True) == ("b&lt;©© c&& &no; &", "a&&")
+    assert files.html_text(page, True, unclosed=False) == ("b&lt;©&copy c&&#38 &no; &AMP", "a&&amp")
+
+
+def test_queries_of_pages_keep_references_without_a_semicolon(spark, tmp_path):
+    from sheaf.plans.registry import QUERIES
+
+    spark.createDataFrame([(1, "http://x.org/a", "<title>t&amp</title><article><p>u&amp</p></article>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert QUERIES["html_parsed"](spark, str(tmp_path)).first()[1:3] == ("t&amp", 5)
+    assert QUERIES["load_web_pages"](spark, str(tmp_path)).first().title == "t&amp"
+    assert QUERIES["document_report"](spark, str(tmp_path)).first().n_chars == 5
