@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions import rules
+from sheaf.storage import bound_batches
 
 OPEN_WORD = r"[฀-๿]+|[a-zA-Z0-9]+"
 LONG_WORD = r"[\u0e00-\u0e7f]{2,}|[a-z0-9]{2,}"
@@ -28,6 +29,7 @@ def normalize(text: Column) -> Column:
 
         return texts.map(normalize_text, na_action="ignore")
 
+    bound_batches(SparkSession.active())
     return run(text)
 
 

@@ -16,22 +16,7 @@ from urllib.parse import unquote, urlparse
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.storage import shared_folder
-
-
-#: Bytes of rows that Spark hands to Python at once.
-BATCH = 8 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's bound on the bytes of an Arrow batch, so that a task's memory follows neither it nor the rows.
-
-    It is left alone where the session has another than Spark's own, 64 MB.  A row is never split, so one with a longer
-    text is a batch of its own.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) in ("64m", f"{64 << 20}b", str(64 << 20)):
-        spark.conf.set(key, str(BATCH))
+from sheaf.storage import BATCH, bound_batches, shared_folder  # noqa: F401
 
 
 def fresh(*names: str) -> list[str]:
@@ -41,7 +26,6 @@ def fresh(*names: str) -> list[str]:
 
 def folder(spark: SparkSession, what: str) -> str:
     """A new folder's address for one run of an operator; its tasks get batches of bounded size.  ``sheaf.clean`` deletes it."""
-    bound_batches(spark)
     return shared_folder(spark, what)
 
 

@@ -367,10 +367,12 @@ class Store:
     def heads(self, asked: Asked, weighed: DataFrame, weight: Weight) -> DataFrame:
         """(query_id, term, segment, block, size, most): what a term can add to a chunk's score in a block of ``size`` postings.
 
-        ``weighed`` has a row for each query and term, with what ``weight`` needs besides tf and dl.
+        ``weighed`` has a row for each query and term, with what ``weight`` needs besides tf and dl.  A term and block that were
+        written as several rows (see ``_packed``) are one here, whose bound is their highest: they are opened or set aside together.
         """
         own = self.blocks(asked).select("term", "segment", "block", F.col("n").alias("size"), "max_tf", "min_dl")
-        return own.join(weighed, "term").select("query_id", "term", "segment", "block", "size", weight(F.col("max_tf"), F.col("min_dl")).alias("most"))
+        each = own.join(weighed, "term").withColumn("most", weight(F.col("max_tf"), F.col("min_dl")))
+        return each.groupBy(*BLOCK_KEY, "term").agg(F.sum("size").cast("int").alias("size"), F.max("most").alias("most")).select("query_id", "term", "segment", "block", "size", "most")
 
     def rows_of(self, asked: Asked, weighed: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
         """The postings of blocks that match ``wanted``, each with its query and term's columns; no others are opened."""

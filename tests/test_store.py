@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sheaf.operators import ranking, store
 from sheaf.operators.index import Index
 from sheaf.operators.store import IndexFormatError, Store, StoreConflict
+from sheaf.storage import shared_folder
 from sheaf.streaming import ingest
 
 
@@ -174,3 +175,27 @@ def test_stream_of_changes(spark, tmp_path):
     assert rows_of(now.postings(), "term", "id") == [("again", 2), ("back", 3), ("bird", 3), ("dog", 2)] and now.manifest.version == 2
     assert now.apply(Index.build(spark.createDataFrame([(9, "late")], "id long, text string"), key="id").rows(), None, f"{path}/_changes", 1) is now
     assert ingest.ingest_changes(stream(), path).manifest.version == 2
+
+
+def test_blocks_written_as_several_rows_are_pruned_as_one(spark, monkeypatch):
+    """A block whose chunks came in two Arrow batches has two rows a term: one may be essential and the other not."""
+    monkeypatch.setattr(store, "SEEDS", 2)
+    rng = random.Random(5)
+    words = ["rare", "often", "common"]
+    rows = [(k, " ".join(rng.choices([*words, "filler", "other"], [1, 4, 30, 20, 20], k=rng.randint(5, 40)))) for k in range(3000)]
+    chunks = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    queries = spark.createDataFrame([(0, "rare often common"), (1, "often common"), (2, "rare common")], "query_id long, query string")
+    own = Index.build(chunks)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, 40)
+    try:
+        kept = Index.of(own.save(shared_folder(spark, "index")))
+        docs = kept.stored.docs("id", "segment", "block")
+        got = [tuple(r) for r in ranking.bm25(kept, queries, 5).select("query_id", "id", "score", "rank").orderBy("query_id", "rank").collect()]
+    finally:
+        spark.conf.unset(key)
+    assert docs.count() == 3000
+    blocks = kept.stored.blocks(lambda t: t).groupBy("segment", "block", "term").count().filter("count > 1")
+    assert blocks.count() > 0
+    assert got == [tuple(r) for r in ranking.bm25(own, queries, 5).select("query_id", "id", "score", "rank").orderBy("query_id", "rank").collect()]
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
