@@ -10,7 +10,9 @@ the table are nearer and no rarer to be found.
 
 ``search(exact=True)`` then visits all other cells that can hold one of the first top_k: a cell keeps the widest angle between
 its centre and a vector in it, so no vector's angle to a query is below that of the centre less this one.  The result
-is that of ``ranking.vector``.  Queries and cells meet in a join by cell, block by block, one matrix product each.
+is that of ``ranking.vector``.  Queries of near cells are packed into blocks, with a bit for each cell that one visits; a block
+of a cell's vectors meets the blocks of queries that have a visit there, one matrix product each, so a query's vector is kept once,
+not once a visit.
 Similarities are cosines; a vector without length has 0 with all, lies in the first cell and is met in exact searches only if
 a query's floor is that low.
 """
@@ -89,35 +91,54 @@ def _assign(centres: np.ndarray):
     return run
 
 
-def _blocks(key: str, vector: str, most: int):
-    """Rows of one cell packed together: (cell, keys, floats)."""
+def _blocks(batches):
+    """Vectors of one cell packed together: (cell, keys, floats)."""
+    import pyarrow as pa
+
+    for batch in batches:
+        cell, keys, rows = batch.column("cell").to_numpy(), batch.column("id").to_numpy(), _matrix(batch.column("embedding"))
+        order = np.argsort(cell, kind="stable")
+        cuts = np.flatnonzero(np.diff(cell[order])) + 1
+        out = [part[k : k + ROWS] for part in np.split(order, cuts) for k in range(0, len(part), ROWS)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([int(cell[p[0]]) for p in out], pa.int32()), pa.array([keys[p] for p in out], pa.list_(pa.int64())), pa.array([rows[p].tobytes() for p in out], pa.binary())],
+            ["cell", "keys", "floats"],
+        )
+
+
+def _asked_blocks(names: np.ndarray):
+    """Queries packed together: (q_keys, q_floats, q_cells, q_visits), the cells that one of them visits and each one's bits."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            cell, keys, rows = batch.column("cell").to_numpy(), batch.column(key).to_numpy(), _matrix(batch.column(vector))
-            order = np.argsort(cell, kind="stable")
-            cuts = np.flatnonzero(np.diff(cell[order])) + 1
-            out = [part[k : k + most] for part in np.split(order, cuts) for k in range(0, len(part), most)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(cell[p[0]]) for p in out], pa.int32()), pa.array([keys[p] for p in out], pa.list_(pa.int64())), pa.array([rows[p].tobytes() for p in out], pa.binary())],
-                ["cell", "keys", "floats"],
-            )
+            for k in range(0, batch.num_rows, QUERIES):
+                part = batch.slice(k, QUERIES)
+                visits = part.column("visits").to_pylist()
+                some = np.unpackbits(np.bitwise_or.reduce(np.frombuffer(b"".join(visits), np.uint8).reshape(len(visits), -1)), count=len(names)) > 0
+                if some.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([part.column("query_id").to_numpy()], pa.list_(pa.int64())), pa.array([_matrix(part.column("vector")).tobytes()], pa.binary()), pa.array([names[some]], pa.list_(pa.int32())), pa.array([b"".join(visits)], pa.binary())],
+                        ["q_keys", "q_floats", "q_cells", "q_visits"],
+                    )
 
     return run
 
 
-def _compare(top_k: int):
-    """The best rows of each query of a block in each block of vectors."""
+def _compare(top_k: int, names: np.ndarray):
+    """The best rows of each query of a block that visits the cell of a block of vectors."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for q_keys, q_floats, keys, floats in zip(*(batch.column(c) for c in ("q_keys", "q_floats", "keys", "floats")), strict=True):
-                q, own = np.array(q_keys.as_py()), np.array(keys.as_py())
-                a, b = (np.frombuffer(f.as_py(), np.float64).reshape(len(k), -1) for f, k in ((q_floats, q), (floats, own)))
+            for q_keys, q_floats, q_visits, cell, keys, floats in zip(*(batch.column(c) for c in ("q_keys", "q_floats", "q_visits", "cell", "keys", "floats")), strict=True):
+                q, own = q_keys.values.to_numpy(), keys.values.to_numpy()
+                a, b = (np.frombuffer(f.as_buffer(), np.float64).reshape(len(k), -1) for f, k in ((q_floats, q), (floats, own)))
+                at = int(np.searchsorted(names, cell.as_py()))
+                here = np.frombuffer(q_visits.as_buffer(), np.uint8).reshape(len(q), -1)[:, at // 8] >> (7 - at % 8) & 1 > 0
+                q, a = q[here], a[here]
                 score = np.round(cosines(a, b), DIGITS) + 0.0
                 order = np.argsort(own, kind="stable")
                 best = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :top_k]]
@@ -126,6 +147,16 @@ def _compare(top_k: int):
     return run
 
 
+def _least(rows: DataFrame, sample: int, n: int):
+    """The vectors of the ``sample`` rows, of n, whose ids have the least hashes."""
+    value = F.xxhash64("id")
+    # rows that can't be among them stay where they are, or each task would send as many as are wanted to one
+    share = 1.5 * sample / n
+    few = rows.filter(value <= int((share - 0.5) * 2.0**64)) if share < 1 else rows
+    taken = few.orderBy(value, "id").limit(sample).select("embedding").toArrow().column(0).combine_chunks()
+    return taken if few is rows or len(taken) == sample else _least(rows, sample, sample)
+
+
 @dataclass
 class VectorIndex:
     spark: SparkSession
@@ -142,8 +173,7 @@ class VectorIndex:
         if not n:
             spark.createDataFrame([], "cell int, n long, least double, centre array<double>, probes int").write.parquet(f"{path}/cells")
             return cls(spark, path, 1)
-        taken = rows.orderBy(F.xxhash64("id"), "id").limit(min(sample, SAMPLE)).select("embedding").toArrow().column(0).combine_chunks()
-        known = _matrix(taken)
+        known = _matrix(_least(rows, min(sample, SAMPLE), n))
         centres = train(known, cells or int(min(MAX_CELLS, max(1, round(n**0.5)))))
         assigned = stored(spread(rows).mapInArrow(_assign(centres), "id long, embedding array<double>, cell int, near double"), "assigned")
         counts = stored(assigned.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("least")), "counts")
@@ -204,19 +234,20 @@ class VectorIndex:
                     # of a vector without length all is at 0, which a bound below 0 hides
                     chosen = np.maximum(bound, 0.0) >= floor[:, None] - 2 * 10.0**-DIGITS
                     np.put_along_axis(chosen, order[:, :probes], False, 1)
-                    row, at = np.nonzero(chosen)
                 else:
-                    at = order[:, :probes]
-                    row, at = np.repeat(np.arange(len(rows)), at.shape[1]), at.ravel()
-                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(row)), batch.column("vector").take(pa.array(row)), pa.array(names[at])], ["query_id", "vector", "cell"])
-
-        visits = stored(asked.mapInArrow(choose, "query_id long, vector array<double>, cell int"), "visits")
-        cells = sorted(r.cell for r in visits.select("cell").distinct().collect())
-        packed = "cell int, keys array<long>, floats binary"
-        own = self.lists(cells).mapInArrow(_blocks("id", "embedding", ROWS), packed)
-        said = visits.repartition("cell", F.pmod(F.xxhash64("query_id"), F.lit(8))).sortWithinPartitions("cell").mapInArrow(_blocks("query_id", "vector", QUERIES), packed)
-        both = own.join(said.withColumnsRenamed({"keys": "q_keys", "floats": "q_floats"}), "cell")
-        return both.mapInArrow(_compare(top_k), "query_id long, id long, score double")
+                    chosen = np.zeros(near.shape, bool)
+                    np.put_along_axis(chosen, order[:, :probes], True, 1)
+                bits = [b.tobytes() for b in np.packbits(chosen, axis=1)]
+                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vector"), pa.array(order[:, 0].astype(np.int32)), pa.array(bits, pa.binary())], ["query_id", "vector", "nearest", "visits"])
+
+        placed = stored(asked.mapInArrow(choose, "query_id long, vector array<double>, nearest int, visits binary"), "visits")
+        # queries that are near to the same cells share a block, which then has few others
+        dealt = placed.repartitionByRange(-(-placed.count() // QUERIES) or 1, "nearest", "query_id").sortWithinPartitions("nearest", "query_id")
+        said = stored(dealt.mapInArrow(_asked_blocks(names), "q_keys array<long>, q_floats binary, q_cells array<int>, q_visits binary"), "asked")
+        cells = sorted(r.cell for r in said.select(F.explode("q_cells").alias("cell")).distinct().collect())  # no more than MAX_CELLS
+        own = self.lists(cells).mapInArrow(_blocks, "cell int, keys array<long>, floats binary")
+        both = own.join(said, F.array_contains("q_cells", F.col("cell"))).drop("q_cells")
+        return both.mapInArrow(_compare(top_k, names), "query_id long, id long, score double")
 
 
 def recall(found: DataFrame, right: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sheaf import storage
 from sheaf.operators import ranking, vector_index
 from sheaf.operators.vector_index import VectorIndex, recall
 
@@ -78,3 +79,24 @@ def test_edges(spark):
     assert sorted(map(tuple, one.search(asked, exact=True).collect())) == [(0, 5, 0.0, 1), (1, 5, 0.0, 1)]
     with pytest.raises(ValueError):
         one.search(asked, 5, 0)
+
+
+def test_a_query_is_kept_once(spark, vectors):
+    """What meets the cells holds each query's vector once, however many cells it visits."""
+    own, asked, right, index, kind = vectors
+    for exact in (False, True):
+        before = set(storage._MADE)
+        index.search(asked, 5, 8, exact=exact).collect()
+        made = [p for p in storage._MADE if p not in before]
+        for what in ("visits", "asked"):
+            for p in (p for p in made if p.rsplit("/", 1)[1].startswith(f"{what}-")):
+                rows = spark.read.parquet(p)
+                assert (rows.count() if what == "visits" else rows.select(F.explode("q_keys")).count()) <= asked.count()
+
+
+def test_sample_of_least_hashes(spark, monkeypatch):
+    """The sample is the rows of least hashes, whether the bound on hashes lets enough of them through or not."""
+    own = spark.range(3000).select("id", F.array(F.col("id").cast("double")).alias("embedding"))
+    right = [[float(r.id)] for r in own.orderBy(F.xxhash64("id")).limit(50).collect()]
+    assert vector_index._matrix(vector_index._least(own, 50, 3000)).tolist() == right
+    assert vector_index._matrix(vector_index._least(own, 50, 10**9)).tolist() == right
