@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.storage import stored
+
 #: SHA-256 of glyph outlines that were verified by eye, and the code points they stand for.
 VERIFIED = {
     "52591eb21a9c374fa82aa681f7eb9b019de4c893d49cbc745c3740a890eb230c": 3657,
@@ -66,9 +68,10 @@ def character(code: Column) -> Column:
 def repair(texts: DataFrame, mapping: DataFrame) -> DataFrame:
     """Texts (family, text) with mapped characters replaced; all others, and texts of other families, stay.
 
-    A family has at most 6,400 private codes, so its mapping is one small string for ``translate``.
+    A family has at most 6,400 private codes, so its mapping is one small string for ``translate``.  The mappings are stored, so that
+    their size is known: Spark broadcasts them, and texts, of which many have the same family or none, stay where they are.
     """
     ordered = F.array_sort(F.collect_list(F.struct("code", "target")))
     side = lambda name: F.array_join(F.transform("pairs", lambda p: character(p[name])), "")
-    pairs = mapping.groupBy("family").agg(ordered.alias("pairs")).select("family", side("code").alias("_from"), side("target").alias("_to"))
+    pairs = stored(mapping.groupBy("family").agg(ordered.alias("pairs")).select("family", side("code").alias("_from"), side("target").alias("_to")), "glyphs")
     return texts.join(pairs, "family", "left").withColumn("text", F.coalesce(F.call_function("translate", F.col("text"), F.col("_from"), F.col("_to")), "text")).drop("_from", "_to")

@@ -143,6 +143,9 @@ def test_glyphs(spark):
     assert sorted(r.text for r in glyphs.repair(text, known).collect()) == sorted(["xกคก", ""])
     both = glyphs.glyph_map(rows, spark.createDataFrame([("o1", 0x0E04)], "outline string, target int"))
     assert not both.count()  # o1 stands for two characters now, o2 always did
+    # texts of one family, or of none, aren't brought together
+    plan = glyphs.repair(text, known)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(family" not in plan
     assert len(glyphs.VERIFIED) == 24 and not glyphs.glyph_map(rows, None, glyphs.FAMILY).count()
 
 
