@@ -38,6 +38,10 @@ BLOCK_KEY = ["query_id", "segment", "block"]
 BLOCK = 64
 #: Buckets of a new store; for many terms choose more, so that a bucket stays a few files.
 BUCKETS = 64
+#: How files of chunks and postings are compressed.
+PACKING = "zstd"
+#: Tokens of a segment for which one more task sorts and writes postings, up to one for each bucket.
+TASK = 1 << 18
 #: Asked terms up to which they are pushed to the scan as a list; beyond, they are joined.
 LISTED = 256
 #: Blocks of a query that are scored to find a floor.
@@ -121,34 +125,64 @@ def bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _packed(batches):
-    """Rows of (term, block) with the chunks of a block that hold the term, from rows (id, block, dl, tokens).
+def _packed(salts: int):
+    """Postings of a bucket, as rows (part, rows): compressed columns, which take a third of what their rows do in a shuffle.
 
-    A block whose rows come in two batches has two rows, each with bounds of its own.
+    They are made from rows (id, block, dl, tokens, buckets), the last being the buckets of the tokens, and have a row for each
+    term and block with the chunks of the block that hold the term.  A block whose rows come in two batches has two rows, each with bounds of its own.
     """
-    import numpy as np
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            tokens = batch.column("tokens")
+            sizes = np.diff(tokens.offsets.to_numpy())
+            flat = tokens.flatten()
+            if not len(flat):
+                continue
+            coded = flat.dictionary_encode()
+            n, code = len(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
+            bucket = np.zeros(n, np.int32)
+            bucket[code] = batch.column("buckets").flatten().to_numpy()
+            keys, tf = np.unique(np.repeat(np.arange(batch.num_rows), sizes) * n + code, return_counts=True)
+            row, code = keys // n, keys % n
+            block = batch.column("block").to_numpy()
+            order = np.lexsort((row, block[row], code, bucket[code]))
+            row, code, tf = row[order], code[order], tf[order].astype(np.int32)
+            own = block[row]
+            first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (own[1:] != own[:-1])]))
+            dl = batch.column("dl").to_numpy()[row].astype(np.int32)
+            ends = pa.array(np.append(first, len(row)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (batch.column("id").take(pa.array(row)), pa.array(tf), pa.array(dl))]
+            columns = [coded.dictionary.take(pa.array(code[first])), pa.array(own[first]), pa.array(np.diff(np.append(first, len(row))).astype(np.int32)), pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(dl, first)), *lists]
+            buckets = bucket[code[first]]
+            whole = pa.RecordBatch.from_arrays([*columns, pa.array(buckets)], ["term", "block", "n", "max_tf", "min_dl", "ids", "tfs", "dls", "bucket"])
+            starts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
+            salt = int(block[0]) % salts
+            held = [_written(whole.slice(x, y - x)) for x, y in zip(starts, np.append(starts[1:], len(buckets)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array((buckets[starts] * salts + salt).astype(np.int32)), pa.array(held, pa.binary())], ["part", "rows"])
+
+    return run
+
+
+def _written(rows) -> bytes:
+    import pyarrow as pa
+
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
+def _opened(batches):
+    """The rows that ``_packed`` has packed."""
     import pyarrow as pa
 
     for batch in batches:
-        tokens = batch.column("tokens")
-        sizes = np.diff(tokens.offsets.to_numpy())
-        flat = tokens.flatten()
-        if not len(flat):
-            continue
-        coded = flat.dictionary_encode()
-        n, code = len(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
-        keys, tf = np.unique(np.repeat(np.arange(batch.num_rows), sizes) * n + code, return_counts=True)
-        row, code = keys // n, keys % n
-        block = batch.column("block").to_numpy()
-        order = np.lexsort((row, block[row], code))
-        row, code, tf = row[order], code[order], tf[order].astype(np.int32)
-        own = block[row]
-        first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (own[1:] != own[:-1])]))
-        dl = batch.column("dl").to_numpy()[row].astype(np.int32)
-        ends = pa.array(np.append(first, len(row)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, x) for x in (batch.column("id").take(pa.array(row)), pa.array(tf), pa.array(dl))]
-        columns = [coded.dictionary.take(pa.array(code[first])), pa.array(own[first]), pa.array(np.diff(np.append(first, len(row))).astype(np.int32)), pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(dl, first)), *lists]
-        yield pa.RecordBatch.from_arrays(columns, ["term", "block", "n", "max_tf", "min_dl", "ids", "tfs", "dls"])
+        for rows in batch.column("rows"):
+            yield from pa.ipc.open_stream(rows.as_buffer())
 
 
 def _postings_schema(key: str) -> str:
@@ -198,17 +232,20 @@ class Store:
         where = f"{self.path}/docs/segment={name}"
         number = (F.monotonically_increasing_id() / BLOCK).cast("long")
         rows = tokens.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>"))).withColumn("dl", F.size("tokens"))
-        rows.sortWithinPartitions("dl", "id").select("id", number.alias("block"), "dl", "tokens", "chunk").write.parquet(where)
+        rows.sortWithinPartitions("dl", "id").select("id", number.alias("block"), "dl", "tokens", "chunk").write.option("compression", PACKING).parquet(where)
         docs = self.spark.read.schema(f"id {rows.schema['id'].dataType.simpleString()}, block long, dl int, tokens array<string>").parquet(where)
         found = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens")).first()
         if not found.n:
             return None
         key = docs.schema["id"].dataType.simpleString()
-        packed = docs.mapInArrow(_packed, _postings_schema(key)).withColumn("bucket", bucket(F.col("term"), self.manifest.buckets))
         # a bucket is dealt to as many tasks as there are for each, so that a frequent term isn't one task's
-        salts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.manifest.buckets)
-        dealt = packed.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(salts)))
-        dealt.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={name}")
+        buckets = self.manifest.buckets
+        salts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
+        own = docs.withColumn("buckets", F.transform("tokens", lambda t: bucket(t, buckets)))
+        tasks = min(buckets * salts, max(1, found.n_tokens // TASK))
+        packed = own.mapInArrow(_packed(salts), "part int, rows binary").repartitionById(tasks, F.col("part") % tasks)
+        opened = packed.mapInArrow(_opened, f"{_postings_schema(key)}, bucket int")
+        opened.sortWithinPartitions("bucket", "term", "block").write.option("compression", PACKING).partitionBy("bucket").parquet(f"{self.path}/postings/segment={name}")
         return name, {"n": found.n, "n_tokens": found.n_tokens, "key": key, "chunk": rows.schema["chunk"].dataType.json(), "postings": found.n_tokens > 0}
 
     def _add_removal(self, ids: DataFrame) -> tuple[str, dict] | None:
@@ -216,14 +253,16 @@ class Store:
         if not self.manifest.segments:
             return None
         name = f"c{self.manifest.version + 1:09d}-{uuid.uuid4().hex[:8]}"
-        gone = self.docs("id", "segment", "dl", "tokens").join(ids.select("id").distinct(), "id", "left_semi")
+        # tables of ids alone, whose size is known: Spark broadcasts few, so that chunks stay where they are
+        asked = stored(ids.select("id").distinct(), "ids")
         where = f"{self.path}/removed/change={name}"
-        gone.write.parquet(where)
-        gone = self.spark.read.schema(gone.schema).parquet(where)
+        self.docs("id", "segment", "dl").join(asked, "id", "left_semi").write.parquet(where)
+        gone = self.spark.read.schema(f"id {self.key}, segment string, dl int").parquet(where)
         found = gone.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens")).first()
         if not found.n:
             return None
-        terms = gone.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+        held = self.docs("id", "segment", "tokens").join(gone.select("id", "segment"), ["id", "segment"], "left_semi")
+        terms = held.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
         terms.withColumn("bucket", bucket(F.col("term"), self.manifest.buckets)).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/forgotten/change={name}")
         return name, {"n": found.n, "n_tokens": found.n_tokens, "postings": found.n_tokens > 0}
 

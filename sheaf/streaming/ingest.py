@@ -47,12 +47,18 @@ def ingest_changes(stream: DataFrame, path: str, key: str = "doc_id", text: str
     """Applies a stream of changes to the store under ``path`` until it has no more at hand, and returns the last version.
 
     A row sets the chunk of its key, or takes it out where its text is null; of several for one key in a batch the last by
-    ``order`` counts.  A batch becomes one version, and a batch that is repeated after a failure none.
+    ``order`` counts.  A batch becomes one version, and a batch that is repeated after a failure none.  Only keys are shuffled, and the
+    rows of those that come more than once.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         last = Window.partitionBy(key).orderBy(F.col(order).desc(), F.col(text).desc())
-        now = stored(batch.withColumn("_last", F.row_number().over(last)).filter("_last = 1").drop("_last", order), "changes")
+        often = stored(batch.groupBy(key).count().filter("count > 1").select(F.col(key).alias("_key")), "repeated")
+        now = batch.drop(order)
+        if not often.isEmpty():
+            same = F.col(key).eqNullSafe(F.col("_key"))
+            some = batch.join(often, same, "left_semi").withColumn("_last", F.row_number().over(last)).filter("_last = 1").drop("_last", order)
+            now = batch.join(often, same, "left_anti").drop(order).unionByName(stored(some, "changes"))
         named = now.withColumnRenamed(key, "id") if key != "id" else now
         kept = named.filter(F.col(text).isNotNull())
         Store.create(batch.sparkSession, path).apply(Index.cut(kept, tokenizer(F.col(text))).rows(), named.filter(F.col(text).isNull()).select("id"), f"{path}/_changes", number)

@@ -199,3 +199,22 @@ def test_blocks_written_as_several_rows_are_pruned_as_one(spark, monkeypatch):
     assert blocks.count() > 0
     assert got == [tuple(r) for r in ranking.bm25(own, queries, 5).select("query_id", "id", "score", "rank").orderBy("query_id", "rank").collect()]
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
+
+
+def test_changes_move_ids_alone(spark, tmp_path):
+    """Removals are tables of ids, so that chunks needn't be shuffled to leave them out; of a key that comes twice in a batch the last counts."""
+    log, folder = f"{tmp_path}/log", f"file://{tmp_path}/store"
+    rows = [(k, f"word{k} the the", 0) for k in range(20)] + [(3, "late of", 2), (3, "early of", 1), (None, "nothing one", 0), (None, "nothing two", 0), (4, None, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, at int").coalesce(1).write.parquet(log)
+    stream = lambda: spark.readStream.schema("doc_id long, text string, at int").parquet(log)
+    ingest.ingest_changes(stream(), folder)
+    spark.createDataFrame([(5, None, 3), (6, "again the", 3)], "doc_id long, text string, at int").write.mode("append").parquet(log)
+    last = ingest.ingest_changes(stream(), folder)
+    want = {k: ["word" + str(k), "the", "the"] for k in range(20) if k not in (3, 4, 5)} | {3: ["late", "of"], 6: ["again", "the"], None: ["nothing", "two"]}
+    assert {r.id: r.tokens for r in last.docs("id", "tokens").collect()} == want
+    df = {r.term: r.df for r in last.frequencies().collect()}
+    assert df["the"] == 17 and "word5" not in df and "early" not in df and last.totals().first().n == len(want)
+    (change,) = last.manifest.removed
+    assert set(spark.read.parquet(f"{last.path}/removed/change={change}").columns) == {"id", "segment", "dl"}
+    plan = last.docs("id", "tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
